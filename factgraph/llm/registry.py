@@ -12,6 +12,19 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _tokenizer(name: str) -> str:
+    import public_tokenizers
+
+    return f"{TOKENIZER_DIR}/{name}" if TOKENIZER_DIR else public_tokenizers.path(name)
+
+
+def op3_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from factgraph.llm.token_files import token_output
+
+    out = token_output(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), end_id=0)
+    return out.select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from factgraph.llm.line_dedup import dedup_lines
 
@@ -39,6 +52,28 @@ FROM m GROUP BY doc_id
 """
 
 
+def op6_posting_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from factgraph.llm.posting_lists import search
+
+    return search(_table(spark, sf_dir, "embeddings"), k=5, every=50)
+
+
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from factgraph.llm.piece_bpe import encode_documents
+
+    return piece_digests(encode_documents(_table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model")))
+
+
+def piece_digests(encoded: DataFrame) -> DataFrame:
+    """Counts and digests of what encode_documents returns."""
+    return encoded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from factgraph.llm.toxicity import toxicity
 
@@ -46,9 +81,32 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "held_out", "score", "predicted", F.size("offending").cast("long").alias("n_offending"))
 
 
+def op10_impact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from factgraph.llm.impact_index import search
+
+    return search(_table(spark, sf_dir, "embeddings"), k=5, every=50, scale=256)
+
+
+OP10_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
+         CAST(list_inner_product(CAST(q.e AS DOUBLE[]), CAST(c.e AS DOUBLE[])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0
+), r AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s
+)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_line_dedup": OP5_SQL}
+    return {"op5_line_dedup": OP5_SQL, "op10_impact_top_k": OP10_SQL}
