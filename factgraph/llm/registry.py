@@ -12,6 +12,23 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Shares of the corpus's tokens by domain of the labelled table: quality and toxicity.
+MIX_TARGETS = {"fine_clean": 0.82, "fine_toxic": 0.03, "poor_clean": 0.14, "poor_toxic": 0.01}
+
+
+def label_domains(labels: DataFrame) -> DataFrame:
+    """doc_id and domain of each labelled document."""
+    name = F.concat(F.when(F.col("quality") == 1, "fine").otherwise("poor"), F.when(F.col("toxic") == 1, F.lit("_toxic")).otherwise(F.lit("_clean")))
+    return labels.filter(F.col("quality").isNotNull() & F.col("toxic").isNotNull()).select("doc_id", name.alias("domain"))
+
+
+def op1_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from factgraph.llm.soft_mixing import mix
+
+    out = mix(_table(spark, sf_dir, "documents"), label_domains(_table(spark, sf_dir, "labels")), MIX_TARGETS)
+    return out.select("doc_id", "n_tokens", "posteriors", "rate", "copies")
+
+
 def _tokenizer(name: str) -> str:
     import public_tokenizers
 
@@ -74,6 +91,36 @@ def piece_digests(encoded: DataFrame) -> DataFrame:
     )
 
 
+def op8_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from factgraph.llm.preference_format import numbered_pairs, preference_segments
+
+    return preference_segments(numbered_pairs(_table(spark, sf_dir, "conversations")))
+
+
+OP8_SQL = """
+WITH t AS (
+  SELECT CAST(floor(conv_id / 2.0) AS BIGINT) AS pair_id, conv_id % 2 AS side, turn,
+         coalesce(role, 'user') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL
+), g AS (
+  SELECT pair_id, turn,
+         string_agg(role || chr(1) || text, chr(2) ORDER BY role, text) FILTER (WHERE side = 0) AS c,
+         string_agg(role || chr(1) || text, chr(2) ORDER BY role, text) FILTER (WHERE side = 1) AS r
+  FROM t GROUP BY pair_id, turn
+), f AS (
+  SELECT pair_id, min(turn) AS first FROM g WHERE c IS DISTINCT FROM r GROUP BY pair_id
+), s AS (
+  SELECT t.pair_id, CASE WHEN f.first IS NULL OR t.turn < f.first THEN 'prompt' WHEN t.side = 0 THEN 'chosen' ELSE 'rejected' END AS part,
+         t.turn, t.role, t.text, t.side,
+         row_number() OVER (PARTITION BY t.pair_id, t.side, t.turn ORDER BY t.role, t.text) - 1 AS seq
+  FROM t LEFT JOIN f ON t.pair_id = f.pair_id
+)
+SELECT pair_id, part, turn, CAST(seq AS INTEGER) AS seq,
+       '<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10) AS segment,
+       CASE WHEN part <> 'prompt' AND role = 'assistant' THEN 1 ELSE 0 END AS mask
+FROM s WHERE part <> 'prompt' OR side = 0
+"""
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from factgraph.llm.toxicity import toxicity
 
@@ -109,4 +156,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_line_dedup": OP5_SQL, "op10_impact_top_k": OP10_SQL}
+    return {"op5_line_dedup": OP5_SQL, "op8_preference_format": OP8_SQL, "op10_impact_top_k": OP10_SQL}
