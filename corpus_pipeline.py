@@ -23,7 +23,41 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return dedup_frame(docs, min_chars=20, min_docs=3).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
-STAGES = [("toxicity", drop_toxic), ("line_dedup", drop_lines)]
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays: the one with the smallest doc_id."""
+    from factgraph.llm.jaccard_join import one_of_each
+
+    return one_of_each(docs, words=5, threshold=0.8).select(*COLUMNS)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents stand as often as target weights of fine and poor text ask for.
+
+    The weight of fine text lies above its share, so fine documents all stay.
+    """
+    from factgraph.llm.soft_mixing import resample
+
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").filter("quality IS NOT NULL")
+    domains = labels.select("doc_id", F.when(F.col("quality") == 1, "fine").otherwise("poor").alias("domain"))
+    return resample(docs, domains, {"fine": 0.93, "poor": 0.07}).select(*COLUMNS)
+
+
+def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests of ids and decoded text, a row for each document."""
+    from factgraph.llm.piece_bpe import encode_documents
+    from factgraph.llm.registry import piece_digests, tokenizer_path
+
+    return piece_digests(encode_documents(docs, tokenizer_path("piece_bpe_32k.model")))
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("line_dedup", drop_lines),
+    ("jaccard_join", drop_near_copies),
+    ("soft_mixing", mix_sources),
+    ("sentencepiece", tokenize),
+]
+#: SQL cannot express the models, the join by set similarity or the tokenizer.
 ORACLE_SQL = None
 
 

@@ -29,7 +29,13 @@ def op1_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", "posteriors", "rate", "copies")
 
 
-def _tokenizer(name: str) -> str:
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from factgraph.llm.jaccard_join import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "documents"), words=5, threshold=0.8)
+
+
+def tokenizer_path(name: str) -> str:
     import public_tokenizers
 
     return f"{TOKENIZER_DIR}/{name}" if TOKENIZER_DIR else public_tokenizers.path(name)
@@ -38,7 +44,7 @@ def _tokenizer(name: str) -> str:
 def op3_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     from factgraph.llm.token_files import token_output
 
-    out = token_output(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), end_id=0)
+    out = token_output(_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), end_id=0)
     return out.select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
@@ -78,7 +84,7 @@ def op6_posting_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     from factgraph.llm.piece_bpe import encode_documents
 
-    return piece_digests(encode_documents(_table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model")))
+    return piece_digests(encode_documents(_table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model")))
 
 
 def piece_digests(encoded: DataFrame) -> DataFrame:
