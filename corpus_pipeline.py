@@ -35,11 +35,10 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     The weight of fine text lies above its share, so fine documents all stay.
     """
+    from factgraph.llm.registry import MIX_TARGETS, label_domains
     from factgraph.llm.soft_mixing import resample
 
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").filter("quality IS NOT NULL")
-    domains = labels.select("doc_id", F.when(F.col("quality") == 1, "fine").otherwise("poor").alias("domain"))
-    return resample(docs, domains, {"fine": 0.93, "poor": 0.07}).select(*COLUMNS)
+    return resample(docs, label_domains(spark.read.parquet(f"{sf_dir}/labels.parquet")), MIX_TARGETS).select(*COLUMNS)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -12,14 +12,13 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Shares of the corpus's tokens by domain of the labelled table: quality and toxicity.
-MIX_TARGETS = {"fine_clean": 0.82, "fine_toxic": 0.03, "poor_clean": 0.14, "poor_toxic": 0.01}
+#: Shares of the corpus's tokens by quality in the labelled table.
+MIX_TARGETS = {"fine": 0.93, "poor": 0.07}
 
 
 def label_domains(labels: DataFrame) -> DataFrame:
     """doc_id and domain of each labelled document."""
-    name = F.concat(F.when(F.col("quality") == 1, "fine").otherwise("poor"), F.when(F.col("toxic") == 1, F.lit("_toxic")).otherwise(F.lit("_clean")))
-    return labels.filter(F.col("quality").isNotNull() & F.col("toxic").isNotNull()).select("doc_id", name.alias("domain"))
+    return labels.filter(F.col("quality").isNotNull()).select("doc_id", F.when(F.col("quality") == 1, "fine").otherwise("poor").alias("domain"))
 
 
 def op1_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,10 +6,13 @@ expected tokens of each domain, sum(r * tokens * probability), meet its share of
 corpus: least squares over the domain totals plus a small pull of every rate towards
 1 (weighted by tokens), solved by accelerated projected gradient.
 
-An iteration is one aggregation that returns a number for each domain. A rate only
-depends on its document's probabilities and the residuals of past iterations, so
-rates are never stored or shuffled: they are replayed from those few numbers, on any
-row, in one expression. Text is read twice (features, then rates) and never moved.
+Memberships have a resolution of 1/``GRAIN``. Documents of equal memberships have
+equal rates, so the fit runs over the distinct memberships and their tokens, whose
+number is bounded by grain and domains, not by the corpus. An iteration is one
+aggregation that returns a number for each domain. A rate only depends on memberships
+and the residuals of past iterations: it is never stored or shuffled but replayed
+from those few numbers, on any row, in one expression. Text is read twice (features,
+then rates) and never moved.
 """
 
 from __future__ import annotations
@@ -22,7 +25,8 @@ from pyspark.sql import functions as F
 from factgraph.llm.common import stored
 
 PULL = 0.002
-ROUNDS = 40
+ROUNDS = 24
+GRAIN = 256
 FEATURES = ("chars", "word", "bars", "shouts", "digits", "again", "lines", "upper")
 
 
@@ -67,7 +71,10 @@ def posterior(stats: dict[str, dict], domains: list[str]) -> Column:
     top = F.array_max(logs)
     raw = F.transform(logs, lambda x: F.exp(x - top))
     whole = F.aggregate(raw, F.lit(0.0), lambda a, x: a + x)
-    return F.transform(raw, lambda x: x / whole)
+    fine = F.transform(raw, lambda x: F.round(x / whole * GRAIN) / GRAIN)
+    # The first takes what rounding leaves, so that memberships add up to 1.
+    others = F.slice(fine, 2, len(domains))
+    return F.concat(F.array(F.greatest(F.lit(0.0), 1 - F.aggregate(others, F.lit(0.0), lambda a, x: a + x))), others)
 
 
 def fit_classifier(measured: DataFrame, labelled: DataFrame) -> dict[str, dict]:
@@ -99,8 +106,8 @@ def _replay(p: Column, past: list[list[float]], momentum: list[float], ahead: bo
     return F.aggregate(steps, start, move, lambda a: a.y if ahead else a.r)
 
 
-def fit_rates(known: DataFrame, targets: dict[str, float], rounds: int = ROUNDS, close: float = 1e-4) -> tuple[list[list[float]], list[float]]:
-    """Residuals and momentum of each iteration over rows of _n and _p."""
+def fit_rates(known: DataFrame, targets: dict[str, float], rounds: int = ROUNDS, close: float = 3e-4) -> tuple[list[list[float]], list[float]]:
+    """Residuals and momentum of each iteration over rows of tokens _n and memberships _p."""
     domains = sorted(targets)
     share = [targets[d] / (sum(targets.values()) or 1.0) for d in domains]
     whole = known.agg(F.sum("_n").alias("n")).first().n or 0.0
@@ -112,7 +119,7 @@ def fit_rates(known: DataFrame, targets: dict[str, float], rounds: int = ROUNDS,
         rows = known.select("_n", "_p", y.alias("_y"))
         got = rows.agg(*(F.sum(F.col("_y") * F.col("_n") * F.element_at("_p", k + 1)).alias(f"t{k}") for k in range(len(domains)))).first()
         e = [got[k] / whole - share[k] for k in range(len(domains))]
-        if before is not None and max(abs(a - b) for a, b in zip(e, before)) < close * max(abs(x) for x in e + [1e-3]):
+        if before is not None and max(abs(a - b) for a, b in zip(e, before)) < close:
             break
         nxt = (1 + math.sqrt(1 + 4 * t * t)) / 2
         past.append(e)
@@ -135,7 +142,8 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float]) -> Data
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     measured = stored(features(base).select("doc_id", "_n", "_x"), "mix-features")
     probable = posterior(fit_classifier(measured, labelled), domains)
-    past, momentum = fit_rates(measured.select("_n", probable.alias("_p")), targets)
+    cells = stored(measured.groupBy(probable.alias("_p")).agg(F.sum("_n").alias("_n")), "mix-memberships")
+    past, momentum = fit_rates(cells, targets)
     rows = features(docs).withColumn("_p", probable)
     rows = rows.withColumn("_r", _replay(F.col("_p"), past, momentum, ahead=False))
     chance = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / float(1 << 30)
