@@ -7,7 +7,7 @@ the sentences that made a document toxic, and those can be pointed out.
 
 The fit takes a bounded sample of labelled rows (``max_train``, chosen by a hash of
 doc_id, half of it for either label while they last) and runs on the driver; the
-model is one array of ``2**BITS`` floats. Scoring reads whole texts and moves
+model is a weight for each word or beginning of words that the sample singles out. Scoring reads whole texts and moves
 nothing between executors.
 """
 
@@ -23,20 +23,19 @@ from pyspark.sql import functions as F
 
 from factgraph.llm.common import texts
 
-BITS = 19
+BITS = 21
 WORDS_KEPT = 300_000
 _ENDS = (".", "!", "?")
+_AROUND = ".,;:!?\"'()[]|*-"
 _SENTENCE = re.compile(r"\S[^\n]*?(?:[.!?](?=\s|\Z)|(?=\n)|\Z)")
 
 
-def _features(word: str) -> list[int]:
-    """Slots of the word itself and of its beginnings."""
-    w = word.strip(".,;:!?\"'()[]|*-").lower()
+def _features(word: str) -> list[str]:
+    """The word itself and its beginnings."""
+    w = word.strip(_AROUND).lower()
     if not w:
         return []
-    b = w.encode()
-    parts = [b"w" + b, *(b"p" + w[:n].encode() for n in range(4, min(8, len(w)) + 1))]
-    return [zlib.crc32(p) & ((1 << BITS) - 1) for p in parts]
+    return ["=" + w, *(w[:n] for n in range(4, min(8, len(w)) + 1))]
 
 
 def _words(text: str) -> list[str]:
@@ -47,8 +46,9 @@ def _words(text: str) -> list[str]:
 class Lexicon:
     """Numbers for words, kept between batches up to a bound."""
 
-    def __init__(self, weights: np.ndarray | None):
+    def __init__(self, weights: dict[str, float]):
         self.weights = weights
+        self.stems = {f[:4] for f in weights if f[0] != "="}
         self.clear()
 
     def clear(self) -> None:
@@ -58,8 +58,11 @@ class Lexicon:
 
     def add(self, word: str) -> int:
         k = self.ids[word] = len(self.value)
-        f = _features(word)
-        self.value.append(float(self.weights[f].sum()) if f else 0.0)
+        w = word.strip(_AROUND).lower()
+        value = self.weights.get("=" + w, 0.0)
+        if w[:4] in self.stems:
+            value += sum(self.weights.get(f, 0.0) for f in _features(w)[1:])
+        self.value.append(value)
         self.end.append(word.endswith(_ENDS))
         return k
 
@@ -109,36 +112,35 @@ def doc_scores(value: np.ndarray, end: np.ndarray, count: np.ndarray, bias: floa
     return -np.expm1(-total)
 
 
-def fit(rows: list[tuple[str, int]], epochs: int = 200, rate: float = 0.1, decay: float = 2e-4, min_docs: int = 3, min_odd: float = 3.0) -> tuple[np.ndarray, float]:
+def fit(rows: list[tuple[str, int]], epochs: int = 200, rate: float = 0.1, decay: float = 2e-4, min_docs: int = 3, min_odd: float = 3.0) -> tuple[dict[str, float], float]:
     """Word weights and bias from (text, label) pairs. One label alone gives a constant model.
 
     Weights go to features of at least ``min_docs`` texts that toxic ones hold more
     often than chance, by ``min_odd`` standard deviations: with thousands of texts and
     far more words, others would only learn the sample by heart.
     """
-    weights = np.zeros(1 << BITS)
     y = np.array([t for _, t in rows], float)
     if not len(y) or y.min() == y.max():
-        return weights, -8.0 if not len(y) or y.max() == 0 else 8.0
+        return {}, -8.0 if not len(y) or y.max() == 0 else 8.0
     ids: dict[str, int] = {}
     flat, count, seen = [], [], np.zeros((2, 1 << BITS), np.int32)
-    feats: list[list[int]] = []
+    slots_of: list[list[int]] = []
     for text, label in rows:
         own = []
         for w in _words(text):
             k = ids.setdefault(w, len(ids))
-            if k == len(feats):
-                feats.append(_features(w))
+            if k == len(slots_of):
+                slots_of.append([zlib.crc32(f.encode()) & ((1 << BITS) - 1) for f in _features(w)])
             own.append(k)
         flat.append(np.array(own, np.int64))
         count.append(len(own))
-        seen[label, np.unique(np.fromiter((f for k in set(own) for f in feats[k]), np.int64))] += 1
+        seen[label, np.unique(np.fromiter((f for k in set(own) for f in slots_of[k]), np.int64))] += 1
     flat, count = np.concatenate(flat), np.array(count, np.int64)
     end = np.fromiter((w.endswith(_ENDS) for w in ids), bool, len(ids))[flat]
     share = seen.sum(0) / len(y)
     odd = (seen[1] - y.sum() * share) / np.sqrt(y.sum() * share * (1 - share) + 1e-9)
     usable = (seen.sum(0) >= min_docs) & (odd >= min_odd)
-    pairs = np.array([(k, f) for k, fs in enumerate(feats) for f in fs if usable[f]], np.int64).reshape(-1, 2)
+    pairs = np.array([(k, f) for k, fs in enumerate(slots_of) for f in fs if usable[f]], np.int64).reshape(-1, 2)
     slots, col = np.unique(pairs[:, 1], return_inverse=True)
     at = _starts(end, count)
     doc = np.searchsorted(np.cumsum(count), at, side="right")
@@ -157,7 +159,8 @@ def fit(rows: list[tuple[str, int]], epochs: int = 200, rate: float = 0.1, decay
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
         move = rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
         theta, bias = theta - move[:-1], bias - move[-1]
-    weights[slots] = theta
+    at_slot = dict(zip(slots.tolist(), theta.tolist()))
+    weights = {f: at_slot[k] for w, own in zip(ids, slots_of) for f, k in zip(_features(w), own) if k in at_slot}
     return weights, float(bias)
 
 
@@ -177,14 +180,14 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_train: int) -> list[tu
     return [(r.text, r.toxic) for r in sorted(rows, key=lambda r: (r.doc_id, r.text))]
 
 
-def score_documents(docs: DataFrame, weights: np.ndarray, bias: float, threshold: float = 0.7) -> DataFrame:
+def score_documents(docs: DataFrame, weights: dict[str, float], bias: float, threshold: float = 0.7) -> DataFrame:
     """doc_id, score, predicted and the offending sentences of predicted rows, for each row.
 
     ``offending`` holds (start, end, score) of the sentences with a score of 0.5 or
     more, in code points, or the worst one if none has; it is empty for other rows.
     Null and empty texts have no sentence and score 0.
     """
-    model = docs.sparkSession.sparkContext.broadcast(weights.astype(np.float32))
+    model = docs.sparkSession.sparkContext.broadcast(weights)
 
     def score(batches):
         words = Lexicon(model.value)
@@ -223,9 +226,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, max_train: int = 6000, threshol
     return score_documents(docs, weights, bias, threshold).withColumn("held_out", held_out(F.col("doc_id")))
 
 
-def keep_clean(docs: DataFrame, weights: np.ndarray, bias: float, threshold: float = 0.7) -> DataFrame:
+def keep_clean(docs: DataFrame, weights: dict[str, float], bias: float, threshold: float = 0.7) -> DataFrame:
     """The rows of ``docs``, all columns unchanged, whose score is below ``threshold``."""
-    model = docs.sparkSession.sparkContext.broadcast(weights.astype(np.float32))
+    model = docs.sparkSession.sparkContext.broadcast(weights)
     at = docs.columns.index("text")
 
     def clean(batches):
