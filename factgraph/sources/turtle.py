@@ -158,13 +158,19 @@ def read_turtle(spark: SparkSession, path: str, graph: str | None = None) -> Dat
 
 
 def read_ntriples(spark: SparkSession, path: str, graph: str | None = None) -> DataFrame:
-    """N-Triples lines as facts, in parallel; language tags are lowered, other lines than triples raise."""
+    """N-Triples files as facts, in parallel."""
+    return ntriples_facts(spark.read.text(path), graph).distinct()
+
+
+def ntriples_facts(lines: DataFrame, graph: str | None = None) -> DataFrame:
+    """Rows of one line (value) as facts; language tags are lowered, what is no triple raises."""
     line = r'^\s*(<[^<>\s]*>|_:\S+)\s+(<[^<>\s]*>)\s+(<[^<>\s]*>|_:[^\s.]+(?:\.[^\s.]+)*|"(?:[^"\\]|\\.)*"(?:\^\^<[^<>\s]*>|@[A-Za-z0-9-]+)?)\s*\.\s*(?:#.*)?$'
-    rows = spark.read.text(path).filter(~F.col("value").rlike(r"^\s*(#.*)?$"))
+    rows = lines.filter(~F.col("value").rlike(r"^\s*(#.*)?$"))
     part = lambda k: F.regexp_extract("value", line, k)
     ok = F.when(F.col("value").rlike(line), F.lit(graph).cast("string")).otherwise(F.raise_error(F.concat(F.lit("not an N-Triples line: "), "value")))
-    lowered = F.when(part(3).rlike(r'"@[A-Za-z0-9-]+$'), F.concat(F.regexp_extract(part(3), r'(?s)^(.*)@', 1), F.lit("@"), F.lower(F.regexp_extract(part(3), r"@([A-Za-z0-9-]+)$", 1)))).otherwise(part(3))
-    return rows.select(ok.alias("g"), part(1).alias("s"), part(2).alias("p"), lowered.alias("o")).distinct()
+    tag = r'"@[A-Za-z0-9-]+$'
+    lowered = F.when(part(3).rlike(tag), F.concat(F.regexp_extract(part(3), r"(?s)^(.*)@", 1), F.lit("@"), F.lower(F.regexp_extract(part(3), r"@([A-Za-z0-9-]+)$", 1)))).otherwise(part(3))
+    return rows.select(ok.alias("g"), part(1).alias("s"), part(2).alias("p"), lowered.alias("o"))
 
 
 def write_facts(facts: DataFrame, path: str) -> None:
