@@ -154,5 +154,8 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float]) -> Data
 def resample(docs: DataFrame, labelled: DataFrame, targets: dict[str, float]) -> DataFrame:
     """``docs``, all columns unchanged, each row as often as mix() says."""
     keep = docs.select(F.struct(*docs.columns).alias("_row"), "doc_id", "text")
-    mixed = mix(keep, labelled, targets).filter(F.col("copies") > 0)
-    return mixed.select("_row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("_row.*")
+    mixed = mix(keep, labelled, targets)
+    # No filter on copies: it would be pushed down to the scan, with all it is made of
+    # written out anew for each use.
+    many = F.explode_outer(F.array_repeat(F.lit(1), F.col("copies").cast("int"))).alias("_copy")
+    return mixed.select("_row", many).filter("_copy IS NOT NULL").select("_row.*")
