@@ -24,8 +24,9 @@ def components(edges: DataFrame) -> DataFrame:
         low = stored(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "edges")
         large = both.filter("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = large.filter("a <> b").distinct()
-        large = stored(large, "edges")
-        down = stored(large.groupBy("a").agg(F.min("b").alias("m")), "edges")
+        # After the large stars a node has one edge for each minimum around it; the distinct
+        # edges are shuffled once and used twice.
+        down = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(down, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*")
         cur = stored(small.filter("a <> b").distinct(), "edges")
         now = cur.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
