@@ -21,6 +21,7 @@ import os
 import struct
 import uuid
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +34,8 @@ from factgraph.llm.common import open_fs, partitions, shared_dir, stored, texts
 MAGIC = b"IDBITS01"
 BLOCK = 1 << 16
 READ_IDS = 1 << 20
-CHUNKS_KEPT = 250_000
-ATOMS_KEPT = 700_000
+CHUNKS_KEPT = 600_000
+ATOMS_KEPT = 150_000
 _TAILS = ".,;:!?|"
 
 
@@ -144,6 +145,28 @@ class ShardReader:
         self.src.close()
 
 
+class Generations:
+    """A bounded cache: when the new half is full it becomes the old one; what is used again moves back."""
+
+    def __init__(self, size: int):
+        self.size, self.new, self.old = size, {}, {}
+
+    def turn(self) -> None:
+        if len(self.new) > self.size:
+            self.new, self.old = {}, self.new
+
+    def missing(self, keys) -> list:
+        """Keys that neither half holds; others are in the new half afterwards."""
+        out = []
+        for k in keys:
+            if k not in self.new:
+                if (v := self.old.get(k)) is None:
+                    out.append(k)
+                else:
+                    self.new[k] = v
+        return out
+
+
 class Encoder:
     """A byte-level BPE of the tokenizers library, asked once for each distinct piece of text.
 
@@ -160,8 +183,8 @@ class Encoder:
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
         self.vocabulary = self.tok.get_vocab_size()
-        self.chunks: dict[str, bytes] = {}
-        self.atoms: dict[str, bytes] = {}
+        self.chunks, self.atoms = Generations(CHUNKS_KEPT), Generations(ATOMS_KEPT)
+        self.tails = dict(zip(_TAILS, self._ask(list(_TAILS))))
 
     @staticmethod
     def cut(text: str) -> list[str]:
@@ -193,45 +216,67 @@ class Encoder:
                 out.append(p)
         return out
 
-    def learn(self, chunks: set[str]) -> None:
-        """Look up what is not known yet; keys of later pieces begin with their space."""
-        if len(self.atoms) > ATOMS_KEPT:
-            self.atoms.clear()
-        cuts = {c: self.split_atoms(c) for c in chunks}
-        new = [*{a for own in cuts.values() for a in own} - self.atoms.keys()]
-        for k in range(0, len(new), 20_000):
-            part = new[k : k + 20_000]
-            for a, e in zip(part, self.tok.encode_batch_fast(part, add_special_tokens=False)):
-                self.atoms[a] = np.array(e.ids, "<u4").tobytes()
+    def _ask(self, texts: list[str]) -> list[bytes]:
+        """The library's ids of texts that the splitter would cut out whole."""
+        out = []
+        for k in range(0, len(texts), 20_000):
+            out += [array("I", e.ids).tobytes() for e in self.tok.encode_batch_fast(texts[k : k + 20_000], add_special_tokens=False)]
+        return out
+
+    def learn(self, chunks: list[str]) -> None:
+        """Look up pieces that follow a space (without it). A word with one mark behind it is made of both."""
+        new, words, marked, others = self.chunks.new, [], [], []
+        for c in chunks:
+            if c.isalpha():
+                words.append(c)
+            elif c[-1] in _TAILS and c[:-1].isalpha():
+                marked.append(c)
+            else:
+                others.append(c)
+        words = list({*words, *self.chunks.missing({c[:-1] for c in marked})})
+        new.update(zip(words, self._ask([" " + c for c in words])))
+        for c in marked:
+            new[c] = new[c[:-1]] + self.tails[c[-1]]
+        self.atoms.turn()
+        cuts = {c: self.split_atoms(" " + c) for c in others}
+        self.learn_atoms({a for own in cuts.values() for a in own})
         for c, own in cuts.items():
-            self.chunks[c[1:] if c[:1] == " " else c] = b"".join([self.atoms[a] for a in own])
+            new[c] = b"".join([self.atoms.new[a] for a in own])
+
+    def learn_atoms(self, atoms: set[str]) -> None:
+        missing = self.atoms.missing(atoms)
+        self.atoms.new.update(zip(missing, self._ask(missing)))
 
     def encode(self, many: list[str]) -> list[np.ndarray]:
         """The ids of each text."""
-        if len(self.chunks) > CHUNKS_KEPT:
-            self.chunks.clear()
-        get = self.chunks.get
-        cuts, heads, new = [], [], set()
-        for text in many:
-            parts = text.split(" ")
-            odd = len(parts) > 1 and any(get(p) is None and (not p or p[0].isspace()) for p in parts[1:])
-            if odd:
-                parts = self.cut(text)
-            heads.append(parts[0])
-            parts = parts[1:]
-            cuts.append(parts)
-            new.update(" " + p for p in parts if p not in self.chunks)
-        self.learn(new)
-        out = []
-        for head, parts in zip(heads, cuts):
-            first = b"".join(self._atom(a) for a in self.split_atoms(head)) if head else b""
-            out.append(np.frombuffer(first + b"".join(map(self.chunks.__getitem__, parts)), "<u4"))
-        return out
-
-    def _atom(self, a: str) -> bytes:
-        if a not in self.atoms:
-            self.atoms[a] = np.array(self.tok.encode(a, add_special_tokens=False).ids, "<u4").tobytes()
-        return self.atoms[a]
+        self.chunks.turn()
+        cuts = [text.split(" ") for text in many]
+        seen = set()
+        for parts in cuts:
+            seen.update(parts[1:])
+        unknown = seen - self.chunks.new.keys()
+        odd = {p for p in unknown if not p or p[0].isspace()}
+        if odd:  # pieces at which no token need begin
+            unknown -= odd
+            for k, parts in enumerate(cuts):
+                if not odd.isdisjoint(parts[1:]):
+                    cuts[k] = self.cut(many[k])
+                    unknown.update(cuts[k][1:])
+        self.learn(self.chunks.missing(unknown))
+        first = [self.split_atoms(parts[0]) if parts[0] else [] for parts in cuts]
+        self.learn_atoms({a for own in first for a in own})
+        ids, atoms = self.chunks.new.__getitem__, self.atoms.new.__getitem__
+        return [np.frombuffer(b"".join([*map(atoms, own), *map(ids, parts[1:])]), "<u4") for own, parts in zip(first, cuts)]
+
+
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    """This process's encoder, with what it has learnt from earlier tasks."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
 
 
 def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0) -> DataFrame:
@@ -242,7 +287,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0)
     """
 
     def encode(batches):
-        enc, out, file = Encoder(tokenizer), None, ""
+        enc, out, file = encoder(tokenizer), None, ""
         end = np.array([end_id], "<u4")
         for b in batches:
             ids, many = b.column(0).to_pylist(), b.column(1)
