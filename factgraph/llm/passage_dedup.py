@@ -6,11 +6,17 @@ triggers at equal places, wherever they stand. The phrase of a trigger is all th
 windows around it can hold. Equal phrases are one entry of the dictionary, by digest,
 with the first document that has it.
 
-1. A trigger's hash is aggregated with its phrases' digests: first and last document,
-   and whether there is more than one phrase. Triggers of one document are done.
-2. Where a trigger has one phrase only, windows around it are repeats in every document
-   but the first. Where it has several (the ends of shared passages, edited places),
-   each window's own 128-bit digest is aggregated to its first document.
+1. Hashes of triggers are aggregated to those that several documents hold. Most are not,
+   and need not be shuffled again: a bit filter of fixed size (``2**FILTER_BITS`` bits, in
+   slices in the shared folder) lets only others pass. It never holds one back that is
+   shared; what passes in vain costs a row and is found out in the next step.
+2. What passes is aggregated to phrases, each with its first document: in later documents,
+   all windows around such a trigger are repeats. Where a trigger is shared but has several
+   phrases (the ends of shared passages, edited places), the first document of each phrase
+   asks for its windows one by one: their 128-bit digests are aggregated to their first
+   document.
+   Seam windows are many and mostly found once, so they pass a filter of the same kind
+   before their digests are shuffled.
 3. Documents put both together. Only those with windows of the second kind are
    looked at again.
 
@@ -23,15 +29,17 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factgraph.llm.common import release, stored
+from factgraph.llm.common import discard, read_file, release, shared_dir, stored, write_file
 from factgraph.llm.jaccard_join import mix64
 
-GRAM = 24
-PIECE = 1 << 19
-BATCH = 1 << 20
+GRAM = 16
+FILTER_BITS, SLICES = 27, 64
+PIECE = 1 << 18
+BATCH = 1 << 18
 NONE = -(2**63)
 _P1, _P2 = 0x5851F42D4C957F2D, 0xD1342543DE82EF95
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -41,7 +49,7 @@ def _power(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """base**i and base**-i modulo 2**64 for i < n."""
     have = _powers.get(base)
     if have is None or len(have[0]) < n:
-        size = max(n, 1 << 21)
+        size = max(n, 1 << 19)
         pair = []
         for b in (base, pow(base, -1, 1 << 64)):
             x = np.full(size, b, np.uint64)
@@ -124,14 +132,23 @@ class Parse:
         self.phrase = mix64(self.sums.part(self.triggers - left, self.triggers + right) + mark * np.uint64(0x9E3779B97F4A7C15))
 
 
+    def around(self, mine: slice, use: np.ndarray, first: int) -> np.ndarray:
+        """Windows, as places in the buffer from ``first`` on, of which one of the triggers ``mine[use]`` is the trigger."""
+        at, h = self.triggers[mine][use], self.hash[mine][use]
+        windows = at[:, None] - np.arange(self.reach + 1)
+        inside = (windows >= first) & (windows < len(self.least))
+        held = np.where(inside, windows, 0)
+        return np.unique(held[inside & self.valid[held] & (self.least[held] == h[:, None])])
+
+
 def _batches(b: pa.RecordBatch, text: int):
     """Slices of a batch of about BATCH bytes, with their texts as bytes."""
-    raws = b.column(text).cast(pa.binary()).to_pylist()
+    raws = b.column(text).cast(pa.binary())
     start = size = 0
-    for k, raw in enumerate(raws):
-        size += len(raw)
+    for k, n in enumerate(pc.binary_length(raws).to_pylist()):
+        size += n
         if size >= BATCH or k == len(raws) - 1:
-            yield b.slice(start, k + 1 - start), raws[start : k + 1]
+            yield b.slice(start, k + 1 - start), raws.slice(start, k + 1 - start).to_pylist()
             start, size = k + 1, 0
 
 
@@ -149,21 +166,85 @@ def _rows(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NONE)).alias("doc"), F.xxhash64(text).alias("th"), text.alias("text"))
 
 
-def _triggers(docs: DataFrame, length: int, phrases: bool) -> DataFrame:
+class BitFilter:
+    """Marks of hashes: one bit each, by its upper bits the slice, by its lower ones the place."""
+
+    def __init__(self, folder: str, slices: list[int]):
+        self.bits = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
+        each = len(self.bits) // SLICES
+        for k in slices:
+            self.bits[k * each : (k + 1) * each] = np.frombuffer(read_file(f"{folder}/{k}.bits"), np.uint8)
+
+    @staticmethod
+    def place(h: np.ndarray) -> np.ndarray:
+        return (mix64(h) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+
+    def holds(self, h: np.ndarray) -> np.ndarray:
+        at = self.place(h)
+        return (self.bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+
+
+_filters: dict[str, BitFilter] = {}
+
+
+def _filter(folder: str, slices: list[int]) -> BitFilter:
+    """This process's copy; one at a time."""
+    if folder not in _filters:
+        _filters.clear()
+        _filters[folder] = BitFilter(folder, slices)
+    return _filters[folder]
+
+
+def _places(held: DataFrame) -> DataFrame:
+    """The filter's places of the hashes in column h."""
+
+    def places(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(BitFilter.place(b.column(0).to_numpy(zero_copy_only=False).view(np.uint64)))], ["place"])
+
+    return held.mapInArrow(places, "place long")
+
+
+def _write_filter(marks: DataFrame) -> tuple[str, list[int]]:
+    """The folder of a filter with the bits at ``marks`` (place), and its slices."""
+    folder = shared_dir(marks.sparkSession, "filter")
+    span = 1 << FILTER_BITS
+
+    def build(batches):
+        each, held_bits = span // SLICES, {}
+        for b in batches:
+            at = b.column(0).to_numpy(zero_copy_only=False)
+            for k in np.unique(at // each).tolist():
+                bits = held_bits.setdefault(k, np.zeros(each, np.uint8))
+                bits[at[at // each == k] - k * each] = 1
+        for k, bits in held_bits.items():
+            write_file(f"{folder}/{k}.bits", np.packbits(bits, bitorder="little").tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array([k])], ["slice"])
+
+    marks = marks.repartition(SLICES, F.floor(F.col("place") / (span // SLICES)))
+    return folder, sorted(r["slice"] for r in marks.mapInArrow(build, "slice long").collect())
+
+
+def _triggers(docs: DataFrame, length: int, known: tuple[str, list[int]] | None) -> DataFrame:
+    """h and doc of all triggers, once a document; with ``known``, h, doc and phrase c of those that pass that filter."""
+
     def run(batches):
         for b in batches:
             for part, raws in _batches(b, 1):
                 p = Parse(raws, length)
                 if not len(p.triggers):
                     continue
-                owner = p.doc[p.triggers]
-                keep = _unpiled(p.hash, p.phrase if phrases else np.zeros(len(p.hash), np.uint64), owner)
-                cols = [pa.array(p.hash[keep].view(np.int64)), part.column(0).take(pa.array(owner[keep]))]
-                if phrases:
-                    cols.append(pa.array(p.phrase[keep].view(np.int64)))
+                h, c, owner = p.hash, p.phrase, p.doc[p.triggers]
+                if known:
+                    there = _filter(*known).holds(h)
+                    h, c, owner = h[there], c[there], owner[there]
+                keep = _unpiled(h, c if known else np.zeros(len(h), np.uint64), owner)
+                cols = [pa.array(h[keep].view(np.int64)), part.column(0).take(pa.array(owner[keep]))]
+                if known:
+                    cols.append(pa.array(c[keep].view(np.int64)))
                 yield pa.RecordBatch.from_arrays(cols, ["h", "doc", "c"][: len(cols)])
 
-    return _rows(docs).select("doc", "text").mapInArrow(run, "h long, doc long" + ", c long" * phrases)
+    return _rows(docs).select("doc", "text").mapInArrow(run, "h long, doc long" + (", c long" if known else ""))
 
 
 def _covered(starts: np.ndarray, size: int, length: int) -> np.ndarray:
@@ -182,13 +263,13 @@ def _kept(raw: bytes, starts: np.ndarray, length: int) -> tuple[int, int, bytes]
     return int(gone.sum()), int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum()), np.frombuffer(raw, np.uint8)[~gone].tobytes()
 
 
-_OUT = "kind int, doc long, th long, n_bytes long, n_removed long, n_spans long, kept binary, text binary, starts binary, w1 long, w2 long, place int"
+_OUT = "kind int, doc long, th long, n_bytes long, n_removed long, n_spans long, kept binary, text binary, starts binary, asked binary"
 
 
 def _resolve(docs: DataFrame, length: int) -> DataFrame:
-    """Rows of kind 0 (finished documents), 1 (documents that wait for windows) and 2 (windows) from doc, th, text, gone, several."""
+    """Rows of kind 0 (finished documents) and 1 (documents that ask for windows) from doc, th, text, gone, several."""
     names = [x.split()[0] for x in _OUT.split(", ")]
-    types = dict(kind=pa.int32(), place=pa.int32(), kept=pa.binary(), text=pa.binary(), starts=pa.binary())
+    types = dict(kind=pa.int32(), kept=pa.binary(), text=pa.binary(), starts=pa.binary(), asked=pa.binary())
 
     def batch(n: int, **cols):
         return pa.RecordBatch.from_arrays([cols[c] if c in cols else pa.nulls(n, types.get(c, pa.int64())) for c in names], names)
@@ -198,20 +279,18 @@ def _resolve(docs: DataFrame, length: int) -> DataFrame:
             for part, raws in _batches(b, 2):
                 p = Parse(raws, length)
                 bounds = np.searchsorted(p.doc, np.arange(len(raws) + 1))
+                own = np.searchsorted(p.doc[p.triggers], np.arange(len(raws) + 1)) if len(p.triggers) else np.zeros(len(raws) + 1, np.int64)
                 gone, several = part.column(3).to_pylist(), part.column(4).to_pylist()
-                done, wait, seams = [], [], []
+                done, wait = [], []
                 for k, raw in enumerate(raws):
-                    lo, hi = bounds[k], min(bounds[k + 1], len(p.least))
                     starts = open_at = np.zeros(0, np.int64)
-                    if (gone[k] or several[k]) and hi > lo:
-                        least, ok = p.least[lo:hi].view(np.int64), p.valid[lo:hi]
-                        if gone[k]:
-                            starts = p.place[lo:hi][ok & np.isin(least, np.array(gone[k], np.int64))]
-                        if several[k]:
-                            open_at = lo + np.flatnonzero(ok & np.isin(least, np.array(several[k], np.int64)))
+                    if (gone[k] or several[k]) and own[k] < own[k + 1]:
+                        mine = slice(own[k], own[k + 1])
+                        lists = (np.array(x or [], np.int64).view(np.uint64) for x in (gone[k], several[k]))
+                        at_gone, at_open = (p.around(mine, np.isin(p.phrase[mine], x), bounds[k]) for x in lists)
+                        starts, open_at = p.place[at_gone], np.setdiff1d(at_open, at_gone, assume_unique=True)
                     if len(open_at):
-                        wait.append((k, raw, starts))
-                        seams.append(open_at)
+                        wait.append((k, raw, starts, p.place[open_at]))
                     else:
                         done.append((k, len(raw), *_kept(raw, starts, length)))
                 if done:
@@ -219,21 +298,72 @@ def _resolve(docs: DataFrame, length: int) -> DataFrame:
                     at = pa.array(k)
                     yield batch(len(k), kind=pa.array([0] * len(k), pa.int32()), doc=part.column(0).take(at), th=part.column(1).take(at), n_bytes=pa.array(size), n_removed=pa.array(removed), n_spans=pa.array(spans), kept=pa.array(kept, pa.binary()))
                 if wait:
-                    k, raw, starts = zip(*wait)
+                    k, raw, starts, asked = zip(*wait)
                     at = pa.array(k)
-                    yield batch(len(k), kind=pa.array([1] * len(k), pa.int32()), doc=part.column(0).take(at), th=part.column(1).take(at), text=pa.array(raw, pa.binary()), starts=pa.array([s.astype("<i4").tobytes() for s in starts], pa.binary()))
-                    at = np.concatenate(seams)
-                    other = Prefixes(p.data, _P2)
-                    w1, w2 = (mix64(s.part(at, at + length)).view(np.int64) for s in (p.sums, other))
-                    for a in range(0, len(at), 1 << 16):
-                        cut = slice(a, a + (1 << 16))
-                        who = pa.array(p.doc[at[cut]])
-                        n = len(at[cut])
-                        yield batch(n, kind=pa.array(np.full(n, 2, np.int32)), doc=part.column(0).take(who), th=part.column(1).take(who), w1=pa.array(w1[cut]), w2=pa.array(w2[cut]), place=pa.array(p.place[at[cut]].astype(np.int32)))
+                    packed = lambda many: pa.array([x.astype("<i4").tobytes() for x in many], pa.binary())
+                    yield batch(len(k), kind=pa.array([1] * len(k), pa.int32()), doc=part.column(0).take(at), th=part.column(1).take(at), text=pa.array(raw, pa.binary()), starts=packed(starts), asked=packed(asked))
 
     return docs.select("doc", "th", "text", "gone", "several").mapInArrow(run, _OUT)
 
 
+def _flags(docs: DataFrame, length: int, known: tuple[str, list[int]]) -> DataFrame:
+    """doc, gone (phrases whose windows are repeats) and several (phrases whose windows must be asked one by one)."""
+    met = stored(_triggers(docs, length, known), "triggers")
+    phrases = stored(met.groupBy("h", "c").agg(F.min("doc").alias("first"), F.max("doc").alias("last")), "phrases")
+    shared = phrases.groupBy("h").agg(F.min("first").alias("a"), F.max("last").alias("z"), (F.count("*") > 1).alias("several"))
+    shared = stored(shared.filter("a < z").select("h", "several"), "shared-triggers")
+    # Both joins have written tables on both sides: plain shuffles, which Spark can split.
+    asked = stored(phrases.join(shared, "h").filter("several OR first < last").select("h", "c", "first", "several"), "asked-phrases")
+    hits = met.join(asked, ["h", "c"]).filter("several OR doc > first")
+    later = F.col("doc") > F.col("first")
+    lists = hits.groupBy("doc").agg(F.collect_list(F.when(later, F.col("c"))).alias("gone"), F.collect_list(F.when(~later, F.col("c"))).alias("several"))
+    out = stored(lists, "trigger-flags")
+    del hits, lists
+    discard(met, phrases, shared, asked)
+    return out
+
+
+def _windows(waiting: DataFrame, length: int, known: tuple[str, list[int]] | None) -> DataFrame:
+    """Filter places of all asked windows and how many are there; with ``known``, h and w2 (digests), doc, th and place (in the text) of those that pass."""
+    names = ["h", "w2", "doc", "th", "place"]
+
+    def run(batches):
+        for b in batches:
+            for part, raws in _batches(b, 2):
+                out = []
+                for k, (raw, asked) in enumerate(zip(raws, part.column(3).to_pylist())):
+                    at, data = np.frombuffer(asked, "<i4").astype(np.int64), np.frombuffer(raw, np.uint8)
+                    w1 = mix64(Prefixes(data, _P1).part(at, at + length))
+                    if known:
+                        there = _filter(*known).holds(w1)
+                        at, w1 = at[there], w1[there]
+                        out.append((w1, mix64(Prefixes(data, _P2).part(at, at + length)), np.full(len(at), k), at))
+                    else:
+                        out.append((w1,))
+                cols = [np.concatenate(x) for x in zip(*out)]
+                if not known:
+                    place, n = np.unique(BitFilter.place(cols[0]), return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(place.astype(np.int32)), pa.array(n.astype(np.int32))], ["place", "n"])
+                    continue
+                who = pa.array(cols[2])
+                yield pa.RecordBatch.from_arrays([*(pa.array(c.view(np.int64)) for c in cols[:2]), part.column(0).take(who), part.column(1).take(who), pa.array(cols[3].astype(np.int32))], names)
+
+    return waiting.select("doc", "th", "text", "asked").mapInArrow(run, "h long, w2 long, doc long, th long, place int" if known else "place int, n int")
+
+
+def _repeats(waiting: DataFrame, length: int) -> DataFrame:
+    """doc, th and places of the asked windows that an earlier document has."""
+    spark = waiting.sparkSession
+    known = _write_filter(_windows(waiting, length, None).groupBy("place").agg(F.sum("n").alias("n")).filter("n > 1").select(F.col("place").cast("long").alias("place")))
+    release(spark)
+    windows = stored(_windows(waiting, length, known), "windows")
+    first = windows.groupBy("h", "w2").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).filter("first < last").select("h", "w2", "first")
+    first = stored(first, "first-windows")
+    out = stored(windows.join(first, ["h", "w2"]).filter("doc > first").groupBy("doc", "th").agg(F.collect_set("place").alias("places")), "repeats")
+    discard(windows, first)
+    return out
+
+
 def dedup_passages(docs: DataFrame, length: int = 50) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept (bytes) of each row of ``docs``.
 
@@ -245,23 +375,18 @@ def dedup_passages(docs: DataFrame, length: int = 50) -> DataFrame:
     if not GRAM < length < 4096:
         raise ValueError(f"length must be between {GRAM + 1} and 4095")
     spark = docs.sparkSession
-    held = _triggers(docs, length, phrases=True).groupBy("h").agg(F.min("doc").alias("first"), F.max("doc").alias("last"), (F.min("c") != F.max("c")).alias("several"))
-    shared = stored(held.filter("first < last").select("h", "first", "several"), "shared-triggers")
+    seen = _triggers(docs, length, None).groupBy("h").agg(F.min("doc").alias("first"), F.max("doc").alias("last"))
+    known = _write_filter(_places(seen.filter("first < last").select("h")))
+    del seen
     release(spark)
-
-    hits = _triggers(docs, length, phrases=False).join(shared, "h").filter("several OR doc > first")
-    flags = hits.groupBy("doc").agg(F.collect_set(F.when(~F.col("several"), F.col("h"))).alias("gone"), F.collect_set(F.when(F.col("several"), F.col("h"))).alias("several"))
-    flags = stored(flags, "trigger-flags")
+    flags = _flags(docs, length, known)
     release(spark)
-
     found = stored(_resolve(_rows(docs).join(flags, "doc", "left"), length), "passages")
-    release(spark)
+    discard(flags)
 
-    windows = found.filter("kind = 2").select("w1", "w2", "doc", "th", "place")
-    first = windows.groupBy("w1", "w2").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).filter("first < last").select("w1", "w2", "first")
-    first = stored(first, "first-windows")
-    repeats = windows.join(first, ["w1", "w2"]).filter("doc > first").groupBy("doc", "th").agg(F.collect_set("place").alias("places"))
-    waiting = found.filter("kind = 1").select("doc", "th", "text", "starts").join(repeats, ["doc", "th"], "left")
+    waiting = found.filter("kind = 1")
+    repeats = _repeats(waiting, length)
+    waiting = waiting.select("doc", "th", "text", "starts").join(repeats, ["doc", "th"], "left")
 
     def finish(batches):
         for b in batches:
