@@ -106,3 +106,29 @@ def test_graph_finds_near_centroids():
         near = np.argsort(posting_lists.distances(q[None], c)[0])[:10]
         right += len({k for _, k in graph.nearest(q, 30)[:10]} & set(near.tolist()))
     assert right >= 450
+
+
+def test_lists_are_scanned_until_the_distance_ends_the_search(spark, monkeypatch):
+    # Random directions: no list is much nearer than others, and neighbours lie in many.
+    monkeypatch.setattr(posting_lists, "PER_LIST", 30)
+    monkeypatch.setattr(posting_lists, "GROUP_ROWS", 300)
+    monkeypatch.setattr(posting_lists, "QUERY_ROWS", 50)
+    x = posting_lists.unit(np.random.default_rng(3).normal(size=(6000, 48)))
+    got = {}
+    table = spark.createDataFrame([(k, e.tolist(), 0, "x") for k, e in enumerate(x)], "vec_id long, embedding array<double>, label int, score string")
+    for r in posting_lists.search(table).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = 0
+    for n in range(0, 6000, 50):
+        s = x @ x[n]
+        s[n] = -9
+        hits += len(got[n] & set(np.argsort(-s)[:5].tolist()))
+    assert hits >= 0.97 * 600, hits
+
+
+def test_copies_of_one_id_take_one_place(spark):
+    x = np.random.default_rng(4).normal(size=(30, 8))
+    near = [(7, (x[0] * (1 + k)).tolist(), 0, "x") for k in range(20)]  # one id, twenty rows, nearest to the query
+    table = spark.createDataFrame([(50 if k == 0 else 100 + 50 * k + 1, e.tolist(), 0, "x") for k, e in enumerate(x)] + near, SCHEMA.replace("float", "double"))
+    got = [(r["rank"], r.vec_id) for r in posting_lists.search(table).orderBy("rank").collect()]
+    assert [k for k, _ in got] == [1, 2, 3, 4, 5] and got[0][1] == 7 and len({i for _, i in got}) == 5
