@@ -25,7 +25,8 @@ from pyspark.sql import functions as F
 from factgraph.llm.common import stored
 
 PULL = 0.002
-ROUNDS = 24
+ROUNDS = 200
+CALM = 3
 GRAIN = 256
 FEATURES = ("chars", "word", "bars", "shouts", "digits", "again", "lines", "upper")
 
@@ -95,7 +96,8 @@ def _replay(p: Column, past: list[list[float]], momentum: list[float], ahead: bo
     rate = 1 / (1 + PULL)
     if not past:
         return F.lit(1.0)
-    steps = F.array(*(F.struct(F.array(*(F.lit(float(x)) for x in e)).alias("e"), F.lit(float(m)).alias("m")) for e, m in zip(past, momentum)))
+    number = lambda x: f"{float(x)!r}D"
+    steps = F.expr("array(" + ", ".join(f"named_struct('e', array({', '.join(map(number, e))}), 'm', {number(m)})" for e, m in zip(past, momentum)) + ")")
     n = len(past[0])
 
     def move(a: Column, s: Column) -> Column:
@@ -106,24 +108,32 @@ def _replay(p: Column, past: list[list[float]], momentum: list[float], ahead: bo
     return F.aggregate(steps, start, move, lambda a: a.y if ahead else a.r)
 
 
-def fit_rates(known: DataFrame, targets: dict[str, float], rounds: int = ROUNDS, close: float = 3e-4) -> tuple[list[list[float]], list[float]]:
-    """Residuals and momentum of each iteration over rows of tokens _n and memberships _p."""
+def fit_rates(known: DataFrame, targets: dict[str, float], rounds: int = ROUNDS, close: float = 1e-4) -> tuple[list[list[float]], list[float]]:
+    """Residuals and momentum of each iteration over rows of tokens _n and memberships _p.
+
+    The end is where, ``CALM`` times in a row, no residual moves by more than ``close`` of
+    its domain's own target: at a turning point of the momentum one small move says
+    little. Momentum stays below the best one for the curvature that the pull gives.
+    """
     domains = sorted(targets)
     share = [targets[d] / (sum(targets.values()) or 1.0) for d in domains]
     whole = known.agg(F.sum("_n").alias("n")).first().n or 0.0
     past: list[list[float]] = []
     momentum: list[float] = []
-    t, before = 1.0, None
+    t, before, calm = 1.0, None, 0
+    root = math.sqrt(PULL / (1 + PULL))
     for _ in range(rounds if whole else 0):
         y = _replay(F.col("_p"), past, momentum, ahead=True)
         rows = known.select("_n", "_p", y.alias("_y"))
         got = rows.agg(*(F.sum(F.col("_y") * F.col("_n") * F.element_at("_p", k + 1)).alias(f"t{k}") for k in range(len(domains)))).first()
         e = [got[k] / whole - share[k] for k in range(len(domains))]
-        if before is not None and max(abs(a - b) for a, b in zip(e, before)) < close:
+        still = before is not None and all(abs(a - b) < close * max(s, 1e-5) for a, b, s in zip(e, before, share))
+        calm = calm + 1 if still else 0
+        if calm == CALM:
             break
         nxt = (1 + math.sqrt(1 + 4 * t * t)) / 2
         past.append(e)
-        momentum.append((t - 1) / nxt)
+        momentum.append(min((t - 1) / nxt, (1 - root) / (1 + root)))
         t, before = nxt, e
     return past, momentum
 

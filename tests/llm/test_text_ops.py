@@ -280,6 +280,22 @@ def test_soft_mixing(spark):
     assert {tuple(x.posteriors) for x in flat} == {(0.5, 0.5)}
 
 
+
+def test_mixing_converges_for_small_targets(spark):
+    cells = [(1 - k / 256, k / 256, 1e6 / (1 + k) ** 1.5 + (8e4 if k > 250 else 0)) for k in range(257)]
+    p, n = np.array([c[:2] for c in cells]), np.array([c[2] for c in cells])
+    known = spark.createDataFrame([([a, b], c) for a, b, c in cells], "_p array<double>, _n double").coalesce(1).cache()
+    for poor in (0.07, 0.01):
+        w = np.array([1 - poor, poor])
+        past, momentum = soft_mixing.fit_rates(known, {"fine": w[0], "poor": w[1]})
+        rate = {tuple(r._p): r.r for r in known.select("_p", soft_mixing._replay(F.col("_p"), past, momentum, ahead=False).alias("r")).collect()}
+        got = np.array([rate[tuple(x)] for x in p])
+        y = np.ones(len(n))
+        for _ in range(20_000):
+            y = np.maximum(0, y - 0.5 * (p @ ((y * n) @ p / n.sum() - w) + soft_mixing.PULL * (y - 1)))
+        assert np.abs(((got - y) * n) @ p / n.sum() / w).max() < 0.01
+
+
 def test_preference_format(spark):
     talk = [
         (0, 0, "system", "be kind"), (0, 1, "user", "hi"), (0, 2, "assistant", "good"), (1, 0, "system", "be kind"), (1, 1, "user", "hi"), (1, 2, "assistant", "bad"), (1, 3, "user", "so?"),
