@@ -33,12 +33,13 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents stand as often as target weights of fine and poor text ask for.
 
-    The weight of fine text lies above its share, so fine documents all stay.
+    Documents that the classifier takes for fine stand there once at least, and the weight
+    of fine text is its share of this stage's input where that is above the target.
     """
     from factgraph.llm.registry import MIX_TARGETS, label_domains
     from factgraph.llm.soft_mixing import resample
 
-    return resample(docs, label_domains(spark.read.parquet(f"{sf_dir}/labels.parquet")), MIX_TARGETS).select(*COLUMNS)
+    return resample(docs, label_domains(spark.read.parquet(f"{sf_dir}/labels.parquet")), MIX_TARGETS, keep="fine").select(*COLUMNS)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

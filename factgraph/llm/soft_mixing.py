@@ -138,7 +138,19 @@ def fit_rates(known: DataFrame, targets: dict[str, float], rounds: int = ROUNDS,
     return past, momentum
 
 
-def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float]) -> DataFrame:
+def lifted(known: DataFrame, targets: dict[str, float], keep: str) -> dict[str, float]:
+    """``targets`` with that of ``keep`` at its share of the tokens at least; the others share the rest as before."""
+    k = sorted(targets).index(keep) + 1
+    got = known.agg(F.sum("_n").alias("n"), F.sum(F.col("_n") * F.element_at("_p", k)).alias("own")).first()
+    whole = sum(targets.values()) or 1.0
+    share, others = targets[keep] / whole, whole - targets[keep]
+    if not got.n or got.own / got.n <= share:
+        return targets
+    rest = 1 - got.own / got.n
+    return {d: 1 - rest if d == keep else rest * (v / others if others else 1 / (len(targets) - 1)) for d, v in targets.items()}
+
+
+def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], keep: str | None = None) -> DataFrame:
     """``docs`` with n_tokens, posteriors (domains in order of name), rate and copies.
 
     ``labelled`` has doc_id and domain; of several labels of one document the largest
@@ -146,25 +158,31 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float]) -> Data
     empty texts have no tokens, so any rate is free and theirs follows from their
     probabilities as others' do. ``copies`` is the rate rounded down or up by a hash of
     doc_id and text, so that its mean is the rate. Domains without labelled documents
-    get probability 0; without any labels all domains are equally likely.
+    get probability 0; without any labels all domains are equally likely. Documents for
+    which ``keep`` is the likeliest domain get one copy at least, and its target is
+    raised to its share of ``docs`` where it lies below.
     """
     domains = sorted(targets)
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     measured = stored(features(base).select("doc_id", "_n", "_x"), "mix-features")
     probable = posterior(fit_classifier(measured, labelled), domains)
     cells = stored(measured.groupBy(probable.alias("_p")).agg(F.sum("_n").alias("_n")), "mix-memberships")
-    past, momentum = fit_rates(cells, targets)
+    past, momentum = fit_rates(cells, targets if keep is None else lifted(cells, targets, keep))
     rows = features(docs).withColumn("_p", probable)
     rows = rows.withColumn("_r", _replay(F.col("_p"), past, momentum, ahead=False))
     chance = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / float(1 << 30)
-    new = {"n_tokens": F.col("_n").cast("long"), "posteriors": F.col("_p"), "rate": F.col("_r"), "copies": F.floor(F.col("_r") + chance).cast("long")}
+    copies = F.floor(F.col("_r") + chance).cast("long")
+    if keep is not None:
+        likeliest = F.element_at("_p", domains.index(keep) + 1) >= F.array_max("_p")
+        copies = F.when(likeliest, F.greatest(copies, F.lit(1).cast("long"))).otherwise(copies)
+    new = {"n_tokens": F.col("_n").cast("long"), "posteriors": F.col("_p"), "rate": F.col("_r"), "copies": copies}
     return rows.select(*(F.col(c) for c in docs.columns if c not in new), *(v.alias(k) for k, v in new.items()))
 
 
-def resample(docs: DataFrame, labelled: DataFrame, targets: dict[str, float]) -> DataFrame:
+def resample(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], keep: str | None = None) -> DataFrame:
     """``docs``, all columns unchanged, each row as often as mix() says."""
-    keep = docs.select(F.struct(*docs.columns).alias("_row"), "doc_id", "text")
-    mixed = mix(keep, labelled, targets)
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), "doc_id", "text")
+    mixed = mix(rows, labelled, targets, keep)
     # No filter on copies: it would be pushed down to the scan, with all it is made of
     # written out anew for each use.
     many = F.explode_outer(F.array_repeat(F.lit(1), F.col("copies").cast("int"))).alias("_copy")

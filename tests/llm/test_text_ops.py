@@ -296,6 +296,29 @@ def test_mixing_converges_for_small_targets(spark):
         assert np.abs(((got - y) * n) @ p / n.sum() / w).max() < 0.01
 
 
+def test_kept_domain_stays_whole(spark):
+    r = random.Random(12)
+    rows = [(k, " | ".join(VOCABULARY[: r.randint(5, 60)]) if k % 10 == 0 else " ".join(r.choice(VOCABULARY) for _ in range(r.randint(5, 80))) + ".") for k in range(200)]
+    docs = frame(spark, rows)
+    labels = spark.createDataFrame([(k, "poor" if k % 10 == 0 else "fine") for k in range(200)], "doc_id long, domain string")
+    targets = {"fine": 0.5, "poor": 0.5}  # far below the share of fine text
+    got = soft_mixing.mix(docs, labels, targets, keep="fine").collect()
+    fine = [x for x in got if x.posteriors[0] >= 0.5]
+    assert len(fine) >= 170 and all(x.copies >= 1 for x in fine)
+    assert all(x.rate < 1.2 for x in got)  # poor text is not multiplied instead
+    kept = {x.doc_id for x in soft_mixing.resample(docs, labels, targets, keep="fine").collect()}
+    assert {x.doc_id for x in fine} <= kept
+    import corpus_pipeline
+
+    hot = spark.createDataFrame([(k, int(k % 10 != 0)) for k in range(200)], "doc_id long, quality int")
+    import tempfile
+
+    folder = tempfile.mkdtemp()
+    hot.write.parquet(f"{folder}/labels.parquet")
+    out = {x.doc_id for x in corpus_pipeline.mix_sources(spark, docs.filter("doc_id % 10 != 0 OR doc_id < 40"), folder).collect()}
+    assert {x.doc_id for x in fine if x.doc_id % 10 != 0} <= out
+
+
 def test_preference_format(spark):
     talk = [
         (0, 0, "system", "be kind"), (0, 1, "user", "hi"), (0, 2, "assistant", "good"), (1, 0, "system", "be kind"), (1, 1, "user", "hi"), (1, 2, "assistant", "bad"), (1, 3, "user", "so?"),
