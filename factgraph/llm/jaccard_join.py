@@ -1,12 +1,13 @@
-"""N-gram Jaccard join: a MinHash LSH forest, then exact verification.
+"""N-gram Jaccard join: MinHash LSH by bands, then exact verification.
 
 A document's set are its runs of five words (white space apart, lower case). Rows
 with equal sets form one class and are compared once. A class has a signature of
-``TREES * DEPTH`` min-hashes; tree t orders classes by its own ``DEPTH`` of them, so
-classes that share a prefix are neighbours below one node of a prefix trie. The
-matched prefix starts at ``DEPTH`` and is shortened until a pair at the threshold
-shares a node of some tree with the target recall; that depth depends on threshold
-and recall only, never on the data.
+``TREES * DEPTH`` min-hashes, ``DEPTH`` for each tree. Of an LSH forest only the node
+is kept that a search with one threshold descends to: the longest prefix, ``DEPTH`` at
+most, with which a pair at the threshold shares a node of some tree with the target
+recall. That depth depends on threshold and recall only, never on the data, so no
+sorted tries are built: this is banding, one hash of the prefix for each tree, and
+classes meet by equality. Min-hashes beyond the depth are not used.
 
 Classes under one node are linked to the node's smallest class. Connected classes
 form a candidate cluster; a cluster is compared whole, in square tiles of
