@@ -80,7 +80,7 @@ class Lexicon:
             count.append(len(own))
         flat = np.concatenate(ids) if ids else np.zeros(0, np.int64)
         value, end = np.array(self.value)[flat] if len(flat) else np.zeros(0), np.array(self.end, bool)[flat]
-        return doc_scores(np.where(_again(flat), 0, value), end, np.array(count, np.int64), bias)
+        return doc_scores(np.where(_again(flat, np.array(count, np.int64)), 0, value), end, np.array(count, np.int64), bias)
 
 
 def _starts(end: np.ndarray, count: np.ndarray) -> np.ndarray:
@@ -91,10 +91,12 @@ def _starts(end: np.ndarray, count: np.ndarray) -> np.ndarray:
     return np.flatnonzero(first[: len(end)])
 
 
-def _again(flat: np.ndarray) -> np.ndarray:
-    """Words that repeat the one before count once."""
+def _again(flat: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Words that repeat the one before in the same text count once."""
     out = np.zeros(len(flat), bool)
     out[1:] = flat[1:] == flat[:-1]
+    first = np.concatenate([[0], np.cumsum(count)])[:-1].astype(np.int64)
+    out[first[first < len(flat)]] = False
     return out
 
 
@@ -145,7 +147,7 @@ def fit(rows: list[tuple[str, int]], epochs: int = 200, rate: float = 0.1, decay
     at = _starts(end, count)
     doc = np.searchsorted(np.cumsum(count), at, side="right")
     length = np.diff(np.append(at, len(flat)))
-    once = ~_again(flat)
+    once = ~_again(flat, count)
     theta, bias = np.zeros(len(slots)), -5.0
     m = v = np.zeros(len(slots) + 1)
     for step in range(1, epochs + 1):

@@ -250,6 +250,14 @@ def test_toxicity(spark):
     assert toxicity.toxicity(docs.limit(0), labels).count() == 0
 
 
+def test_toxicity_does_not_depend_on_neighbours():
+    words = toxicity.Lexicon({"=vile": 9.0})
+    one = words.scores(["vile"], -5.0)[0]
+    assert one > 0.9 and words.scores(["vile", "vile", "", "vile", "a vile", "vile vile"], -5.0).round(9).tolist() == [round(x, 9) for x in (one, one, 0.0, one, one, one)]
+    spans = toxicity.located("vile\nvile\nvile", words, -5.0)
+    assert len(spans) == 3
+
+
 def test_soft_mixing(spark):
     r = random.Random(8)
     rows = []
