@@ -10,9 +10,10 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model rejects go; the others stay as they are."""
-    from factgraph.llm.toxicity import fit, keep_clean, training_rows
+    from factgraph.llm.toxicity import fit, keep_clean, label_counts, training_rows
 
-    weights, bias = fit(training_rows(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), max_train=6000))
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    weights, bias = fit(training_rows(docs, labels, max_train=6000), label_counts(labels))
     return keep_clean(docs, weights, bias, threshold=0.7).select(*COLUMNS)
 
 

@@ -114,16 +114,22 @@ def doc_scores(value: np.ndarray, end: np.ndarray, count: np.ndarray, bias: floa
     return -np.expm1(-total)
 
 
-def fit(rows: list[tuple[str, int]], epochs: int = 200, rate: float = 0.1, decay: float = 2e-4, min_docs: int = 3, min_odd: float = 3.0) -> tuple[dict[str, float], float]:
+def fit(rows: list[tuple[str, int]], counts: dict[int, int] | None = None, epochs: int = 200, rate: float = 0.1, decay: float = 2e-4, min_docs: int = 3, min_odd: float = 3.0) -> tuple[dict[str, float], float]:
     """Word weights and bias from (text, label) pairs. One label alone gives a constant model.
 
     Weights go to features of at least ``min_docs`` texts that toxic ones hold more
     often than chance, by ``min_odd`` standard deviations: with thousands of texts and
-    far more words, others would only learn the sample by heart.
+    far more words, others would only learn the sample by heart. ``counts`` has the rows
+    of each label that ``rows`` were taken from: rows are weighted back to its shares, so
+    that scores do not depend on how many of a label the sample could hold.
     """
     y = np.array([t for _, t in rows], float)
     if not len(y) or y.min() == y.max():
         return {}, -8.0 if not len(y) or y.max() == 0 else 8.0
+    weight = np.ones(len(y))
+    if counts and counts.get(0) and counts.get(1):
+        share = counts[1] / (counts[0] + counts[1])
+        weight = np.where(y == 1, share / y.mean(), (1 - share) / (1 - y.mean()))
     ids: dict[str, int] = {}
     flat, count, seen = [], [], np.zeros((2, 1 << BITS), np.int32)
     slots_of: list[list[int]] = []
@@ -139,7 +145,7 @@ def fit(rows: list[tuple[str, int]], epochs: int = 200, rate: float = 0.1, decay
         seen[label, np.unique(np.fromiter((f for k in set(own) for f in slots_of[k]), np.int64))] += 1
     flat, count = np.concatenate(flat), np.array(count, np.int64)
     end = np.fromiter((w.endswith(_ENDS) for w in ids), bool, len(ids))[flat]
-    share = seen.sum(0) / len(y)
+    share = (weight[y == 0][0] * seen[0] + weight[y == 1][0] * seen[1]) / len(y)
     odd = (seen[1] - y.sum() * share) / np.sqrt(y.sum() * share * (1 - share) + 1e-9)
     usable = (seen.sum(0) >= min_docs) & (odd >= min_odd)
     pairs = np.array([(k, f) for k, fs in enumerate(slots_of) for f in fs if usable[f]], np.int64).reshape(-1, 2)
@@ -154,7 +160,7 @@ def fit(rows: list[tuple[str, int]], epochs: int = 200, rate: float = 0.1, decay
         word = np.bincount(pairs[:, 0], theta[col], minlength=len(ids))
         s = np.add.reduceat(word[flat] * once, at) + bias
         none = np.bincount(doc, _softplus(s), minlength=len(y))
-        g_doc = np.where(y == 1, -1 / np.maximum(np.expm1(np.minimum(none, 50)), 1e-3), 1.0) / len(y)
+        g_doc = np.where(y == 1, -1 / np.maximum(np.expm1(np.minimum(none, 50)), 1e-3), 1.0) * weight / len(y)
         g = g_doc[doc] / (1 + np.exp(-np.maximum(s, -50)))
         by_word = np.bincount(flat, np.repeat(g, length) * once, minlength=len(ids))
         grad = np.append(np.bincount(col, by_word[pairs[:, 0]], minlength=len(slots)) + decay * theta / 10, g.sum())
@@ -171,10 +177,20 @@ def held_out(doc_id) -> F.Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(3)) == 1, F.lit(False))
 
 
+def usable_labels(labels: DataFrame) -> DataFrame:
+    """doc_id and toxic of the labelled documents outside the held-out third."""
+    own = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+    return own.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
+
+
+def label_counts(labels: DataFrame) -> dict[int, int]:
+    """How many documents outside the held-out third have each label."""
+    return {r.toxic: r.n for r in usable_labels(labels).groupBy("toxic").agg(F.count("*").alias("n")).collect()}  # two rows
+
+
 def training_rows(docs: DataFrame, labels: DataFrame, max_train: int) -> list[tuple[str, int]]:
     """At most ``max_train`` (text, label) pairs outside the held-out third, the same ones each time."""
-    own = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    own = own.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
+    own = usable_labels(labels)
     rank = F.xxhash64("doc_id")
     picked = own.filter("toxic = 1").orderBy(rank, "doc_id").limit(max_train // 2).unionByName(own.filter("toxic = 0").orderBy(rank, "doc_id").limit(max_train // 2))
     # At most max_train rows of two numbers.
@@ -224,7 +240,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, max_train: int = 6000, threshol
     non-empty text gets a score near 0. Rows with a null doc_id are scored and never
     learnt from.
     """
-    weights, bias = fit(training_rows(docs, labels, max_train))
+    weights, bias = fit(training_rows(docs, labels, max_train), label_counts(labels))
     return score_documents(docs, weights, bias, threshold).withColumn("held_out", held_out(F.col("doc_id")))
 
 

@@ -250,6 +250,20 @@ def test_toxicity(spark):
     assert toxicity.toxicity(docs.limit(0), labels).count() == 0
 
 
+def test_toxicity_sample_is_weighted_back(spark):
+    # A word that six of ten toxic texts hold, and six of a hundred others; a tenth is toxic.
+    r = random.Random(13)
+    say = lambda rude: " ".join([*(r.choice(VOCABULARY) for _ in range(8)), *(["rude"] if rude else [])]) + "."
+    toxic = [(say(k % 10 < 6), 1) for k in range(400)]
+    clean = [(say(k % 50 < 3), 0) for k in range(3600)]
+    score = lambda w, b: toxicity.Lexicon(w).scores(["so rude.", "w01 w02."], b)
+    whole = score(*toxicity.fit(toxic + clean))
+    part = score(*toxicity.fit(toxic + clean[:400], {0: 3600, 1: 400}))
+    assert np.abs(whole - part).max() < 0.1
+    labels = spark.createDataFrame([(k, 1, int(k % 10 == 0)) for k in range(500)], "doc_id long, quality int, toxic int")
+    assert toxicity.label_counts(labels) == {y: sum((k % 10 == 0) == y and zlib.crc32(str(k).encode()) % 3 != 1 for k in range(500)) for y in (0, 1)}
+
+
 def test_toxicity_does_not_depend_on_neighbours():
     words = toxicity.Lexicon({"=vile": 9.0})
     one = words.scores(["vile"], -5.0)[0]
