@@ -142,8 +142,7 @@ class Engine:
         except Exception as e:  # a source that does not answer as it should
             return Failed(f"compile: {type(e).__name__}: {e}")
         try:
-            got = self.timed(lambda: self.fetch(compiled, wanted))
-            return self.outcome(compiled, request, execution_id, got, wanted)
+            return self.timed(lambda: self.outcome(compiled, request, execution_id, self.fetch(compiled, wanted), wanted))
         except TimeoutError:
             return Failed("deadline_exceeded", self.packet(compiled, request, execution_id, 0, None, False, completed=False))
         except (EvidenceError, PlanError) as e:

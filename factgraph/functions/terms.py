@@ -34,10 +34,16 @@ _ESCAPES = (("\\", "\\\\"), ('"', '\\"'), ("\t", "\\t"), ("\b", "\\b"), ("\n", "
 _PLAIN = {v: k for k, v in _ESCAPES}
 
 
+def canonical_json(value: Any) -> str:
+    """JSON with one spelling: sorted names, no blanks, plain ASCII."""
+    return json.dumps(value, ensure_ascii=True, sort_keys=True, separators=(",", ":"))
+
+
 def digest(domain: str, value: Any) -> str:
-    """A digest of JSON data that differs between domains."""
-    text = json.dumps(value, sort_keys=True, separators=(",", ":"))
-    return "sha256:" + hashlib.sha256(f"{domain}\x00{text}".encode()).hexdigest()
+    """SHA-256 of JSON data below a domain's name; the name's length keeps one from running into the other."""
+    own = hashlib.sha256(f"{len(domain)}:{domain}:".encode())
+    own.update(canonical_json(value).encode())
+    return f"sha256:{own.hexdigest()}"
 
 
 def check_iri(value: Any) -> str:
@@ -49,6 +55,17 @@ def check_iri(value: Any) -> str:
     return value
 
 
+def check_language(value: str) -> str:
+    """A language tag in lower case, or PlanError."""
+    if not _LANGUAGE.fullmatch(value):
+        raise PlanError("language tag required")
+    return value.lower()
+
+
+#: Fields of each kind of term besides its kind, and what makes their text valid; a literal has datatype or language.
+_FORMS = {"iri": {"value": check_iri}, "literal": {"value": str, "datatype": check_iri, "language": check_language}}
+
+
 @dataclass(frozen=True)
 class Term:
     kind: str
@@ -66,23 +83,16 @@ class Term:
 
     @classmethod
     def load(cls, raw: Any) -> "Term":
-        """From its JSON form; closed field set."""
-        if not isinstance(raw, Mapping) or set(raw) - {"kind", "value", "datatype", "language"}:
-            raise PlanError("a term has kind, value, datatype and language only")
-        kind, value, datatype, language = (raw.get(k) for k in ("kind", "value", "datatype", "language"))
-        if kind == "iri":
-            if datatype is not None or language is not None:
-                raise PlanError("an IRI has neither datatype nor language")
-            return cls("iri", check_iri(value))
-        if kind != "literal" or not isinstance(value, str):
-            raise PlanError("a term is an IRI or a literal with a lexical form")
-        if datatype is not None and language is not None:
-            raise PlanError("a literal has a datatype or a language")
-        if language is not None:
-            if not isinstance(language, str) or not _LANGUAGE.fullmatch(language):
-                raise PlanError("language tag required")
-            language = language.lower()
-        return cls("literal", value, None if datatype is None else check_iri(datatype), language)
+        """From its JSON form: the fields of its kind, those with null as if they were absent."""
+        form = _FORMS.get(raw.get("kind")) if isinstance(raw, Mapping) and isinstance(raw.get("kind"), str) else None
+        if form is None or not set(raw) <= {"kind", *_FORMS["literal"]}:
+            raise PlanError("not the JSON form of an IRI or literal")
+        given = {name: v for name, v in raw.items() if v is not None and name != "kind"}
+        if "value" not in given or not all(name in form and isinstance(v, str) for name, v in given.items()) or len(given) > 2:
+            raise PlanError(f"fields do not make up one {raw['kind']}")
+        for name, v in given.items():
+            given[name] = form[name](v)
+        return cls(raw["kind"], **given)
 
     @classmethod
     def parse(cls, token: str) -> "Term":
@@ -180,3 +190,18 @@ def kind_allowed(token: Column, kinds: tuple[str, ...]) -> Column:
 def normal_label(text: Column) -> Column:
     """Lower-cased words joined by one space."""
     return F.array_join(F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1)), " ")
+
+
+def valid_iri(text: Column) -> Column:
+    """check_iri() as a column: whether the text is an absolute IRI."""
+    barred = "".join("\\" + c for c in sorted(_BARRED))
+    return F.coalesce(F.regexp_like(text, F.lit(rf"^{_SCHEME.pattern}[^\x00-\x20{barred}]+\z")), F.lit(False))
+
+
+def valid_language(text: Column) -> Column:
+    return F.coalesce(F.regexp_like(text, F.lit(rf"^{_LANGUAGE.pattern}\z")), F.lit(False))
+
+
+def domain_digest(domain: str, json_text: Column) -> Column:
+    """digest() as a column, of canonical JSON text."""
+    return F.concat(F.lit("sha256:"), F.sha2(F.concat(F.lit(f"{len(domain)}:{domain}:"), json_text).cast("binary"), 256))

@@ -15,7 +15,10 @@ from factgraph.functions.terms import Term, normal_label
 from factgraph.plans.catalog import Catalog
 
 #: Words that say nothing about a card (fixed values).
-STOPWORDS = ("and", "are", "for", "from", "has", "have", "her", "his", "its", "that", "the", "their", "this", "was", "what", "when", "where", "which", "who", "with")
+STOPWORDS = (
+    "and", "are", "both", "during", "for", "from", "has", "have", "how", "into", "our", "still", "that", "the", "their", "them", "they", "this",
+    "what", "when", "where", "which", "who", "with",
+)
 
 
 def words(text: Column) -> Column:
@@ -45,11 +48,11 @@ def approved_cards(catalog: Catalog, notes: DataFrame) -> DataFrame:
 
 
 def rank_cards(cards: DataFrame, question: Column, limit: int = 24, group: str = "lens", text: str = "text", key: str = "key") -> DataFrame:
-    """The best cards: groups by their summed score, cards of a group by their own, ties by name."""
+    """The best cards: groups by their summed score, cards of a group by their own, ties by name; those of no score come last."""
     scored = cards.withColumn("score", overlap(question, F.col(text)).cast("long"))
     scored = scored.withColumn("group_score", F.sum("score").over(Window.partitionBy(group)))
     order = [F.col("group_score").desc(), F.col(group), F.col("score").desc(), F.col(key)]
-    top = scored.filter("group_score > 0").orderBy(*order).limit(limit)
+    top = scored.orderBy(*order).limit(limit)
     return top.withColumn("position", F.row_number().over(Window.orderBy(*order)).cast("long"))  # at most ``limit`` rows
 
 

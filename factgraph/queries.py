@@ -422,7 +422,7 @@ QUESTION = "large polished brass part and steel"
 c AS (SELECT DISTINCT p_brand AS brand, p_type AS type FROM part),
 s AS (SELECT brand, type, len(list_intersect(list_distinct(list_filter(string_split(trim(regexp_replace(lower(type), '[^\\p{L}\\p{N}_]+', ' ', 'g')), ' '), lambda x: len(x) > 2)), (SELECT w FROM q))) AS score FROM c),
 g AS (SELECT *, CAST(sum(score) OVER (PARTITION BY brand) AS BIGINT) AS group_score FROM s)
-SELECT brand, type, CAST(score AS BIGINT) AS score, group_score, row_number() OVER (ORDER BY group_score DESC, brand, score DESC, type) AS position FROM g WHERE group_score > 0
+SELECT brand, type, CAST(score AS BIGINT) AS score, group_score, row_number() OVER (ORDER BY group_score DESC, brand, score DESC, type) AS position FROM g
 ORDER BY group_score DESC, brand, score DESC, type LIMIT 24""")
 def card_ranking(spark, sf_dir):
     cards = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_brand").alias("brand"), F.col("p_type").alias("type")).distinct()

@@ -199,6 +199,20 @@ def test_canonical_plans(engine):
     other = eval(text)  # noqa: S307
     assert engine.prepare(raw).digest == engine.prepare(other).digest
     assert engine.explain_plan(raw).query_digest == engine.explain_plan(other).query_digest
+    digests = set()
+    for swapped in (False, True):  # alike but for their neighbours' neighbours, and wholly alike
+        b = Builder(engine.catalog)
+        one, two, three, job, other = (b.entity(x) for x in (None, None, None, None, "red"))
+        first, second = (two, one) if swapped else (one, two)
+        edges = [(first, job), (second, job), (three, job), (first, other)]
+        for who in (one, two, three):
+            b.select(who, "WorkShape")
+        lens = {who: b.lens(who, "WorkShape") for who in (three, second, first)}
+        for who, to in reversed(edges) if swapped else edges:
+            b.edge(lens[who], "on", to)
+        b.node(three).node(two).node(one)
+        digests.add(engine.prepare(b.raw).digest)
+    assert len(digests) == 1
     near = star(engine.catalog)
     near.raw["filters"] = [{"id": "f", "kind": "exists", "lens": "lenses1", "property_key": near.prop("lenses1", "code").key}]
     assert engine.prepare(near.raw).digest != engine.prepare(raw).digest
@@ -214,7 +228,7 @@ def test_evidence_mutations(engine):
     bad = [
         swap(replace(cert, supports=cert.supports[:-1])),
         swap(replace(cert, supports=(replace(cert.supports[0], status="derived"), *cert.supports[1:]))),
-        swap(replace(cert, supports=tuple(Support("projection", s.atom, "optional_unbound") if s.atom == "p0" else s for s in cert.supports))),
+        swap(replace(cert, supports=tuple(Support("projection", s.atom, "optional_unbound") if s.atom == "shown0" else s for s in cert.supports))),
         replace(p, certificates=p.certificates + p.certificates[:1]).sealed(),
         replace(p, row_count=7).sealed(),
         replace(p, more=True).sealed(),
