@@ -7,9 +7,9 @@ its content; the artifact is plain JSON, and reading it back checks that digest.
 from __future__ import annotations
 
 import uuid
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Sequence
-from dataclasses import asdict, dataclass, field
+from dataclasses import asdict, dataclass, field, replace
 
 from factgraph.errors import CatalogError, PlanError
 from factgraph.functions.terms import RDF, SH, TYPE, XSD, Term, digest
@@ -155,6 +155,7 @@ class Branch:
     datatypes: tuple[str, ...] = ()
     node_kinds: tuple[str, ...] = ()
     allowed: tuple[Term, ...] = ()
+    portable: str | None = None
 
     def accepts(self, term: Term) -> bool:
         """Whether a term meets everything but class membership."""
@@ -192,6 +193,7 @@ class Selector:
     targets: tuple[str, ...]
     trusted: bool
     qualified: bool
+    portable: str | None = None
 
 
 @dataclass(frozen=True)
@@ -204,6 +206,7 @@ class Property:
     scalar: bool
     trusted: bool
     qualified: bool
+    portable: str | None = None
 
     def branch(self, key: str) -> Branch | None:
         return next((b for b in self.branches if b.key == key), None)
@@ -271,7 +274,7 @@ def _signature_of_selector(classes: Sequence[str], targets: Sequence[str]) -> st
 
 
 def _signature(path: tuple[str, bool, int], branches: Sequence[Branch]) -> str:
-    parts = [{**asdict(b), "key": "", "allowed": [t.token for t in b.allowed]} for b in branches]
+    parts = [{**asdict(b), "key": "", "portable": None, "allowed": [t.token for t in b.allowed]} for b in branches]
     return digest("property-signature", [path[0], path[1], parts])
 
 
@@ -285,6 +288,11 @@ def property_signature(triples, shape: str, predicate: str, inverse: bool = Fals
     raise CatalogError("no such property")
 
 
+def portable(word: str, owner: str | None, *what) -> str | None:
+    """A key that stays the same from build to build; for parts of shapes that have an IRI only."""
+    return None if owner is None else digest(f"portable-{word}", [owner, *what])
+
+
 def _no_recursion(g: ShapeGraph, node: str, limits: CatalogLimits, above: tuple[str, ...] = ()) -> None:
     if node in above or len(above) >= limits.recursion:
         raise CatalogError("shapes recur or are nested too deep")
@@ -336,7 +344,7 @@ class Catalog:
                 raise CatalogError("artifact has other fields than a catalog")
             props = []
             for p in raw["properties"]:
-                branches = tuple(Branch(b["key"], tuple(b["classes"]), tuple(b["datatypes"]), tuple(b["node_kinds"]), tuple(Term(**t) for t in b["allowed"])) for b in p["branches"])
+                branches = tuple(Branch(b["key"], tuple(b["classes"]), tuple(b["datatypes"]), tuple(b["node_kinds"]), tuple(Term(**t) for t in b["allowed"]), b["portable"]) for b in p["branches"])
                 props.append(Property(**{**p, "branches": branches}))
             return cls(
                 raw["build_id"],
@@ -377,7 +385,8 @@ class Catalog:
                 _no_recursion(g, shape, limits)
                 key = f"{scope}:lens:{len(lenses)}"
                 named = shape[1:-1] if _is_iri(shape) else None
-                lenses.append(Lens(key, named and digest("portable-lens", [source.source_id, named]), shape, source.source_id, source.executable))
+                own_key = named and portable("lens", source.source_id, named)
+                lenses.append(Lens(key, own_key, shape, source.source_id, source.executable))
                 first = len(selectors), len(properties)
                 classes, targets, codes = _selector(g, shape)
                 diagnostics += [Diagnostic(shape, c) for c in codes]
@@ -385,7 +394,8 @@ class Catalog:
                 if classes or targets:
                     kind = "union" if classes and targets else "direct_type" if classes else "target_nodes"
                     ok = covers(shape, "selector", _signature_of_selector(classes, targets))
-                    selectors.append(Selector(f"{scope}:selector:{len(selectors)}", key, kind, classes, targets, source.executable, ok))
+                    selectors.append(Selector(f"{scope}:selector:{len(selectors)}", key, kind, classes, targets, source.executable, ok, portable("selector", own_key)))
+                met: Counter = Counter()
                 for p in g.values(shape, "property"):
                     path = _path(g, p)
                     if path is None or path[2] > limits.path:
@@ -397,7 +407,10 @@ class Catalog:
                     ok = covers(shape, "property", sign)
                     own = g.values(p, "maxCount") == [_ONE] and covers(shape, "scalar_projection", sign)
                     scalar = ok and (own or any(o.grants(shape, path[0], sign) for o in overlays))
-                    properties.append(Property(f"{scope}:property:{n}", key, path[0], path[1], branches, scalar, source.executable, ok))
+                    ref = portable("property", own_key, path[0], path[1], met[path])
+                    met[path] += 1
+                    branches = tuple(replace(b, portable=portable("branch", ref, k)) for k, b in enumerate(branches))
+                    properties.append(Property(f"{scope}:property:{n}", key, path[0], path[1], branches, scalar, source.executable, ok, ref))
                 card = [asdict(x) for x in (lenses[-1], *selectors[first[0] :], *properties[first[1] :])]
                 if len(str(card).encode()) > limits.card_bytes:
                     raise CatalogError("lens card has too many bytes")
