@@ -79,8 +79,8 @@ def test_perfect_hash():
     assert not shard.probe(h1, h2 ^ np.uint64(1))[0].any()
 
 
-@pytest.mark.parametrize("length", [50, 20])
-def test_passage_dedup(spark, rows, length):
+def removed(rows, length):
+    """Brute force: (doc_id, bytes, bytes removed, spans, what is left)."""
     raws = [(i, (t or "").encode()) for i, t in rows]
     first = {}
     for i, b in raws:
@@ -95,21 +95,60 @@ def test_passage_dedup(spark, rows, length):
                 gone[a : a + length] = b"\x01" * length
         spans = sum(g and not (k and gone[k - 1]) for k, g in enumerate(gone))
         want.append((str(i), len(b), sum(gone), spans, bytes(c for c, g in zip(b, gone) if not g)))
+    return want
+
+
+@pytest.mark.parametrize("length", [50, 20])
+def test_passage_dedup(spark, rows, length):
+    want = removed(rows, length)
     got = [(str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in passage_dedup.dedup_passages(frame(spark, rows), length).collect()]
     assert sorted(got) == sorted(want)
     assert passage_dedup.dedup_passages(frame(spark, rows).limit(0), length).count() == 0
 
 
-def test_passages_in_pieces(monkeypatch):
+def test_every_window_has_one_trigger(monkeypatch):
     r = random.Random(5)
-    raws = [bytes(r.choice(b"abc ") for _ in range(n)) for n in (0, 10, 49, 50, 51, 3000)] + [b"ab" * 900]
-    whole = passage_dedup.Parse(raws, 50)
-    monkeypatch.setattr(passage_dedup, "PIECE", 200)
-    parts = passage_dedup.Parse(raws, 50)
-    found = lambda p: {(int(d), int(a), int(h), int(c)) for d, a, h, c in zip(p.doc[p.triggers], p.place[p.triggers], p.hash, p.phrase)}
-    assert found(whole) == found(parts)
-    windows = lambda p: sorted((int(p.doc[k]), int(p.place[k]), int(p.least[k])) for k in np.flatnonzero(p.valid))
-    assert windows(whole) == windows(parts)
+    raws = [bytes(r.choice(b"abc ") for _ in range(n)) for n in (0, 10, 49, 50, 51, 0, 3000)] + [b"ab" * 900, b"\0" * 300]
+    data, ends = np.frombuffer(b"".join(raws), np.uint8), np.cumsum([len(x) for x in raws])
+
+    def found():
+        p, out = passage_dedup.Parse(data, ends, 50), {}
+        for h, t, a, b, d in zip(p.hash, p.place, p.first, p.last, p.doc):
+            for w in range(a, b + 1):
+                assert w not in out and ends[d] - len(raws[d]) <= w <= t <= w + 26 and w + 50 <= ends[d]
+                out[w] = (int(h), int(t) - w)
+        return out
+
+    whole = found()
+    assert len(whole) == sum(max(0, len(x) - 49) for x in raws)
+    by_text = {}
+    for w, trigger in whole.items():
+        assert by_text.setdefault(data[w : w + 50].tobytes(), trigger) == trigger
+    monkeypatch.setattr(passage_dedup, "PIECE", 64)
+    assert found() == whole
+
+
+@pytest.mark.parametrize("heavy", [0, 5, 1000])
+def test_passages_of_any_shape(spark, monkeypatch, heavy):
+    # Small chunks and ranges, few letters: repeats meet across chunks, pieces and documents' ends.
+    monkeypatch.setattr(passage_dedup, "CHUNK_BYTES", 700)
+    monkeypatch.setattr(passage_dedup, "RANGE_BYTES", 400)
+    monkeypatch.setattr(passage_dedup, "LEAST_HEAVY", heavy)
+    monkeypatch.setattr(passage_dedup, "HEAVY", 0)
+    r = random.Random(11)
+    some = ["".join(r.choice("ab") for _ in range(r.randint(0, 90))) for _ in range(30)]
+    texts = [(r.choice([None, *range(40)]), "".join(r.choice(some) for _ in range(r.randint(0, 6)))) for _ in range(80)] + [(99, "x" * 5000), (98, "x" * 60), (97, "ab" * 300)]
+    for length in (20, 50):
+        want = removed(texts, length)
+        got = [(str(x.doc_id), x.n_bytes, x.n_removed, x.n_spans, bytes(x.kept)) for x in passage_dedup.dedup_passages(frame(spark, texts), length).collect()]
+        assert sorted(got) == sorted(want)
+
+
+def test_a_third_of_all_rows_share_a_doc_id(spark):
+    r = random.Random(12)
+    texts = [(7 if k % 3 == 0 else k, " ".join(r.choice(VOCABULARY) for _ in range(r.randint(5, 60))) + " the one passage that they all of them hold, from its first word to its last") for k in range(120)]
+    got = [(str(x.doc_id), x.n_bytes, x.n_removed, x.n_spans, bytes(x.kept)) for x in passage_dedup.dedup_passages(frame(spark, texts)).collect()]
+    assert sorted(got) == sorted(removed(texts, 50))
 
 
 def jaccard(rows, words=5, threshold=0.8):
