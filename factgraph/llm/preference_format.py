@@ -5,14 +5,15 @@ first place where they differ. Those turns are rendered once, as the prompt; wha
 follows is rendered for either side, with a mask that is 1 on the assistant's turns
 of a completion and 0 elsewhere.
 
-The result has a row for each rendered turn, so no row or task grows with the length
-of a conversation: turns meet by (pair, turn), and the first difference of a pair is
-a minimum that is taken partly before the shuffle.
+The result has a row for each rendered turn, so no row grows with the length of a
+conversation. Rows with the same words under one turn are counted for either side,
+partly before the shuffle, and never gathered in a list; the first difference of a pair
+is the smallest turn with unequal counts.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 FIRST = -(2**63)
@@ -24,8 +25,13 @@ def render(role: Column, text: Column) -> Column:
 
 
 def numbered_pairs(turns: DataFrame) -> DataFrame:
-    """``turns`` with pair_id and side: conversations 2k (chosen, side 0) and 2k + 1 (rejected, side 1)."""
-    return turns.withColumns({"pair_id": F.floor(F.col("conv_id") / 2).cast("long"), "side": F.pmod("conv_id", F.lit(2)).cast("int")})
+    """``turns`` with pair_id and side: conversations 2k (chosen, side 0) and 2k + 1 (rejected, side 1).
+
+    Columns of these names that ``turns`` has are replaced. Any long is an id, negative
+    ones too; a null conv_id gives neither pair nor side.
+    """
+    conv = F.col("conv_id").cast("long")
+    return turns.withColumns({"pair_id": F.shiftright(conv, 1), "side": conv.bitwiseAND(F.lit(1)).cast("int")})
 
 
 def preference_segments(paired: DataFrame) -> DataFrame:
@@ -42,23 +48,27 @@ def preference_segments(paired: DataFrame) -> DataFrame:
         F.col("pair_id").cast("long").alias("pair_id"),
         "side",
         F.coalesce(F.col("turn").cast("long"), F.lit(FIRST)).alias("turn"),
-        F.struct(F.coalesce("role", F.lit("user")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).alias("said"),
+        F.coalesce("role", F.lit("user")).alias("role"),
+        F.coalesce("text", F.lit("")).alias("text"),
     )
-    side = lambda k: F.sort_array(F.collect_list(F.when(F.col("side") == k, F.col("said"))))
-    turns = rows.groupBy("pair_id", "turn").agg(side(0).alias("chosen"), side(1).alias("rejected"))
+    count = lambda k: F.count_if(F.col("side") == k)
+    turns = rows.groupBy("pair_id", "turn", "role", "text").agg(count(0).alias("chosen"), count(1).alias("rejected"))
     first = turns.filter(F.col("chosen") != F.col("rejected")).groupBy("pair_id").agg(F.min("turn").alias("_first"))
     cut = turns.join(first, "pair_id", "left")
     same = F.col("_first").isNull() | (F.col("turn") < F.col("_first"))
-    part = lambda name, keep: F.struct(F.lit(name).alias("part"), F.when(keep, F.col("rejected" if name == "rejected" else "chosen")).alias("said"))
-    parts = cut.select("pair_id", "turn", F.explode(F.array(part("prompt", same), part("chosen", ~same), part("rejected", ~same))).alias("p"))
-    said = parts.select("pair_id", "turn", "p.part", F.posexplode("p.said").alias("seq", "said"))
+    part = lambda name, keep: F.struct(F.lit(name).alias("part"), F.when(keep, F.col("rejected" if name == "rejected" else "chosen")).otherwise(0).alias("n"))
+    parts = cut.select("pair_id", "turn", "role", "text", F.explode(F.array(part("prompt", same), part("chosen", ~same), part("rejected", ~same))).alias("p"))
+    parts = parts.filter("p.n > 0").select("pair_id", "turn", "role", "text", "p.part", "p.n")
+    before = Window.partitionBy("pair_id", "turn", "part").orderBy("role", "text").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.withColumn("_before", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    said = parts.withColumn("seq", F.explode(F.sequence(F.col("_before"), F.col("_before") + F.col("n") - 1)))
     return said.select(
         "pair_id",
         "part",
         F.when(F.col("turn") != FIRST, F.col("turn")).alias("turn"),
         F.col("seq").cast("int").alias("seq"),
-        render(F.col("said.role"), F.col("said.text")).alias("segment"),
-        F.when((F.col("part") != "prompt") & (F.col("said.role") == "assistant"), 1).otherwise(0).alias("mask"),
+        render(F.col("role"), F.col("text")).alias("segment"),
+        F.when((F.col("part") != "prompt") & (F.col("role") == "assistant"), 1).otherwise(0).alias("mask"),
     )
 
 

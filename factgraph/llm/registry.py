@@ -111,7 +111,7 @@ def op8_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP8_SQL = """
 WITH t AS (
-  SELECT CAST(floor(conv_id / 2.0) AS BIGINT) AS pair_id, conv_id % 2 AS side, turn,
+  SELECT CAST(conv_id AS BIGINT) >> 1 AS pair_id, CAST(conv_id AS BIGINT) & 1 AS side, turn,
          coalesce(role, 'user') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL
 ), g AS (
   SELECT pair_id, turn,

@@ -394,6 +394,12 @@ def test_preference_format(spark):
         (0, "rejected", 2, 0, say("assistant", "bad"), 1), (0, "rejected", 3, 0, say("user", "so?"), 0), (1, "prompt", 0, 0, say("user", "same"), 0),
         (2, "chosen", -1, 0, say("user", "first"), 0), (2, "chosen", 0, 0, say("user", ""), 0), (2, "chosen", 0, 1, say("user", "x"), 0), (3, "rejected", 0, 0, say("assistant", "alone"), 1),
     ])
+    ids = [2**60 + 2, 2**60 + 3, 2**60 + 40, 2**60 + 41, -4, -3, -2, -1, 2**63 - 2, 2**63 - 1]
+    far = spark.createDataFrame([(i, 0, "user", "x", 1, 9) for i in ids], "conv_id long, turn long, role string, text string, side int, pair_id int")
+    assert sorted(r.pair_id for r in preference_format.preference_segments(preference_format.numbered_pairs(far)).collect()) == sorted({i >> 1 for i in ids})
+    same = [(0, 0, "user", "b"), (0, 0, "user", "a"), (0, 0, "user", "b"), (1, 0, "user", "b"), (1, 0, "user", "a"), (0, 1, "assistant", "z"), (0, 1, "assistant", "z"), (1, 1, "assistant", "z")]
+    twice = preference_format.preference_segments(preference_format.numbered_pairs(spark.createDataFrame([(*t, "x") for t in same], df.schema)))
+    assert sorted((r.part, r.turn, r.seq, r.segment[9]) for r in twice.collect() if r.turn == 0) == [("chosen", 0, 0, "a"), ("chosen", 0, 1, "b"), ("chosen", 0, 2, "b"), ("rejected", 0, 0, "a"), ("rejected", 0, 1, "b")]
     one = preference_format.examples(segments).filter("pair_id = 0").first()
     assert one.prompt == say("system", "be kind") + say("user", "hi")
     assert [one.rejected[s.start : s.end] for s in one.rejected_spans] == [say("assistant", "bad")]
