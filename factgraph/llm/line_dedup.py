@@ -132,10 +132,10 @@ def _hashes(digests: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def recurring_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataFrame:
-    """h1, h2, n_docs, last: the line keys held by at least ``min_docs`` rows of ``docs``.
+    """h1, h2, n_docs, last: the line keys held by at least ``min_docs`` documents.
 
-    A key counts once a row. ``last`` is the largest doc_id that holds it (null if
-    only rows without doc_id do).
+    Rows with the same doc_id are one document, as are all rows without one. ``last`` is
+    the largest doc_id that holds a key.
     """
 
     def hashed(batches):
@@ -150,7 +150,8 @@ def recurring_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) ->
             yield pa.RecordBatch.from_arrays([pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), ids], ["h1", "h2", "doc_id"])
 
     rows = texts(docs).mapInArrow(hashed, "h1 long, h2 long, doc_id long")
-    return rows.groupBy("h1", "h2").agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("last")).filter(F.col("n_docs") >= min_docs)
+    # By document first: rows of one document count once, and a line that very many hold is spread.
+    return rows.select("h1", "h2", "doc_id").distinct().groupBy("h1", "h2").agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("last")).filter(F.col("n_docs") >= min_docs)
 
 
 def write_shards(keys: DataFrame, folder: str) -> int:
@@ -183,11 +184,11 @@ def write_shards(keys: DataFrame, folder: str) -> int:
 def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataFrame:
     """doc_id, text (what is left), n_lines, n_dropped for each row of ``docs``.
 
-    Keys of at least ``min_chars`` code points held by at least ``min_docs`` rows
-    keep their lines only in the rows with the largest doc_id that holds them. Null
-    and empty texts are one empty line. Rows with the same doc_id count as
-    different documents, and all of them keep a line whose last holder they are; a
-    null doc_id is smaller than any other. Empty input gives no rows.
+    Keys of at least ``min_chars`` code points held by at least ``min_docs`` documents
+    keep their lines only in the one with the largest doc_id that holds them. Null and
+    empty texts are one empty line. Rows with the same doc_id are one document: together
+    they count once, and all of them keep a line whose last holder they are. So are rows
+    without doc_id, whose id is smaller than any other. Empty input gives no rows.
     """
     return _probe(texts(docs), min_chars, min_docs, "doc_id long, text string, n_lines long, n_dropped long")
 

@@ -63,8 +63,8 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP5_SQL = """
 WITH l AS (
-  SELECT doc_id, unnest(s) AS line, unnest(range(1, len(s) + 1)) AS ix
-  FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS s FROM documents)
+  SELECT doc_id, rid, unnest(s) AS line, unnest(range(1, len(s) + 1)) AS ix
+  FROM (SELECT doc_id, row_number() OVER () AS rid, string_split(coalesce(text, ''), chr(10)) AS s FROM documents)
 ), k AS (
   SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
                       'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l
@@ -72,12 +72,12 @@ WITH l AS (
   SELECT key, max(doc_id) AS last FROM (SELECT DISTINCT key, doc_id FROM k WHERE length(key) >= 20) AS d
   GROUP BY key HAVING count(*) >= 3
 ), m AS (
-  SELECT k.doc_id, k.ix, k.line, c.last IS NOT NULL AND c.last <> k.doc_id AS gone
+  SELECT k.doc_id, k.rid, k.ix, k.line, c.last IS NOT NULL AND c.last IS DISTINCT FROM k.doc_id AS gone
   FROM k LEFT JOIN c ON k.key = c.key
 )
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY ix) FILTER (WHERE NOT gone), '')) AS kept_sha256
-FROM m GROUP BY doc_id
+FROM m GROUP BY rid, doc_id
 """
 
 

@@ -52,15 +52,17 @@ def test_line_dedup(spark, rows):
 
     split = [((i), (t or "").split("\n")) for i, t in rows]
     holders = {}
-    for n, (i, lines) in enumerate(split):
+    for i, lines in split:
         for k in {line_key(x) for x in lines} - {None}:
-            holders.setdefault(k, []).append(i)
+            holders.setdefault(k, set()).add(i)
     want = []
     for i, lines in split:
         drop = [(k := line_key(x)) is not None and len(holders[k]) >= 3 and key(i) != max(map(key, holders[k])) for x in lines]
         want.append((str(i), "\n".join(x for x, d in zip(lines, drop) if not d), len(lines), sum(drop)))
     got = [(str(r.doc_id), r.text, r.n_lines, r.n_dropped) for r in line_dedup.dedup_lines(frame(spark, rows)).collect()]
     assert sorted(got) == sorted(want) and sum(w[3] for w in want) > 20
+    again = [(5, "a line that two documents hold in three rows")] * 2 + [(6, "a line that two documents hold in three rows"), (None, ""), (None, "")]
+    assert {r.n_dropped for r in line_dedup.dedup_lines(frame(spark, again)).collect()} == {0}
     kept = line_dedup.dedup_frame(frame(spark, rows))
     assert kept.columns == [c.split()[0] for c in DOCS.split(", ")] and kept.count() == len(rows)
     assert line_dedup.dedup_lines(frame(spark, rows).limit(0)).count() == 0
