@@ -1,12 +1,14 @@
 """Exact top-k by inner product over an impact-ordered index, score at a time.
 
-Components become integers. The postings of a block of vectors (vector, dimension,
-impact) are cut into segments by the size of their impact, a power-of-two level
-each. Segments are processed from the highest impact down; after each, what is left
-of any vector is bounded by Cauchy-Schwarz and by the segment's largest impact. A
-vector is left out of a query's answer only on proof: when its sum so far plus that
-bound stays below the k-th best score already certain. Processing stops when few
-possible members remain, and those are scored exactly from the vectors themselves.
+Components become integers. A block of vectors is held as postings (dimension, vector,
+impact) in segments of one impact level each, a power of two, without what is zero.
+Queries take the segments from the highest level down, posting by posting; after each,
+what is left of any vector is bounded by Cauchy-Schwarz and by the segments' largest
+impact. A vector is left out of a query's answer only on proof: when its sum so far plus
+that bound stays below the k-th best score already certain. A query stops when few
+possible members remain, and those are scored exactly, in integers, from the vectors
+themselves. Every block starts with the k-th best score of each query among ``LEAD`` rows
+that all tasks know, and takes what it has reached to the next.
 
 Queries are a stated set, written to the shared folder and read block by block;
 candidates are dealt evenly in blocks, so no task depends on a key.
@@ -26,6 +28,7 @@ from factgraph.llm.vectors import is_query, matrix, ranked, usable
 BLOCK = 8192
 QUERY_BLOCK = 256
 FEW = 0.02
+LEAD = 512
 
 
 def quantise(rows: DataFrame, scale: int) -> DataFrame:
@@ -33,35 +36,47 @@ def quantise(rows: DataFrame, scale: int) -> DataFrame:
 
 
 class ImpactBlock:
-    """Segments of one block of vectors, by descending impact."""
+    """Postings of one block of vectors, in segments by descending impact."""
 
     def __init__(self, ids: np.ndarray, impacts: np.ndarray):
         self.ids, self.impacts = ids, impacts
-        size = np.abs(impacts)
-        level = np.where(size > 0, np.frexp(size.astype(np.float64))[1], 0)
+        vector, dim = np.nonzero(impacts)
+        value = impacts[vector, dim].astype(np.float64)
+        level = np.frexp(value)[1]
+        order = np.lexsort((vector, dim, -level))
+        vector, dim, value, level = vector[order], dim[order], value[order], level[order]
+        ends = np.append(np.flatnonzero(np.diff(level)) + 1, len(level)) if len(level) else []
+        left = (impacts.astype(np.float64) ** 2).sum(1)
+        self.size = np.sqrt(left.max(initial=0.0))
         self.segments = []
-        left = size.astype(np.float64)
-        for lv in sorted(set(np.unique(level).tolist()) - {0}, reverse=True):
-            at = level == lv
-            left[at] = 0
-            self.segments.append((np.where(at, impacts, 0).astype(np.float64), np.sqrt((left * left).sum(1)), left.max(initial=0.0)))
+        start = 0
+        for end in ends:
+            own = slice(start, end)
+            rest = value[end:]
+            # Not a running difference, whose rounding could end below the truth.
+            left = np.bincount(vector[end:], rest * rest, minlength=len(ids))
+            self.segments.append((vector[own], dim[own], value[own], np.sqrt(left), np.abs(rest).max(initial=0.0)))
+            start = end
 
     def top(self, q_ids: np.ndarray, q: np.ndarray, k: int, floor: np.ndarray):
         """(query row, vector row, score) of all possible members of the top ``k``; ``floor``: scores known to be reached."""
-        n = len(self.ids)
+        n, dims = len(self.ids), self.impacts.shape[1]
         own = q_ids[:, None] == self.ids[None, :]
-        total = np.zeros((len(q), n))
         norm, ones = np.sqrt((q * q).sum(1)), np.abs(q).sum(1)
-        possible = ~own
-        for values, rest, most in self.segments:
-            total += q @ values.T
-            bound = np.minimum(norm[:, None] * rest[None, :], ones[:, None] * most)
+        # Bounds and sums above 2**53 are rounded; scores are integers.
+        slack = 0.5 + dims * 2.0**-50 * norm * self.size
+        total, floor = np.zeros((len(q), n)), floor.copy()
+        possible, going = ~own, np.arange(len(q))
+        for vector, dim, value, rest, most in self.segments:
+            for i in going:
+                total[i] += np.bincount(vector, value * q[i, dim], minlength=n)
+            bound = np.minimum(norm[going, None] * rest, ones[going, None] * most)
             if n > k:
-                low = np.where(own, -np.inf, total - bound)
-                floor = np.maximum(floor, np.partition(low, n - k, axis=1)[:, n - k])
-            # Half a unit of slack: sums and bounds are doubles, scores are integers.
-            possible = ~own & (total + bound >= floor[:, None] - 0.5)
-            if possible.sum() <= FEW * possible.size:
+                low = np.where(own[going], -np.inf, total[going] - bound)
+                floor[going] = np.maximum(floor[going], np.partition(low, n - k, axis=1)[:, n - k])
+            possible[going] = ~own[going] & (total[going] + bound >= (floor[going] - slack[going])[:, None])
+            going = going[possible[going].sum(1) > FEW * n]
+            if not len(going):
                 break
         row, col = np.nonzero(possible)
         score = np.empty(len(row), np.int64)
@@ -71,6 +86,15 @@ class ImpactBlock:
         return row, col, score
 
 
+def reached(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, impacts: np.ndarray, k: int) -> np.ndarray:
+    """The k-th best score of each query among some rows, as far as doubles prove it; -inf where there are fewer."""
+    if len(ids) < k:
+        return np.full(len(q), -np.inf)
+    s = np.where(q_ids[:, None] == ids, -np.inf, q @ impacts.T)
+    slack = 0.5 + impacts.shape[1] * 2.0**-50 * np.sqrt((q * q).sum(1) * (impacts * impacts).sum(1).max())
+    return np.partition(s, len(ids) - k, axis=1)[:, len(ids) - k] - slack
+
+
 def search(table: DataFrame, k: int = 5, every: int = 50, scale: int = 256) -> DataFrame:
     """query_id, rank, vec_id, score of the ``k`` highest integer inner products.
 
@@ -78,11 +102,18 @@ def search(table: DataFrame, k: int = 5, every: int = 50, scale: int = 256) -> D
     rows with another vec_id. Rows with a null id, a null vector or null or
     non-finite components take no part. Vectors of different lengths are filled up
     with zeros. Repeated rows are searched and found as often as they stand there.
+    Where dimensions times the largest squared impact reach 2**63, scores may leave the
+    range of a long: an OverflowError.
     """
     spark = table.sparkSession
     rows = quantise(usable(table, zero=True), scale)
-    size = rows.agg(F.count("*").alias("n"), F.max(F.size("impacts")).alias("dims")).first()
+    large = F.array_max(F.transform("impacts", lambda x: F.abs(x.cast("double"))))
+    size = rows.agg(F.count("*").alias("n"), F.max(F.size("impacts")).alias("dims"), F.max(large).alias("large")).first()
     dims = size.dims or 0
+    if dims * (size.large or 0.0) ** 2 >= 2.0**63:
+        raise OverflowError(f"scores of {dims} components up to {size.large:.4g} do not fit a long")
+    lead = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(LEAD).collect()  # at most LEAD rows
+    lead = spark.sparkContext.broadcast((np.array([r.vec_id for r in lead], np.int64), matrix(pa.array([r.impacts for r in lead], pa.list_(pa.int64())), dims).astype(np.float64)))
     folder = shared_dir(spark, "top-k-queries")
     rows.filter(is_query(every)).write.parquet(folder)
 
@@ -100,7 +131,7 @@ def search(table: DataFrame, k: int = 5, every: int = 50, scale: int = 256) -> D
                 continue
             q_ids = qb.column(0).to_numpy()
             q = matrix(qb.column(1), dims).astype(np.float64)
-            floor = np.full(len(q_ids), -np.inf)
+            floor = reached(q_ids, q, *lead.value, k)
             row, vec, score = [], [], []
             for block in blocks:
                 r, c, s = block.top(q_ids, q, k, floor)

@@ -73,6 +73,28 @@ def test_impact_block_stops_on_proof_only():
     assert len(row) < 20 * 500
 
 
+def test_large_impacts_are_exact_or_an_error(spark):
+    r = random.Random(5)
+    # Scores beyond 2**53 that differ in their last digits.
+    big = [(k, [float(2**28 + r.randint(-3, 3)) for _ in range(8)]) for k in range(0, 400)]
+    table = spark.createDataFrame([(i, e, 0, "x") for i, e in big], SCHEMA.replace("float", "double"))
+    x = np.array([e for _, e in big]).astype(np.int64).astype(object)
+    for row in impact_index.search(table, scale=1).collect():
+        s = x @ x[row.query_id]
+        order = sorted((-v, i) for i, v in enumerate(s) if i != row.query_id)
+        assert (-row.score, row.vec_id) == order[row["rank"] - 1]
+    with pytest.raises(OverflowError):
+        impact_index.search(table, scale=256)
+
+
+def test_postings_hold_what_is_not_zero():
+    v = np.array([[0, 0, 3], [5, 0, 0], [0, -2, 0], [0, 0, 0]])
+    block = impact_index.ImpactBlock(np.arange(4), v)
+    assert [(a.tolist(), b.tolist(), c.tolist()) for a, b, c, _, _ in block.segments] == [([1], [0], [5.0]), ([2, 0], [1, 2], [-2.0, 3.0])]
+    row, col, score = block.top(np.array([9]), np.array([[1.0, 1.0, 1.0]]), 2, np.full(1, -np.inf))
+    assert sorted(zip(score.tolist(), col.tolist()), reverse=True)[:2] == [(5, 1), (3, 0)]
+
+
 def test_nearest(spark, rows):
     good = usable(rows, False)
     ids = np.array([i for i, _ in good])
