@@ -25,6 +25,7 @@ from factgraph.llm.common import texts
 
 BITS = 21
 WORDS_KEPT = 300_000
+PART = 1 << 20
 _ENDS = (".", "!", "?")
 _AROUND = ".,;:!?\"'()[]|*-"
 _SENTENCE = re.compile(r"\S[^\n]*?(?:[.!?](?=\s|\Z)|(?=\n)|\Z)")
@@ -43,44 +44,59 @@ def _words(text: str) -> list[str]:
     return text.replace("\n", " . ").split()
 
 
+class _Numbers(dict):
+    """Numbers for words in order of meeting, with each one's weight and whether it ends a sentence."""
+
+    def __init__(self, lexicon: "Lexicon"):
+        super().__init__()
+        self.exact, self.starts, self.stems = lexicon.exact, lexicon.starts, lexicon.stems
+        self.values: list[float] = []
+        self.ends: list[bool] = []
+
+    def __missing__(self, word: str) -> int:
+        k = self[word] = len(self)
+        w = word.strip(_AROUND).lower()
+        value = self.exact.get(w, 0.0)
+        if w[:4] in self.stems:
+            value += sum(self.starts.get(w[:n], 0.0) for n in range(4, min(8, len(w)) + 1))
+        self.values.append(value)
+        self.ends.append(word[-1] in _ENDS)
+        return k
+
+
 class Lexicon:
-    """Numbers for words, kept between batches up to a bound."""
+    """Weights of words, each worked out once and kept between batches up to a bound."""
 
     def __init__(self, weights: dict[str, float]):
-        self.weights = weights
-        self.stems = {f[:4] for f in weights if f[0] != "="}
+        self.exact = {f[1:]: v for f, v in weights.items() if f[0] == "="}
+        self.starts = {f: v for f, v in weights.items() if f[0] != "="}
+        self.stems = {f[:4] for f in self.starts}
         self.clear()
 
     def clear(self) -> None:
-        self.ids: dict[str, int] = {}
-        self.value: list[float] = []
-        self.end: list[bool] = []
-
-    def add(self, word: str) -> int:
-        k = self.ids[word] = len(self.value)
-        w = word.strip(_AROUND).lower()
-        value = self.weights.get("=" + w, 0.0)
-        if w[:4] in self.stems:
-            value += sum(self.weights.get(f, 0.0) for f in _features(w)[1:])
-        self.value.append(value)
-        self.end.append(word.endswith(_ENDS))
-        return k
+        self.ids = _Numbers(self)
+        self.value, self.end = np.zeros(0), np.zeros(0, bool)
+
+    def numbers(self, text: str) -> np.ndarray:
+        """The number of each word; very long texts are split a part at a time."""
+        out, start = [], 0
+        while start < len(text):
+            end = text.find(" ", start + PART) if len(text) - start > PART else -1
+            words = _words(text[start : end if end >= 0 else len(text)])
+            out.append(np.fromiter(map(self.ids.__getitem__, words), np.int64, len(words)))
+            start = end if end >= 0 else len(text)
+        return out[0] if len(out) == 1 else np.concatenate([np.zeros(0, np.int64), *out])
 
     def scores(self, many: list[str], bias: float) -> np.ndarray:
         """Noisy-or score of each text."""
-        if len(self.value) > WORDS_KEPT:
+        if len(self.ids) > WORDS_KEPT:
             self.clear()
-        get, ids, count = self.ids.get, [], []
-        for text in many:
-            words = _words(text)
-            own = list(map(get, words))
-            if None in own:
-                own = [k if k is not None else (get(w) if w in self.ids else self.add(w)) for k, w in zip(own, words)]
-            ids.append(np.array(own, np.int64))
-            count.append(len(own))
-        flat = np.concatenate(ids) if ids else np.zeros(0, np.int64)
-        value, end = np.array(self.value)[flat] if len(flat) else np.zeros(0), np.array(self.end, bool)[flat]
-        return doc_scores(np.where(_again(flat, np.array(count, np.int64)), 0, value), end, np.array(count, np.int64), bias)
+        ids = [self.numbers(text) for text in many]
+        if len(self.value) < len(self.ids):
+            n = len(self.value)
+            self.value, self.end = np.append(self.value, self.ids.values[n:]), np.append(self.end, self.ids.ends[n:])
+        flat, count = np.concatenate([np.zeros(0, np.int64), *ids]), np.array([len(x) for x in ids], np.int64)
+        return doc_scores(np.where(_again(flat, count), 0, self.value[flat]), self.end[flat], count, bias)
 
 
 def _starts(end: np.ndarray, count: np.ndarray) -> np.ndarray:
@@ -114,7 +130,7 @@ def doc_scores(value: np.ndarray, end: np.ndarray, count: np.ndarray, bias: floa
     return -np.expm1(-total)
 
 
-def fit(rows: list[tuple[str, int]], counts: dict[int, int] | None = None, epochs: int = 200, rate: float = 0.1, decay: float = 2e-4, min_docs: int = 3, min_odd: float = 3.0) -> tuple[dict[str, float], float]:
+def fit(rows: list[tuple[str, int]], counts: dict[int, int] | None = None, epochs: int = 200, rate: float = 0.1, decay: float = 2e-4, min_docs: int = 3, min_odd: float = 5.0) -> tuple[dict[str, float], float]:
     """Word weights and bias from (text, label) pairs. One label alone gives a constant model.
 
     Weights go to features of at least ``min_docs`` texts that toxic ones hold more
