@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factgraph.llm.common import stored
+from factgraph.llm.common import discard, stored
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -13,7 +13,7 @@ def components(edges: DataFrame) -> DataFrame:
 
     Each round turns the edges into ones to smaller nodes and keeps the components;
     it ends when nothing changes, after about log(nodes) rounds. Rounds are written
-    to the shared folder. A node of very many edges is met as a minimum taken before
+    to the shared folder, and deleted when the next one is; so is the result, which is left there. A node of very many edges is met as a minimum taken before
     the shuffle and a join that Spark may split.
     """
     cur = stored(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
@@ -28,10 +28,14 @@ def components(edges: DataFrame) -> DataFrame:
         # edges are shuffled once and used twice.
         down = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(down, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*")
-        cur = stored(small.filter("a <> b").distinct(), "edges")
+        old, cur = cur, stored(small.filter("a <> b").distinct(), "edges")
         now = cur.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
+        del both, large, down, small
+        discard(old, low)
         if (now.n, now.h) == mark:
             break
         mark = (now.n, now.h)
     roots = cur.select(F.col("b").alias("node")).distinct().withColumn("component", F.col("node"))
-    return cur.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)
+    out = stored(cur.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots), "components")
+    discard(cur)
+    return out

@@ -192,14 +192,34 @@ def test_jaccard_join(spark, rows, monkeypatch):
     assert sorted(got, key=str) == sorted(want, key=str) and max(w[4] for w in want) >= 29
     kept = jaccard_join.one_of_each(frame(spark, many))
     assert kept.count() == groups
+    clash = frame(spark, many[:12]).withColumns({"_row": F.lit(1), "_k0": F.lit("own"), "a.b": F.lit(2)})
+    assert {(x["_row"], x["_k0"], x["a.b"]) for x in jaccard_join.one_of_each(clash).collect()} == {(1, "own", 2)}
     assert kept.columns == [c.split()[0] for c in DOCS.split(", ")]
     assert jaccard_join.near_duplicates(frame(spark, many).limit(0)).count() == 0
 
 
-def test_prefix_depth_meets_its_recall():
-    for threshold in (0.5, 0.8, 0.95):
-        d = jaccard_join.prefix_depth(threshold, 0.999)
-        assert d == 1 or 1 - (1 - threshold**d) ** jaccard_join.TREES >= 0.999
+def test_forest_meets_its_recall():
+    for threshold in (0.5, 0.6, 0.8, 0.95, 1.0):
+        for recall in (0.9, 0.9995):
+            trees, depth = jaccard_join.forest_shape(threshold, recall)
+            assert 1 - (1 - threshold**depth) ** trees >= recall and depth >= jaccard_join.LEAST_DEPTH
+    with pytest.raises(ValueError):
+        jaccard_join.forest_shape(0.2, 0.9995)
+
+
+@pytest.mark.parametrize("threshold", [0.5, 0.8])
+def test_recall_against_all_pairs(spark, threshold):
+    r = random.Random(21)
+    many = []
+    for k in range(150):  # pairs of texts at all similarities around the threshold
+        base = [r.choice(VOCABULARY) for _ in range(150)]
+        own = list(base)
+        for _ in range(r.randint(1, 12)):
+            own[r.randrange(150)] = f"new{k}"
+        many += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(own))]
+    want = sum(w[4] for w in jaccard(many, threshold=threshold)[0])
+    got = jaccard_join.near_duplicates(frame(spark, many), threshold=threshold, recall=0.99).agg(F.sum("n_links")).first()[0]
+    assert want > 60 and 0.97 * want <= got <= want
 
 
 def test_token_files(spark, rows, tmp_path):
