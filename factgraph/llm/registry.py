@@ -12,20 +12,24 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Shares of the corpus's tokens by quality in the labelled table.
-MIX_TARGETS = {"fine": 0.93, "poor": 0.07}
+#: Shares of the corpus's tokens by quality and toxicity in the labelled table: a third more of rare poor toxic text, half the fine toxic.
+MIX_TARGETS = {"fine_clean": 0.80, "fine_toxic": 0.05, "poor_clean": 0.13, "poor_toxic": 0.02}
+#: The same by quality alone.
+QUALITY_TARGETS = {"fine": 0.93, "poor": 0.07}
 
 
-def label_domains(labels: DataFrame) -> DataFrame:
-    """doc_id and domain of each labelled document."""
-    return labels.filter(F.col("quality").isNotNull()).select("doc_id", F.when(F.col("quality") == 1, "fine").otherwise("poor").alias("domain"))
+def label_domains(labels: DataFrame, toxicity: bool = True) -> DataFrame:
+    """doc_id and domain of each labelled document: its quality, and with ``toxicity`` that too."""
+    own, domain = labels.filter(F.col("quality").isNotNull()), F.when(F.col("quality") == 1, "fine").otherwise("poor")
+    if toxicity:
+        own, domain = own.filter(F.col("toxic").isNotNull()), F.concat(domain, F.lit("_"), F.when(F.col("toxic") == 1, "toxic").otherwise("clean"))
+    return own.select("doc_id", domain.alias("domain"))
 
 
 def op1_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from factgraph.llm.soft_mixing import mix
 
-    out = mix(_table(spark, sf_dir, "documents"), label_domains(_table(spark, sf_dir, "labels")), MIX_TARGETS)
-    return out.select("doc_id", "n_tokens", "posteriors", "rate", "copies")
+    return mix(_table(spark, sf_dir, "documents"), label_domains(_table(spark, sf_dir, "labels")), MIX_TARGETS, carry=["doc_id"])
 
 
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,34 +1,46 @@
 """Mixing to target weights by soft membership, with DataFrame functions only.
 
-A classifier fitted on a table of labelled documents gives every document a
-probability for each domain. Document rates r >= 0 are then fitted so that the
-expected tokens of each domain, sum(r * tokens * probability), meet its share of the
-corpus: least squares over the domain totals plus a small pull of every rate towards
-1 (weighted by tokens), solved by accelerated projected gradient.
-
-Memberships have a resolution of 1/``GRAIN``. Documents of equal memberships have
-equal rates, so the fit runs over the distinct memberships and their tokens, whose
-number is bounded by grain and domains, not by the corpus. An iteration is one
-aggregation that returns a number for each domain. A rate only depends on memberships
-and the residuals of past iterations: it is never stored or shuffled but replayed
-from those few numbers, on any row, in one expression. Text is read twice (features,
-then rates) and never moved.
+A classifier fitted on a bounded sample of labelled documents gives every document a
+probability for each domain, from quantiles of a few numbers about the text and from
+the words that tell domains apart best. Document rates r >= 0 are then
+fitted so that the expected tokens of each domain, sum(r * tokens * probability), meet
+its share of the corpus: least squares over the domain totals, each relative to the root
+of its target, plus a small pull of every rate towards 1 (weighted by tokens), solved by
+accelerated projected gradient.
+
+Rates are a function of the memberships alone. For the fit, documents are gathered in
+cells of a grid over the memberships, each with the mean membership of its tokens; their
+number is bounded by grid and domains, not by the corpus. An iteration is one
+aggregation that returns a number for each domain. A document's rate comes from its own
+memberships and the residuals of past iterations: it is never shuffled but replayed from
+those few numbers, on any row, in one expression. Text is measured once, scored once
+when the classifier is known, and never moved between executors.
 """
 
 from __future__ import annotations
 
+import json
 import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factgraph.llm.common import stored
+from factgraph.llm.common import discard, stored
 
 PULL = 0.002
 ROUNDS = 200
 CALM = 3
-GRAIN = 256
+GRID = 64
+MAX_TRAIN = 20_000
+BINS = 16
+WORDS, LEAST_DOCS, LEAST_ODD = 64, 5, 5.0
 FEATURES = ("chars", "word", "bars", "shouts", "digits", "again", "lines", "upper")
+_MARKS = ".,;:!?\"'()[]|*#$%&\n\t\r"
+
+
+def words(text: Column) -> Column:
+    """Lower-cased words, without the marks around them."""
+    return F.split(F.translate(F.lower(text), _MARKS, " " * len(_MARKS)), " ")
 
 
 def features(docs: DataFrame) -> DataFrame:
@@ -51,39 +63,89 @@ def features(docs: DataFrame) -> DataFrame:
     return rows.withColumn("_x", F.struct(*(x[k].cast("double").alias(k) for k in FEATURES))).drop("_c")
 
 
-def posterior(stats: dict[str, dict], domains: list[str]) -> Column:
-    """Probabilities of the domains, in order, from _x: a Gaussian for each feature and domain."""
-    total = sum(s["n"] for s in stats.values())
-    if not total:
-        return F.array(*(F.lit(1.0 / len(domains)) for _ in domains))
-    logs = []
-    for d in domains:
-        s = stats.get(d)
-        if s is None:
-            logs.append(F.lit(-1e9))
-            continue
-        own = F.lit(math.log(s["n"] / total))
-        for k in FEATURES:
-            var = s[f"v_{k}"] + 1e-3
-            own = own - (F.col(f"_x.{k}") - s[f"m_{k}"]) ** 2 / (2 * var) - 0.5 * math.log(var)
-        logs.append(own)
-    # Tempered: features hang together, and a product of all of them is surer than it should be.
-    logs = F.transform(F.array(*logs), lambda x: x / 2)
-    top = F.array_max(logs)
-    raw = F.transform(logs, lambda x: F.exp(x - top))
-    whole = F.aggregate(raw, F.lit(0.0), lambda a, x: a + x)
-    fine = F.transform(raw, lambda x: F.round(x / whole * GRAIN) / GRAIN)
-    # The first takes what rounding leaves, so that memberships add up to 1.
-    others = F.slice(fine, 2, len(domains))
-    return F.concat(F.array(F.greatest(F.lit(0.0), 1 - F.aggregate(others, F.lit(0.0), lambda a, x: a + x))), others)
-
-
-def fit_classifier(measured: DataFrame, labelled: DataFrame) -> dict[str, dict]:
-    """Means and variances by domain, from all labelled rows (doc_id, domain)."""
-    own = labelled.filter(F.col("doc_id").isNotNull() & F.col("domain").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("domain").alias("domain"))
-    parts = [x for k in FEATURES for x in (F.avg(f"_x.{k}").alias(f"m_{k}"), F.var_pop(f"_x.{k}").alias(f"v_{k}"))]
-    rows = measured.join(own, "doc_id").groupBy("domain").agg(F.count("*").alias("n"), *parts).collect()  # a row for each domain
-    return {r.domain: r.asDict() for r in rows}
+def bins(edges: dict[str, list[float]]) -> Column:
+    """For each feature, how many of its edges _x lies above."""
+    above = lambda k: sum(((F.col(f"_x.{k}") > e).cast("int") for e in edges[k]), F.lit(0))
+    return F.array(*(above(k) for k in FEATURES))
+
+
+class Classifier:
+    """What a sample of labelled documents says about domains.
+
+    ``edges`` cuts the features into bins, of which ``stats`` has the logarithms of each
+    domain's shares, with the number of its documents and what the absence of all
+    ``words`` counts. ``words`` has for each domain in order what a word's presence adds.
+    """
+
+    def __init__(self, domains: list[str], edges: dict[str, list[float]], stats: dict[str, dict], words: dict[str, list[float]]):
+        self.domains, self.edges, self.stats, self.words = domains, edges, stats, words
+
+    def scored(self, measured: DataFrame, text: Column) -> DataFrame:
+        """``measured`` with _p, the probabilities of the domains in order, from _x and the text."""
+        total = sum(s["n"] for s in self.stats.values())
+        if not total:
+            return measured.withColumn("_p", F.array(*(F.lit(1.0 / len(self.domains)) for _ in self.domains)))
+        logs = []
+        for d in self.domains:
+            s = self.stats.get(d)
+            if s is None:
+                logs.append(F.lit(-1e9))
+                continue
+            own = F.lit(s["without"])
+            for k, f in enumerate(FEATURES):
+                own = own + F.element_at(F.array(*map(F.lit, s["bins"][f])), F.element_at("_b", k + 1) + 1)
+            logs.append(own)
+        logs = F.array(*logs)
+        if self.words:
+            table = F.from_json(F.lit(json.dumps(self.words)), "map<string,array<double>>")
+            hits = F.array_intersect(words(text), F.array(*map(F.lit, self.words)))
+            logs = F.aggregate(hits, logs, lambda a, w: F.zip_with(a, F.element_at(table, w), lambda x, y: x + y))
+        # Tempered: features hang together, and a product of all of them is surer than it should be.
+        prior = F.array(*(F.lit(math.log(self.stats[d]["n"] / total) if d in self.stats else 0.0) for d in self.domains))
+        each = lambda c: F.array_repeat(c, len(self.domains))
+        raw = F.transform(F.zip_with("_l", each(F.array_max("_l")), lambda x, top: x - top), F.exp)
+        whole = F.zip_with("_e", each(F.aggregate("_e", F.lit(0.0), lambda a, x: a + x)), lambda x, sum_: x / sum_)
+        rows = measured.withColumn("_b", bins(self.edges)).withColumn("_l", F.zip_with(logs, prior, lambda x, y: x / 2 + y))
+        return rows.withColumn("_e", raw).withColumn("_p", whole).drop("_b", "_l", "_e")
+
+
+def fit_classifier(measured: DataFrame, labelled: DataFrame, domains: list[str], max_train: int = MAX_TRAIN) -> Classifier:
+    """From at most ``max_train`` labelled documents (doc_id, domain), chosen by a hash of the id.
+
+    Shares of ``BINS`` quantiles of each feature, and the ``WORDS`` words whose documents
+    divide among the domains least as chance would have it: in ``LEAST_DOCS`` documents at
+    least and off by ``LEAST_ODD`` standard deviations for some domain.
+    """
+    own = labelled.filter(F.col("doc_id").isNotNull() & F.col("domain").isin(*domains)).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("domain").alias("domain"))
+    picked = own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)  # at most max_train rows of two short columns
+    train = stored(measured.select("doc_id", "_x", "_text").join(F.broadcast(picked), "doc_id").select("domain", "_x", "_text"), "mix-training")
+    cuts = [(k + 1) / BINS for k in range(BINS - 1)]
+    found = train.agg(*(F.percentile_approx(f"_x.{k}", cuts).alias(k) for k in FEATURES)).first()
+    edges = {k: sorted(set(found[k] or [])) for k in FEATURES}
+    binned = train.select("domain", F.posexplode(bins(edges)).alias("k", "bin")).groupBy("domain", "k", "bin").agg(F.count("*").alias("n"))
+    stats: dict[str, dict] = {}
+    for r in train.groupBy("domain").agg(F.count("*").alias("n")).collect():  # a row for each domain
+        empty = {f: math.log(0.5 / (r.n + 0.5 * (len(e) + 1))) for f, e in edges.items()}
+        stats[r.domain] = {"n": r.n, "without": 0.0, "bins": {f: [empty[f]] * (len(edges[f]) + 1) for f in FEATURES}}
+    for r in binned.collect():  # domains times features times bins
+        s, f = stats[r.domain], FEATURES[r.k]
+        s["bins"][f][r.bin] = math.log((r.n + 0.5) / (s["n"] + 0.5 * (len(edges[f]) + 1)))
+    whole = sum(s["n"] for s in stats.values())
+    known = [d for d in domains if d in stats]
+    table: dict[str, list[float]] = {}
+    if len(known) > 1:
+        held = train.select("domain", F.explode(F.array_distinct(words(F.col("_text")))).alias("w")).filter("w <> ''")
+        held = held.groupBy("w").agg(F.count("*").alias("n"), *(F.count_if(F.col("domain") == d).alias(f"n{k}") for k, d in enumerate(known))).filter(F.col("n") >= LEAST_DOCS)
+        share = [stats[d]["n"] / whole for d in known]
+        odd = F.greatest(*(F.abs(F.col(f"n{k}") - F.col("n") * s) / F.sqrt(F.col("n") * (s * (1 - s))) for k, s in enumerate(share)))
+        best = held.withColumn("odd", odd).filter(F.col("odd") >= LEAST_ODD).orderBy(F.col("odd").desc(), "w").limit(WORDS).collect()  # at most WORDS rows
+        for r in best:
+            with_it = {d: (r[f"n{k}"] + 0.5) / (stats[d]["n"] + 1) for k, d in enumerate(known)}
+            for d, p in with_it.items():
+                stats[d]["without"] += math.log(1 - p)
+            table[r.w] = [math.log(with_it[d] / (1 - with_it[d])) if d in with_it else 0.0 for d in domains]
+    discard(train)
+    return Classifier(domains, edges, stats, table)
 
 
 def _step(y: Column, p: Column, e: list, rate: float) -> Column:
@@ -91,9 +153,8 @@ def _step(y: Column, p: Column, e: list, rate: float) -> Column:
     return F.greatest(F.lit(0.0), y - rate * (g + PULL * (y - 1)))
 
 
-def _replay(p: Column, past: list[list[float]], momentum: list[float], ahead: bool) -> Column:
+def _replay(p: Column, past: list[list[float]], momentum: list[float], rate: float, ahead: bool) -> Column:
     """The rate after all ``past`` residuals; with ``ahead``, the point where the next residual is taken."""
-    rate = 1 / (1 + PULL)
     if not past:
         return F.lit(1.0)
     number = lambda x: f"{float(x)!r}D"
@@ -108,34 +169,42 @@ def _replay(p: Column, past: list[list[float]], momentum: list[float], ahead: bo
     return F.aggregate(steps, start, move, lambda a: a.y if ahead else a.r)
 
 
-def fit_rates(known: DataFrame, targets: dict[str, float], rounds: int = ROUNDS, close: float = 1e-4) -> tuple[list[list[float]], list[float]]:
-    """Residuals and momentum of each iteration over rows of tokens _n and memberships _p.
+def fit_rates(known: DataFrame, targets: dict[str, float], rounds: int = ROUNDS, close: float = 1e-4) -> tuple[list[list[float]], list[float], float]:
+    """Residuals (by target), momentum of each iteration and the step, over rows of tokens _n and memberships _p.
 
     The end is where, ``CALM`` times in a row, no residual moves by more than ``close`` of
     its domain's own target: at a turning point of the momentum one small move says
-    little. Momentum stays below the best one for the curvature that the pull gives.
+    little. Step and momentum follow the curvature: at most the largest row of the
+    second moments of the memberships, at least the pull.
     """
     domains = sorted(targets)
-    share = [targets[d] / (sum(targets.values()) or 1.0) for d in domains]
-    whole = known.agg(F.sum("_n").alias("n")).first().n or 0.0
+    d = len(domains)
+    p = [F.element_at("_p", k + 1) for k in range(d)]
+    moments = [F.sum(F.col("_n") * p[j] * p[k]).alias(f"m{j}_{k}") for j in range(d) for k in range(d)]
+    first = known.agg(F.sum("_n").alias("n"), *(F.sum(F.col("_n") * p[k]).alias(f"t{k}") for k in range(d)), *moments).first()
+    whole = first.n or 0.0
+    # Domains that no document can belong to have no share.
+    share = [targets[x] if whole and first[f"t{k}"] > 0 else 0.0 for k, x in enumerate(domains)]
+    share = [w / (sum(share) or 1.0) for w in share]
+    scale = [max(w, 1e-3) for w in share]
+    steep = max((sum(first[f"m{j}_{k}"] / math.sqrt(scale[j] * scale[k]) for k in range(d)) / whole for j in range(d)), default=1.0) if whole else 1.0
     past: list[list[float]] = []
     momentum: list[float] = []
     t, before, calm = 1.0, None, 0
-    root = math.sqrt(PULL / (1 + PULL))
+    root, rate = math.sqrt(PULL / (steep + PULL)), 1 / (steep + PULL)
     for _ in range(rounds if whole else 0):
-        y = _replay(F.col("_p"), past, momentum, ahead=True)
+        y = _replay(F.col("_p"), past, momentum, rate, ahead=True)
         rows = known.select("_n", "_p", y.alias("_y"))
-        got = rows.agg(*(F.sum(F.col("_y") * F.col("_n") * F.element_at("_p", k + 1)).alias(f"t{k}") for k in range(len(domains)))).first()
-        e = [got[k] / whole - share[k] for k in range(len(domains))]
-        still = before is not None and all(abs(a - b) < close * max(s, 1e-5) for a, b, s in zip(e, before, share))
-        calm = calm + 1 if still else 0
+        got = rows.agg(*(F.sum(F.col("_y") * F.col("_n") * p[k]).alias(f"t{k}") for k in range(d))).first()
+        e = [(got[k] / whole - share[k]) / scale[k] for k in range(d)]
+        calm = calm + 1 if before is not None and all(abs(a - b) < close for a, b in zip(e, before)) else 0
         if calm == CALM:
             break
         nxt = (1 + math.sqrt(1 + 4 * t * t)) / 2
         past.append(e)
         momentum.append(min((t - 1) / nxt, (1 - root) / (1 + root)))
         t, before = nxt, e
-    return past, momentum
+    return past, momentum, rate
 
 
 def lifted(known: DataFrame, targets: dict[str, float], keep: str) -> dict[str, float]:
@@ -150,7 +219,15 @@ def lifted(known: DataFrame, targets: dict[str, float], keep: str) -> dict[str,
     return {d: 1 - rest if d == keep else rest * (v / others if others else 1 / (len(targets) - 1)) for d, v in targets.items()}
 
 
-def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], keep: str | None = None) -> DataFrame:
+def cells(rows: DataFrame, domains: list[str]) -> DataFrame:
+    """Tokens _n and mean memberships _p of the grid's cells that hold documents."""
+    grid = F.transform("_p", lambda x: F.round(x * GRID).cast("int"))
+    sums = [F.sum(F.col("_n") * F.element_at("_p", k + 1)).alias(f"s{k}") for k in range(len(domains))]
+    held = rows.filter("_n > 0").groupBy(grid.alias("_g")).agg(F.sum("_n").alias("_n"), *sums)
+    return held.select("_n", F.array(*(F.col(f"s{k}") / F.col("_n") for k in range(len(domains)))).alias("_p"))
+
+
+def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], keep: str | None = None, carry: list[str] | None = None) -> DataFrame:
     """``docs`` with n_tokens, posteriors (domains in order of name), rate and copies.
 
     ``labelled`` has doc_id and domain; of several labels of one document the largest
@@ -158,32 +235,43 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], keep: s
     empty texts have no tokens, so any rate is free and theirs follows from their
     probabilities as others' do. ``copies`` is the rate rounded down or up by a hash of
     doc_id and text, so that its mean is the rate. Domains without labelled documents
-    get probability 0; without any labels all domains are equally likely. Documents for
-    which ``keep`` is the likeliest domain get one copy at least, and its target is
-    raised to its share of ``docs`` where it lies below.
+    get probability 0, and their targets take no part; without any labels all domains
+    are equally likely. Documents for which ``keep`` is the likeliest domain get one copy
+    at least, and its target is raised to its share of ``docs`` where it lies below.
+    Of ``docs`` the columns ``carry`` (all, if not given) are returned, whatever their
+    names; those named like the new ones are replaced.
     """
+    new = ("n_tokens", "posteriors", "rate", "copies")
+    carry = [c for c in (docs.columns if carry is None else carry) if c not in new]
+    row = F.struct(*(F.col(f"`{c}`") for c in carry)) if carry else F.struct(F.lit(0).alias("_"))
+    mixed = _mixed(docs, row, "text" in carry, labelled, targets, keep)
+    return mixed.select(*(F.col("_row").getField(c).alias(c) for c in carry), *(F.col(k) for k in new))
+
+
+def _mixed(docs: DataFrame, row: Column, inside: bool, labelled: DataFrame, targets: dict[str, float], keep: str | None) -> DataFrame:
+    """_row (``row`` of ``docs``), n_tokens, posteriors, rate, copies; ``inside`` says that the row holds the text."""
     domains = sorted(targets)
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    measured = stored(features(base).select("doc_id", "_n", "_x"), "mix-features")
-    probable = posterior(fit_classifier(measured, labelled), domains)
-    cells = stored(measured.groupBy(probable.alias("_p")).agg(F.sum("_n").alias("_n")), "mix-memberships")
-    past, momentum = fit_rates(cells, targets if keep is None else lifted(cells, targets, keep))
-    rows = features(docs).withColumn("_p", probable)
-    rows = rows.withColumn("_r", _replay(F.col("_p"), past, momentum, ahead=False))
     chance = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / float(1 << 30)
-    copies = F.floor(F.col("_r") + chance).cast("long")
+    rows = features(docs.select(row.alias("_row"), F.col("doc_id").cast("long").alias("doc_id"), "text", chance.alias("_chance")))
+    # The text is stored once: in the row, or beside it.
+    measured = stored(rows.select("_row", "doc_id", "_n", "_x", "_chance", *([] if inside else ["text"])), "mix-features")
+    text = F.coalesce(F.col("_row").getField("text") if inside else F.col("text"), F.lit(""))
+    known = fit_classifier(measured.withColumn("_text", text), labelled, domains)
+    probable = stored(known.scored(measured, text).select("_row", "_n", "_chance", "_p"), "mix-memberships")
+    discard(measured)
+    grid = stored(cells(probable, domains), "mix-cells")
+    past, momentum, step = fit_rates(grid, targets if keep is None else lifted(grid, targets, keep))
+    discard(grid)
+    probable = probable.withColumn("_r", _replay(F.col("_p"), past, momentum, step, ahead=False))
+    copies = F.floor(F.col("_r") + F.col("_chance")).cast("long")
     if keep is not None:
         likeliest = F.element_at("_p", domains.index(keep) + 1) >= F.array_max("_p")
         copies = F.when(likeliest, F.greatest(copies, F.lit(1).cast("long"))).otherwise(copies)
-    new = {"n_tokens": F.col("_n").cast("long"), "posteriors": F.col("_p"), "rate": F.col("_r"), "copies": copies}
-    return rows.select(*(F.col(c) for c in docs.columns if c not in new), *(v.alias(k) for k, v in new.items()))
+    return probable.select("_row", F.col("_n").cast("long").alias("n_tokens"), F.col("_p").alias("posteriors"), F.col("_r").alias("rate"), copies.alias("copies"))
 
 
 def resample(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], keep: str | None = None) -> DataFrame:
     """``docs``, all columns unchanged, each row as often as mix() says."""
-    rows = docs.select(F.struct(*docs.columns).alias("_row"), "doc_id", "text")
-    mixed = mix(rows, labelled, targets, keep)
-    # No filter on copies: it would be pushed down to the scan, with all it is made of
-    # written out anew for each use.
+    mixed = _mixed(docs, F.struct("*"), True, labelled, targets, keep)
     many = F.explode_outer(F.array_repeat(F.lit(1), F.col("copies").cast("int"))).alias("_copy")
     return mixed.select("_row", many).filter("_copy IS NOT NULL").select("_row.*")

@@ -349,12 +349,10 @@ def test_soft_mixing(spark):
     n = np.array([x.n_tokens for x in got], float)
     p, rate = np.array([x.posteriors for x in got]), np.array([x.rate for x in got])
     # Brute force: the same least squares by plain projected gradient on all rows.
-    w, y = np.array([0.95, 0.05]), np.ones(len(n))
-    for _ in range(20_000):
-        e = (y * n) @ p / n.sum() - w
-        y = np.maximum(0, y - 0.5 * (p @ e + soft_mixing.PULL * (y - 1)))
-    assert np.abs((rate * n) @ p / n.sum() - (y * n) @ p / n.sum()).max() < 5e-3
-    assert np.abs((rate * n) @ p / n.sum() - w).max() < 0.02
+    w = np.array([0.95, 0.05])
+    y = best_rates(p, n, w)
+    assert np.abs(((rate * n) @ p - (y * n) @ p) / n.sum() / w).max() < 0.02
+    assert np.abs((rate * n) @ p / n.sum() / w - 1).max() < 0.03
     assert all(int(x.rate) <= x.copies <= int(x.rate) + 1 for x in got)
     again = soft_mixing.resample(docs, labels, targets)
     assert again.columns == docs.columns and again.count() == sum(x.copies for x in got)
@@ -363,20 +361,49 @@ def test_soft_mixing(spark):
     assert {tuple(x.posteriors) for x in flat} == {(0.5, 0.5)}
 
 
+def best_rates(p, n, w):
+    """Brute force: the same least squares by plain projected gradient on all rows."""
+    y, step = np.ones(len(n)), 0.9 / (np.linalg.eigvalsh((p * (n / n.sum())[:, None]).T @ p / np.sqrt(np.outer(w, w))).max() + soft_mixing.PULL)
+    for _ in range(20_000):
+        e = ((y * n) @ p / n.sum() - w) / w
+        y = np.maximum(0, y - step * (p @ e + soft_mixing.PULL * (y - 1)))
+    return y
+
 
 def test_mixing_converges_for_small_targets(spark):
-    cells = [(1 - k / 256, k / 256, 1e6 / (1 + k) ** 1.5 + (8e4 if k > 250 else 0)) for k in range(257)]
-    p, n = np.array([c[:2] for c in cells]), np.array([c[2] for c in cells])
-    known = spark.createDataFrame([([a, b], c) for a, b, c in cells], "_p array<double>, _n double").coalesce(1).cache()
-    for poor in (0.07, 0.01):
-        w = np.array([1 - poor, poor])
-        past, momentum = soft_mixing.fit_rates(known, {"fine": w[0], "poor": w[1]})
-        rate = {tuple(r._p): r.r for r in known.select("_p", soft_mixing._replay(F.col("_p"), past, momentum, ahead=False).alias("r")).collect()}
-        got = np.array([rate[tuple(x)] for x in p])
-        y = np.ones(len(n))
-        for _ in range(20_000):
-            y = np.maximum(0, y - 0.5 * (p @ ((y * n) @ p / n.sum() - w) + soft_mixing.PULL * (y - 1)))
-        assert np.abs(((got - y) * n) @ p / n.sum() / w).max() < 0.01
+    rng = np.random.default_rng(4)
+    p = rng.dirichlet([0.6, 0.1, 0.2, 0.03], 400)
+    n = rng.integers(1, 2000, 400).astype(float)
+    known = spark.createDataFrame([(a.tolist(), float(c)) for a, c in zip(p, n)], "_p array<double>, _n double").coalesce(1).cache()
+    for w in ([0.7, 0.1, 0.18, 0.02], [0.8, 0.02, 0.17, 0.01]):
+        past, momentum, step = soft_mixing.fit_rates(known, dict(zip("abcd", w)))
+        got = [r.r for r in known.select(soft_mixing._replay(F.col("_p"), past, momentum, step, ahead=False).alias("r")).collect()]
+        totals = (np.array(got) * n) @ p / n.sum()
+        assert np.abs(totals / np.array(w) - 1).max() < 0.01, totals
+        assert np.abs(((got - best_rates(p, n, np.array(w))) * n) @ p / n.sum() / w).max() < 0.005
+
+
+def test_domains_told_apart_by_words_and_met(spark):
+    r = random.Random(17)
+    texts, labels = [], []
+    for k in range(600):
+        own = [r.choice(VOCABULARY) for _ in range(r.randint(20, 90))]
+        toxic, poor = k % 7 == 0, k % 5 == 0
+        if toxic:
+            own[r.randrange(len(own))] = "vile,"
+        texts.append((k, (" | " if poor else " ").join(own)))
+        labels.append((k, ("poor" if poor else "fine") + ("_toxic" if toxic else "_clean")))
+    targets = {"fine_clean": 0.75, "fine_toxic": 0.05, "poor_clean": 0.17, "poor_toxic": 0.03, "unseen": 0.4}
+    docs = frame(spark, texts).withColumns({"copies": F.lit("old"), "_n": F.lit(1), "a.b": F.lit(2)})
+    got = soft_mixing.mix(docs, spark.createDataFrame(labels[:400], "doc_id long, domain string"), targets)
+    assert got.columns == [*(c for c in docs.columns if c != "copies"), "n_tokens", "posteriors", "rate", "copies"]
+    rows = got.collect()
+    names = sorted(targets)
+    want = dict(labels)
+    assert sum(names[int(np.argmax(x.posteriors))] == want[x.doc_id] for x in rows) >= 0.95 * len(rows)
+    n, p, rate = (np.array(v, float) for v in zip(*((x.n_tokens, x.posteriors, x.rate) for x in rows)))
+    totals = (rate * n) @ p / n.sum()
+    assert np.abs(totals[:4] / np.array([0.75, 0.05, 0.17, 0.03]) - 1).max() < 0.01 and totals[4] == 0
 
 
 def test_kept_domain_stays_whole(spark):
