@@ -1,4 +1,9 @@
-"""A training-corpus pipeline over ``documents``, stage by stage."""
+"""A training-corpus pipeline over ``documents``, stage by stage.
+
+Stages take and return the columns of ``documents``; others are dropped. A null text is
+an empty one, a row without doc_id a document like any other (the oldest of all where
+age counts), an empty table passes through. n_chars follows the text when lines go.
+"""
 
 from __future__ import annotations
 
@@ -37,10 +42,11 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Documents that the classifier takes for fine stand there once at least, and the weight
     of fine text is its share of this stage's input where that is above the target.
     """
-    from factgraph.llm.registry import MIX_TARGETS, label_domains
+    from factgraph.llm.registry import QUALITY_TARGETS, label_domains
     from factgraph.llm.soft_mixing import resample
 
-    return resample(docs, label_domains(spark.read.parquet(f"{sf_dir}/labels.parquet")), MIX_TARGETS, keep="fine").select(*COLUMNS)
+    labels = label_domains(spark.read.parquet(f"{sf_dir}/labels.parquet"), toxicity=False)
+    return resample(docs, labels, QUALITY_TARGETS, keep="fine").select(*COLUMNS)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -64,11 +70,12 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages in turn, each one's result written as Parquet and read again."""
-    from factgraph.llm.common import stored
-
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = stored(docs, f"pipeline-{name}")
-    return docs
+    from factgraph.llm.common import discard, stored
+
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if before is not None:
+            discard(before)
+        before = docs
+    return STAGES[-1][1](spark, docs, sf_dir)
