@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -41,10 +41,52 @@ def multiset_difference(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.exceptAll(b).withColumn("side", F.lit("left")).unionByName(b.exceptAll(a).withColumn("side", F.lit("right")))
 
 
-def at_k(rows: DataFrame, k: int, by: str, position: str = "position", relevant: str = "relevant") -> DataFrame:
-    """Precision and recall of the first ``k`` positions of each group."""
-    hit = F.col(relevant) & (F.col(position) <= k)
-    return rows.groupBy(by).agg(
-        (F.sum(hit.cast("long")) / F.least(F.lit(k), F.count("*"))).alias("precision"),
-        F.try_divide(F.sum(hit.cast("long")).cast("double"), F.sum(F.col(relevant).cast("long")).cast("double")).alias("recall"),
+def multiset_intersection(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Rows that both sides have, as often as the one that has fewer of them."""
+    return a.intersectAll(b)
+
+
+def set_overlap(rows: DataFrame, key: str, a: str, b: str) -> DataFrame:
+    """For each key, how many of the distinct values of ``a`` are values of ``b`` too, and how many are not."""
+    sets = rows.groupBy(key).agg(F.collect_set(a).alias("_a"), F.collect_set(b).alias("_b"))
+    return sets.select(key, F.size(F.array_intersect("_a", "_b")).cast("long").alias("n_both"), F.size(F.array_except("_a", "_b")).cast("long").alias("n_left"))
+
+
+def first_of(rows: DataFrame, by: str, order: list[Column], k: int) -> DataFrame:
+    """The first ``k`` rows of each group with their position; keys are compared one after another, never added up."""
+    placed = rows.withColumn("position", F.row_number().over(Window.partitionBy(by).orderBy(*order)).cast("long"))
+    return placed.filter(F.col("position") <= k)
+
+
+def dedup_by(rows: DataFrame, skeleton: Column, first: Column, name: str = "skeleton") -> DataFrame:
+    """One row for each skeleton, with the smallest ``first`` of those that share it and how many they are."""
+    return rows.groupBy(skeleton.alias(name)).agg(F.min(first).alias("first"), F.count("*").alias("n"))
+
+
+def at_k(rows: DataFrame, k: int, by: str, order: list[Column], relevant: Column) -> DataFrame:
+    """Precision and recall of the first ``k`` rows of each group; the others are counted, not ranked."""
+    rows = rows.withColumn("_hit", relevant.cast("long"))
+    whole = rows.groupBy(by).agg(F.count("*").alias("_n"), F.sum("_hit").alias("_all"))
+    top = first_of(rows, by, order, k).groupBy(F.col(by).alias("_by")).agg(F.sum("_hit").alias("_top"))
+    both = whole.join(top, F.col(by).eqNullSafe(F.col("_by")))
+    hits = F.col("_top").cast("double")
+    return both.select(by, (hits / F.least(F.lit(k), F.col("_n"))).alias("precision"), F.try_divide(hits, F.col("_all").cast("double")).alias("recall"))
+
+
+def percentiles(rows: DataFrame, by: str, value: str, shares: dict[str, float]) -> DataFrame:
+    """Nearest-rank percentiles, median, largest value and number of each group's values.
+
+    Values are counted first, so a group is a list of its distinct values, ranked by
+    running counts; no group's values are held in one buffer.
+    """
+    counts = rows.filter(F.col(value).isNotNull()).groupBy(by, value).agg(F.count("*").alias("_c"))
+    group = Window.partitionBy(by)
+    run = counts.withColumns({"_to": F.sum("_c").over(group.orderBy(value)), "_n": F.sum("_c").over(group)})
+    at = lambda rank: F.min(F.when(F.col("_to") >= rank, F.col(value)))
+    found = run.groupBy(F.col(by).alias("_by")).agg(
+        *(at(F.greatest(F.ceil(F.col("_n") * s), F.lit(1))).alias(n) for n, s in shares.items()),
+        ((at(F.ceil(F.col("_n") / 2)) + at(F.floor(F.col("_n") / 2) + 1)) / 2).alias("med"),
+        F.max(value).alias("most"),
     )
+    n = rows.groupBy(by).agg(F.count("*").alias("n"))
+    return n.join(found, F.col(by).eqNullSafe(F.col("_by")), "left").drop("_by")

@@ -36,9 +36,9 @@ def class_witness(rows: DataFrame, source, classes: tuple[str, ...], node: str,
 
 
 def keyed(rows: DataFrame, domain: str = "row") -> DataFrame:
-    """``rows`` with row_key, a digest of all columns in order that keeps null and empty apart."""
-    parts = [F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("-")) for c in rows.columns]
-    return rows.withColumn("row_key", F.sha2(F.concat_ws("\x00", F.lit(domain), *parts), 256))
+    """``rows`` with row_key, a digest of all columns in order; lengths keep values and nulls apart."""
+    parts = [F.coalesce(F.concat(F.octet_length(c).cast("string"), F.lit(":"), F.col(c)), F.lit("-")) for c in rows.columns]
+    return rows.withColumn("row_key", F.sha2(F.concat_ws(",", F.lit(domain), *parts).cast("binary"), 256))
 
 
 def certificates(witnesses: DataFrame) -> DataFrame:

@@ -191,7 +191,10 @@ class _Builder:
         for p in self.plan.projections:
             out[p.id] = out[p.entity] if p.kind == "node" else self.source.render(F.col(p.id), self.space[p.id])
         names = [p.id for p in self.plan.projections] + [e.id for e in self.plan.entities]
-        return self.df.select(*(out[n].alias(n) for n in names)).distinct()
+        # Rows are told apart by their keys; tokens are written afterwards.
+        keys = list(self.space)
+        held = self.df.select(*keys).distinct() if keys else self.df.limit(1)
+        return held.select(*(out[n].alias(n) for n in names))
 
     def start(self, entity: str, use) -> None:
         nodes, self.space[entity] = self.selected(use.key)
@@ -250,8 +253,9 @@ class _Builder:
         how = "inner" if p.required else "left"
         self.space[p.id] = r.dst
         if entity in self.bound:
-            rows = self.equal(rows, "src", r.src, self.bound[entity]).select(F.lit(1).alias("_j"), p.id)
-            self.df = self.df.withColumn("_j", F.lit(1)).join(rows, "_j", how).drop("_j")
+            # A scalar field: a second value already fails the run, so two are enough.
+            rows = self.equal(rows, "src", r.src, self.bound[entity]).select(p.id).distinct().limit(2)
+            self.df = self.df.join(F.broadcast(rows), F.lit(True), how)
             return
         both = self.meet(F.col(entity), self.space[entity], F.col("src"), r.src)
         if both is None:

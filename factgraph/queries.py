@@ -286,7 +286,7 @@ def _customers(b):
     b.edge(b.lens(c, S("Customer")), TD + "customer-nation", n).node(c, "customer").node(n, "nation")
 
 
-_KEY = "sha256('row' || chr(0) || '=' || customer || chr(0) || '=' || nation)"
+_KEY = "sha256('row,' || strlen(customer) || ':' || customer || ',' || strlen(nation) || ':' || nation)"
 _BASE = f"SELECT {_tok('customer', 'c_custkey')} AS customer, {_N} AS nation, c_nationkey, c_custkey, c_name FROM customer JOIN nation ON c_nationkey = n_nationkey"
 
 
@@ -384,16 +384,15 @@ def multiset_diff(spark, sf_dir):
 
 @query(f"({_NA}) INTERSECT ALL ({_NB})")
 def multiset_intersect(spark, sf_dir):
-    a, b = _nations(spark, sf_dir)
-    return a.intersectAll(b)
+    return metrics.multiset_intersection(*_nations(spark, sf_dir))
 
 
 @query("""WITH a AS (SELECT DISTINCT l_orderkey AS k, l_partkey AS v FROM lineitem), b AS (SELECT DISTINCT l_orderkey AS k, l_suppkey AS v FROM lineitem)
 SELECT o.k AS orderkey, (SELECT count(*) FROM a WHERE a.k = o.k AND a.v IN (SELECT v FROM b WHERE b.k = o.k)) AS n_both,
 (SELECT count(*) FROM a WHERE a.k = o.k AND a.v NOT IN (SELECT v FROM b WHERE b.k = o.k)) AS n_left FROM (SELECT DISTINCT l_orderkey AS k FROM lineitem) o""")
 def array_overlap(spark, sf_dir):
-    own = spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy(F.col("l_orderkey").alias("orderkey")).agg(F.collect_set("l_partkey").alias("a"), F.collect_set("l_suppkey").alias("b"))
-    return own.select("orderkey", F.size(F.array_intersect("a", "b")).cast("long").alias("n_both"), F.size(F.array_except("a", "b")).cast("long").alias("n_left"))
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").withColumnRenamed("l_orderkey", "orderkey")
+    return metrics.set_overlap(rows, "orderkey", "l_partkey", "l_suppkey")
 
 
 MENTIONS = ("brand#11", "customer#000000005", " Building ", "nothing like it", "machinery", "region 1", "")
@@ -432,7 +431,7 @@ def card_ranking(spark, sf_dir):
 @query("SELECT event_type, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95, median(value) AS med, max(value) AS most, count(*) AS n FROM events GROUP BY event_type")
 def latency_percentiles(spark, sf_dir):
     rows = spark.read.parquet(f"{sf_dir}/events.parquet")
-    return rows.groupBy("event_type").agg(metrics.nearest_rank("value", 0.5).alias("p50"), metrics.nearest_rank("value", 0.95).alias("p95"), F.median("value").alias("med"), F.max("value").alias("most"), F.count("*").alias("n"))
+    return metrics.percentiles(rows, "event_type", "value", {"p50": 0.5, "p95": 0.95})
 
 
 @query("""SELECT event_type, h AS hour, CAST(grouping(event_type) * 2 + grouping(h) AS BIGINT) AS level, count(*) AS n, CAST(sum(user_id) AS BIGINT) AS total, max(user_id) AS most, quantile_disc(user_id, 0.95) AS p95
@@ -531,20 +530,20 @@ def late_fusion(spark, sf_dir):
 
 @query("SELECT o_orderpriority AS grp, o_orderkey AS orderkey, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderstatus, o_totalprice DESC, o_orderdate, o_orderkey) AS position FROM orders QUALIFY position <= 5")
 def lexicographic_ranking(spark, sf_dir):
-    order = Window.partitionBy("grp").orderBy("o_orderstatus", F.col("o_totalprice").desc(), "o_orderdate", "o_orderkey")
-    rows = spark.read.parquet(f"{sf_dir}/orders.parquet").withColumn("grp", F.col("o_orderpriority")).withColumn("position", F.row_number().over(order).cast("long"))
-    return rows.filter("position <= 5").select("grp", F.col("o_orderkey").alias("orderkey"), "position")
+    rows = spark.read.parquet(f"{sf_dir}/orders.parquet").withColumn("grp", F.col("o_orderpriority"))
+    order = [F.col("o_orderstatus"), F.col("o_totalprice").desc(), F.col("o_orderdate"), F.col("o_orderkey")]
+    return metrics.first_of(rows, "grp", order, 5).select("grp", F.col("o_orderkey").alias("orderkey"), "position")
 
 
 @query("""WITH r AS (SELECT o_orderpriority AS grp, o_orderstatus = 'F' AS rel, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice DESC, o_orderkey) AS position FROM orders)
 SELECT grp, CAST(count(*) FILTER (WHERE rel AND position <= 100) AS DOUBLE) / least(100, count(*)) AS precision,
 CAST(count(*) FILTER (WHERE rel AND position <= 100) AS DOUBLE) / nullif(count(*) FILTER (WHERE rel), 0) AS recall FROM r GROUP BY grp""")
 def recall_at_k(spark, sf_dir):
-    order = Window.partitionBy("grp").orderBy(F.col("o_totalprice").desc(), "o_orderkey")
     rows = spark.read.parquet(f"{sf_dir}/orders.parquet").withColumn("grp", F.col("o_orderpriority"))
-    return metrics.at_k(rows.select("grp", F.row_number().over(order).alias("position"), (F.col("o_orderstatus") == "F").alias("relevant")), 100, "grp")
+    return metrics.at_k(rows, 100, "grp", [F.col("o_totalprice").desc(), F.col("o_orderkey")], F.col("o_orderstatus") == "F")
 
 
 @query("SELECT DISTINCT trim(regexp_replace(lower(p_name), '[^\\p{L}\\p{N}_]+', ' ', 'g')) AS label, min(p_partkey) OVER (PARTITION BY trim(regexp_replace(lower(p_name), '[^\\p{L}\\p{N}_]+', ' ', 'g'))) AS first_part FROM part")
 def candidate_dedup(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/part.parquet").groupBy(normal_label(F.col("p_name")).alias("label")).agg(F.min("p_partkey").alias("first_part"))
+    rows = spark.read.parquet(f"{sf_dir}/part.parquet")
+    return metrics.dedup_by(rows, normal_label(F.col("p_name")), F.col("p_partkey"), "label").select("label", F.col("first").alias("first_part"))

@@ -179,7 +179,7 @@ def write_facts(facts: DataFrame, path: str) -> None:
 
 
 def read_facts(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path).select("g", "s", "p", "o")
+    return spark.read.schema(FACTS).parquet(path).select("g", "s", "p", "o")
 
 
 def strict_json(text: str) -> Any:

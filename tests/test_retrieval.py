@@ -109,7 +109,13 @@ def test_metrics_and_profiles(spark):
     assert df.agg(metrics.nearest_rank("v", 0.95).alias("p")).first().p == 10
     assert metrics.multiset_difference(df, df).count() == 0 and metrics.multiset_difference(df, df.limit(1)).count() == 2
     at = spark.createDataFrame([("q", 1, True), ("q", 2, False), ("q", 3, True)], "q string, position int, relevant boolean")
-    assert tuple(metrics.at_k(at, 2, "q").first())[1:] == (0.5, 0.5)
+    assert tuple(metrics.at_k(at, 2, "q", [F.col("position")], F.col("relevant")).first())[1:] == (0.5, 0.5)
+    got = metrics.percentiles(spark.createDataFrame([("a", v) for v in (4, 1, 2, 2)] + [("b", None)], "g string, v int"), "g", "v", {"p25": 0.25, "p50": 0.5, "p95": 0.95})
+    assert {tuple(r) for r in got.collect()} == {("a", 4, 1, 2, 4, 2.0, 4), ("b", 1, None, None, None, None, None)}
+    assert {tuple(r) for r in metrics.dedup_by(df, F.col("g"), F.col("v")).collect()} == {("a", 1, 2), ("b", 10, 1)}
+    assert metrics.multiset_intersection(df, df.limit(1)).count() == 1
+    pairs = spark.createDataFrame([("k", 1, 2), ("k", 2, 3)], "k string, a int, b int")
+    assert tuple(metrics.set_overlap(pairs, "k", "a", "b").first()) == ("k", 1, 1)
     bands = spark.createDataFrame([(n,) for n in (0, 1, 2, 10, 11, 100, 101)], "n int").select(profile.band(F.col("n")).alias("b"))
     assert [r.b for r in bands.collect()] == ["0", "1", "2-10", "2-10", "11-100", "11-100", ">100"]
     own = facts(spark)
