@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import gc
-import os
 import tempfile
 import uuid
 
@@ -15,16 +14,19 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new folder name below the folder that ``spark.checkpoint.dir`` names.
 
-    Driver and executors both reach it. Where the setting is absent (tests on
-    one machine), a temporary folder takes its place.
+    Driver and executors both reach it. A path without scheme is one of the default file
+    system. Where the setting is absent and Spark runs in one process (tests), a temporary
+    folder takes its place; a cluster must name one.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="factgraph-")
         spark.conf.set("spark.checkpoint.dir", base)
-    if "://" not in base and not base.startswith("file:"):
-        base = "file://" + os.path.abspath(base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}")
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
 
 
 def open_fs(uri: str):
