@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from collections import Counter
 from dataclasses import replace
 from pathlib import Path
 
@@ -14,7 +15,8 @@ from factgraph.engine import Engine, render_result
 from factgraph.errors import AuthorizationError, GraphError, PlanError, PolicyError
 from factgraph.functions import terms
 from factgraph.functions.terms import XSD, Term
-from factgraph.operators import evidence, harness, retrieval
+from factgraph.operators import evidence, harness, metrics, profile, retrieval
+from factgraph.plans import text
 from factgraph.plans.catalog import Branch, Catalog, CatalogLimits, Overlay, Qualification, ShapeGraph, property_signature
 from factgraph.plans.query import AuthorizationScope, DatasetScope, ExecutionRequest, QueryPolicy
 from factgraph.samples import EX, HEAD, SHAPES
@@ -23,6 +25,7 @@ from factgraph.sources.turtle import facts_frame, ntriples_facts, parse_turtle,
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
+_RDF_TYPE = terms.TYPE
 _SQL_TYPE = {"string": "VARCHAR", "long": "BIGINT", "boolean": "BOOLEAN", "double": "DOUBLE"}
 
 
@@ -260,10 +263,36 @@ def catalog_selectors(spark):
     return [(short(own.lens(s.lens).shape)[1:-1], s.kind, " ".join(map(short, s.classes)), " ".join(map(short, s.targets))) for s in own.selectors]
 
 
-@cases("limits string, shape string, code string", [("default", "OddShape", "target_class_non_iri"), ("default", "OddShape", "path_unsupported"), ("path 1", "OddShape", "target_class_non_iri"), ("path 1", "OddShape", "path_unsupported"), ("path 1", "TownShape", "path_depth_exceeded")])
+@cases("limits string, source string, shape string, code string, message string", [
+    *((k, "depot", "OddShape", c, m) for k in ("default", "path 1") for c, m in (("target_class_non_iri", "a target class that is no IRI selects nothing"), ("path_unsupported", "only a predicate or the inverse of one is a path"))),
+    ("path 1", "depot", "TownShape", "path_depth_exceeded", "the path is deeper than the limit"),
+])
 def catalog_diagnostics(spark):
     made = {"default": samples.catalog(), "path 1": samples.catalog(limits=CatalogLimits(path=1))}
-    return [(k, short(d.shape)[1:-1], d.code) for k, c in made.items() for d in c.diagnostics]
+    return [(k, d.source, short(d.shape)[1:-1], d.code, d.message) for k, c in made.items() for d in c.diagnostics]
+
+
+@cases("fixtures string, accepted boolean", [("of the whole graph", True), ("of each record", True), ("missing for a record", False), ("empty for a record", False), ("twice for a record", False), ("not known", False), ("none at all", False), ("no owner", False), ("unknown behavior", False), ("record twice", False)])
+def qualification_fixtures(spark):
+    records = (("s", "selector", "x"), ("s", "property", "y"))
+    make = lambda owner="o", rs=records, ids=("a", "b"), own=(): Qualification(owner, "1", rs, ids, own)
+    made = {
+        "of the whole graph": make, "of each record": lambda: make(own=(("a",), ("a", "b"))), "missing for a record": lambda: make(own=(("a",),)), "empty for a record": lambda: make(own=(("a",), ())), "twice for a record": lambda: make(own=(("a",), ("b", "b"))), "not known": lambda: make(own=(("a",), ("c",))),
+        "none at all": lambda: make(ids=()), "no owner": lambda: make(owner=""), "unknown behavior": lambda: make(rs=(("s", "guess", "x"),)), "record twice": lambda: make(rs=records + records[:1]),
+    }
+    return [(k, accepted(v)) for k, v in made.items()]
+
+
+@cases("step long, lenses long, files long", [(1, 6, 1), (2, 7, 2), (3, 6, 2)])
+def catalog_publication(spark):
+    """The current catalog of a folder is swapped whole; older ones stay for who still reads them."""
+    one, two, out = samples.catalog(), samples.catalog(samples.source(), samples.source(HEAD + "d:A a sh:NodeShape .", source_id="more")), []
+    with tempfile.TemporaryDirectory() as folder:  # the driver's own, for this call
+        for n, c in enumerate((one, two, one), 1):
+            c.publish(folder)
+            now = Catalog.published(folder)
+            out.append((n, len(now.lenses) if now == c else -1, len(list(Path(folder).glob("*.json")))))
+    return out
 
 
 @cases("source string, lenses long, usable_selectors long, usable_properties long, scalar_properties long", [
@@ -452,6 +481,45 @@ def plan_size(spark):
     return [(k, engine.compile(samples.build(own, v)).nodes) for k, v in made.items()]
 
 
+@cases("plan string, text string", [
+    ("towns", f'SELECT DISTINCT ?shown0 ?entity0 ?entity1 WHERE {{ VALUES ?entity1 {{ <oslo> }} VALUES ?selector0 {{ <Depot> }} ?entity0 <{_RDF_TYPE}> ?selector0 . ?entity0 <in> ?entity1 . ?entity1 <{_RDF_TYPE}> <Town> . ?entity0 <label> ?shown0 . }}'),
+    ("ask", f"ASK {{ VALUES ?entity1 {{ <oslo> }} VALUES ?selector0 {{ <Depot> }} ?entity0 <{_RDF_TYPE}> ?selector0 . ?entity0 <in> ?entity1 . ?entity1 <{_RDF_TYPE}> <Town> . }}"),
+    ("union", f"SELECT DISTINCT ?entity0 WHERE {{ {{ VALUES ?selector0 {{ <Hub> }} ?entity0 <{_RDF_TYPE}> ?selector0 . }} UNION {{ VALUES ?entity0 {{ <north> }} }} }}"),
+    ("equal", f'SELECT DISTINCT ?entity0 WHERE {{ VALUES ?selector0 {{ <Depot> }} ?entity0 <{_RDF_TYPE}> ?selector0 . ?entity0 <label> ?filter0 . FILTER(sameTerm(?filter0, "a \\"b\\" }}")) }}'),
+    ("optional enumeration", f"SELECT DISTINCT ?shown0 ?entity0 WHERE {{ VALUES ?selector0 {{ <Depot> }} ?entity0 <{_RDF_TYPE}> ?selector0 . OPTIONAL {{ ?entity0 <state> ?shown0 . VALUES ?shown0 {{ <Open> <Shut> }} }} }}"),
+    ("inverse", f"SELECT DISTINCT ?entity0 ?entity1 WHERE {{ VALUES ?entity1 {{ <south> }} VALUES ?selector0 {{ <Town> }} ?entity0 <{_RDF_TYPE}> ?selector0 . ?entity1 <in> ?entity0 . ?entity1 <{_RDF_TYPE}> <Depot> . }}"),
+])
+def plan_text(spark):
+    """Plans as graph queries, read back before they are shown."""
+    engine, own = samples.engine(spark), samples.catalog()
+    made = {"towns": (samples.towns, "select"), "ask": (samples.linked("DepotShape", "in", "oslo"), "ask"), "union": (samples.selected("MixedShape"), "select"), "equal": (samples.equal("LabelShape", "label", Term.literal('a "b" }')), "select"), "optional enumeration": (samples.with_field("DepotShape", "state", required=False), "select"), "inverse": (samples.linked("TownShape", "in", "south", inverse=True), "select")}
+    return [(k, short(engine.explain_plan(samples.build(own, fill, kind)).text)) for k, (fill, kind) in made.items()]
+
+
+@cases("pair string, same_skeleton boolean", [("other town", True), ("other value", True), ("other property", False), ("optional field", False)])
+def plan_skeletons(spark):
+    """Candidates that differ in bound entities and compared values only are one."""
+    engine, own = samples.engine(spark), samples.catalog()
+    town = lambda n: samples.linked("DepotShape", "in", n)
+    equal = lambda n, v: samples.equal("LabelShape", n, Term.literal(v) if n != "opened" else Term.literal(v, XSD + "integer"))
+    field = lambda required: samples.with_field("LabelShape", "motto", required)
+    pairs = {"other town": (town("oslo"), town("rome")), "other value": (equal("label", "a"), equal("label", "b")), "other property": (equal("label", "1"), equal("opened", "1")), "optional field": (field(True), field(False))}
+    key = lambda fill: text.skeleton(engine.prepare(samples.build(own, fill)))
+    return [(k, key(a) == key(b)) for k, (a, b) in pairs.items()]
+
+
+@cases("outcome string, n long", [("another plan", 6), ("unsupported", 5)])
+def plan_mutations(spark):
+    """Plans one change away from a good one: each is refused or another plan, never the same."""
+    engine, own = samples.engine(spark), samples.catalog()
+    raw = samples.build(own, samples.towns)
+    base, met = engine.prepare(raw).digest, Counter()
+    for _, changed in text.mutations(raw, own):
+        ok = accepted(lambda r=changed: engine.prepare(r))
+        met["unsupported" if not ok else "the same plan" if engine.prepare(changed).digest == base else "another plan"] += 1
+    return list(met.items())
+
+
 # Outcomes
 
 
@@ -462,6 +530,10 @@ class _Broken(FactsTable):
         raise RuntimeError("store is gone")
 
 
+def _interrupted(compiled, wanted):
+    raise RuntimeError("job was cancelled by another")
+
+
 def _facts(spark, text: str = samples.DATA, graph: str | None = None) -> DataFrame:
     return facts_frame(spark, parse_turtle(text), graph).coalesce(1)
 
@@ -470,6 +542,7 @@ def _facts(spark, text: str = samples.DATA, graph: str | None = None) -> DataFra
     ("depots in a town", "selected", 2, False, "complete"), ("one example", "selected", 1, True, "incomplete"), ("examples enough", "selected", 4, False, "complete"), ("no depot there", "no_match", 0, False, "complete"), ("yes", "boolean", 0, False, "complete"), ("no", "no_match", 0, False, "complete"),
     ("more rows than allowed", "policy_limited", None, None, None), ("more examples than allowed", "policy_limited", None, None, None), ("request of another type", "unsupported", None, None, None), ("cancelled", "failed", None, None, None), ("source breaks", "failed", None, None, None),
     ("two labels", "failed", 0, False, "unknown"), ("value outside its contract", "failed", 0, False, "unknown"), ("literal as entity", "failed", 0, False, "unknown"), ("blank node", "failed", 0, False, "unknown"), ("result too large", "failed", 0, False, "unknown"), ("deadline", "failed", 0, False, "unknown"), ("stale catalog", "unsupported", None, None, None),
+    ("untrusted source", "unsupported", None, None, None), ("semantics not reviewed", "unsupported", None, None, None), ("malformed answer", "failed", 0, False, "unknown"), ("interrupted", "failed", 0, False, "unknown"),
 ])
 def engine_outcomes(spark):
     """Every kind of outcome; what goes wrong is never an answer."""
@@ -485,9 +558,15 @@ def engine_outcomes(spark):
         "two labels": (raw(samples.with_field("LabelShape", "label")), None, {}), "value outside its contract": (raw(samples.with_field("TownShape", "size")), None, {}), "literal as entity": (raw(samples.linked("DepotShape", "feeds")), None, {}),
         "blank node": (every, None, {"source": FactsTable(_facts(spark, samples.DATA + "[] a d:Depot ."))}), "result too large": (towns, None, policy(max_result_bytes=10)), "deadline": (towns, None, policy(timeout_seconds=0.001)), "stale catalog": (every | {"catalog_revision": "sha256:0"}, None, {}),
     }
+    untrusted, bare = samples.catalog(samples.source(trust="untrusted")), samples.catalog(samples.source(behaviors=("selector",)))
+    odd = spark.createDataFrame([(None, "junk", f"<{_RDF_TYPE}>", f"<{EX}Depot>")], "g string, s string, p string, o string")
+    runs |= {"untrusted source": (samples.build(untrusted, samples.towns), None, {"own": untrusted}), "semantics not reviewed": (samples.build(bare, samples.towns), None, {"own": bare}), "malformed answer": (every, None, {"source": FactsTable(odd)}), "interrupted": (every, None, {})}
     out = []
     for name, (plan, request, parts) in runs.items():
-        got = engine(**parts).execute_plan(plan, request)
+        own_engine = engine(**parts)
+        if name == "interrupted":
+            own_engine.fetch = _interrupted
+        got = own_engine.execute_plan(plan, request)
         p = getattr(got, "packet", None)
         out.append((name, got.kind, *((p.row_count, p.more, p.completeness) if p else (None,) * 3)))
     return out
@@ -521,7 +600,6 @@ def _inverse(b) -> None:
     b.edge(b.lens(e, EX + "TownShape"), EX + "in", depot, inverse=True).node(e, "town")
 
 
-_TYPE = "http://www.w3.org/1999/02/22-rdf-syntax-ns#type"
 _FACTS = {  # run: (row, atom, kind, status, facts)
     "towns": [
         *((d, *rest) for d, label in (("north", "North"), ("west", "West")) for rest in (
@@ -539,7 +617,7 @@ def engine_evidence(spark):
     for name, fill in (("towns", samples.towns), ("mixed", _mixed), ("inverse", _inverse)):
         got = engine.execute_plan(samples.build(own, fill))
         by_id = {w.id: w for w in got.packet.witnesses}
-        say = lambda w: f"{short(w.subject.token)} {'a' if w.predicate == _TYPE else short(w.predicate)} {short(w.object.token)}"
+        say = lambda w: f"{short(w.subject.token)} {'a' if w.predicate == _RDF_TYPE else short(w.predicate)} {short(w.object.token)}"
         for row, c in zip(got.rows, got.packet.certificates):
             out += [(name, short(row.values[-1].value), s.atom, s.kind, s.status, "; ".join(say(by_id[i]) for i in s.witnesses)) for s in c.supports]
     return out
@@ -550,7 +628,7 @@ def _witness_sql(atom: str, s: str, p: str, o: str) -> str:
     return f"SELECT {_literal(atom)} AS atom, {_literal(s)} AS s, 'sha256:' || sha256({_literal('7:witness:' + text)}) AS id"
 
 
-_NORTH = [("selector0", f"<{EX}north>", _TYPE, f"<{EX}Depot>"), ("edge0", f"<{EX}north>", EX + "in", f"<{EX}oslo>"), ("edge0", f"<{EX}oslo>", _TYPE, f"<{EX}Town>"), ("shown0", f"<{EX}north>", EX + "label", '"North"')]
+_NORTH = [("selector0", f"<{EX}north>", _RDF_TYPE, f"<{EX}Depot>"), ("edge0", f"<{EX}north>", EX + "in", f"<{EX}oslo>"), ("edge0", f"<{EX}oslo>", _RDF_TYPE, f"<{EX}Town>"), ("shown0", f"<{EX}north>", EX + "label", '"North"')]
 
 
 @query(" UNION ALL ".join(_witness_sql(*x) for x in [*_NORTH, *((a, s.replace("north", "west"), p, o.replace("North", "West")) for a, s, p, o in _NORTH if s != f"<{EX}oslo>")]))
@@ -574,6 +652,17 @@ def evidence_row_keys(spark, sf_dir):
     return spark.createDataFrame([(n, r.key, c.row_key == r.key) for n, (r, c) in enumerate(zip(got.rows, got.packet.certificates))], "position int, row_key string, certified boolean")
 
 
+@cases("depot string, atom string, status string, fact string, certified boolean", [(d, a, st, f, True) for d, label in (("north", "North"), ("west", "West")) for a, st, f in (("selector0", "witnessed", f"<{d}> <{_RDF_TYPE}> <Depot>"), ("edge0", "witnessed", f"<{d}> <in> <oslo>"), ("edge0", "witnessed", f"<oslo> <{_RDF_TYPE}> <Town>"), ("shown0", "witnessed", f'<{d}> <label> "{label}"'), ("shown1", "derived", None))])
+def packet_rows(spark):
+    """A packet as a table of supports, and as JSON that reads back."""
+    got = samples.engine(spark).execute_plan(samples.build(samples.catalog(), samples.towns))
+    raw = strict_json(terms.canonical_json(evidence.packet_record(got.packet)))
+    depot = {r.key: short(r.values[-1].value) for r in got.rows}
+    known = {c["row_key"]: c["id"] for c in raw["certificates"]}
+    rows = evidence.packet_supports(spark, got.packet).collect()  # bounded by the result's rows
+    return [(depot[r.row_key], r.atom, r.status, r.s and f"{short(r.s)} <{short(r.p)}> {short(r.o)}", known[r.row_key] == r.certificate) for r in rows]
+
+
 _CHANGES = ("support missing", "support twice", "support derived", "field unbound", "certificate twice", "certificates swapped", "row count", "more rows", "plan digest", "query digest", "catalog revision", "policy revision", "authorization", "dataset", "not completed", "completeness", "packet id", "witness missing", "witness changed", "witness asserted", "witness of another run", "boolean set", "row missing", "row key", "row without entities", "witness not in the data")
 
 
@@ -606,7 +695,7 @@ def fact_probe(spark):
     """Single facts looked up in their physical direction."""
     source = samples.engine(spark).source
     iri = lambda n: Term.iri(EX + n)
-    asked = {"north in oslo": (iri("north"), EX + "in", iri("oslo")), "oslo in north": (iri("oslo"), EX + "in", iri("north")), "north in rome": (iri("north"), EX + "in", iri("rome")), "west a Hub": (iri("west"), _TYPE, iri("Hub")), "north a Hub": (iri("north"), _TYPE, iri("Hub")), 'south label South "S"': (iri("south"), EX + "label", Term.literal('South "S"')), "north none oslo": (iri("north"), EX + "none", iri("oslo"))}
+    asked = {"north in oslo": (iri("north"), EX + "in", iri("oslo")), "oslo in north": (iri("oslo"), EX + "in", iri("north")), "north in rome": (iri("north"), EX + "in", iri("rome")), "west a Hub": (iri("west"), _RDF_TYPE, iri("Hub")), "north a Hub": (iri("north"), _RDF_TYPE, iri("Hub")), 'south label South "S"': (iri("south"), EX + "label", Term.literal('South "S"')), "north none oslo": (iri("north"), EX + "none", iri("oslo"))}
     return [(k, evidence.facts_exist(spark, source, (evidence.Witness("w", "run", "a", s, p, o),))) for k, (s, p, o) in asked.items()]
 
 
@@ -624,11 +713,13 @@ def approved_cards(spark):
     return [(r.kind, short(r.shape), r.label) for r in retrieval.approved_cards(samples.catalog(), spark.createDataFrame(rows, _NOTE)).collect()]
 
 
-@cases("intents string, accepted boolean", [("one for each atom", True), ("one missing", False), ("one twice", False), ("one for no atom", False), ("not named", False)])
+@cases("intents string, accepted boolean", [("one for each atom", True), ("one missing", False), ("one twice", False), ("one for no atom", False), ("not named", False), ("of their kinds", True), ("of another kind", False)])
 def intent_coverage(spark):
     raw = samples.build(samples.catalog(), samples.towns)
     atoms = [{"atom": x["id"]} for part in ("selectors", "edges", "filters", "projections") for x in raw[part]]
     made = {"one for each atom": atoms, "one missing": atoms[1:], "one twice": atoms + atoms[:1], "one for no atom": [*atoms, {"atom": "none"}], "not named": [*atoms[1:], {"atom": None}]}
+    kinds = [{"atom": x["id"], "kind": retrieval.INTENT_OF[part]} for part in retrieval.INTENT_OF for x in raw[part]]
+    made |= {"of their kinds": kinds, "of another kind": [kinds[0] | {"kind": "output"}, *kinds[1:]]}
     return [(k, accepted(lambda v=v: retrieval.check_coverage(v, raw))) for k, v in made.items()]
 
 
@@ -676,6 +767,105 @@ def template_slots(spark):
     return out
 
 
+@cases("mentions string, accepted boolean", [("whole words", True), ("another text", False), ("outside", False), ("overlapping", False), ("part of a word", False), ("blanks around", False)])
+def span_checks(spark):
+    """Mentions stand in the question where they say they do."""
+    q = "Depots in Oslo or Rome?"
+    made = {"whole words": {"a": (10, 14, "Oslo"), "b": (18, 22, "Rome")}, "another text": {"a": (10, 14, "oslo")}, "outside": {"a": (18, 99, "Rome?")}, "overlapping": {"a": (10, 14, "Oslo"), "b": (10, 17, "Oslo or")}, "part of a word": {"a": (10, 13, "Osl")}, "blanks around": {"a": (9, 14, " Oslo")}}
+    return [(k, accepted(lambda v=v: retrieval.check_spans(q, v))) for k, v in made.items()]
+
+
+@cases("mention string, any_type string, town string", [("north", "resolved", "unsupported"), ("Oslo!", "resolved", "resolved"), ("second", "resolved", "unsupported"), ("<http://depot.test/rome>", "resolved", "resolved"), ("paris", "unsupported", "unsupported")])
+def typed_entities(spark):
+    """Mentions by label or IRI, of any node and of towns only."""
+    source = samples.engine(spark).source
+    labels = source.relation(EX + "label").rows.groupBy(F.col("src").alias("iri")).agg(F.collect_list(F.regexp_replace("dst", '^"|"$', "")).alias("names"))
+    asked = spark.createDataFrame([("north",), ("Oslo!",), ("second",), ("<http://depot.test/rome>",), ("paris",)], "mention string")
+    towns = source.members(EX + "Town")[0].select(F.col("node").alias("iri"))
+    every, some = ({r.mention: r.status for r in retrieval.resolve_entities(asked, labels, t).collect()} for t in (None, towns))
+    return [(m, every[m], some[m]) for m in every]
+
+
+_WORDS = "list_distinct(list_filter(string_split(trim(regexp_replace(lower({}), '[^\\p{{L}}\\p{{N}}_]+', ' ', 'g')), ' '), lambda x: len(x) > 2))"
+
+
+@query(f"""WITH c AS (SELECT 'part/' || p_partkey AS key, p_name, p_type FROM part), w AS (SELECT key, unnest({_WORDS.format('p_name')}) AS word, 3.0 AS w FROM c UNION ALL SELECT key, unnest({_WORDS.format('p_type')}), 1.0 FROM c),
+i AS (SELECT word, key, CAST(sum(w) AS DOUBLE) AS weight FROM w WHERE word <> 'with' GROUP BY ALL), s AS (SELECT key, sum(weight) AS score FROM i WHERE word IN ('large', 'polished', 'steel', 'part') GROUP BY key)
+SELECT key, score, row_number() OVER (ORDER BY score DESC, key) AS position FROM s ORDER BY score DESC, key LIMIT 40""")
+def lexical_index(spark, sf_dir):
+    """Cards found by their words, a label's counting more than a type's."""
+    cards = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.concat(F.lit("part/"), "p_partkey").alias("key"), "p_name", "p_type")
+    return retrieval.search_index(retrieval.lexical_index(cards, {"p_name": 3, "p_type": 1}), "the large polished steel part", 40)
+
+
+@query("""WITH q AS (SELECT CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id = 0), e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id IN (SELECT doc_id FROM labels WHERE quality = 1))
+SELECT vec_id, round(list_cosine_similarity(e.v, q.v), 9) AS score FROM e, q ORDER BY list_cosine_similarity(e.v, q.v) DESC, vec_id LIMIT 10""")
+def embedding_suggestions(spark, sf_dir):
+    """Neighbours by vector among what a plan has confirmed."""
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    like = vectors.filter("vec_id = 0").first()["embedding"]
+    fine = spark.read.parquet(f"{sf_dir}/labels.parquet").filter("quality = 1").select(F.col("doc_id").alias("vec_id"))
+    found = retrieval.suggest(vectors, F.array(*(F.lit(float(x)) for x in like)), fine, 10, "vec_id", "embedding")
+    return found.withColumn("score", F.round("score", 9))
+
+
+@query("SELECT p_partkey AS partkey, trim(regexp_replace(lower(p_name || '--' || p_brand), '[^\\p{L}\\p{N}]+', ' ', 'g')) AS signature FROM part")
+def label_signatures(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/part.parquet")
+    return rows.select(F.col("p_partkey").alias("partkey"), retrieval.label_signature(F.concat("p_name", F.lit("--"), "p_brand")).alias("signature"))
+
+
+@query("SELECT o_orderpriority AS grp, CAST(count(DISTINCT o_custkey) AS DOUBLE) / count(*) AS diversity FROM (SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderdate, o_orderkey) AS n FROM orders) x WHERE n <= 50 GROUP BY o_orderpriority")
+def diversity_at_k(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/orders.parquet").withColumn("grp", F.col("o_orderpriority"))
+    return metrics.diversity_at(rows, 50, "grp", [F.col("o_orderdate"), F.col("o_orderkey")], F.col("o_custkey"))
+
+
+# Profiles
+
+
+_FP = "SELECT '<urn:td:customer/' || c_custkey || '>' AS s, '<urn:td:nation>' AS p, '<urn:td:nation/' || c_nationkey || '>' AS o FROM customer UNION ALL SELECT '<urn:td:document/' || doc_id || '>', '<urn:td:says>', '\"x\"@' || lang FROM documents WHERE doc_id IS NOT NULL AND lang IS NOT NULL UNION ALL SELECT '<urn:td:part/' || p_partkey || '>', '<urn:td:size>', '\"' || p_size || '\"' || CASE WHEN p_size % 7 = 0 THEN '' ELSE '^^<http://www.w3.org/2001/XMLSchema#integer>' END FROM part"
+
+
+def _profiled(spark, sf_dir) -> DataFrame:
+    t = lambda n: spark.read.parquet(f"{sf_dir}/{n}.parquet")
+    node = lambda kind, c: F.concat(F.lit(f"<urn:td:{kind}/"), F.col(c).cast("string"), F.lit(">"))
+    fact = lambda df, s, p, o: df.select(s.alias("s"), F.lit(f"<urn:td:{p}>").alias("p"), o.alias("o"))
+    size = F.concat(F.lit('"'), F.col("p_size").cast("string"), F.when(F.col("p_size") % 7 == 0, '"').otherwise(f'"^^<{XSD}integer>'))
+    says = fact(t("documents").filter("doc_id IS NOT NULL AND lang IS NOT NULL"), node("document", "doc_id"), "says", F.concat(F.lit('"x"@'), "lang"))
+    return fact(t("customer"), node("customer", "c_custkey"), "nation", node("nation", "c_nationkey")).unionByName(says).unionByName(fact(t("part"), node("part", "p_partkey"), "size", size))
+
+
+@query(f"SELECT p, degree, count(*) AS n_values FROM (SELECT p, o, count(DISTINCT s) AS degree FROM ({_FP}) f GROUP BY p, o) g GROUP BY p, degree")
+def profile_fan_in(spark, sf_dir):
+    return profile.fan_in(_profiled(spark, sf_dir))
+
+
+@query(f"SELECT p, nullif(regexp_extract(o, '@([a-z-]+)$', 1), '') AS language, count(*) AS n_facts FROM ({_FP}) f WHERE o LIKE '\"%' GROUP BY ALL")
+def profile_languages(spark, sf_dir):
+    return profile.languages(_profiled(spark, sf_dir))
+
+
+@query(f"SELECT p, s, o, position, n_odd FROM (SELECT p, s, o, row_number() OVER (PARTITION BY p ORDER BY s, o) AS position, count(*) OVER (PARTITION BY p) AS n_odd FROM ({_FP}) f WHERE p = '<urn:td:size>' AND o NOT LIKE '%integer>') x WHERE position <= 3")
+def profile_counterexamples(spark, sf_dir):
+    """Facts that are not what a contract expects, the first few of each predicate."""
+    expected = spark.createDataFrame([("<urn:td:size>", "literal", XSD + "integer"), ("<urn:td:nation>", "iri", None), ("<urn:td:says>", "literal", None)], "p string, o_kind string, datatype string")
+    return profile.counterexamples(_profiled(spark, sf_dir), expected)
+
+
+@cases("cls string", [("<Harbour>",), ("<Quay>",)])
+def profile_empty_classes(spark):
+    asked = spark.createDataFrame([(f"<{EX}{c}>",) for c in ("Depot", "Harbour", "Town", "Quay", "Quay")], "cls string")
+    return [(short(r.cls),) for r in profile.empty_classes(_facts(spark), asked).collect()]
+
+
+@query("SELECT o_orderpriority AS priority, CASE WHEN count(*) = 0 THEN '0' WHEN count(*) = 1 THEN '1' WHEN count(*) <= 10 THEN '2-10' WHEN count(*) <= 100 THEN '11-100' ELSE '>100' END AS n FROM orders GROUP BY o_orderpriority, o_orderstatus")
+def profile_disclosed(spark, sf_dir):
+    """Counts as bands, a local column and one without a class left out."""
+    counts = spark.read.parquet(f"{sf_dir}/orders.parquet").groupBy(F.col("o_orderpriority").alias("priority"), F.col("o_orderstatus").alias("status")).agg(F.count("*").alias("n"), F.max("o_orderkey").alias("note"))
+    return profile.disclosed(counts, {"priority": "exact", "status": "local_only", "n": "bucketed"})
+
+
 @cases("start string, goal string, path string", [("DepotShape", "TownShape", "DepotShape TownShape"), ("TownShape", "LabelShape", "TownShape LabelShape"), ("DepotShape", "LabelShape", "DepotShape TownShape LabelShape"), ("LabelShape", "TownShape", ""), ("DepotShape", "NoShape", ""), ("TownShape", "TownShape", "TownShape")])
 def connecting_paths(spark):
     own = samples.catalog()
@@ -724,27 +914,49 @@ def paired_ratio(spark):
     return [tuple(r) for r in harness.paired_ratio(pairs, "a", "b").collect()]
 
 
-_ATTEMPT = "run long, supported boolean, faithful boolean, status string, calls long, seconds double, cost double, required_cards array<string>, candidate_cards array<string>, expected_entities array<string>, entities array<string>, failure string"
+_ATTEMPT = "run long, expected string, status string, correct boolean, critical boolean, covered boolean, valid boolean, calls long, seconds double, cost double, tokens long, flat_tokens long, direct_correct boolean, required_cards array<string>, candidate_cards array<string>, expected_entities array<string>, entities array<string>, expected_intents array<string>, intents array<string>"
 
 
 def _attempts(spark) -> DataFrame:
     rows = [
-        (1, True, True, "completed", 1, 1.0, 0.25, ["a", "b"], ["a"], ["e"], ["e"], None), (1, True, False, "unsupported", 2, 2.0, 0.5, ["a"], ["a"], ["e"], [], "coverage"), (1, True, False, "completed", 1, 4.0, 0.25, ["c"], ["c", "d"], ["e", "f"], ["f"], "plan"),
-        (2, False, False, "unsupported", 2, 9.0, 0.25, [], [], [], [], "coverage"),
+        (1, "completed", "completed", True, True, True, True, 1, 1.0, 0.25, 10, 40, True, ["a", "b"], ["a"], ["e"], ["e"], ["i", "j"], ["i"]),
+        (1, "completed", "unsupported", False, True, False, False, 2, 2.0, 0.5, 20, 40, False, ["a"], ["a"], ["e"], [], ["i"], []),
+        (1, "completed", "completed", False, False, True, True, 1, 4.0, 0.25, 30, 40, None, ["c"], ["c", "d"], ["e", "f"], ["f"], ["i", "j"], ["j", "k", "l"]),
+        (2, "unsupported", "unsupported", False, False, True, False, 3, 9.0, 0.25, 40, 40, True, [], [], [], [], [], []),
     ]
     return spark.createDataFrame(rows, _ATTEMPT)
 
 
-@cases("run long, n long, faithful_coverage double, unsupported_precision double, unsupported_recall double, false_completions long, card_recall double, entity_accuracy double, most_calls long, p50_seconds double, p95_seconds double, mean_cost double", [
-    (None, 4, 1 / 3, 0.5, 1.0, 1, 0.75, 0.5, 2, 2.0, 9.0, 0.3125), (1, 3, 1 / 3, 0.0, None, 1, 0.75, 0.5, 2, 2.0, 4.0, 1 / 3), (2, 1, None, 1.0, 1.0, 0, None, None, 2, 9.0, 9.0, 0.25),
+_REPORT = "run long, n long, intent_recall double, intent_precision double, internal_coverage double, card_recall double, entity_accuracy double, plan_validity double, faithful_coverage double, critical_coverage double, completed_precision double, unsupported_precision double, unsupported_recall double, false_completions long, most_calls long, p50_seconds double, p95_seconds double, mean_cost double, token_reduction double, direct_accuracy double"
+
+
+@cases(_REPORT, [
+    (None, 4, 0.5, 0.5, 0.75, 2 / 3, 0.5, 1.0, 1 / 3, 0.5, 0.5, 0.5, 1.0, 1, 3, 3.0, 9.0, 0.3125, 0.375, 2 / 3), (1, 3, 0.5, 0.5, 2 / 3, 2 / 3, 0.5, 1.0, 1 / 3, 0.5, 0.5, 0.0, None, 1, 2, 2.0, 4.0, 1 / 3, 0.5, 0.5),
+    (2, 1, None, None, 1.0, None, None, None, None, None, None, 1.0, 1.0, 0, 3, 9.0, 9.0, 0.25, 0.0, 1.0),
 ])
 def planner_metrics(spark):
     return [tuple(r) for r in harness.planner_report(_attempts(spark), ["run"]).collect()]
 
 
-@cases("failure string, n long", [("coverage", 2), ("plan", 1)])
+_PASS = ("plan_validity", "unsupported_recall", "mean_cost", "most_calls")
+_VALUE = {"intent_recall": 0.5, "intent_precision": 0.5, "internal_coverage": 0.75, "card_recall": 2 / 3, "entity_accuracy": 0.5, "plan_validity": 1.0, "faithful_coverage": 1 / 3, "critical_coverage": 0.5, "completed_precision": 0.5, "unsupported_precision": 0.5, "unsupported_recall": 1.0, "false_completions": 1.0, "most_calls": 3.0, "p95_seconds": 9.0, "mean_cost": 0.3125}
+
+
+@cases("gate string, value double, ok boolean", [(g, v, g in _PASS) for g, v in _VALUE.items()])
+def planner_gates(spark):
+    report = harness.planner_report(_attempts(spark), ["run"]).filter("run IS NULL")
+    limits = dict.fromkeys(harness.AT_LEAST, 0.9) | {"false_completions": 0, "most_calls": 3, "p95_seconds": 5.0, "mean_cost": 0.5}
+    return [(r.gate, r.value, r.ok) for r in harness.planner_gates(report, limits).collect()]
+
+
+@cases("failure string, n long", [("coverage_rejected", 1), ("false_completion", 1), ("false_defer", 1), ("cards_missed", 1), ("too_many_calls", 1), ("too_slow", 1), ("direct_wrong", 1), ("direct_not_reviewed", 1)])
+def failure_categories(spark):
+    return [tuple(r) for r in harness.failure_categories(_attempts(spark), 2, 5.0).collect()]
+
+
+@cases("status string, n long", [("completed", 2), ("unsupported", 2)])
 def failure_counts(spark):
-    return [tuple(r) for r in harness.failure_counts(_attempts(spark)).collect()]
+    return [tuple(r) for r in harness.failure_counts(_attempts(spark), "status").collect()]
 
 
 @query("SELECT TRUE AS same_again, TRUE AS other_seed_differs, count(*) AS n FROM nation")

@@ -21,6 +21,7 @@ from factgraph.operators.evidence import Packet, ResultRow, certify, check_packe
 from factgraph.plans.catalog import Catalog, CatalogLimits, Overlay, ShapeSource
 from factgraph.plans.compiler import Compiled, compile_plan, oriented
 from factgraph.plans.query import AuthorizationScope, DatasetScope, ExecutionRequest, Plan, QueryPolicy, authorize, canonical, normalize, validate
+from factgraph.plans.text import query_text
 from factgraph.sources.facts import FactsTable
 
 
@@ -75,6 +76,7 @@ class Explanation:
     query_digest: str
     atoms: tuple[str, ...]
     columns: tuple[str, ...]
+    text: str
     physical: str
 
 
@@ -117,7 +119,7 @@ class Engine:
     def explain_plan(self, raw) -> Explanation:
         c = self.compile(raw)
         text = c.rows._jdf.queryExecution().simpleString()
-        return Explanation(c.plan, c.plan.digest, c.query_digest, c.plan.atoms, (*c.public, *c.entities), text)
+        return Explanation(c.plan, c.plan.digest, c.query_digest, c.plan.atoms, (*c.public, *c.entities), query_text(c.plan, self.catalog), text)
 
     def execute_plan(self, raw, request: ExecutionRequest | None = None, execution_id: str | None = None) -> Outcome:
         request = request or ExecutionRequest()

@@ -85,6 +85,23 @@ class Packet:
         return digest("query-result", {n: getattr(self, n) for n in names})
 
 
+def packet_record(packet: Packet) -> dict:
+    """A packet as plain JSON data."""
+    return asdict(packet)
+
+
+def packet_supports(spark: SparkSession, packet: Packet) -> DataFrame:
+    """row_key, certificate, atom, kind, status, witness, s, p, o of every support, to be written as any table; bounded by the result's rows."""
+    by_id = {w.id: w for w in packet.witnesses}
+    rows = []
+    for c in packet.certificates:
+        for x in c.supports:
+            for i in x.witnesses or (None,):
+                w = by_id.get(i)
+                rows.append((c.row_key, c.id, x.atom, x.kind, x.status, i, *((w.subject.token, w.predicate, w.object.token) if w else (None,) * 3)))
+    return spark.createDataFrame(rows, "row_key string, certificate string, atom string, kind string, status string, witness string, s string, p string, o string")
+
+
 def row_key(values: tuple[Term | None, ...], bindings: tuple[tuple[str, Term], ...]) -> str:
     return digest("row", [[v and v.json() for v in values], [[e, t.json()] for e, t in bindings]])
 

@@ -85,29 +85,66 @@ def paired_ratio(pairs: DataFrame, a: str, b: str) -> DataFrame:
 def planner_report(attempts: DataFrame, by: list[str]) -> DataFrame:
     """Metrics of planning attempts, over all and for each value of each column in ``by``.
 
-    ``attempts``: supported and faithful (booleans), status, calls, seconds, cost, and the
-    arrays required_cards, candidate_cards, expected_entities, entities.
+    ``attempts``: expected and status (completed, unsupported, ...), correct, critical,
+    covered and valid (booleans), calls, seconds, cost, tokens and flat_tokens (numbers),
+    direct_correct (null: not reviewed), and the arrays required_cards, candidate_cards,
+    expected_entities, entities, expected_intents, intents. Shares over nothing are null.
     """
-    done = F.col("status") == "completed"
-    refused = F.col("status") == "unsupported"
-    share = lambda n, d: F.try_divide(F.sum(n).cast("double"), F.sum(d).cast("double"))
+    done, refused = F.col("status") == "completed", F.col("status") == "unsupported"
+    wanted, unwanted = F.col("expected") == "completed", F.col("expected") == "unsupported"
     flag = lambda c: F.when(c, 1).otherwise(0)
-    met = F.size(F.array_intersect("required_cards", "candidate_cards"))
+    share = lambda n, d: F.try_divide(F.sum(n).cast("double"), F.sum(d).cast("double"))
+    of = lambda n, d: share(flag(n & d), flag(d))
+    both = lambda a, b: F.size(F.array_intersect(a, b))
+    over = lambda c, size: F.when(c, size).otherwise(0)
     return attempts.groupingSets([[], *([F.col(c)] for c in by)], *by).agg(
         F.count("*").alias("n"),
-        share(flag(F.col("supported") & done & F.col("faithful")), flag(F.col("supported"))).alias("faithful_coverage"),
-        share(flag(refused & ~F.col("supported")), flag(refused)).alias("unsupported_precision"),
-        share(flag(refused & ~F.col("supported")), flag(~F.col("supported"))).alias("unsupported_recall"),
-        F.sum(flag(done & ~F.col("faithful"))).alias("false_completions"),
-        share(met, F.size("required_cards")).alias("card_recall"),
-        share(F.size(F.array_intersect("expected_entities", "entities")), F.size("expected_entities")).alias("entity_accuracy"),
+        share(over(done, both("expected_intents", "intents")), over(done, F.size("expected_intents"))).alias("intent_recall"),
+        share(over(done, both("expected_intents", "intents")), over(done, F.size("intents"))).alias("intent_precision"),
+        share(flag(F.col("covered")), F.lit(1)).alias("internal_coverage"),
+        share(over(done, both("required_cards", "candidate_cards")), over(done, F.size("required_cards"))).alias("card_recall"),
+        share(both("expected_entities", "entities"), F.size("expected_entities")).alias("entity_accuracy"),
+        of(F.col("valid"), done).alias("plan_validity"),
+        of(F.col("correct"), wanted).alias("faithful_coverage"),
+        of(F.col("correct"), wanted & F.col("critical")).alias("critical_coverage"),
+        of(F.col("correct"), done).alias("completed_precision"),
+        of(unwanted, refused).alias("unsupported_precision"),
+        of(refused, unwanted).alias("unsupported_recall"),
+        F.sum(flag(done & (~wanted | ~F.col("correct")))).alias("false_completions"),
         F.max("calls").alias("most_calls"),
-        nearest_rank("seconds", 0.5).alias("p50_seconds"),
+        F.median("seconds").alias("p50_seconds"),
         nearest_rank("seconds", 0.95).alias("p95_seconds"),
         F.avg("cost").alias("mean_cost"),
+        (1 - F.try_divide(F.sum("tokens").cast("double"), F.sum("flat_tokens").cast("double"))).alias("token_reduction"),
+        F.try_divide(F.sum(flag(F.col("direct_correct"))).cast("double"), F.count("direct_correct").cast("double")).alias("direct_accuracy"),
     )
 
 
+#: Metrics that must reach their threshold, and those that must not pass it.
+AT_LEAST = ("intent_recall", "intent_precision", "internal_coverage", "card_recall", "entity_accuracy", "plan_validity", "faithful_coverage", "critical_coverage", "completed_precision", "unsupported_precision", "unsupported_recall")
+AT_MOST = ("false_completions", "most_calls", "p95_seconds", "mean_cost")
+
+
+def planner_gates(report: DataFrame, thresholds: Mapping[str, float]) -> DataFrame:
+    """gate, value, threshold and ok for each gate of each row of a planner_report(); a metric over nothing fails."""
+    each = [(n, F.col(n) >= thresholds[n]) for n in AT_LEAST] + [(n, F.col(n) <= thresholds[n]) for n in AT_MOST]
+    gates = F.array(*(F.struct(F.lit(n).alias("gate"), F.col(n).cast("double").alias("value"), F.lit(float(thresholds[n])).alias("threshold"), F.coalesce(ok, F.lit(False)).alias("ok")) for n, ok in each))
+    by = [c for c in report.columns if c not in {"n", "p50_seconds", "token_reduction", "direct_accuracy", *AT_LEAST, *AT_MOST}]
+    return report.select(*by, F.explode(gates).alias("g")).select(*by, "g.*")
+
+
+def failure_categories(attempts: DataFrame, most_calls: int, p95_seconds: float) -> DataFrame:
+    """How many attempts fell into each category of failure; an attempt may fall into several."""
+    done, wanted = F.col("status") == "completed", F.col("expected") == "completed"
+    missed = F.size(F.array_except("required_cards", "candidate_cards")) > 0
+    kinds = {
+        "coverage_rejected": ~F.col("covered"), "false_completion": done & ~F.col("correct"), "false_defer": wanted & ~done, "wrong_disposition": ~(done & ~F.col("correct")) & ~wanted & (F.col("status") != F.col("expected")),
+        "cards_missed": missed, "too_many_calls": F.col("calls") > most_calls, "too_slow": F.col("seconds") > p95_seconds, "direct_wrong": ~F.col("direct_correct"), "direct_not_reviewed": F.col("direct_correct").isNull(),
+    }
+    met = F.array_compact(F.array(*(F.when(c, F.lit(n)) for n, c in kinds.items())))
+    return attempts.select(F.explode(met).alias("failure")).groupBy("failure").agg(F.count("*").alias("n"))
+
+
 def failure_counts(attempts: DataFrame, column: str = "failure") -> DataFrame:
     return attempts.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("n"))
 

@@ -90,3 +90,9 @@ def percentiles(rows: DataFrame, by: str, value: str, shares: dict[str, float])
     )
     n = rows.groupBy(by).agg(F.count("*").alias("n"))
     return n.join(found, F.col(by).eqNullSafe(F.col("_by")), "left").drop("_by")
+
+
+def diversity_at(rows: DataFrame, k: int, by: str, order: list[Column], what: Column) -> DataFrame:
+    """Of the first ``k`` rows of each group, the share that differ in ``what``."""
+    top = first_of(rows.withColumn("_w", what), by, order, k)
+    return top.groupBy(by).agg((F.count_distinct("_w") / F.count("*")).alias("diversity"))

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from factgraph.functions.terms import TYPE, effective_datatype, token_kind
+from factgraph.functions.terms import TYPE, effective_datatype, token_kind, token_language
 
 
 def band(n: Column) -> Column:
@@ -45,3 +45,51 @@ def cooccurrence(facts: DataFrame, predicates: list[str]) -> DataFrame:
 def observed(facts: DataFrame) -> DataFrame:
     """What each predicate joins: kinds and datatypes of its ends."""
     return facts.groupBy("p", token_kind(F.col("s")).alias("s_kind"), token_kind(F.col("o")).alias("o_kind"), effective_datatype(F.col("o")).alias("datatype")).agg(F.count("*").alias("n_facts"))
+
+
+def fan_in(facts: DataFrame) -> DataFrame:
+    """Values of each predicate by the number of nodes that have them."""
+    each = facts.groupBy("p", "o").agg(F.count_distinct("s").alias("degree"))
+    return each.groupBy("p", "degree").agg(F.count("*").alias("n_values"))
+
+
+def languages(facts: DataFrame) -> DataFrame:
+    """Literals of each predicate by language; null for those without one."""
+    own = facts.filter(token_kind(F.col("o")) == "literal")
+    return own.groupBy("p", token_language(F.col("o")).alias("language")).agg(F.count("*").alias("n_facts"))
+
+
+def empty_classes(facts: DataFrame, classes: DataFrame) -> DataFrame:
+    """Of ``classes`` (cls) those that no node has."""
+    met = facts.filter(F.col("p") == f"<{TYPE}>").select(F.col("o").alias("cls"))
+    return classes.select("cls").distinct().join(met, "cls", "left_anti")
+
+
+def counterexamples(facts: DataFrame, expected: DataFrame, k: int = 3) -> DataFrame:
+    """For each predicate in ``expected`` (p, o_kind, datatype), its facts of another kind or datatype: how many, and the first ``k``."""
+    what = F.broadcast(expected.withColumnsRenamed({"o_kind": "_k", "datatype": "_d"}))  # a row for each predicate of a catalog
+    fits = (token_kind(F.col("o")) == F.col("_k")) & (F.col("_d").isNull() | (effective_datatype(F.col("o")) == F.col("_d")))
+    odd = facts.join(what, "p").filter(~F.coalesce(fits, F.lit(False)))
+    counts = odd.groupBy("p").agg(F.count("*").alias("n_odd"))
+    first = odd.withColumn("position", F.row_number().over(Window.partitionBy("p").orderBy("s", "o"))).filter(F.col("position") <= k)
+    return first.join(counts, "p").select("p", "s", "o", F.col("position").cast("long").alias("position"), "n_odd")
+
+
+DISCLOSURE = ("exact", "bucketed", "local_only", "prohibited")
+
+
+def disclosed(rows: DataFrame, classes: dict[str, str], outside: bool = True) -> DataFrame:
+    """``rows`` as they may be shown: exact columns as they are, bucketed ones as bands, local ones only if not ``outside``, others never.
+
+    A column without a class is prohibited.
+    """
+    if unknown := set(classes.values()) - set(DISCLOSURE):
+        raise ValueError(f"no disclosure classes: {sorted(unknown)}")
+    shown = []
+    for c in rows.columns:
+        kind = classes.get(c, "prohibited")
+        if kind == "exact" or kind == "local_only" and not outside:
+            shown.append(F.col(c))
+        elif kind == "bucketed":
+            shown.append(band(F.col(c)).alias(c))
+    return rows.select(*shown)

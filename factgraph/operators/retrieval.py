@@ -56,11 +56,21 @@ def rank_cards(cards: DataFrame, question: Column, limit: int = 24, group: str =
     return top.withColumn("position", F.row_number().over(Window.orderBy(*order)).cast("long"))  # at most ``limit`` rows
 
 
-def resolve_entities(mentions: DataFrame, labels: DataFrame) -> DataFrame:
+def label_signature(text: Column) -> Column:
+    """Labels are alike if their letters and digits are: lower case, one blank for whatever else lies between."""
+    return F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "))
+
+
+def resolve_entities(mentions: DataFrame, labels: DataFrame, of_type: DataFrame | None = None) -> DataFrame:
     """mention, status (resolved, ambiguous, unsupported) and iri of each mention.
 
-    ``labels`` has iri and an array of names; names match by their words, exactly.
+    ``labels`` has iri and an array of names; names match by their words, exactly. A
+    mention that is an IRI in angle brackets stands for itself if a label has it. With
+    ``of_type`` (iri) only its nodes are meant.
     """
+    if of_type is not None:
+        labels = labels.join(of_type.select("iri"), "iri", "left_semi")
+    labels = labels.withColumn("names", F.concat("names", F.array(F.concat(F.lit("<"), F.regexp_replace("iri", "^<|>$", ""), F.lit(">")))))
     names = labels.select("iri", F.explode("names").alias("name")).select("iri", normal_label(F.col("name")).alias("_n")).filter("_n <> ''").distinct()
     asked = mentions.select("mention").distinct().withColumn("_n", normal_label(F.col("mention")))
     found = asked.join(names, "_n", "left").groupBy("mention").agg(F.count("iri").alias("n"), F.min("iri").alias("one"))
@@ -68,14 +78,59 @@ def resolve_entities(mentions: DataFrame, labels: DataFrame) -> DataFrame:
     return found.select("mention", status.alias("status"), F.when(F.col("n") == 1, F.col("one")).alias("iri"))
 
 
+#: The kind of intent that an atom of each part can serve.
+INTENT_OF = {"selectors": "population", "edges": "relation", "filters": "restriction", "projections": "output"}
+
+
 def check_coverage(intents: list[Mapping[str, Any]], raw: Mapping[str, Any]) -> None:
-    """Every intent names one plan atom, every atom serves one intent."""
+    """Every intent names one plan atom, every atom serves one intent, of its kind where the intent says one."""
+    kind = {x["id"]: INTENT_OF[part] for part in INTENT_OF for x in raw.get(part, ())}
+    if any(i.get("kind") is not None and i["kind"] != kind.get(i.get("atom")) for i in intents):
+        raise PlanError("an intent of another kind than its atom")
     atoms = Counter(x["id"] for part in ("selectors", "edges", "filters", "projections") for x in raw.get(part, ()))
     served = Counter(a for i in intents for a in ([i.get("atom")] if isinstance(i.get("atom"), str) else []))
     if len(served) != len(intents) or served != atoms:
         raise PlanError("intents and plan atoms do not match one to one")
 
 
+def check_spans(question: str, mentions: Mapping[str, tuple[int, int, str]]) -> None:
+    """Every mention is the text of its own span of the question, whole words of it, and no two overlap."""
+    last = 0
+    for start, end, text in sorted(mentions.values()):
+        if not (last <= start < end <= len(question)) or question[start:end] != text or text != text.strip():
+            raise PlanError(f"no span of the question: {text!r}")
+        if (start and question[start - 1].isalnum() and text[0].isalnum()) or (end < len(question) and question[end].isalnum() and text[-1].isalnum()):
+            raise PlanError(f"a part of a word: {text!r}")
+        last = end
+
+
+def lexical_index(cards: DataFrame, weights: Mapping[str, float]) -> DataFrame:
+    """word, key, weight: the words of each card, weighted by the fields that hold them (a field may be an array)."""
+    kind = dict(cards.dtypes)
+    text = lambda f: F.array_join(f, " ") if kind[f].startswith("array") else F.col(f)
+    parts = [cards.select("key", F.explode(words(F.coalesce(text(f), F.lit("")))).alias("word"), F.lit(float(w)).alias("w")) for f, w in weights.items()]
+    whole = parts[0]
+    for p in parts[1:]:
+        whole = whole.unionByName(p)
+    return whole.groupBy("word", "key").agg(F.sum("w").alias("weight"))
+
+
+def search_index(index: DataFrame, question: str, k: int) -> DataFrame:
+    """key, score and position of the ``k`` best cards for a question."""
+    asked = index.sparkSession.range(1).select(F.explode(words(F.lit(question))).alias("word"))
+    scored = index.join(F.broadcast(asked), "word").groupBy("key").agg(F.sum("weight").alias("score"))
+    order = [F.col("score").desc(), F.col("key")]
+    return scored.orderBy(*order).limit(k).withColumn("position", F.row_number().over(Window.orderBy(*order)).cast("long"))  # k rows
+
+
+def suggest(vectors: DataFrame, like: Column, confirmed: DataFrame, k: int, key: str = "key", vector: str = "vector") -> DataFrame:
+    """The ``k`` rows nearest to ``like`` by cosine, of those that a plan's result (``confirmed``) holds: a suggestion is never an answer by itself."""
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+    score = F.try_divide(dot(F.col(vector), like), F.sqrt(dot(F.col(vector), F.col(vector))) * F.sqrt(dot(like, like)))
+    own = vectors.join(confirmed.select(key), key, "left_semi").select(key, score.alias("score")).filter("score IS NOT NULL")
+    return own.orderBy(F.col("score").desc(), key).limit(k)
+
+
 def handles(keys: list[tuple[str, str]]) -> tuple[dict[str, str], dict[str, str]]:
     """Short names for (kind, key) pairs, and the way back."""
     letters, counts, short = {"lens": "L", "selector": "S", "property": "P", "branch": "B"}, Counter(), {}

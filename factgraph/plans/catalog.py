@@ -6,13 +6,15 @@ its content; the artifact is plain JSON, and reading it back checks that digest.
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections import Counter, defaultdict
 from collections.abc import Sequence
 from dataclasses import asdict, dataclass, field, replace
+from pathlib import Path
 
 from factgraph.errors import CatalogError, PlanError
-from factgraph.functions.terms import RDF, SH, TYPE, XSD, Term, digest
+from factgraph.functions.terms import RDF, SH, TYPE, XSD, Term, canonical_json, digest
 
 TRUST = ("trusted", "untrusted", "quarantined")
 BEHAVIORS = ("selector", "property", "scalar_projection")
@@ -50,24 +52,39 @@ class ShapeGraph:
         return out
 
 
+#: What each diagnostic means.
+MESSAGES = {
+    "target_class_non_iri": "a target class that is no IRI selects nothing",
+    "target_node_non_iri": "a target node that is no IRI is left out",
+    "path_unsupported": "only a predicate or the inverse of one is a path",
+    "path_depth_exceeded": "the path is deeper than the limit",
+}
+
+
 def _is_iri(token: str) -> bool:
     return token.startswith("<")
 
 
 @dataclass(frozen=True)
 class Qualification:
-    """Which constructs of which shapes were reviewed, and by which fixtures: (shape, behavior, signature) triples."""
+    """Which constructs of which shapes were reviewed, and by which fixtures: (shape, behavior, signature) triples.
+
+    ``by_record`` names the fixtures of each record; without it all fixtures cover all records.
+    """
 
     owner: str
     fixture_revision: str
     records: tuple[tuple[str, str, str], ...]
     fixture_ids: tuple[str, ...]
+    by_record: tuple[tuple[str, ...], ...] = ()
 
     def __post_init__(self) -> None:
         if not (self.owner and self.fixture_revision and self.fixture_ids) or len(set(self.fixture_ids)) != len(self.fixture_ids):
             raise CatalogError("qualification needs an owner, a revision and distinct fixtures")
         if len(set(self.records)) != len(self.records) or any(len(r) != 3 or r[1] not in BEHAVIORS or not all(r) for r in self.records):
             raise CatalogError("qualification records must be distinct (shape, behavior, signature)")
+        if self.by_record and (len(self.by_record) != len(self.records) or any(not own or len(set(own)) != len(own) or not set(own) <= set(self.fixture_ids) for own in self.by_record)):
+            raise CatalogError("every record needs fixtures of its own, each named once")
 
     def covers(self, shape: str, behavior: str, signature: str) -> bool:
         return (shape, behavior, signature) in self.records
@@ -216,6 +233,8 @@ class Property:
 class Diagnostic:
     shape: str
     code: str
+    source: str = ""
+    message: str = ""
 
 
 def _selector(g: ShapeGraph, shape: str) -> tuple[tuple[str, ...], tuple[str, ...], list[str]]:
@@ -389,7 +408,7 @@ class Catalog:
                 lenses.append(Lens(key, own_key, shape, source.source_id, source.executable))
                 first = len(selectors), len(properties)
                 classes, targets, codes = _selector(g, shape)
-                diagnostics += [Diagnostic(shape, c) for c in codes]
+                diagnostics += [Diagnostic(shape, c, source.source_id, MESSAGES[c]) for c in codes]
                 covers = source.qualification.covers
                 if classes or targets:
                     kind = "union" if classes and targets else "direct_type" if classes else "target_nodes"
@@ -399,7 +418,8 @@ class Catalog:
                 for p in g.values(shape, "property"):
                     path = _path(g, p)
                     if path is None or path[2] > limits.path:
-                        diagnostics.append(Diagnostic(shape, "path_unsupported" if path is None else "path_depth_exceeded"))
+                        code = "path_unsupported" if path is None else "path_depth_exceeded"
+                        diagnostics.append(Diagnostic(shape, code, source.source_id, MESSAGES[code]))
                         continue
                     n = len(properties)
                     branches = _branches(g, p, limits, f"{scope}:branch:{n}:{{}}")
@@ -416,6 +436,30 @@ class Catalog:
                     raise CatalogError("lens card has too many bytes")
         return cls(build_id, scope, tuple(lenses), tuple(selectors), tuple(properties), tuple(diagnostics))
 
+    def write(self, path: str) -> None:
+        """The artifact as a file that must not exist yet."""
+        with Path(path).open("x", encoding="utf-8") as out:
+            out.write(canonical_json(self.dump()))
+
+    @classmethod
+    def read(cls, path: str) -> "Catalog":
+        return cls.reload(json.loads(Path(path).read_text(encoding="utf-8")))
+
+    def publish(self, folder: str) -> None:
+        """Make this the current catalog of a folder: readers see the one before or this one, never a part."""
+        own = Path(folder) / f"{self.revision.removeprefix('sha256:')}.json"
+        if not own.exists():
+            part = own.with_suffix(f".{uuid.uuid4().hex}")
+            self.write(str(part))
+            part.replace(own)
+        pointer = Path(folder) / f"current.{uuid.uuid4().hex}"
+        pointer.write_text(own.name, encoding="utf-8")
+        pointer.replace(Path(folder) / "current")
+
+    @classmethod
+    def published(cls, folder: str) -> "Catalog":
+        return cls.read(str(Path(folder) / (Path(folder) / "current").read_text(encoding="utf-8")))
+
     def find(self, shape: str, predicate: str | None = None, inverse: bool = False):
         """The lens of a shape IRI, or its property for a predicate."""
         lens = next((x for x in self.lenses if x.shape == f"<{shape}>"), None)
