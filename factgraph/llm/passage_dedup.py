@@ -361,8 +361,6 @@ def _exchange(sent: DataFrame, answer, folder: str, ranges: int) -> None:
 
     ``answer`` gets the blobs of all chunks of a range and returns one for each.
     """
-    n = min(ranges, max(partitions(sent.sparkSession), 1))
-
     def groups(batches, key):
         now, rows = None, []
         for b in batches:
@@ -386,8 +384,8 @@ def _exchange(sent: DataFrame, answer, folder: str, ranges: int) -> None:
             yield pa.RecordBatch.from_arrays([pa.array([chunk])], ["chunk"])
 
     schema = "chunk long, r long, blob binary"
-    dealt = sent.repartition(n, "r").sortWithinPartitions("r", "chunk").mapInArrow(reply, schema)
-    files = dealt.repartition(n, "chunk").sortWithinPartitions("chunk", "r").mapInArrow(write, "chunk long")
+    dealt = sent.repartitionById(ranges, F.col("r").cast("int")).sortWithinPartitions("r", "chunk").mapInArrow(reply, schema)
+    files = dealt.repartition(partitions(sent.sparkSession), "chunk").sortWithinPartitions("chunk", "r").mapInArrow(write, "chunk long")
     files.agg(F.count("*")).collect()
 
 
