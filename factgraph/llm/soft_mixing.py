@@ -33,7 +33,7 @@ CALM = 3
 GRID = 64
 MAX_TRAIN = 20_000
 BINS = 16
-WORDS, LEAST_DOCS, LEAST_ODD = 64, 5, 5.0
+WORDS, LEAST_DOCS, MOST_SHARE, LEAST_ODD = 64, 5, 0.05, 5.0
 FEATURES = ("chars", "word", "bars", "shouts", "digits", "again", "lines", "upper")
 _MARKS = ".,;:!?\"'()[]|*#$%&\n\t\r"
 
@@ -114,7 +114,9 @@ def fit_classifier(measured: DataFrame, labelled: DataFrame, domains: list[str],
 
     Shares of ``BINS`` quantiles of each feature, and the ``WORDS`` words whose documents
     divide among the domains least as chance would have it: in ``LEAST_DOCS`` documents at
-    least and off by ``LEAST_ODD`` standard deviations for some domain.
+    least, in a share of ``MOST_SHARE`` at most (whether a text has a common word follows
+    from its length, and many such words say one thing many times over), and off by
+    ``LEAST_ODD`` standard deviations for some domain.
     """
     own = labelled.filter(F.col("doc_id").isNotNull() & F.col("domain").isin(*domains)).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("domain").alias("domain"))
     picked = own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)  # at most max_train rows of two short columns
@@ -135,7 +137,7 @@ def fit_classifier(measured: DataFrame, labelled: DataFrame, domains: list[str],
     table: dict[str, list[float]] = {}
     if len(known) > 1:
         held = train.select("domain", F.explode(F.array_distinct(words(F.col("_text")))).alias("w")).filter("w <> ''")
-        held = held.groupBy("w").agg(F.count("*").alias("n"), *(F.count_if(F.col("domain") == d).alias(f"n{k}") for k, d in enumerate(known))).filter(F.col("n") >= LEAST_DOCS)
+        held = held.groupBy("w").agg(F.count("*").alias("n"), *(F.count_if(F.col("domain") == d).alias(f"n{k}") for k, d in enumerate(known))).filter(F.col("n").between(LEAST_DOCS, max(LEAST_DOCS, MOST_SHARE * whole)))
         share = [stats[d]["n"] / whole for d in known]
         odd = F.greatest(*(F.abs(F.col(f"n{k}") - F.col("n") * s) / F.sqrt(F.col("n") * (s * (1 - s))) for k, s in enumerate(share)))
         best = held.withColumn("odd", odd).filter(F.col("odd") >= LEAST_ODD).orderBy(F.col("odd").desc(), "w").limit(WORDS).collect()  # at most WORDS rows
@@ -227,7 +229,7 @@ def cells(rows: DataFrame, domains: list[str]) -> DataFrame:
     return held.select("_n", F.array(*(F.col(f"s{k}") / F.col("_n") for k in range(len(domains)))).alias("_p"))
 
 
-def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], keep: str | None = None, carry: list[str] | None = None) -> DataFrame:
+def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], keep: str | None = None, carry: list[str] | None = None, doubt: float = 0.5) -> DataFrame:
     """``docs`` with n_tokens, posteriors (domains in order of name), rate and copies.
 
     ``labelled`` has doc_id and domain; of several labels of one document the largest
@@ -236,19 +238,20 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], keep: s
     probabilities as others' do. ``copies`` is the rate rounded down or up by a hash of
     doc_id and text, so that its mean is the rate. Domains without labelled documents
     get probability 0, and their targets take no part; without any labels all domains
-    are equally likely. Documents for which ``keep`` is the likeliest domain get one copy
-    at least, and its target is raised to its share of ``docs`` where it lies below.
+    are equally likely. Documents that belong to ``keep`` with a probability of ``doubt`` or
+    more get one copy at least, and its target is raised to its share of ``docs`` where it
+    lies below.
     Of ``docs`` the columns ``carry`` (all, if not given) are returned, whatever their
     names; those named like the new ones are replaced.
     """
     new = ("n_tokens", "posteriors", "rate", "copies")
     carry = [c for c in (docs.columns if carry is None else carry) if c not in new]
     row = F.struct(*(F.col(f"`{c}`") for c in carry)) if carry else F.struct(F.lit(0).alias("_"))
-    mixed = _mixed(docs, row, "text" in carry, labelled, targets, keep)
+    mixed = _mixed(docs, row, "text" in carry, labelled, targets, keep, doubt)
     return mixed.select(*(F.col("_row").getField(c).alias(c) for c in carry), *(F.col(k) for k in new))
 
 
-def _mixed(docs: DataFrame, row: Column, inside: bool, labelled: DataFrame, targets: dict[str, float], keep: str | None) -> DataFrame:
+def _mixed(docs: DataFrame, row: Column, inside: bool, labelled: DataFrame, targets: dict[str, float], keep: str | None, doubt: float) -> DataFrame:
     """_row (``row`` of ``docs``), n_tokens, posteriors, rate, copies; ``inside`` says that the row holds the text."""
     domains = sorted(targets)
     chance = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / float(1 << 30)
@@ -265,13 +268,13 @@ def _mixed(docs: DataFrame, row: Column, inside: bool, labelled: DataFrame, targ
     probable = probable.withColumn("_r", _replay(F.col("_p"), past, momentum, step, ahead=False))
     copies = F.floor(F.col("_r") + F.col("_chance")).cast("long")
     if keep is not None:
-        likeliest = F.element_at("_p", domains.index(keep) + 1) >= F.array_max("_p")
-        copies = F.when(likeliest, F.greatest(copies, F.lit(1).cast("long"))).otherwise(copies)
+        spared = F.element_at("_p", domains.index(keep) + 1) >= doubt
+        copies = F.when(spared, F.greatest(copies, F.lit(1).cast("long"))).otherwise(copies)
     return probable.select("_row", F.col("_n").cast("long").alias("n_tokens"), F.col("_p").alias("posteriors"), F.col("_r").alias("rate"), copies.alias("copies"))
 
 
-def resample(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], keep: str | None = None) -> DataFrame:
+def resample(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], keep: str | None = None, doubt: float = 0.5) -> DataFrame:
     """``docs``, all columns unchanged, each row as often as mix() says."""
-    mixed = _mixed(docs, F.struct("*"), True, labelled, targets, keep)
+    mixed = _mixed(docs, F.struct("*"), True, labelled, targets, keep, doubt)
     many = F.explode_outer(F.array_repeat(F.lit(1), F.col("copies").cast("int"))).alias("_copy")
     return mixed.select("_row", many).filter("_copy IS NOT NULL").select("_row.*")
