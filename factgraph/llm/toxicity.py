@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -147,24 +148,31 @@ def fit(rows: list[tuple[str, int]], counts: dict[int, int] | None = None, epoch
         share = counts[1] / (counts[0] + counts[1])
         weight = np.where(y == 1, share / y.mean(), (1 - share) / (1 - y.mean()))
     ids: dict[str, int] = {}
-    flat, count, seen = [], [], np.zeros((2, 1 << BITS), np.int32)
-    slots_of: list[list[int]] = []
-    for text, label in rows:
-        own = []
+    slot, until, flat = array("i"), array("q", [0]), []
+    for text, _ in rows:
+        own = array("i")
         for w in _words(text):
             k = ids.setdefault(w, len(ids))
-            if k == len(slots_of):
-                slots_of.append([zlib.crc32(f.encode()) & ((1 << BITS) - 1) for f in _features(w)])
+            if k == len(until) - 1:
+                slot.extend(zlib.crc32(f.encode()) & ((1 << BITS) - 1) for f in _features(w))
+                until.append(len(slot))
             own.append(k)
         flat.append(np.array(own, np.int64))
-        count.append(len(own))
-        seen[label, np.unique(np.fromiter((f for k in set(own) for f in slots_of[k]), np.int64))] += 1
-    flat, count = np.concatenate(flat), np.array(count, np.int64)
+    count, slot, until = np.array([len(x) for x in flat], np.int64), np.array(slot, np.int64), np.array(until)
+    seen = np.zeros((2, 1 << BITS), np.int32)
+    for own, (_, label) in zip(flat, rows):
+        own = np.unique(own)
+        n = until[own + 1] - until[own]
+        held = slot[np.repeat(until[own + 1] - np.cumsum(n), n) + np.arange(n.sum())]
+        seen[label, np.unique(held)] += 1
+    flat = np.concatenate(flat)
     end = np.fromiter((w.endswith(_ENDS) for w in ids), bool, len(ids))[flat]
-    share = (weight[y == 0][0] * seen[0] + weight[y == 1][0] * seen[1]) / len(y)
-    odd = (seen[1] - y.sum() * share) / np.sqrt(y.sum() * share * (1 - share) + 1e-9)
-    usable = (seen.sum(0) >= min_docs) & (odd >= min_odd)
-    pairs = np.array([(k, f) for k, fs in enumerate(slots_of) for f in fs if usable[f]], np.int64).reshape(-1, 2)
+    often = np.flatnonzero(seen.sum(0) >= min_docs)
+    share = (weight[y == 0][0] * seen[0, often] + weight[y == 1][0] * seen[1, often]) / len(y)
+    odd = (seen[1, often] - y.sum() * share) / np.sqrt(y.sum() * share * (1 - share) + 1e-9)
+    usable = np.zeros(1 << BITS, bool)
+    usable[often[odd >= min_odd]] = True
+    pairs = np.stack([np.repeat(np.arange(len(ids)), np.diff(until)), slot], axis=1)[usable[slot]]
     slots, col = np.unique(pairs[:, 1], return_inverse=True)
     at = _starts(end, count)
     doc = np.searchsorted(np.cumsum(count), at, side="right")
@@ -184,7 +192,10 @@ def fit(rows: list[tuple[str, int]], counts: dict[int, int] | None = None, epoch
         move = rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
         theta, bias = theta - move[:-1], bias - move[-1]
     at_slot = dict(zip(slots.tolist(), theta.tolist()))
-    weights = {f: at_slot[k] for w, own in zip(ids, slots_of) for f, k in zip(_features(w), own) if k in at_slot}
+    met = np.zeros(len(ids), bool)
+    met[pairs[:, 0]] = True
+    named = ((w, slot[until[k] : until[k + 1]].tolist()) for k, w in enumerate(ids) if met[k])
+    weights = {f: at_slot[k] for w, own in named for f, k in zip(_features(w), own) if k in at_slot}
     return weights, float(bias)
 
 

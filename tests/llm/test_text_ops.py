@@ -1,6 +1,7 @@
 """Text operators against brute force: nulls, empty and long texts, ties, repeated rows, empty tables, extra columns."""
 
 import hashlib
+import math
 import random
 import zlib
 
@@ -325,6 +326,35 @@ def test_toxicity_sample_is_weighted_back(spark):
     assert toxicity.label_counts(labels) == {y: sum((k % 10 == 0) == y and zlib.crc32(str(k).encode()) % 3 != 1 for k in range(500)) for y in (0, 1)}
 
 
+def noisy_or(text, weights, bias):
+    """Brute force: the score of a text from the weights of its words."""
+    clean, before = 1.0, None
+    sentence, open_ = 0.0, False
+    for w in [*text.replace("\n", " . ").split(), None]:
+        if w is None:
+            clean *= 1 - 1 / (1 + math.exp(-sentence - bias)) if open_ else 1
+            break
+        bare = w.strip(".,;:!?\"'()[]|*-").lower()
+        own = weights.get("=" + bare, 0.0) + sum(weights.get(bare[:n], 0.0) for n in range(4, min(8, len(bare)) + 1))
+        sentence, open_ = sentence + (0.0 if w == before else own), True
+        before = w
+        if w[-1] in ".!?":
+            clean *= 1 - 1 / (1 + math.exp(-sentence - bias))
+            sentence, open_ = 0.0, False
+    return 1 - clean
+
+
+def test_scores_are_noisy_or(monkeypatch):
+    r = random.Random(31)
+    bits = ["vile", "vile", "Vile!", "nasty.", "(nasty)", "vilest", "w01", "w02.", "\n", "...", "a", "rotten|", "é!", "x" * 300]
+    weights = {"=vile": 2.5, "vile": 1.0, "=nasty": 3.0, "nast": -0.5, "rott": 1.5, "rotten": 0.7, "=a": 0.1}
+    texts = ["", "  ", "\n\n", *(" ".join(r.choice(bits) for _ in range(r.randint(1, 40))) for _ in range(300))]
+    for part in (1 << 20, 20):
+        monkeypatch.setattr(toxicity, "PART", part)
+        got = toxicity.Lexicon(weights).scores(texts, -3.0)
+        assert np.abs(got - [noisy_or(t, weights, -3.0) for t in texts]).max() < 1e-9
+
+
 def test_toxicity_does_not_depend_on_neighbours():
     words = toxicity.Lexicon({"=vile": 9.0})
     one = words.scores(["vile"], -5.0)[0]
