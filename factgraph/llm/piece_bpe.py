@@ -291,7 +291,7 @@ class WordCache:
         if len(self.ids) > WORDS_KEPT:
             self.at, self.ids, self.text = {}, [], []
         cuts = [self.model.split(t) for t in many]
-        new = [*{w for own in cuts for w in own} - self.at.keys()]
+        new = list(set().union(*cuts).difference(self.at))
         for k in range(0, len(new), WORDS_AT_ONCE):
             part = new[k : k + WORDS_AT_ONCE]
             for w, ids in zip(part, self.model.encode_words([MARK + w.replace(" ", MARK) for w in part])):
@@ -306,15 +306,25 @@ class WordCache:
         return ids, decoded
 
 
+_caches: dict[str, WordCache] = {}
+
+
+def word_cache(model_path: str) -> WordCache:
+    """This process's model and the words it has met, kept between tasks."""
+    if model_path not in _caches:
+        _caches[model_path] = WordCache(PieceModel(model_path))
+    return _caches[model_path]
+
+
 def encode_documents(docs: DataFrame, model_path: str) -> DataFrame:
     """doc_id, ids and decoded (the text that the ids stand for) of each row.
 
-    Null texts are empty ones, and have no ids. A task holds one batch and a bounded
+    Null texts are empty ones, and have no ids. A process holds one batch and a bounded
     cache of words; nothing is shuffled.
     """
 
     def run(batches):
-        cache = WordCache(PieceModel(model_path))
+        cache = word_cache(model_path)
         for b in batches:
             for k in range(0, b.num_rows, 256):
                 part = b.slice(k, 256)
