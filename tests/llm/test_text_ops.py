@@ -46,7 +46,9 @@ def key(doc_id):
     return -(2**63) if doc_id is None else doc_id
 
 
-def test_line_dedup(spark, rows):
+def lines_left(rows):
+    """Brute force: (doc_id, text, lines, lines dropped)."""
+
     def line_key(line):
         k = line.strip(" \t\n\x0b\x0c\r").translate({c: c + 32 for c in range(65, 91)})
         return k if len(k) >= 20 else None
@@ -59,7 +61,12 @@ def test_line_dedup(spark, rows):
     want = []
     for i, lines in split:
         drop = [(k := line_key(x)) is not None and len(holders[k]) >= 3 and key(i) != max(map(key, holders[k])) for x in lines]
-        want.append((str(i), "\n".join(x for x, d in zip(lines, drop) if not d), len(lines), sum(drop)))
+        want.append((i, "\n".join(x for x, d in zip(lines, drop) if not d), len(lines), sum(drop)))
+    return want
+
+
+def test_line_dedup(spark, rows):
+    want = [(str(i), *rest) for i, *rest in lines_left(rows)]
     got = [(str(r.doc_id), r.text, r.n_lines, r.n_dropped) for r in line_dedup.dedup_lines(frame(spark, rows)).collect()]
     assert sorted(got) == sorted(want) and sum(w[3] for w in want) > 20
     again = [(5, "a line that two documents hold in three rows")] * 2 + [(6, "a line that two documents hold in three rows"), (None, ""), (None, "")]
