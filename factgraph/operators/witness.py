@@ -10,17 +10,26 @@ from factgraph.plans.catalog import Property
 from factgraph.plans.compiler import oriented
 
 
+def _meets(rows: DataFrame, source, column: str, side, space: str):
+    """``column``'s tokens compared with a side of facts, as keys where the space has any."""
+    keys = source.unrender(rows[column], space)
+    return rows[column] == source.render(side, space) if keys is None else keys == side
+
+
 def property_witness(rows: DataFrame, source, prop: Property, subject: str, value: str | None, atom: str) -> DataFrame:
     """row_key, atom, s, p, o: the smallest fact of ``prop`` for each row's column ``subject``, and ``value`` if given.
 
-    Facts keep their physical direction, whichever way the property reads them.
+    Facts keep their physical direction, whichever way the property reads them. They are
+    joined by key; only those that fit are written as tokens.
     """
     r = oriented(source, prop)
-    facts = r.rows.select(source.render(F.col("src"), r.src).alias("_a"), source.render(F.col("dst"), r.dst).alias("_b"))
-    on = F.col(subject) == F.col("_a")
-    found = rows.join(facts, on if value is None else on & (F.col(value) == F.col("_b")))
-    s, o = ("_b", "_a") if prop.inverse else ("_a", "_b")
-    least = found.groupBy("row_key").agg(F.min(F.struct(F.col(s).alias("s"), F.lit(f"<{prop.predicate}>").alias("p"), F.col(o).alias("o"))).alias("w"))
+    facts = r.rows.select(F.col("src").alias("_a"), F.col("dst").alias("_b"))
+    on = _meets(rows, source, subject, facts["_a"], r.src)
+    if value is not None:
+        on = on & _meets(rows, source, value, facts["_b"], r.dst)
+    a, b = source.render(F.col("_a"), r.src), source.render(F.col("_b"), r.dst)
+    s, o = (b, a) if prop.inverse else (a, b)
+    least = rows.join(facts, on).groupBy("row_key").agg(F.min(F.struct(s.alias("s"), F.lit(f"<{prop.predicate}>").alias("p"), o.alias("o"))).alias("w"))
     return least.select("row_key", F.lit(atom).alias("atom"), "w.s", "w.p", "w.o")
 
 
@@ -29,9 +38,11 @@ def class_witness(rows: DataFrame, source, classes: tuple[str, ...], node: str,
     parts = None
     for c in classes:
         nodes, space = source.members(c)
-        part = nodes.select(source.render(F.col("node"), space).alias("_a"), F.lit(f"<{c}>").alias("_b"))
+        nodes = nodes.select(F.col("node").alias("_a"))
+        met = rows.join(nodes, _meets(rows, source, node, nodes["_a"], space))
+        part = met.select("row_key", F.struct(F.col(node).alias("s"), F.lit(f"<{TYPE}>").alias("p"), F.lit(f"<{c}>").alias("o")).alias("w"))
         parts = part if parts is None else parts.unionByName(part)
-    least = rows.join(parts, F.col(node) == F.col("_a")).groupBy("row_key").agg(F.min(F.struct(F.col("_a").alias("s"), F.lit(f"<{TYPE}>").alias("p"), F.col("_b").alias("o"))).alias("w"))
+    least = parts.groupBy("row_key").agg(F.min("w").alias("w"))
     return least.select("row_key", F.lit(atom).alias("atom"), "w.s", "w.p", "w.o")
 
 

@@ -63,6 +63,9 @@ class FactsTable:
     def render(self, column: Column, space: str) -> Column:
         return column
 
+    def unrender(self, column: Column, space: str) -> Column:
+        return column
+
 
 @dataclass(frozen=True)
 class Template:
@@ -114,3 +117,13 @@ class MappedTables:
         if space.startswith("lit"):
             return literal_token(column, space[4:] or None)
         return F.concat(F.lit(f"<{self.templates[space].prefix}"), column.cast("string"), F.lit(">"))
+
+    def unrender(self, column: Column, space: str) -> Column | None:
+        """Tokens as keys of a template's space, null for those it does not make; None for other spaces."""
+        t = self.templates.get(space)
+        if t is None:
+            return column if space == TOKEN else None
+        head = "^<" + re.escape(t.prefix)
+        if t.kind == "string":
+            return F.nullif(F.regexp_extract(column, head + "([^<>]+)>$", 1), F.lit(""))
+        return F.nullif(F.regexp_extract(column, head + r"(0|-?[1-9]\d{0,17})>$", 1), F.lit("")).cast("long")
