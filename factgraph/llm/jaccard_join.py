@@ -23,6 +23,7 @@ of links and a spanning forest of their links, of which groups are made.
 from __future__ import annotations
 
 import math
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -61,28 +62,39 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+class _Numbers(dict):
+    """Words numbered in order of meeting, with their hashes."""
+
+    def __init__(self):
+        super().__init__()
+        self.hashes = array("Q")
+
+    def __missing__(self, word: str) -> int:
+        k = self[word] = len(self)
+        self.hashes.append(xxhash.xxh3_64_intdigest(word))
+        return k
+
+
 class Shingler:
     """Hashed word runs of texts; word hashes are kept between batches up to a bound."""
 
     def __init__(self, words: int):
-        self.words, self.at, self.hash = words, {}, []
-
-    def sets(self, text: str) -> np.ndarray:
-        """Sorted distinct 64-bit hashes; a text of fewer words is one run, one without words has none."""
-        own = text.lower().split()
-        if not own:
-            return np.zeros(0, np.uint64)
-        if len(self.hash) > WORDS_KEPT:
-            self.at, self.hash = {}, []
-        ids = list(map(self.at.get, own))
-        if None in ids:
-            for k, w in enumerate(own):
-                if ids[k] is None:
-                    ids[k] = self.at.get(w)
-                    if ids[k] is None:
-                        ids[k] = self.at[w] = len(self.hash)
-                        self.hash.append(xxhash.xxh3_64_intdigest(w))
-        h = np.array([self.hash[k] for k in ids], np.uint64)
+        self.words, self.at = words, _Numbers()
+
+    def sets(self, texts: list[str]) -> list[np.ndarray]:
+        """Of each text the sorted distinct 64-bit hashes; a text of fewer words is one run, one without words has none."""
+        if len(self.at) > WORDS_KEPT:
+            self.at = _Numbers()
+        ids = []
+        for text in texts:
+            own = text.lower().split()
+            ids.append(np.fromiter(map(self.at.__getitem__, own), np.int64, len(own)))
+        table = np.array(self.at.hashes, np.uint64)
+        return [self._runs(table[x]) for x in ids]
+
+    def _runs(self, h: np.ndarray) -> np.ndarray:
+        if not len(h):
+            return h
         n = min(self.words, len(h))
         out = np.zeros(len(h) - n + 1, np.uint64)
         for j in range(n):
@@ -109,15 +121,21 @@ class Signer:
         return np.concatenate([np.arange(self.trees, dtype=np.uint8)[:, None], labels.view(np.uint8)], axis=1)
 
 
+def _slices(batches, rows: int = 500):
+    """Batches of a bounded number of rows: texts become Python strings a few at a time."""
+    for b in batches:
+        for k in range(0, b.num_rows, rows):
+            yield b.slice(k, rows)
+
+
 def sketches(docs: DataFrame, words: int, trees: int) -> DataFrame:
     """doc_id, h (hash of the text), cls (128-bit digest of the set) and paths (one for each tree; none without words) of each row."""
 
     def run(batches):
         shingler, signer = Shingler(words), Signer(trees)
-        for b in batches:
+        for b in _slices(batches):
             digests, paths = [], []
-            for text in b.column(1).to_pylist():
-                s = shingler.sets(text)
+            for s in shingler.sets(b.column(1).to_pylist()):
                 digests.append(xxhash.xxh3_128_digest(s.astype("<u8").tobytes()))
                 paths.append([bytes(x) for x in signer.paths(s)] if len(s) else [])
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(digests, pa.binary()), pa.array(paths, pa.list_(pa.binary()))], ["doc_id", "h", "cls", "paths"])
@@ -231,13 +249,12 @@ def _verified(members: DataFrame, words: int, threshold: float) -> DataFrame:
 
     def run(batches):
         shingler, key, block, cls, sets = Shingler(words), None, [], [], []
-        for b in batches:
-            for comp, i, j, own, c, text in zip(*(b.column(k).to_pylist() for k in range(6))):
+        for b in _slices(batches):
+            for comp, i, j, own, c, s in zip(*(b.column(k).to_pylist() for k in range(5)), shingler.sets(b.column(5).to_pylist())):
                 if (comp, i, j) != key:
                     if key is not None:
                         yield from tile(block, cls, sets, *key[1:])
                     key, block, cls, sets = (comp, i, j), [], [], []
-                s = shingler.sets(text)
                 if xxhash.xxh3_128_digest(s.astype("<u8").tobytes()) == c and not (cls and cls[-1] == c):
                     block.append(own)
                     cls.append(c)

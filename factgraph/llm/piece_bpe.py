@@ -306,25 +306,15 @@ class WordCache:
         return ids, decoded
 
 
-_caches: dict[str, WordCache] = {}
-
-
-def word_cache(model_path: str) -> WordCache:
-    """This process's model and the words it has met, kept between tasks."""
-    if model_path not in _caches:
-        _caches[model_path] = WordCache(PieceModel(model_path))
-    return _caches[model_path]
-
-
 def encode_documents(docs: DataFrame, model_path: str) -> DataFrame:
     """doc_id, ids and decoded (the text that the ids stand for) of each row.
 
-    Null texts are empty ones, and have no ids. A process holds one batch and a bounded
+    Null texts are empty ones, and have no ids. A task holds one batch and a bounded
     cache of words; nothing is shuffled.
     """
 
     def run(batches):
-        cache = word_cache(model_path)
+        cache = WordCache(PieceModel(model_path))  # not kept: a reused process would hold it while other stages run
         for b in batches:
             for k in range(0, b.num_rows, 256):
                 part = b.slice(k, 256)

@@ -279,7 +279,9 @@ def keep_clean(docs: DataFrame, weights: dict[str, float], bias: float, threshol
     def clean(batches):
         words = Lexicon(model.value)
         for b in batches:
-            p = words.scores([t or "" for t in b.column(at).to_pylist()], bias)
-            yield b.filter(pa.array(p < threshold))
+            for k in range(0, b.num_rows, 500):
+                part = b.slice(k, 500)
+                p = words.scores([t or "" for t in part.column(at).to_pylist()], bias)
+                yield part.filter(pa.array(p < threshold))
 
     return docs.mapInArrow(clean, docs.schema)
