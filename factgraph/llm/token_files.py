@@ -16,6 +16,7 @@ rows share is dealt over many shards.
 
 from __future__ import annotations
 
+import gc
 import json
 import os
 import struct
@@ -34,9 +35,10 @@ from factgraph.llm.common import open_fs, partitions, shared_dir, stored, texts
 MAGIC = b"IDBITS01"
 BLOCK = 1 << 16
 READ_IDS = 1 << 20
-CHUNKS_KEPT = 600_000
+CHUNKS_KEPT = 900_000
 ATOMS_KEPT = 150_000
 _TAILS = ".,;:!?|"
+_SPACE = "\u0120"  # how byte-level vocabularies write a space (fixed value)
 
 
 def id_width(vocabulary: int) -> int:
@@ -155,16 +157,15 @@ class Generations:
         if len(self.new) > self.size:
             self.new, self.old = {}, self.new
 
-    def missing(self, keys) -> list:
+    def missing(self, keys: set) -> set:
         """Keys that neither half holds; others are in the new half afterwards."""
-        out = []
-        for k in keys:
-            if k not in self.new:
-                if (v := self.old.get(k)) is None:
-                    out.append(k)
-                else:
-                    self.new[k] = v
-        return out
+        new, old = self.new, self.old
+        keys = keys.difference(new)
+        known = [k for k in keys if k in old]
+        if known:
+            new.update([(k, old[k]) for k in known])
+            keys.difference_update(known)
+        return keys
 
 
 class Encoder:
@@ -173,7 +174,9 @@ class Encoder:
     The splitter of such vocabularies begins a new token at every space that a
     non-space follows, keeps letters apart from other marks, and a lone line feed
     apart from both. So a text is cut at such spaces, cut pieces are looked up, and
-    only unknown ones go to the library; ids are those of the whole text.
+    only unknown ones go to the library; ids are those of the whole text. A text that
+    holds one of the vocabulary's added tokens (``<|endoftext|>``) goes to the library
+    whole, which gives such a token its own id.
     """
 
     def __init__(self, path: str):
@@ -181,8 +184,10 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
         self.vocabulary = self.tok.get_vocab_size()
+        self.spaced = np.zeros(max(self.tok.get_vocab().values(), default=0) + 1, bool)
+        self.spaced[[k for t, k in self.tok.get_vocab().items() if _SPACE in t]] = True
+        self.added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.chunks, self.atoms = Generations(CHUNKS_KEPT), Generations(ATOMS_KEPT)
         self.tails = dict(zip(_TAILS, self._ask(list(_TAILS))))
 
@@ -202,16 +207,17 @@ class Encoder:
     def split_atoms(chunk: str) -> list[str]:
         parts = chunk.split("\n")
         if len(parts) > 1:
-            ok = all(p.strip() and not p[-1].isspace() and (k == 0 or not p[0].isspace()) for k, p in enumerate(parts))
-            if not ok:
-                return [chunk]
+            for k, p in enumerate(parts):
+                if not p or p[-1].isspace() or (k and p[0].isspace()):
+                    return [chunk]
         out = []
         for k, p in enumerate(parts):
             if k:
                 out.append("\n")
             body = p.rstrip(_TAILS)
-            if len(body) < len(p) and body.removeprefix(" ").isalpha():
-                out += [body, p[len(body) :]]
+            n = len(body)
+            if 0 < n < len(p) and (body[1:] if body[0] == " " else body).isalpha():
+                out += (body, p[n:])
             else:
                 out.append(p)
         return out
@@ -223,50 +229,82 @@ class Encoder:
             out += [array("I", e.ids).tobytes() for e in self.tok.encode_batch_fast(texts[k : k + 20_000], add_special_tokens=False)]
         return out
 
-    def learn(self, chunks: list[str]) -> None:
+    def _ask_words(self, words: list[str]) -> list[bytes]:
+        """The library's ids of words behind a space, many in one text: each begins with the only token that holds a space."""
+        out = []
+        for k in range(0, len(words), 500 * 64):
+            groups = [words[a : a + 500] for a in range(k, min(k + 500 * 64, len(words)), 500)]
+            for own, e in zip(groups, self.tok.encode_batch_fast([" " + " ".join(g) for g in groups], add_special_tokens=False)):
+                ids = np.array(e.ids, "<u4")
+                at = (np.flatnonzero(self.spaced[ids]) * 4).tolist()
+                if len(at) != len(own):
+                    out += self._ask([" " + w for w in own])
+                    continue
+                raw = ids.tobytes()
+                out += [raw[a:b] for a, b in zip(at, [*at[1:], len(raw)])]
+        return out
+
+    def learn(self, chunks: set[str]) -> None:
         """Look up pieces that follow a space (without it). A word with one mark behind it is made of both."""
-        new, words, marked, others = self.chunks.new, [], [], []
-        for c in chunks:
-            if c.isalpha():
-                words.append(c)
-            elif c[-1] in _TAILS and c[:-1].isalpha():
-                marked.append(c)
-            else:
-                others.append(c)
-        words = list({*words, *self.chunks.missing({c[:-1] for c in marked})})
-        new.update(zip(words, self._ask([" " + c for c in words])))
-        for c in marked:
-            new[c] = new[c[:-1]] + self.tails[c[-1]]
+        new = self.chunks.new
+        words = {c for c in chunks if c.isalpha()}
+        rest = chunks - words
+        marked = [c for c in rest if c[-1] in _TAILS and c[:-1].isalpha()]
+        words |= self.chunks.missing({c[:-1] for c in marked})
+        words = list(words)
+        new.update(zip(words, self._ask_words(words)))
+        tails = self.tails
+        new.update([(c, new[c[:-1]] + tails[c[-1]]) for c in marked])
         self.atoms.turn()
-        cuts = {c: self.split_atoms(" " + c) for c in others}
+        cuts = {c: self.split_atoms(" " + c) for c in rest.difference(marked)}
         self.learn_atoms({a for own in cuts.values() for a in own})
         for c, own in cuts.items():
             new[c] = b"".join([self.atoms.new[a] for a in own])
 
     def learn_atoms(self, atoms: set[str]) -> None:
-        missing = self.atoms.missing(atoms)
+        missing = list(self.atoms.missing(atoms))
         self.atoms.new.update(zip(missing, self._ask(missing)))
 
     def encode(self, many: list[str]) -> list[np.ndarray]:
         """The ids of each text."""
+        # Of what is made here nothing refers back to itself; looking for cycles among so many objects takes time.
+        collecting = gc.isenabled()
+        gc.disable()
+        try:
+            return self._encode_any(many)
+        finally:
+            if collecting:
+                gc.enable()
+
+    def _encode_any(self, many: list[str]) -> list[np.ndarray]:
+        odd = {k for token in self.added for k, text in enumerate(many) if token in text}
+        if not odd:
+            return self._encode(many)
+        out = self._encode(["" if k in odd else text for k, text in enumerate(many)])
+        for k in odd:
+            out[k] = np.array(self.tok.encode(many[k], add_special_tokens=False).ids, "<u4")
+        return out
+
+    def _encode(self, many: list[str]) -> list[np.ndarray]:
         self.chunks.turn()
         cuts = [text.split(" ") for text in many]
-        seen = set()
+        first = [parts[0] for parts in cuts]
         for parts in cuts:
-            seen.update(parts[1:])
-        unknown = seen - self.chunks.new.keys()
+            del parts[0]
+        seen = set().union(*cuts)
+        unknown = seen.difference(self.chunks.new)
         odd = {p for p in unknown if not p or p[0].isspace()}
         if odd:  # pieces at which no token need begin
             unknown -= odd
             for k, parts in enumerate(cuts):
-                if not odd.isdisjoint(parts[1:]):
-                    cuts[k] = self.cut(many[k])
-                    unknown.update(cuts[k][1:])
+                if not odd.isdisjoint(parts):
+                    first[k], *cuts[k] = self.cut(many[k])
+                    unknown.update(cuts[k])
         self.learn(self.chunks.missing(unknown))
-        first = [self.split_atoms(parts[0]) if parts[0] else [] for parts in cuts]
-        self.learn_atoms({a for own in first for a in own})
+        heads = [self.split_atoms(x) if x else [] for x in first]
+        self.learn_atoms({a for own in heads for a in own})
         ids, atoms = self.chunks.new.__getitem__, self.atoms.new.__getitem__
-        return [np.frombuffer(b"".join([*map(atoms, own), *map(ids, parts[1:])]), "<u4") for own, parts in zip(first, cuts)]
+        return [np.frombuffer(b"".join([*map(atoms, own), *map(ids, parts)]), "<u4") for own, parts in zip(heads, cuts)]
 
 
 _encoders: dict[str, Encoder] = {}

@@ -235,8 +235,9 @@ def test_token_files(spark, rows, tmp_path):
 
     path = public_tokenizers.path("byte_bpe_50k.json")
     tok = Tokenizer.from_file(path)
-    tok.encode_special_tokens = True
-    texts = [*rows, (50, "<|endoftext|> a  b\n\n c\t don't 12,3"), (51, " lead"), (52, "a \n b"), (53, "x y ")]
+    special = ["a <|endoftext|> b", "a  <|endoftext|>", "<|endoftext|><|endoftext|>x", "x<|endoftext|> \n", "<|endoftext| >"]
+    texts = [*rows, (50, "<|endoftext|> a  b\n\n c\t don't 12,3"), (51, " lead"), (52, "a \n b"), (53, "x y "), *enumerate(special, 54)]
+    assert tok.encode(special[0], add_special_tokens=False).ids == [64, 220, 50256, 275]
     got = token_files.token_output(frame(spark, texts), path, digest=False, folder=f"file://{tmp_path}/t").orderBy("start").collect()
     start, seen = 0, []
     for r in got:
