@@ -6,6 +6,9 @@ import gc
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -77,6 +80,17 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def byte_slices(batch: pa.RecordBatch, column: int, most: int = 8 << 20, rows: int = 4096):
+    """Consecutive slices of a batch, without copies: at most ``rows`` rows and ``most`` bytes in a column, but one row at least."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends, at = np.cumsum(sizes), 0
+    while at < batch.num_rows:
+        before = int(ends[at - 1]) if at else 0
+        end = min(max(int(np.searchsorted(ends, before + most, "right")), at + 1), at + rows)
+        yield batch.slice(at, min(end, batch.num_rows) - at)
+        at = min(end, batch.num_rows)
+
+
 def texts(docs: DataFrame) -> DataFrame:
     """doc_id and text alone; a null text is an empty one."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
