@@ -194,9 +194,79 @@ FROM p
 """
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from factgraph.llm.merkle import folded, leaf_digest, manifest, proof_digest
+
+    docs = _table(spark, sf_dir, "documents")
+    digest = lambda text: leaf_digest(*(F.col(c) for c in ("doc_id", "source", "lang", "n_chars")), text)
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    changed = F.when(tampered, digest(F.translate("text", "\n", "")))
+    out = manifest(docs.select(F.col("source").alias("grp"), F.col("doc_id").alias("id"), digest(F.col("text")).alias("leaf"), F.unhex(changed).alias("changed")))
+    again = F.coalesce(F.lower(F.hex("changed")), F.col("leaf"))
+    out = out.select(F.col("id").alias("doc_id"), "leaf", "subroot", "root", proof_digest("path").alias("proof_sha256"), folded(again, "path").alias("folded_root"))
+    return out.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+_CRC = """xor(4294967295, list_reduce([4294967295::BIGINT] || list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT)),
+    lambda c, b: list_reduce([xor(c, b)] || [0::BIGINT, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, (x & 1) * 3988292384))))"""
+
+
+def _leaf_sql(text: str) -> str:
+    return "sha256(" + " || ".join(f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || {c}, '-')" for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+
+OP12_SQL = f"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, coalesce('1' || source, '0') AS g, {_leaf_sql("text")} AS leaf, {_leaf_sql("replace(text, chr(10), '')")} AS changed, coalesce({_CRC} % 2 = 0, FALSE) AS hit FROM documents
+), l AS (
+  SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY g) AS n FROM d
+), up AS (
+  SELECT 0 AS k, g, i, n, leaf AS h FROM l
+  UNION ALL SELECT k + 1, g, i // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY i)) FROM up WHERE n > 1 GROUP BY k, g, i // 3, n
+), s AS (
+  SELECT g, k AS top, h, row_number() OVER (ORDER BY g) - 1 AS i, count(*) OVER () AS n FROM up WHERE n = 1
+), up2 AS (
+  SELECT 0 AS k, i, n, h FROM s
+  UNION ALL SELECT k + 1, i // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY i)) FROM up2 WHERE n > 1 GROUP BY k, i // 3, n
+), steps AS (
+  SELECT l.g, l.i, up.k AS step, up.i % 3 AS c, (l.i // CAST(pow(3, up.k) AS BIGINT)) % 3 AS own, h FROM l JOIN up ON l.g = up.g AND up.n > 1 AND up.i // 3 = l.i // CAST(pow(3, up.k + 1) AS BIGINT)
+  UNION ALL
+  SELECT l.g, l.i, s.top + up2.k, up2.i % 3, (s.i // CAST(pow(3, up2.k) AS BIGINT)) % 3, up2.h FROM l JOIN s ON l.g = s.g JOIN up2 ON up2.n > 1 AND up2.i // 3 = s.i // CAST(pow(3, up2.k + 1) AS BIGINT)
+), parts AS (
+  SELECT g, i, step, coalesce(string_agg(h, '' ORDER BY c) FILTER (WHERE c < own), '') AS b, coalesce(string_agg(h, '' ORDER BY c) FILTER (WHERE c > own), '') AS a FROM steps GROUP BY g, i, step
+), paths AS (
+  SELECT g, i, string_agg(b || a, '' ORDER BY step) AS proof, list(b ORDER BY step) AS bs, list(a ORDER BY step) AS fs FROM parts GROUP BY g, i
+), fold AS (
+  SELECT l.g, l.i, 0 AS step, CASE WHEN hit THEN changed ELSE leaf END AS h, bs, fs FROM l LEFT JOIN paths ON l.g = paths.g AND l.i = paths.i
+  UNION ALL SELECT g, i, step + 1, sha256(bs[step + 1] || h || fs[step + 1]), bs, fs FROM fold WHERE step < len(bs)
+)
+SELECT l.doc_id, l.leaf, s.h AS subroot, r.h AS root, sha256(coalesce(paths.proof, '')) AS proof_sha256, fold.h AS folded_root, fold.h = r.h AS verified
+FROM l JOIN s ON l.g = s.g JOIN up2 r ON r.n = 1 LEFT JOIN paths ON l.g = paths.g AND l.i = paths.i
+JOIN fold ON l.g = fold.g AND l.i = fold.i AND fold.step = coalesce(len(fold.bs), 0)
+"""
+
+
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from factgraph.llm.warc import read_records, resolve, write_archives
+
+    return resolve(read_records(write_archives(_table(spark, sf_dir, "pages"), min_bytes=100)))
+
+
+OP13_SQL = """
+WITH p AS (
+  SELECT page_id, strlen(coalesce(html, '')) AS n, sha256(coalesce(html, '')) AS digest FROM pages
+), r AS (
+  SELECT *, row_number() OVER (PARTITION BY digest ORDER BY page_id NULLS LAST) AS k, first(page_id) OVER (PARTITION BY digest ORDER BY page_id NULLS LAST) AS one FROM p
+)
+SELECT page_id, n AS payload_bytes, digest AS payload_digest, CASE WHEN n >= 100 AND k > 1 THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN n >= 100 AND k > 1 THEN one END AS refers_to
+FROM r
+"""
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_line_dedup": OP5_SQL, "op8_preference_format": OP8_SQL, "op10_impact_top_k": OP10_SQL, "op11_fill_in_middle": OP11_SQL}
+    return {"op5_line_dedup": OP5_SQL, "op8_preference_format": OP8_SQL, "op10_impact_top_k": OP10_SQL, "op11_fill_in_middle": OP11_SQL, "op12_merkle_manifest": OP12_SQL, "op13_warc": OP13_SQL}
