@@ -1,8 +1,9 @@
 """The engine: raw plans in, typed outcomes with evidence out.
 
 Planning is done on the driver without jobs. A result is one Spark job of at most
-``max_result_rows`` + 1 sorted rows; its contracts and witnesses are set-oriented jobs
-over those rows. Bad plans never raise: they become outcomes.
+``max_result_rows`` + 1 sorted rows, which also says where contracts do not hold; its
+witnesses are set-oriented jobs over those rows. Bad plans never raise: they become
+outcomes. ``certify`` and ``faults`` do the same for whole results, as tables.
 """
 
 from __future__ import annotations
@@ -12,19 +13,24 @@ import threading
 import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factgraph.errors import AuthorizationError, EvidenceError, PlanError, PolicyError, UnsupportedPlan
 from factgraph.functions.terms import Term, sort_fields
-from factgraph.operators.evidence import Packet, ResultRow, certify, check_packet, find_witnesses, make_row
+from factgraph.operators import evidence
+from factgraph.operators.evidence import Packet, ResultRow, certify, check_packet, make_row
 from factgraph.plans.catalog import Catalog, CatalogLimits, Overlay, ShapeSource
-from factgraph.plans.compiler import Compiled, compile_plan, oriented
+from factgraph.plans.compiler import BAD, MANY, Compiled, compile_plan
 from factgraph.plans.query import AuthorizationScope, DatasetScope, ExecutionRequest, Plan, QueryPolicy, authorize, canonical, normalize, validate
 from factgraph.plans.text import query_text
 from factgraph.sources.facts import FactsTable
 
 
+#: What a field's value can break.
+_BAD, _MANY = "a returned value is outside its contract", "a scalar field has several values"
+
+
 @dataclass(frozen=True)
 class Selected:
     rows: tuple[ResultRow, ...]
@@ -110,11 +116,30 @@ class Engine:
         if limit is not None and (type(limit) is not int or limit <= 0):
             raise PolicyError("a limit is a positive integer")
         c = compile_plan(self.spark, self.source, self.catalog, self.prepare(raw), self.policy)
-        return c if limit is None else Compiled(c.plan, self.ordered(c).limit(limit), c.public, c.entities, c.query_digest, c.nodes)
+        if limit is not None:
+            c._plain.result = self.ordered(c, c.rows).limit(limit)
+        return c
+
+    @staticmethod
+    def ordered(c: Compiled, rows: DataFrame) -> DataFrame:
+        return rows.orderBy(*(f for n in (*c.public, *c.entities) for f in sort_fields(F.col(n))))
+
+    def certify(self, raw, execution_id: str) -> DataFrame:
+        """The whole result of a plan as tokens, with row_key, certificate and supports of each row, and broken, the contracts that do not hold."""
+        c = self.compile(raw)
+        rows = evidence.certified(c.checked, self.source.as_tokens(), c, self.catalog, execution_id)
+        return rows.select(*c.public, *c.entities, "row_key", "certificate", "supports", self.broken(c).alias("broken"))
+
+    def faults(self, raw, execution_id: str, rows: DataFrame, certificates: DataFrame) -> DataFrame:
+        """row_key, atom, fault of what does not hold in rows and certificates of a plan, from wherever they come."""
+        return evidence.faults(rows, certificates, self.source.as_tokens(), self.compile(raw), self.catalog, execution_id)
 
     @staticmethod
-    def ordered(c: Compiled) -> DataFrame:
-        return c.rows.orderBy(*(f for n in (*c.public, *c.entities) for f in sort_fields(F.col(n))))
+    def broken(c: Compiled) -> Column:
+        """Which returned values of a checked row are outside their contract or not the only one, as an array of texts."""
+        fields = [p.id for p in c.plan.projections if p.kind == "field"]
+        told = [F.when(F.col(f + p), F.lit(f"{p}: {text}")) for p in fields for f, text in ((BAD, _BAD), (MANY, _MANY))]
+        return F.array_compact(F.array(*told)) if told else F.array().cast("array<string>")
 
     def explain_plan(self, raw) -> Explanation:
         c = self.compile(raw)
@@ -139,6 +164,7 @@ class Engine:
         execution_id = execution_id or uuid.uuid4().hex
         try:
             compiled = compile_plan(self.spark, self.source, self.catalog, plan, self.policy)
+            _ = compiled.rows if plan.kind == "ask" else compiled.checked
         except PolicyError as e:
             return PolicyLimited(str(e))
         except Exception as e:  # a source that does not answer as it should
@@ -153,7 +179,8 @@ class Engine:
             return Failed(f"execution: {type(e).__name__}", self.packet(compiled, request, execution_id, 0, None, False, completed=False))
 
     def fetch(self, c: Compiled, wanted: int) -> list:
-        return c.rows.limit(1).collect() if c.plan.kind == "ask" else self.ordered(c).limit(wanted + 1).collect()
+        """Rows of a checked result; BAD, MANY say which contracts do not hold."""
+        return c.rows.limit(1).collect() if c.plan.kind == "ask" else self.ordered(c, c.checked).limit(wanted + 1).collect()
 
     def timed(self, work):
         """``work``'s result; its jobs are interrupted at the deadline."""
@@ -187,15 +214,21 @@ class Engine:
         more = len(got) > wanted
         if more and request.extent == "complete":
             return PolicyLimited("more rows than the policy allows")
-        rows = [make_row([r[n] for n in c.public], [(e, r[e]) for e in c.entities]) for r in got[:wanted]]
+        got = got[:wanted]
+        rows = tuple(make_row([r[n] for n in c.public], [(e, r[e]) for e in c.entities]) for r in got)
         size = len(json.dumps([[v and v.json() for v in r.values] for r in rows]))
         if size > self.policy.max_result_bytes:
             raise EvidenceError("result_byte_limit")
-        self.check_rows(c, rows)
-        certificates, witnesses = certify(execution, c, self.catalog, rows, find_witnesses(self.spark, self.source, c, self.catalog, rows))
+        for r in got:
+            for p in (p.id for p in c.plan.projections if p.kind == "field"):
+                if r[BAD + p] or r[MANY + p]:
+                    raise EvidenceError(_BAD if r[BAD + p] else _MANY)
+        certificates, witnesses = (), ()
+        if rows:
+            _, certificates, witnesses = certify(self.spark.createDataFrame(got, c.checked.schema).coalesce(1), self.source.as_tokens(), c, self.catalog, execution)
         packet = self.packet(c, request, execution, len(rows), None, more, witnesses=witnesses, certificates=certificates)
-        self.verify(c, packet, tuple(rows))
-        return Selected(tuple(rows), packet) if rows else NoMatch("no visible solution in this dataset and scope", packet)
+        self.verify(c, packet, rows)
+        return Selected(rows, packet) if rows else NoMatch("no visible solution in this dataset and scope", packet)
 
     def packet(self, c: Compiled, request: ExecutionRequest, execution: str, count: int, boolean: bool | None, more: bool, completed: bool = True, **parts) -> Packet:
         state = "unknown" if not completed else "incomplete" if more else "complete"
@@ -204,26 +237,7 @@ class Engine:
     def verify(self, c: Compiled, packet: Packet, rows: tuple[ResultRow, ...]) -> None:
         """Check any packet of this engine's plans; EvidenceError if it does not hold."""
         expected = {"catalog_revision": self.catalog.revision, "policy_revision": self.policy.revision, "authorization_digest": self.authorization.digest, "dataset_digest": self.dataset.digest}
-        check_packet(self.spark, self.source, self.catalog, c, packet, rows, expected)
-
-    def check_rows(self, c: Compiled, rows: list[ResultRow]) -> None:
-        """Contracts that do not filter but fail the run: kinds and datatypes of returned values, one value for a scalar field."""
-        for k, p in enumerate(c.plan.projections):
-            if p.kind == "node":
-                continue
-            prop = self.catalog.property(p.property_key)
-            branch = prop.branch(p.branch_key)
-            if any(r.values[k] is not None and not branch.accepts(r.values[k]) for r in rows):
-                raise EvidenceError("a returned value is outside its contract")
-            entity = c.plan.entity_of(p.lens)
-            r = oriented(self.source, prop)
-            keys = {key for row in rows if (key := self.source.key(dict(row.bindings)[entity], r.src)) is not None}
-            if keys:
-                kind = r.rows.schema["src"].dataType.simpleString()
-                small = F.broadcast(self.spark.createDataFrame([(x,) for x in keys], f"src {kind}"))
-                many = r.rows.join(small, "src").groupBy("src").agg(F.count_distinct("dst").alias("n")).filter("n > 1")
-                if many.take(1):
-                    raise EvidenceError("a scalar field has several values")
+        check_packet(self.spark, self.source.as_tokens(), self.catalog, c, packet, rows, expected)
 
 
 def render_result(outcome: Outcome) -> str:

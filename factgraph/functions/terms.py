@@ -205,3 +205,40 @@ def valid_language(text: Column) -> Column:
 def domain_digest(domain: str, json_text: Column) -> Column:
     """digest() as a column, of canonical JSON text."""
     return F.concat(F.lit("sha256:"), F.sha2(F.concat(F.lit(f"{len(domain)}:{domain}:"), json_text).cast("binary"), 256))
+
+
+# The same as SQL text, for expressions that are put together from many parts.
+
+
+def sql_text(text: str) -> str:
+    """A string literal."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _ascii_sql(x: str) -> str:
+    """Text with everything but printable ASCII as JSON escapes, by UTF-16 units."""
+    unit = "if(u >= '0020' AND u <= '007E', char(CAST(conv(u, 16, 10) AS INT)), concat(char(92), 'u', lower(u)))"
+    spelled = f"array_join(transform(regexp_extract_all(hex(encode(y, 'UTF-16BE')), '(....)', 1), u -> {unit}), '')"
+    return f"transform(array({x}), y -> if(y RLIKE '[^ -~]', {spelled}, y))[0]"
+
+
+def json_sql(x: str) -> str:
+    """canonical_json() of a string; null for null. The named escapes of JSON are those of tokens."""
+    for plain, escaped in _ESCAPES:
+        x = f"replace({x}, {sql_text(plain)}, {sql_text(escaped)})"
+    return f"concat('\"', {_ascii_sql(x)}, '\"')"
+
+
+def term_json_sql(token: str, quoted: str) -> str:
+    """canonical_json() of Term.json(), from a token and json_sql() of it; null for null."""
+    part = lambda p: f"regexp_extract({token}, {sql_text(p)}, 1)"
+    value, kind, tag = part(r'(?s)^"(.*)"(?:\^\^<[^<>"]*>|@[A-Za-z0-9-]+)?\z'), part(r'(?s)^".*"\^\^<([^<>"]*)>\z'), part(r'(?s)^".*"@([A-Za-z0-9-]+)\z')
+    named = lambda x: f"if({x} = '', 'null', concat('\"', {_ascii_sql(x)}, '\"'))"
+    iri = f"""concat('{{"datatype":null,"kind":"iri","language":null,"value":"', substr({quoted}, 3, length({quoted}) - 4), '"}}')"""
+    literal = f"""concat('{{"datatype":', {named(kind)}, ',"kind":"literal","language":', {named(tag)}, ',"value":"', {_ascii_sql(value)}, '"}}')"""
+    return f"CASE WHEN startswith({token}, '<') THEN {iri} WHEN {token} IS NOT NULL THEN {literal} END"
+
+
+def digest_sql(domain: str, json_text: str) -> str:
+    """digest() of canonical JSON text."""
+    return f"concat('sha256:', sha2(concat('{len(domain)}:{domain}:', {json_text}), 256))"

@@ -1,22 +1,29 @@
-"""What supports a result: witness facts by join, certificates, and their checks.
-
-Witnesses of all rows are found atom by atom in set-oriented joins; the bounded
-result rows are the small side. A row's witness of an atom is the smallest fitting
-fact, so evidence does not depend on execution order.
+"""What supports a result: witness facts, certificates and their checks, as columns of the result.
+
+``certified`` gives every row of a result, however many there are, its key, a support for
+each atom of the plan and the id of its certificate; ``faults`` checks rows and
+certificates that may come from anywhere against plan and data, and returns every fault.
+The engine uses both on the bounded rows of an execution.
+
+What a row asserts fixes most of its witnesses: they are written down from the row, not
+looked up, and it is the check that asks the data for them, in one anti-join for each
+predicate or class. Only what the row leaves open is joined: the smallest value of a
+property that must exist, the smallest class of a selector that has several. So evidence
+does not depend on execution order, and no row is gathered from parts.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
 from dataclasses import asdict, dataclass, replace
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factgraph.errors import EvidenceError
-from factgraph.functions.terms import TYPE, Term, digest
+from factgraph.functions.terms import TYPE, Term, canonical_json, digest, digest_sql, json_sql, sql_text, term_json_sql
 from factgraph.plans.catalog import Catalog, Property
-from factgraph.plans.compiler import Compiled, oriented
+from factgraph.plans.compiler import KEY, Compiled, oriented
 
 
 @dataclass(frozen=True)
@@ -118,136 +125,283 @@ def witness_id(execution: str, atom: str, s: Term, p: str, o: Term) -> str:
     return digest("witness", [execution, atom, s.token, p, o.token])
 
 
-def needed_facts(compiled: Compiled, catalog: Catalog, rows: list[ResultRow]):
-    """(row, atom, source term, property, value term or None for any) and (row, atom, node, classes) of every fact to find."""
-    plan, facts, types = compiled.plan, [], []
-    for n, row in enumerate(rows):
-        at = dict(row.bindings)
-        for u in plan.selectors:
-            s = catalog.selector(u.key)
-            if at[u.entity].value not in s.targets:
-                types.append((n, u.id, at[u.entity], s.classes))
-        for e in plan.edges:
-            prop = catalog.property(e.property_key)
-            facts.append((n, e.id, at[plan.entity_of(e.source_lens)], prop, at[e.target_entity]))
-            types += [(n, e.id, at[e.target_entity], (c,)) for c in prop.branch(e.branch_key).classes]
-        for f in plan.filters:
-            prop = catalog.property(f.property_key)
-            facts.append((n, f.id, at[plan.entity_of(f.lens)], prop, f.value))
-            if f.kind == "eq":
-                types += [(n, f.id, f.value, (c,)) for c in prop.branch(f.branch_key).classes]
-        for k, p in enumerate(plan.projections):
-            if p.kind == "field" and row.values[k] is not None:
-                prop = catalog.property(p.property_key)
-                facts.append((n, p.id, at[plan.entity_of(p.lens)], prop, row.values[k]))
-                types += [(n, p.id, row.values[k], (c,)) for c in prop.branch(p.branch_key).classes]
-    return facts, types
-
-
-def _small(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
-    """Bounded by the policy's result rows."""
-    return F.broadcast(spark.createDataFrame(rows, schema))
-
-
-def _key_type(df: DataFrame, column: str) -> str:
-    return df.schema[column].dataType.simpleString()
-
-
-def find_witnesses(spark: SparkSession, source, compiled: Compiled, catalog: Catalog, rows: list[ResultRow]) -> dict[tuple[int, str], list[tuple[Term, str, Term]]]:
-    """Facts by (row, atom), the property's own first."""
-    facts, types = needed_facts(compiled, catalog, rows)
-    parts: list[DataFrame] = []
-    by_prop: dict[tuple[str, bool, bool], list] = defaultdict(list)
-    props: dict[tuple[str, bool, bool], Property] = {}
-    for n, atom, src, prop, dst in facts:
-        k = prop.predicate, prop.inverse, dst is None
-        by_prop[k].append((n, atom, src, dst))
-        props[k] = prop
-    schema = "n int, atom string, step int, s string, p string, o string"
-    for k, wanted in by_prop.items():
-        r = oriented(source, props[k])
-        keyed = []
-        for n, atom, s, d in wanted:
-            sk, dk = source.key(s, r.src), None if d is None else source.key(d, r.dst)
-            if sk is not None and (d is None or dk is not None):
-                keyed.append((n, atom, sk) if d is None else (n, atom, sk, dk))
-        if not keyed:
-            continue
-        extra = "" if k[2] else f", _d {_key_type(r.rows, 'dst')}"
-        small = _small(spark, keyed, f"n int, atom string, _s {_key_type(r.rows, 'src')}{extra}")
-        on = r.rows["src"] == small["_s"]
-        found = r.rows.join(small, on if k[2] else on & (r.rows["dst"] == small["_d"]))
-        a, b = source.render(F.col("src"), r.src), source.render(F.col("dst"), r.dst)
-        s, o = (b, a) if k[1] else (a, b)
-        found = found.select("n", "atom", s.alias("s"), o.alias("o")).filter(~F.col("s").startswith("_:") & ~F.col("o").startswith("_:"))
-        first = found.groupBy("n", "atom").agg(F.min(F.struct("s", "o")).alias("w"))
-        parts.append(first.select("n", "atom", F.lit(0).alias("step"), "w.s", F.lit(k[0]).alias("p"), "w.o"))
-    by_class: dict[str, list] = defaultdict(list)
-    for step, (n, atom, node, classes) in enumerate(types):
-        for c in classes:
-            by_class[c].append((n, atom, step + 1, node))
-    for c, wanted in by_class.items():
-        nodes, space = source.members(c)
-        keyed = [(n, atom, step, key) for n, atom, step, node in wanted if (key := source.key(node, space)) is not None]
-        if keyed:
-            small = _small(spark, keyed, f"n int, atom string, step int, _s {_key_type(nodes, 'node')}")
-            found = nodes.join(small, nodes["node"] == small["_s"])
-            parts.append(found.select("n", "atom", "step", source.render(F.col("node"), space).alias("s"), F.lit(TYPE).alias("p"), F.lit(f"<{c}>").alias("o")))
-    out: dict[tuple[int, str], list] = defaultdict(list)
-    if parts:
-        whole = parts[0]
-        for p in parts[1:]:
-            whole = whole.unionByName(p)
-        least = whole.groupBy("n", "atom", "step").agg(F.min(F.struct("s", "p", "o")).alias("w"))
-        for r in sorted(least.collect(), key=lambda r: (r.n, r.atom, r.step)):  # bounded: result rows times atoms
-            out[r.n, r.atom].append((Term.parse(r.w.s), r.w.p, Term.parse(r.w.o)))
-    return out
+# Expressions over rows are SQL text: there are many of them, and one call takes them all to Spark.
 
 
-def certify(execution: str, compiled: Compiled, catalog: Catalog, rows: list[ResultRow], found) -> tuple[tuple[Certificate, ...], tuple[Witness, ...]]:
-    """A certificate for each row; EvidenceError where support is missing."""
-    plan, witnesses, certificates = compiled.plan, {}, []
-    facts, types = needed_facts(compiled, catalog, rows)
-    expected: dict[tuple[int, str], int] = defaultdict(int)
-    for n, atom, *_ in (*facts, *types):
-        expected[n, atom] += 1
-    for n, row in enumerate(rows):
-        supports = []
+@dataclass(frozen=True)
+class Token:
+    """A token of a row: its text and its JSON spelling, as SQL."""
+
+    text: str
+    json: str
+
+
+#: Before a column's name: the JSON spelling of its token.
+JSON = "_json_"
+
+
+def of_row(name: str) -> Token:
+    return Token(f"`{name}`", f"`{JSON}{name}`")
 
-        def support(kind: str, atom: str, status: str) -> None:
-            got = found.get((n, atom), [])
-            if len(got) != expected[n, atom] or not got:
-                raise EvidenceError(f"no witness for {atom}")
-            ids = []
-            for s, p, o in got:
-                w = Witness(witness_id(execution, atom, s, p, o), execution, atom, s, p, o)
-                witnesses[w.id] = w
-                ids.append(w.id)
-            supports.append(Support(kind, atom, status, tuple(ids)))
-
-        at = dict(row.bindings)
-        for u in plan.selectors:
-            if at[u.entity].value in catalog.selector(u.key).targets:
-                supports.append(Support("selector", u.id, "derived", (), (u.entity,)))
+
+def fixed(token: str) -> Token:
+    return Token(sql_text(token), sql_text(canonical_json(token)))
+
+
+def spelled(rows: DataFrame, names: list[str]) -> DataFrame:
+    """``rows`` with the JSON spelling of token columns."""
+    return rows.selectExpr("*", *(f"{json_sql(f'`{n}`')} AS `{JSON}{n}`" for n in names))
+
+
+@dataclass(frozen=True)
+class Step:
+    """A fact that an atom needs: of a property from a node to a value (None: any), or of a node to one of some classes."""
+
+    node: Token
+    prop: Property | None = None
+    value: Token | None = None
+    classes: tuple[str, ...] = ()
+    entity: str = ""
+
+
+@dataclass(frozen=True)
+class Atom:
+    """What must support an atom of a plan; ``derived`` and ``unbound`` say when it needs no facts."""
+
+    id: str
+    kind: str
+    status: str
+    steps: tuple[Step, ...]
+    entity: str = ""
+    derived: str = "false"
+    unbound: str = "false"
+
+    @property
+    def status_sql(self) -> str:
+        return f"CASE WHEN {self.derived} THEN 'derived' WHEN {self.unbound} THEN 'optional_unbound' ELSE '{self.status}' END"
+
+    @property
+    def bare(self) -> str:
+        """When it has no witnesses."""
+        return f"({self.derived} OR {self.unbound})"
+
+    @property
+    def entities_sql(self) -> str:
+        none = "CAST(array() AS array<string>)"
+        return f"if({self.derived}, array('{self.entity}'), {none})" if self.entity else none
+
+
+def _listed(values) -> str:
+    return ", ".join(map(sql_text, values))
+
+
+def plan_atoms(compiled: Compiled, catalog: Catalog) -> list[Atom]:
+    """The atoms in the plan's order, over the token columns of its result."""
+    plan, out = compiled.plan, []
+
+    def types(node: Token, classes: tuple[str, ...]) -> list[Step]:
+        return [Step(node, classes=(c,)) for c in classes]
+
+    for u in plan.selectors:
+        s = catalog.selector(u.key)
+        given = f"`{u.entity}` IN ({_listed(f'<{t}>' for t in s.targets)})" if s.targets else "false"
+        out.append(Atom(u.id, "selector", "witnessed", (Step(of_row(u.entity), classes=s.classes, entity=u.entity),) if s.classes else (), u.entity, given))
+    for e in plan.edges:
+        prop, node = catalog.property(e.property_key), of_row(e.target_entity)
+        out.append(Atom(e.id, "edge", "witnessed", (Step(of_row(plan.entity_of(e.source_lens)), prop, node), *types(node, prop.branch(e.branch_key).classes))))
+    for f in plan.filters:
+        prop, entity = catalog.property(f.property_key), plan.entity_of(f.lens)
+        if f.kind == "eq":
+            value = fixed(f.value.token)
+            out.append(Atom(f.id, "filter", "derived", (Step(of_row(entity), prop, value), *types(value, prop.branch(f.branch_key).classes))))
+        else:
+            out.append(Atom(f.id, "filter", "derived", (Step(of_row(entity), prop, entity=entity),)))
+    for p in plan.projections:
+        if p.kind == "node":
+            out.append(Atom(p.id, "projection", "derived", (), p.entity, "true"))
+        else:
+            prop, value = catalog.property(p.property_key), of_row(p.id)
+            none = "false" if p.required else f"`{p.id}` IS NULL"
+            out.append(Atom(p.id, "projection", "witnessed", (Step(of_row(plan.entity_of(p.lens)), prop, value), *types(value, prop.branch(p.branch_key).classes)), unbound=none))
+    return out
+
+
+_FACT = "struct<id: string, s: string, p: string, o: string>"
+_SUPPORT = f"struct<kind: string, atom: string, status: string, witnesses: array<{_FACT}>, entities: array<string>>"
+
+
+def _row_key_sql(compiled: Compiled) -> str:
+    """row_key() over the token columns of a result and their spellings."""
+    own = lambda n: term_json_sql(f"`{n}`", f"`{JSON}{n}`")
+    values = ", ',', ".join(f"coalesce({own(p)}, 'null')" for p in compiled.public)
+    bindings = ", ',', ".join(f"concat({sql_text(f'[{canonical_json(e)},')}, {own(e)}, ']')" for e in compiled.entities)
+    return digest_sql("row", f"concat('[[', {values}, '],[', {bindings}, ']]')")
+
+
+def _witness_id_sql(execution: str, atom: str, s: str, p: str, o: str) -> str:
+    """witness_id() from JSON spellings; null if one of them is."""
+    return digest_sql("witness", f"concat({sql_text('[' + canonical_json(execution) + ',')}, {atom}, ',', {s}, ',', {p}, ',', {o}, ']')")
+
+
+def _certificate_id_sql(execution: str, compiled: Compiled) -> str:
+    """The digest of _certificate() over row_key and supports; names in them are checked elsewhere and need no escapes."""
+    quote = lambda c: f"'\"', {c}, '\"'"
+    listed = lambda a, x, f: f"'[', array_join(transform({a}, {x} -> {f}), ','), ']'"
+    entities = listed("x.entities", "e", f"concat({quote('e')})")
+    witnesses = listed("x.witnesses", "w", f"concat({quote('w.id')})")
+    one = f"""concat('{{"atom":', {quote('x.atom')}, ',"entities":', {entities}, ',"kind":', {quote('x.kind')}, ',"status":', {quote('x.status')}, ',"witnesses":', {witnesses}, '}}')"""
+    head = f'{{"execution":{canonical_json(execution)},"plan":"{compiled.plan.digest}","query":"{compiled.query_digest}","row":"'
+    return digest_sql("certificate", f"""concat({sql_text(head)}, row_key, '","supports":', {listed('supports', 'x', one)}, '}}')""")
+
+
+def _fact_sql(execution: str, atom: str, s: Token, p: str, o: Token) -> str:
+    known = _witness_id_sql(execution, sql_text(canonical_json(atom)), s.json, sql_text(canonical_json(p)), o.json)
+    return f"named_struct('id', {known}, 's', {s.text}, 'p', {sql_text(p)}, 'o', {o.text})"
+
+
+def _by_entity(rows: DataFrame, source, compiled: Compiled, entity: str, facts: DataFrame, space: str) -> DataFrame:
+    """``rows`` with the columns of ``facts`` beside _at, keys of ``space``, that meet an entity; null where none does."""
+    binding = next(e.binding for e in compiled.plan.entities if e.id == entity)
+    more = [c for c in facts.columns if c != "_at"]
+    if binding is not None:
+        key = source.key(binding, space)
+        facts = facts.filter(F.lit(False) if key is None else F.col("_at") == F.lit(key))
+    if binding is None and compiled.spaces[entity] == space:
+        return rows.join(facts.withColumnRenamed("_at", KEY + entity), KEY + entity, "left")
+    return rows.withColumn("_on", F.col(entity)).join(facts.select(source.render(F.col("_at"), space).alias("_on"), *more), "_on", "left").drop("_on")
+
+
+def _open_steps(rows: DataFrame, source, compiled: Compiled, atoms: list[Atom]) -> tuple[DataFrame, dict[str, Token]]:
+    """``rows`` with what the data chooses, and for each atom that leaves something open, the chosen token."""
+    chosen: dict[str, Token] = {}
+    for a in atoms:
+        for s in a.steps:
+            name = f"_open_{a.id}"
+            if s.prop is not None and s.value is None:
+                r = oriented(source, s.prop)
+                value, node = source.render(F.col("dst"), r.dst), source.render(F.col("src"), r.src)
+                named = r.rows.filter(~value.startswith("_:") & ~node.startswith("_:"))
+                rows = _by_entity(rows, source, compiled, s.entity, named.groupBy(F.col("src").alias("_at")).agg(F.min(value).alias(name)), r.src)
+            elif len(s.classes) > 1:
+                for k, c in enumerate(s.classes):
+                    nodes, space = source.members(c)
+                    marked = nodes.select(F.col("node").alias("_at")).distinct().withColumn(f"{name}_{k}", F.lit(f"<{c}>"))
+                    rows = _by_entity(rows, source, compiled, s.entity, marked, space)
+                rows = rows.withColumn(name, F.array_min(F.array_compact(F.array(*(F.col(f"{name}_{k}") for k in range(len(s.classes)))))))
             else:
-                support("selector", u.id, "witnessed")
-        for e in plan.edges:
-            support("edge", e.id, "witnessed")
-        for f in plan.filters:
-            support("filter", f.id, "derived")
-        for k, p in enumerate(plan.projections):
-            if p.kind == "node":
-                supports.append(Support("projection", p.id, "derived", (), (p.entity,)))
-            elif row.values[k] is None:
-                if p.required:
-                    raise EvidenceError("a required field is unbound")
-                supports.append(Support("projection", p.id, "optional_unbound"))
+                continue
+            chosen[a.id] = of_row(name)
+    return rows, chosen
+
+
+def _step_fact(execution: str, a: Atom, s: Step, chosen: dict[str, Token]) -> str:
+    if s.prop is None:
+        return _fact_sql(execution, a.id, s.node, TYPE, chosen[a.id] if len(s.classes) > 1 else fixed(f"<{s.classes[0]}>"))
+    value = chosen[a.id] if s.value is None else s.value
+    return _fact_sql(execution, a.id, *((value, s.prop.predicate, s.node) if s.prop.inverse else (s.node, s.prop.predicate, value)))
+
+
+def certified(rows: DataFrame, source, compiled: Compiled, catalog: Catalog, execution: str) -> DataFrame:
+    """The columns of ``rows`` (Compiled.checked, or some of its rows) with row_key, certificate and supports."""
+    atoms = plan_atoms(compiled, catalog)
+    names = rows.columns
+    rows, chosen = _open_steps(rows, source, compiled, atoms)
+    rows = spelled(rows, [*compiled.public, *compiled.entities, *(f"_open_{a}" for a in chosen)])
+    supports = []
+    for a in atoms:
+        held = f"if({a.bare}, array(), array({', '.join(_step_fact(execution, a, s, chosen) for s in a.steps)}))" if a.steps else "array()"
+        supports.append(f"CAST(named_struct('kind', '{a.kind}', 'atom', '{a.id}', 'status', {a.status_sql}, 'witnesses', {held}, 'entities', {a.entities_sql}) AS {_SUPPORT})")
+    # Keys and facts are written before digests are taken over them.
+    out = rows.selectExpr(*(f"`{n}`" for n in names), f"{_row_key_sql(compiled)} AS row_key", f"array({', '.join(supports)}) AS supports")
+    return out.selectExpr("*", f"{_certificate_id_sql(execution, compiled)} AS certificate")
+
+
+def witness_table(certificates: DataFrame) -> DataFrame:
+    """id, atom, s, p, o of every witness of some certificates, once."""
+    each = certificates.select(F.explode("supports").alias("x")).select("x.atom", F.explode("x.witnesses").alias("w"))
+    return each.select("w.id", "atom", "w.s", "w.p", "w.o").distinct()
+
+
+def _row_faults_sql(atoms: list[Atom]) -> str:
+    """Faults of one row beside its certificate, as an array of (atom, fault); an atom's support is the column of its id after _of_."""
+    found = []
+
+    def need(ok: str, fault: str, atom: str | None = None) -> None:
+        found.append(f"if(coalesce({ok}, false), NULL, named_struct('atom', {sql_text(atom) if atom else 'CAST(NULL AS string)'}, 'fault', '{fault}'))")
+
+    need("row_key = _own_key", "row key")
+    need("certificate = _own_id", "certificate id")
+    # In the plan's order, so that one row has one certificate.
+    need(f"transform(supports, x -> x.atom) = array({_listed(a.id for a in atoms)})", "atoms")
+    for a in atoms:
+        x = f"`_of_{a.id}`"
+        need(f"{x} IS NULL OR {x}.kind = '{a.kind}'", "support kind", a.id)
+        need(f"{x} IS NULL OR {x}.status = {a.status_sql}", "support status", a.id)
+        need(f"{x} IS NULL OR {x}.entities = {a.entities_sql}", "support entities", a.id)
+        need(f"{x} IS NULL OR size({x}.witnesses) = if({a.bare}, 0, {len(a.steps)})", "number of witnesses", a.id)
+        fits = []
+        for k, s in enumerate(a.steps):
+            w = f"get({x}.witnesses, {k})"
+            if s.prop is None:
+                own = f"{w}.s = {s.node.text} AND {w}.p = {sql_text(TYPE)} AND {w}.o IN ({_listed(f'<{c}>' for c in s.classes)})"
             else:
-                support("projection", p.id, "witnessed")
-        if sorted(s.atom for s in supports) != sorted(plan.atoms):
-            raise EvidenceError("supports do not cover the plan's atoms once each")
-        certificates.append(_certificate(execution, compiled, row, tuple(supports)))
-    return tuple(certificates), tuple(witnesses.values())
+                node, value = ("o", "s") if s.prop.inverse else ("s", "o")
+                own = f"{w}.p = {sql_text(s.prop.predicate)} AND {w}.{node} = {s.node.text}" + (f" AND {w}.{value} = {s.value.text}" if s.value else "")
+            fits.append(f"({w} IS NULL OR {own})")
+        if fits:
+            need(f"{x} IS NULL OR {a.bare} OR ({' AND '.join(fits)})", "witness does not fit", a.id)
+    return f"array_compact(array({', '.join(found)}))"
+
+
+def _meets(rows: DataFrame, source, column: str, side: Column, space: str) -> Column:
+    """``column``'s tokens compared with a side of facts, as keys where the space has any."""
+    keys = source.unrender(rows[column], space)
+    return rows[column] == source.render(side, space) if keys is None else keys == side
+
+
+def not_in_data(witnesses: DataFrame, source, predicates: set[str], classes: set[str]) -> DataFrame:
+    """Of rows with s, p, o, those that are no facts of the source, in an anti-join for each predicate and class."""
+    known = [f"<{c}>" for c in sorted(classes)]
+    is_type = F.col("p") == TYPE
+    parts = [witnesses.filter(~(F.col("p").isin(*sorted(predicates)) & ~is_type) & ~(is_type & F.col("o").isin(*known)) | F.col("s").isNull() | F.col("o").isNull())]
+    whole = witnesses.filter(F.col("s").isNotNull() & F.col("o").isNotNull())
+    for p in sorted(predicates - {TYPE}):
+        own, r = whole.filter(F.col("p") == p), source.relation(p)
+        facts = r.rows.select(F.col("src").alias("_a"), F.col("dst").alias("_b"))
+        parts.append(own.join(facts, _meets(own, source, "s", facts["_a"], r.src) & _meets(own, source, "o", facts["_b"], r.dst), "left_anti"))
+    for c in sorted(classes):
+        own = whole.filter(is_type & (F.col("o") == f"<{c}>"))
+        nodes, space = source.members(c)
+        nodes = nodes.select(F.col("node").alias("_a"))
+        parts.append(own.join(nodes, _meets(own, source, "s", nodes["_a"], space), "left_anti"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def faults(rows: DataFrame, certificates: DataFrame, source, compiled: Compiled, catalog: Catalog, execution: str) -> DataFrame:
+    """row_key, atom, fault: everything in which rows and certificates do not hold (once for each witness); nothing if they do.
+
+    ``rows`` has the token columns of the result and row_key, ``certificates`` row_key,
+    certificate and supports; either may be any table. Each is checked by itself and
+    against the other, and every witness is looked up in the data.
+    """
+    atoms = plan_atoms(compiled, catalog)
+    names = [*compiled.public, *compiled.entities]
+    own = spelled(rows.select(*names, "row_key"), names).selectExpr(*(f"`{n}`" for n in names), "row_key", f"{_row_key_sql(compiled)} AS _own_key")
+    held = certificates.select("row_key", "certificate", F.col("supports").cast(f"array<{_SUPPORT}>").alias("supports"))
+    # How often a key is on either side.
+    both = own.selectExpr("row_key", "1 AS _r", "0 AS _c").unionByName(held.selectExpr("row_key", "0 AS _r", "1 AS _c"))
+    met = both.groupBy("row_key").agg(F.sum("_r").alias("_r"), F.sum("_c").alias("_c"))
+    told = "array_compact(array(if(_c = 0, 'no certificate', NULL), if(_r = 0, 'no row', NULL), if(_r > 1, 'row twice', NULL), if(_c > 1, 'certificate twice', NULL)))"
+    uneven = met.selectExpr("row_key", "CAST(NULL AS string) AS atom", f"explode({told}) AS fault")
+    beside = own.join(held.selectExpr("*", f"{_certificate_id_sql(execution, compiled)} AS _own_id"), "row_key")
+    beside = beside.selectExpr("*", *(f"get(filter(supports, x -> x.atom = '{a.id}'), 0) AS `_of_{a.id}`" for a in atoms))
+    wrong = beside.selectExpr("row_key", f"inline({_row_faults_sql(atoms)}) AS (atom, fault)")
+    facts = held.selectExpr("row_key", "explode(supports) AS x").selectExpr("row_key", "x.atom", "explode(x.witnesses) AS w").selectExpr("row_key", "atom", "w.id", "w.s", "w.p", "w.o")
+    named = facts.filter(f"NOT coalesce(id = {_witness_id_sql(execution, *map(json_sql, ('atom', 's', 'p', 'o')))}, false)").selectExpr("row_key", "atom", "'witness id' AS fault")
+    predicates = {s.prop.predicate for a in atoms for s in a.steps if s.prop is not None}
+    classes = {c for a in atoms for s in a.steps for c in s.classes}
+    missing = not_in_data(facts, source, predicates, classes).selectExpr("row_key", "atom", "'witness is no fact' AS fault")
+    return reduce(DataFrame.unionByName, [uneven, wrong, named, missing])
 
 
 def _certificate(execution: str, compiled: Compiled, row: ResultRow, supports: tuple[Support, ...]) -> Certificate:
@@ -255,32 +409,36 @@ def _certificate(execution: str, compiled: Compiled, row: ResultRow, supports: t
     return Certificate(digest("certificate", body), execution, compiled.plan.digest, compiled.query_digest, row.key, row.bindings, supports)
 
 
+def certify(rows: DataFrame, source, compiled: Compiled, catalog: Catalog, execution: str) -> tuple[tuple[ResultRow, ...], tuple[Certificate, ...], tuple[Witness, ...]]:
+    """Rows, certificates and witnesses of a bounded result in its order; EvidenceError where a support is missing."""
+    whole = certified(rows.withColumn("_at", F.monotonically_increasing_id()), source, compiled, catalog, execution)
+    out, certificates, witnesses = [], [], {}
+    for r in sorted(whole.collect(), key=lambda r: r["_at"]):  # bounded: the policy's result rows
+        row = make_row([r[n] for n in compiled.public], [(e, r[e]) for e in compiled.entities])
+        supports = []
+        for x in r.supports:
+            for w in x.witnesses:
+                if w.s is None or w.o is None:
+                    raise EvidenceError(f"no witness for {x.atom}")
+                witnesses[w.id] = Witness(w.id, execution, x.atom, Term.parse(w.s), w.p, Term.parse(w.o))
+            supports.append(Support(x.kind, x.atom, x.status, tuple(w.id for w in x.witnesses), tuple(x.entities)))
+        out.append(row)
+        certificates.append(Certificate(r.certificate, execution, compiled.plan.digest, compiled.query_digest, r.row_key, row.bindings, tuple(supports)))
+    return tuple(out), tuple(certificates), tuple(witnesses.values())
+
+
 def facts_exist(spark: SparkSession, source, witnesses: tuple[Witness, ...]) -> bool:
-    """Whether every witness is a fact of the source, in one job for each predicate."""
-    by: dict[str, list[Witness]] = defaultdict(list)
-    for w in witnesses:
-        by[w.predicate if w.predicate != TYPE else f"{TYPE} {w.object.value}"].append(w)
-    for p, own in by.items():
-        if p.startswith(TYPE + " "):
-            rows, s_space = source.members(p.split(" ", 1)[1])
-            keys = {(source.key(w.subject, s_space),) for w in own}
-            rows, names = rows.select(F.col("node").alias("k0")), ["k0"]
-        else:
-            r = source.relation(p)
-            keys = {(source.key(w.subject, r.src), source.key(w.object, r.dst)) for w in own}
-            rows, names = r.rows.select(F.col("src").alias("k0"), F.col("dst").alias("k1")), ["k0", "k1"]
-        if any(None in k for k in keys):
-            return False
-        small = spark.createDataFrame(list(keys), ", ".join(f"{n} {_key_type(rows, n)}" for n in names))
-        if rows.join(F.broadcast(small), names).distinct().count() != len(keys):
-            return False
-    return True
+    """Whether every witness is a fact of the source."""
+    rows = spark.createDataFrame([(w.subject.token, w.predicate, w.object.token) for w in witnesses], "s string, p string, o string")
+    classes = {w.object.value for w in witnesses if w.predicate == TYPE}
+    return not not_in_data(rows, source, {w.predicate for w in witnesses}, classes).take(1)
 
 
 def check_packet(spark: SparkSession, source, catalog: Catalog, compiled: Compiled, packet: Packet, rows: tuple[ResultRow, ...], expected: dict) -> None:
     """Re-verify a packet against plan, rows and data; EvidenceError on the first thing that does not hold.
 
-    ``expected`` has the digests and revisions that the packet must carry.
+    ``expected`` has the digests and revisions that the packet must carry. Rows and
+    certificates are checked by faults().
     """
 
     def need(ok, what: str) -> None:
@@ -300,42 +458,18 @@ def check_packet(spark: SparkSession, source, catalog: Catalog, compiled: Compil
         need([e for e, _ in row.bindings] == list(compiled.entities) and len(row.values) == len(compiled.public), "row shape")
     by_id = {w.id: w for w in packet.witnesses}
     need(len(by_id) == len(packet.witnesses), "witness ids are distinct")
-    for w in packet.witnesses:
-        need(w.execution_id == packet.execution_id and w.assertion == "unknown", "witness status")
-        need(w.id == witness_id(w.execution_id, w.atom, w.subject, w.predicate, w.object), "witness id")
-    facts, types = needed_facts(compiled, catalog, list(rows))
-    want: dict[tuple[int, str], list] = defaultdict(list)
-    for n, atom, src, prop, dst in facts:
-        want[n, atom].append(("fact", src, prop, dst))
-    for n, atom, node, classes in types:
-        want[n, atom].append(("type", node, classes))
-
-    def fits(w: Witness, item) -> bool:
-        if item[0] == "type":
-            return w.predicate == TYPE and w.subject == item[1] and w.object.kind == "iri" and w.object.value in item[2]
-        _, src, prop, dst = item
-        s, o = (w.object, w.subject) if prop.inverse else (w.subject, w.object)
-        return w.predicate == prop.predicate and s == src and (dst is None or o == dst)
-
-    used = set()
-    kinds = {**{u.id: ("selector", "witnessed") for u in compiled.plan.selectors}, **{e.id: ("edge", "witnessed") for e in compiled.plan.edges}, **{f.id: ("filter", "derived") for f in compiled.plan.filters}, **{p.id: ("projection", "witnessed") for p in compiled.plan.projections}}
-    for n, (row, c) in enumerate(zip(rows, packet.certificates)):
-        need(row.key == row_key(row.values, row.bindings), "row key")
-        need(c == _certificate(packet.execution_id, compiled, row, c.supports), "certificate identity")
-        need(sorted(s.atom for s in c.supports) == sorted(compiled.plan.atoms), "atoms are supported once each")
-        for s in c.supports:
-            items, p = want.get((n, s.atom), []), next((p for p in compiled.plan.projections if p.id == s.atom), None)
-            kind, status = kinds[s.atom]
-            need(s.kind == kind, "support kind")
-            if items:
-                need(s.status == status and not s.entities and len(s.witnesses) == len(items), "support status")
-                need(all(i in by_id and by_id[i].atom == s.atom for i in s.witnesses), "support witnesses")
-                need(all(fits(by_id[i], item) for i, item in zip(s.witnesses, items)), "witness fits its atom")
-                used.update(s.witnesses)
-            elif p is not None and p.kind == "field":
-                need(s.status == "optional_unbound" and not p.required and not s.witnesses and not s.entities, "unbound field")
-            else:
-                entity = p.entity if p is not None else next(u.entity for u in compiled.plan.selectors if u.id == s.atom)
-                need(s.status == "derived" and s.entities == (entity,) and not s.witnesses, "derived support")
-    need(used == set(by_id), "every witness supports something")
-    need(facts_exist(spark, source, packet.witnesses), "witnesses are facts")
+    need(all(w.execution_id == packet.execution_id and w.assertion == "unknown" for w in packet.witnesses), "witness status")
+    for row, c in zip(rows, packet.certificates):
+        need((c.execution_id, c.plan_digest, c.query_digest, c.bindings) == (packet.execution_id, compiled.plan.digest, compiled.query_digest, row.bindings), "certificate identity")
+        need(all(i in by_id and by_id[i].atom == s.atom for s in c.supports for i in s.witnesses), "support witnesses")
+    need({i for c in packet.certificates for s in c.supports for i in s.witnesses} == set(by_id), "every witness supports something")
+    if not rows:
+        return
+    fact = lambda w: (w.id, w.subject.token, w.predicate, w.object.token)
+    supports = lambda c: [(s.kind, s.atom, s.status, [fact(by_id[i]) for i in s.witnesses], list(s.entities)) for s in c.supports]
+    names = [*compiled.public, *compiled.entities, "row_key"]
+    tokens = [(*(v and v.token for v in r.values), *(t.token for _, t in r.bindings), r.key) for r in rows]
+    whole = spark.createDataFrame(tokens, ", ".join(f"`{n}` string" for n in names))
+    held = spark.createDataFrame([(c.row_key, c.id, supports(c)) for c in packet.certificates], f"row_key string, certificate string, supports array<{_SUPPORT}>")
+    wrong = faults(whole.coalesce(1), held.coalesce(1), source, compiled, catalog, packet.execution_id).limit(1).collect()
+    need(not wrong, wrong and f"{wrong[0].fault}{' of ' + wrong[0].atom if wrong[0].atom else ''}")

@@ -75,8 +75,12 @@ class PlanBuilder:
         self.names[self._add("projections", kind="field", lens=lens, property_key=p.key, branch_key=p.branches[branch].key, required=required)] = name
         return self
 
+    def columns(self, engine) -> dict[str, str]:
+        """Columns of the compiled result, and their names here."""
+        ids = canonical_names(normalize(self.raw, engine.catalog, engine.policy))[1]
+        return {ids[i]: n for i, n in self.names.items()}
+
     def frame(self, engine, limit: int | None = None) -> DataFrame:
         """The lazy result under the builder's column names."""
         compiled = engine.compile(self.raw, limit)
-        ids = canonical_names(normalize(self.raw, engine.catalog, engine.policy))[1]
-        return compiled.rows.select(*(F.col(ids[i]).alias(n) for i, n in self.names.items()))
+        return compiled.rows.select(*(F.col(k).alias(n) for k, n in self.columns(engine).items()))

@@ -5,17 +5,26 @@ entity never costs a join but a filter at the scan. Conditions whose values are
 returned (selectors on a joined entity, value classes, equality, existence, edges that
 close a cycle) are semi-joins, so they never multiply rows. Atoms are taken in a
 connected order, constants first; no plan has a Cartesian product.
+
+Where the source counts its facts, joins are ordered by what they are expected to give:
+the edge with the fewest rows first, its ends' own conditions included, then always the
+edge that grows the result least. Elsewhere constants come first.
+
+Contracts that do not filter are observed where a field is joined: the scan that gives
+its values says whether their entity has several, so a checked result needs no other.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
+from functools import cached_property
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from factgraph.errors import PolicyError
-from factgraph.functions.terms import Term, digest
+from factgraph.functions.terms import Term, digest, effective_datatype, kind_allowed, token_kind
 from factgraph.plans.catalog import Branch, Catalog, Property
 from factgraph.plans.query import Plan, QueryPolicy
 from factgraph.sources.facts import TOKEN, Relation
@@ -23,18 +32,65 @@ from factgraph.sources.facts import TOKEN, Relation
 
 @dataclass(frozen=True)
 class Compiled:
-    """``rows`` has the columns of ``public`` and ``entities`` as tokens, distinct."""
+    """A plan's lazy result: ``rows`` has the columns of ``public`` and ``entities`` as tokens, distinct."""
 
     plan: Plan
-    rows: DataFrame
     public: tuple[str, ...]
     entities: tuple[str, ...]
     query_digest: str
     nodes: int
-
-
-def oriented(source, prop: Property) -> Relation:
-    r = source.relation(prop.predicate)
+    builder: Callable[[bool], "_Builder"]
+
+    @cached_property
+    def _plain(self) -> "_Builder":
+        return self.builder(False)
+
+    @cached_property
+    def _checking(self) -> "_Builder":
+        return self.builder(True)
+
+    @property
+    def rows(self) -> DataFrame:
+        return self._plain.result
+
+    @property
+    def checked(self) -> DataFrame:
+        """``rows`` with the key of each free entity and field (KEY), and for each field whether its
+        entity has several values (MANY) and whether this one is outside the contract (BAD)."""
+        return self._checking.result
+
+    @property
+    def spaces(self) -> dict[str, str]:
+        """Key spaces of the free entities and fields of ``checked``."""
+        return self._checking.space
+
+    @property
+    def order(self) -> tuple[str, ...]:
+        """Predicates of the edges in the order in which they are joined."""
+        return tuple(self._plain.order)
+
+
+#: Before an id: names of the further columns of a checked result.
+KEY, MANY, BAD = "_key_", "_many_", "_bad_"
+TOKENS = "_token_"
+
+
+def accepts(token: Column, branch: Branch) -> Column:
+    """Branch.accepts() as a column: whether a term meets everything but class membership."""
+    out = kind_allowed(token, branch.node_kinds)
+    if branch.allowed:
+        out = out & token.isin(*(t.token for t in branch.allowed))
+    if branch.datatypes:
+        out = out & F.coalesce(effective_datatype(token).isin(*branch.datatypes), F.lit(False))
+    return out & (token_kind(token) == "iri") if branch.classes else out
+
+
+def oriented(source, prop: Property, constant: str = "") -> Relation:
+    """Pairs as the property reads them; ``constant`` names the end (src or dst) that is a constant, for sources that hold several orders."""
+    if constant and hasattr(source, "orders"):
+        r = source.relation(prop.predicate, {"src": "dst", "dst": "src"}[constant] if prop.inverse else constant)
+    else:
+        r = source.relation(prop.predicate)
     if not prop.inverse:
         return r
     return Relation(r.rows.select(F.col("dst").alias("src"), F.col("src").alias("dst")), r.dst, r.src)
@@ -61,12 +117,15 @@ def count_nodes(plan: Plan, catalog: Catalog) -> int:
 
 
 class _Builder:
-    def __init__(self, spark: SparkSession, source, catalog: Catalog, plan: Plan):
-        self.spark, self.source, self.catalog, self.plan = spark, source, catalog, plan
+    def __init__(self, spark: SparkSession, source, catalog: Catalog, plan: Plan, checked: bool = False):
+        self.spark, self.source, self.catalog, self.plan, self.checked = spark, source, catalog, plan, checked
         self.df: DataFrame | None = None
         self.space: dict[str, str] = {}
         self.bound = {e.id: e.binding for e in plan.entities if e.binding}
         self.serial = 0
+        self.order: list[str] = []
+        self.lens_entity = {u.id: u.entity for u in plan.lenses}
+        self.result = self.run()
 
     # Comparable columns of two key spaces; None if they can never be equal.
     def meet(self, a: Column, a_space: str, b: Column, b_space: str) -> tuple[Column, Column] | None:
@@ -125,10 +184,11 @@ class _Builder:
         parts = [self.source.members(c) for c in s.classes]
         spaces = {sp for _, sp in parts}
         targets = [Term("iri", t) for t in s.targets]
-        space = spaces.pop() if len(spaces) == 1 and all(self.source.key(t, next(iter(spaces), parts[0][1])) is not None for t in targets) else TOKEN
+        own, own_kind = self.source.own_space()
+        space = spaces.pop() if len(spaces) == 1 and all(self.source.key(t, parts[0][1]) is not None for t in targets) else own
         frames = [df.select((F.col("node") if sp == space else self.source.render(F.col("node"), sp)).alias("node")) for df, sp in parts]
         if targets:
-            kind = frames[0].schema["node"].dataType.simpleString() if frames else "string"
+            kind = frames[0].schema["node"].dataType.simpleString() if frames else own_kind
             keys = [(self.source.key(t, space),) for t in targets]
             frames.append(self.spark.createDataFrame(keys, f"node {kind}"))
         out = frames[0]
@@ -139,7 +199,7 @@ class _Builder:
     def run(self) -> DataFrame:
         uses = {u.entity: u for u in self.plan.selectors}
         edges = list(self.plan.edges)
-        lens_entity = {u.id: u.entity for u in self.plan.lenses}
+        lens_entity = self.lens_entity
         filters_of: dict[str, list] = {}
         for f in self.plan.filters:
             filters_of.setdefault(lens_entity[f.lens], []).append(f)
@@ -158,22 +218,11 @@ class _Builder:
         for e in list(self.bound):
             settle(e)
         while edges:
-            known = lambda e: e in self.bound or e in self.space
-            ends = lambda x: (lens_entity[x.source_lens], x.target_entity)
-            # Both ends known, then those at a constant, then those at a column.
-            rank = lambda x: (
-                not all(map(known, ends(x))),
-                not any(e in self.bound for e in ends(x)),
-                not any(e in self.space for e in ends(x)),
-                x.id,
-            )
-            if self.space:  # stay connected with what is there
-                near = [x for x in edges if all(map(known, ends(x))) or any(e in self.space for e in ends(x))]
-                edge = min(near or edges, key=rank)
-            else:
-                edge = min(edges, key=rank)
+            edge = self.next_edge(edges)
             edges.remove(edge)
-            if not self.space and not any(map(known, ends(edge))) and (start := next((e for e in ends(edge) if e in uses), None)):
+            self.order.append(self.catalog.property(edge.property_key).predicate)
+            ends = self.ends
+            if not self.space and not any(map(self.is_known, ends(edge))) and (start := next((e for e in ends(edge) if e in uses), None)):
                 self.start(start, uses.pop(start))
                 settle(start)
             self.edge(edge, *ends(edge))
@@ -187,14 +236,76 @@ class _Builder:
         for p in self.plan.projections:
             if p.kind == "field":
                 self.field(p, lens_entity[p.lens])
-        out = {e.id: F.lit(e.binding.token) if e.binding else self.source.render(F.col(e.id), self.space[e.id]) for e in self.plan.entities}
-        for p in self.plan.projections:
-            out[p.id] = out[p.entity] if p.kind == "node" else self.source.render(F.col(p.id), self.space[p.id])
         names = [p.id for p in self.plan.projections] + [e.id for e in self.plan.entities]
         # Rows are told apart by their keys; tokens are written afterwards.
         keys = list(self.space)
-        held = self.df.select(*keys).distinct() if keys else self.df.limit(1)
-        return held.select(*(out[n].alias(n) for n in names))
+        fields = [p for p in self.plan.projections if p.kind == "field"] if self.checked else []
+        held = self.df.select(*keys, *(MANY + p.id for p in fields)).distinct() if keys else self.df.limit(1)
+        held = self.source.tokens(held, {k: (TOKENS + k, s) for k, s in self.space.items()})
+        out = {e.id: F.lit(e.binding.token) if e.binding else F.col(TOKENS + e.id) for e in self.plan.entities}
+        out |= {p.id: out[p.entity] if p.kind == "node" else F.col(TOKENS + p.id) for p in self.plan.projections}
+        if not self.checked:
+            return held.select(*(out[n].alias(n) for n in names))
+        more = [F.col(k).alias(KEY + k) for k in keys]
+        for p in fields:
+            branch = self.catalog.property(p.property_key).branch(p.branch_key)
+            more += [F.coalesce(MANY + p.id, F.lit(False)).alias(MANY + p.id), F.coalesce(~accepts(out[p.id], branch), F.lit(False)).alias(BAD + p.id)]
+        return held.select(*(out[n].alias(n) for n in names), *more)
+
+    def ends(self, edge) -> tuple[str, str]:
+        return self.lens_entity[edge.source_lens], edge.target_entity
+
+    def is_known(self, entity: str) -> bool:
+        return entity in self.bound or entity in self.space
+
+    def next_edge(self, edges: list):
+        """The edge to join next; what is there already stays connected."""
+        known, ends = self.is_known, self.ends
+        near = [x for x in edges if all(map(known, ends(x))) or any(e in self.space for e in ends(x))] if self.space else edges
+        if hasattr(self.source, "counts"):
+            return min(near or edges, key=lambda x: (self.growth(x), x.id))
+        # Both ends known, then those at a constant, then those at a column.
+        rank = lambda x: (
+            not all(map(known, ends(x))),
+            not any(e in self.bound for e in ends(x)),
+            not any(e in self.space for e in ends(x)),
+            x.id,
+        )
+        return min(near or edges, key=rank)
+
+    def size(self, entity: str) -> float | None:
+        """About how many nodes meet an entity's own conditions; None if it has none."""
+        if entity in self.bound:
+            return 1.0
+        sizes = []
+        for u in self.plan.selectors:
+            if u.entity == entity:
+                s = self.catalog.selector(u.key)
+                sizes.append(float(sum(map(self.source.class_size, s.classes)) + len(s.targets)))
+        for f in self.plan.filters:
+            if self.lens_entity[f.lens] == entity:
+                prop = self.catalog.property(f.property_key)
+                facts, sources, values = self.sides(prop)
+                sizes.append(facts / max(values, 1) if f.kind == "eq" else float(sources))
+        return min(sizes) if sizes else None
+
+    def sides(self, prop: Property) -> tuple[int, int, int]:
+        """Facts of a property, and how many nodes it leads from and to."""
+        c = self.source.counts(prop.predicate)
+        return (c.facts, c.objects, c.subjects) if prop.inverse else (c.facts, c.subjects, c.objects)
+
+    def growth(self, edge) -> float:
+        """Rows an edge gives for each row that is there, or by itself if there is none; 0 if it only filters."""
+        (source, target), (facts, sources, values) = self.ends(edge), self.sides(self.catalog.property(edge.property_key))
+        if self.is_known(source) and self.is_known(target):
+            return 0.0
+        out = float(facts)
+        for e, n in ((source, sources), (target, values)):
+            if e in self.space:
+                out /= max(n, 1)
+            elif (size := self.size(e)) is not None:
+                out *= min(1.0, size / max(n, 1))
+        return out
 
     def start(self, entity: str, use) -> None:
         nodes, self.space[entity] = self.selected(use.key)
@@ -202,7 +313,7 @@ class _Builder:
 
     def edge(self, edge, source: str, target: str) -> None:
         prop = self.catalog.property(edge.property_key)
-        r = oriented(self.source, prop)
+        r = oriented(self.source, prop, "src" if source in self.bound else "dst" if target in self.bound else "")
         rows = self.contract(r.rows, "dst", r.dst, prop.branch(edge.branch_key))
         ends, new = [("src", r.src, source), ("dst", r.dst, target)], []
         if source == target:
@@ -234,7 +345,7 @@ class _Builder:
 
     def filter(self, f, entity: str) -> None:
         prop = self.catalog.property(f.property_key)
-        r = oriented(self.source, prop)
+        r = oriented(self.source, prop, "src" if entity in self.bound else "dst" if f.kind == "eq" else "")
         rows = r.rows
         if f.kind == "eq":
             rows = self.equal(rows, "dst", r.dst, f.value)
@@ -248,19 +359,29 @@ class _Builder:
 
     def field(self, p, entity: str) -> None:
         prop = self.catalog.property(p.property_key)
-        r = oriented(self.source, prop)
-        rows = self.contract(r.rows, "dst", r.dst, prop.branch(p.branch_key)).select("src", F.col("dst").alias(p.id))
+        branch = prop.branch(p.branch_key)
+        r = oriented(self.source, prop, "src" if entity in self.bound else "")
+        rows, names = r.rows, [p.id]
+        if entity in self.bound:
+            rows = self.equal(rows, "src", r.src, self.bound[entity])
+        if self.checked:
+            several = Window.partitionBy("src")
+            names.append(MANY + p.id)
+            rows = rows.withColumn(names[1], F.min("dst").over(several) < F.max("dst").over(several))
+        fit = self.contract(rows, "dst", r.dst, branch).withColumnRenamed("dst", p.id)
+        if self.checked and not p.required and (branch.classes or branch.allowed):
+            # An entity with several values is told even if none of them fits.
+            fit = fit.unionByName(rows.filter(names[1]).withColumn(p.id, F.lit(None).cast(rows.schema["dst"].dataType)).select("src", *names))
         how = "inner" if p.required else "left"
         self.space[p.id] = r.dst
         if entity in self.bound:
-            # A scalar field: a second value already fails the run, so two are enough.
-            rows = self.equal(rows, "src", r.src, self.bound[entity]).select(p.id).distinct().limit(2)
-            self.df = self.df.join(F.broadcast(rows), F.lit(True), how)
+            # The values of one entity, all of them: a condition on constants has no key to join by.
+            self.df = self.df.join(fit.select(*names).distinct(), F.lit(True), how)
             return
         both = self.meet(F.col(entity), self.space[entity], F.col("src"), r.src)
         if both is None:
-            rows, both = self.none(rows), (F.col(entity).cast("string"), F.col("src").cast("string"))
-        self.df = self.df.withColumn("_j", both[0]).join(rows.select(both[1].alias("_j"), p.id), "_j", how).drop("_j")
+            fit, both = self.none(fit), (F.col(entity).cast("string"), F.col("src").cast("string"))
+        self.df = self.df.withColumn("_j", both[0]).join(fit.select(both[1].alias("_j"), *names), "_j", how).drop("_j")
 
 
 def compile_plan(spark: SparkSession, source, catalog: Catalog, plan: Plan, policy: QueryPolicy) -> Compiled:
@@ -268,7 +389,6 @@ def compile_plan(spark: SparkSession, source, catalog: Catalog, plan: Plan, poli
     nodes = count_nodes(plan, catalog)
     if nodes > policy.max_nodes:
         raise PolicyError("plan has more patterns than the policy allows")
-    rows = _Builder(spark, source, catalog, plan).run()
-    public = tuple(p.id for p in plan.projections)
-    query = digest("query", {"plan": plan.digest, "columns": list(rows.columns)})
-    return Compiled(plan, rows, public, tuple(e.id for e in plan.entities), query, nodes)
+    public, entities = tuple(p.id for p in plan.projections), tuple(e.id for e in plan.entities)
+    query = digest("query", {"plan": plan.digest, "columns": [*public, *entities]})
+    return Compiled(plan, public, entities, query, nodes, lambda checked: _Builder(spark, source, catalog, plan, checked))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -9,7 +11,8 @@ from factgraph.functions.terms import TYPE, XSD, Term, effective_datatype, norma
 from factgraph.operators import metrics, profile, retrieval, witness
 from factgraph.plans.builder import PlanBuilder
 from factgraph.sources.facts import FactsTable
-from factgraph.tables import TD, as_facts, mapped, table_engine
+from factgraph.sources.shared import stored
+from factgraph.tables import TD, as_facts, mapped, store_engine, table_engine
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -44,12 +47,25 @@ def plan(sql: str, limit: int | None = None):
             f(b)
             return b.frame(engine, limit)
 
-        run.__name__ = f.__name__
+        run.__name__, run.fill = f.__name__, f
         return query(sql)(run)
 
     return put
 
 
+def over_store(run) -> None:
+    """Register the same plan over the dictionary-encoded store, with the same SQL."""
+
+    def on_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+        engine = store_engine(spark, sf_dir)
+        b = PlanBuilder(engine.catalog)
+        run.fill(b)
+        return b.frame(engine)
+
+    on_store.__name__ = f"store_{run.__name__}"
+    query(SQL[run.__name__])(on_store)
+
+
 S = lambda name: f"{TD}{name}Shape"
 _N = _tok("nation", "n_nationkey")
 
@@ -119,17 +135,26 @@ def _brand(spark, sf_dir) -> str:
     return spark.read.parquet(f"{sf_dir}/part.parquet").filter("p_brand LIKE 'Brand#%'").agg(F.min("p_brand")).first()[0] or "none"
 
 
-@query(STAR_SQL)
-def star_join(spark, sf_dir):
-    engine = table_engine(spark, sf_dir)
+def _star(engine, brand: str) -> DataFrame:
     b = PlanBuilder(engine.catalog)
     o, c, n, p = b.entity(S("Order")), b.entity(), b.entity(bound=TD + "nation/5"), b.entity()
     order = b.lens(o, S("Order"))
     b.edge(order, TD + "order-customer", c).edge(b.lens(c, S("Customer")), TD + "customer-nation", n).edge(order, TD + "order-part", p)
-    b.eq(b.lens(p, S("Part")), TD + "part-brand", Term.literal(_brand(spark, sf_dir)))
+    b.eq(b.lens(p, S("Part")), TD + "part-brand", Term.literal(brand))
     return b.node(o, "ord").field(order, TD + "order-priority", "priority").node(c, "customer").node(p, "part").frame(engine)
 
 
+@query(STAR_SQL)
+def star_join(spark, sf_dir):
+    return _star(table_engine(spark, sf_dir), _brand(spark, sf_dir))
+
+
+@query(STAR_SQL)
+def store_star_join(spark, sf_dir):
+    """The star over longs, in the order that counts of facts suggest."""
+    return _star(store_engine(spark, sf_dir), _brand(spark, sf_dir))
+
+
 @plan(f"SELECT DISTINCT {_tok('order', 'o_orderkey')} AS ord, {_N} AS nation FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey = 2")
 def chain_join(b):
     o, c, n, r = b.entity(S("Order")), b.entity(), b.entity(), b.entity(bound=TD + "region/2")
@@ -223,6 +248,44 @@ def field_timestamp(b):
     b.edge(order, TD + "order-customer", c).field(order, TD + "order-date", "date").node(o, "ord")
 
 
+for _run in (sel_type, sel_union, edge_inverse, edge_bound, chain_join, self_join, cycle_join, eq_iri, eq_literal):
+    over_store(_run)
+
+
+_STORED_SQL = " UNION ALL ".join(
+    [f"SELECT DISTINCT {_tok(a, k)} AS s, '<{TD}{n}>' AS p, {o} AS o FROM {t}" for n, a, k, o, t in (
+        ("nation-region", "nation", "n_nationkey", _tok("region", "n_regionkey"), "nation"), ("customer-nation", "customer", "c_custkey", _tok("nation", "c_nationkey"), "customer"),
+        ("supplier-nation", "supplier", "s_suppkey", _tok("nation", "s_nationkey"), "supplier"), ("order-customer", "order", "o_orderkey", _tok("customer", "o_custkey"), "orders"),
+        ("order-part", "order", "l_orderkey", _tok("part", "l_partkey"), "lineitem"), ("order-supplier", "order", "l_orderkey", _tok("supplier", "l_suppkey"), "lineitem"),
+        ("order-priority", "order", "o_orderkey", _lit("o_orderpriority"), "orders"), ("part-brand", "part", "p_partkey", _lit("p_brand"), "part"),
+        ("customer-name", "customer", "c_custkey", _lit("c_name"), "customer"), ("customer-segment", "customer", "c_custkey", _lit("c_mktsegment"), "customer"),
+    )]
+    + [f"SELECT DISTINCT {_tok(c.lower(), k)}, '<{TYPE}>', '<{TD}{c}>' FROM {t}" for c, k, t in (("Region", "r_regionkey", "region"), ("Nation", "n_nationkey", "nation"), ("Customer", "c_custkey", "customer"), ("Supplier", "s_suppkey", "supplier"), ("Part", "p_partkey", "part"), ("Order", "o_orderkey", "orders"))]
+)
+
+
+@query(f"WITH f AS ({_STORED_SQL}), t AS (SELECT s AS token FROM f UNION SELECT p FROM f UNION SELECT o FROM f) SELECT token, row_number() OVER (ORDER BY encode(token)) - 1 AS id FROM t")
+def store_terms(spark, sf_dir):
+    """The dictionary: every term once, numbered in the order of the tokens."""
+    return store_engine(spark, sf_dir).source.terms.select("token", "id")
+
+
+@query(f"SELECT p, count(*) AS n_facts, count(DISTINCT s) AS n_subjects, count(DISTINCT o) AS n_objects FROM ({_STORED_SQL}) f GROUP BY p")
+def store_predicates(spark, sf_dir):
+    source = store_engine(spark, sf_dir).source
+    rows = spark.read.parquet(f"{source.folder}/predicates").withColumnRenamed("p", "_p")
+    return source.tokens(rows, {"_p": ("p", "id")}).drop("_p")
+
+
+@query(f"SELECT ps, count(*) AS n_subjects, CAST(sum(n) AS BIGINT) AS n_facts FROM (SELECT s, string_agg(DISTINCT p, ' ' ORDER BY p) AS ps, count(*) AS n FROM ({_STORED_SQL}) f GROUP BY s) x GROUP BY ps")
+def store_characteristics(spark, sf_dir):
+    """Which predicates occur together on a subject, and how often."""
+    source = store_engine(spark, sf_dir).source
+    rows = spark.read.parquet(f"{source.folder}/characteristics").withColumn("_n", F.aggregate("facts", F.lit(0).cast("long"), lambda a, x: a + x))
+    named = source.tokens(rows.select(F.col("ps").alias("_set"), "n_subjects", "_n", F.explode("ps").alias("_p")), {"_p": ("p", "id")})
+    return named.groupBy("_set", "n_subjects", F.col("_n").alias("n_facts")).agg(F.array_join(F.array_sort(F.collect_list("p")), " ").alias("ps")).drop("_set")
+
+
 def _ask(spark, sf_dir, nation: str) -> DataFrame:
     engine = table_engine(spark, sf_dir)
     b = PlanBuilder(engine.catalog, "ask")
@@ -274,77 +337,166 @@ def named_graph_scope(spark, sf_dir):
     return table.relation(TD + "order-part").rows.select(F.col("src").alias("s"), F.col("dst").alias("o"))
 
 
-def _keyed(spark, sf_dir, fill) -> tuple:
+def _customers(b):
+    c, n = b.entity(S("Customer")), b.entity()
+    b.edge(b.lens(c, S("Customer")), TD + "customer-nation", n).field(b.lens(c, S("Customer")), TD + "customer-name", "name").node(c, "customer").node(n, "nation")
+
+
+def _by_nation(b):
+    n, c = b.entity(S("Nation")), b.entity()
+    b.edge(b.lens(n, S("Nation")), TD + "customer-nation", c, inverse=True).node(n, "nation").node(c, "customer")
+
+
+def _buyers(b):
+    c = b.entity(S("Customer"))
+    b.exists(b.lens(c, S("Customer")), TD + "order-customer", inverse=True).node(c, "customer")
+
+
+def _parties(b):
+    b.node(b.entity(S("Party")), "party")
+
+
+RUN = "run-1"
+
+
+def _certified(spark, sf_dir, fill) -> tuple:
+    """The engine, the raw plan, and the plan's whole result with its certificates under the builder's names."""
     engine = table_engine(spark, sf_dir)
     b = PlanBuilder(engine.catalog)
     fill(b)
-    return engine, witness.keyed(b.frame(engine))
+    return engine, b.raw, engine.certify(b.raw, RUN), b.columns(engine)
 
 
-def _customers(b):
-    c, n = b.entity(S("Customer")), b.entity()
-    b.edge(b.lens(c, S("Customer")), TD + "customer-nation", n).node(c, "customer").node(n, "nation")
+def _supports(spark, sf_dir, fill, atom: str) -> DataFrame:
+    """A row for each witness of an atom's supports, beside the row's nodes."""
+    _, _, rows, names = _certified(spark, sf_dir, fill)
+    held = rows.select(*(F.col(k).alias(n) for k, n in names.items()), F.explode(F.filter("supports", lambda x: x.atom == atom)).alias("x"))
+    each = held.select(*names.values(), "x.kind", "x.status", F.explode_outer("x.witnesses").alias("w"))
+    return each.select(*names.values(), "kind", "status", "w.id", "w.s", "w.p", "w.o")
 
 
-_KEY = "sha256('row,' || strlen(customer) || ':' || customer || ',' || strlen(nation) || ':' || nation)"
-_BASE = f"SELECT {_tok('customer', 'c_custkey')} AS customer, {_N} AS nation, c_nationkey, c_custkey, c_name FROM customer JOIN nation ON c_nationkey = n_nationkey"
+def _iri_json(token: str) -> str:
+    return f"""'{{"datatype":null,"kind":"iri","language":null,"value":"' || {token}[2:-2] || '"}}'"""
 
 
-@query(f"SELECT customer, nation, {_KEY} AS row_key FROM ({_BASE}) b")
-def row_keys(spark, sf_dir):
-    return _keyed(spark, sf_dir, _customers)[1]
+def _witness(atom: str, s: str, p: str, o: str) -> str:
+    """SQL of a witness's id, s, p, o."""
+    quote = lambda x: f"""replace({x}, '"', '\\"')"""
+    return f"""'sha256:' || sha256('7:witness:["{RUN}","{atom}","' || {quote(s)} || '","{p}","' || {quote(o)} || '"]') AS id, {s} AS s, '{p}' AS p, {o} AS o"""
 
 
-_EDGE_SQL = f"SELECT {_KEY} AS row_key, 'a0' AS atom, customer AS s, '<urn:td:customer-nation>' AS p, nation AS o FROM ({_BASE}) b"
-_CLASS_SQL = f"SELECT {_KEY} AS row_key, 's0' AS atom, customer AS s, '<{TYPE}>' AS p, '<urn:td:Customer>' AS o FROM ({_BASE}) b"
-_FIELD_SQL = f"SELECT {_KEY} AS row_key, 'p0' AS atom, customer AS s, '<urn:td:customer-name>' AS p, {_lit('c_name')} AS o FROM ({_BASE}) b"
-_FILTER_SQL = f"SELECT {_KEY} AS row_key, 'f0' AS atom, min(o) AS s, '<urn:td:order-customer>' AS p, customer AS o FROM (SELECT b.*, {_tok('order', 'o_orderkey')} AS o FROM ({_BASE}) b JOIN orders ON o_custkey = c_custkey) x GROUP BY customer, nation"
+_BASE = f"SELECT {_tok('customer', 'c_custkey')} AS customer, {_N} AS nation, {_lit('c_name')} AS name, c_custkey FROM customer JOIN nation ON c_nationkey = n_nationkey"
+_NAME_JSON = """'{"datatype":null,"kind":"literal","language":null,"value":"' || name[2:-2] || '"}'"""
+_KEY = f"""'sha256:' || sha256('3:row:[[' || {_NAME_JSON} || ',' || {_iri_json('customer')} || ',' || {_iri_json('nation')} || '],[["entity0",' || {_iri_json('customer')} || '],["entity1",' || {_iri_json('nation')} || ']]]')"""
 
 
-def _witnesses(spark, sf_dir, which: str) -> DataFrame:
-    engine, rows = _keyed(spark, sf_dir, _customers)
-    prop = lambda shape, name, inv=False: engine.catalog.find(S(shape), TD + name, inv)
-    if which == "edge":
-        return witness.property_witness(rows, engine.source, prop("Customer", "customer-nation"), "customer", "nation", "a0")
-    if which == "inverse":
-        return witness.property_witness(rows, engine.source, prop("Nation", "customer-nation", True), "nation", "customer", "a0")
-    if which == "selector":
-        return witness.class_witness(rows, engine.source, (TD + "Customer",), "customer", "s0")
-    if which == "field":
-        return witness.property_witness(rows, engine.source, prop("Customer", "customer-name"), "customer", None, "p0")
-    return witness.property_witness(rows, engine.source, prop("Customer", "order-customer", True), "customer", None, "f0")
+@query(f"SELECT customer, nation, {_KEY} AS row_key FROM ({_BASE}) b")
+def row_keys(spark, sf_dir):
+    """The keys that executions give their rows, for a whole result."""
+    _, _, rows, names = _certified(spark, sf_dir, _customers)
+    at = {n: k for k, n in names.items()}
+    return rows.select(F.col(at["customer"]).alias("customer"), F.col(at["nation"]).alias("nation"), "row_key")
 
 
-@query(_EDGE_SQL)
+@query(f"SELECT name, customer, nation, 'edge' AS kind, 'witnessed' AS status, {_witness('edge0', 'customer', TD + 'customer-nation', 'nation')} FROM ({_BASE}) b UNION ALL SELECT name, customer, nation, 'edge', 'witnessed', {_witness('edge0', 'nation', TYPE, f"'<{TD}Nation>'")} FROM ({_BASE}) b")
 def evidence_edge(spark, sf_dir):
-    return _witnesses(spark, sf_dir, "edge")
+    """An edge is witnessed by its fact and by the class of its value."""
+    return _supports(spark, sf_dir, _customers, "edge0")
 
 
-@query(_EDGE_SQL)
+@query(f"SELECT customer, nation, 'edge' AS kind, 'witnessed' AS status, {_witness('edge0', 'customer', TD + 'customer-nation', 'nation')} FROM ({_BASE}) b UNION ALL SELECT customer, nation, 'edge', 'witnessed', {_witness('edge0', 'customer', TYPE, f"'<{TD}Customer>'")} FROM ({_BASE}) b")
 def evidence_inverse(spark, sf_dir):
-    return _witnesses(spark, sf_dir, "inverse")
+    """Facts keep their direction, whichever way the plan reads them."""
+    return _supports(spark, sf_dir, _by_nation, "edge0")
 
 
-@query(_CLASS_SQL)
+@query(f"SELECT party, 'selector' AS kind, 'witnessed' AS status, {_witness('selector0', 'party', TYPE, 'cls')} FROM (SELECT DISTINCT {_tok('customer', 'c_custkey')} AS party, '<{TD}Customer>' AS cls FROM customer UNION ALL SELECT DISTINCT {_tok('supplier', 's_suppkey')}, '<{TD}Supplier>' FROM supplier) b")
 def evidence_selector(spark, sf_dir):
-    return _witnesses(spark, sf_dir, "selector")
+    """Of a selector's classes, the smallest that a node has."""
+    return _supports(spark, sf_dir, _parties, "selector0")
 
 
-@query(_FILTER_SQL)
+@query(f"SELECT customer, 'filter' AS kind, 'derived' AS status, {_witness('filter0', 'ord', TD + 'order-customer', 'customer')} FROM (SELECT {_tok('customer', 'c_custkey')} AS customer, min({_tok('order', 'o_orderkey')}) AS ord FROM customer JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey) b")
 def evidence_filter(spark, sf_dir):
-    return _witnesses(spark, sf_dir, "filter")
+    """Of the values that must exist, the smallest."""
+    return _supports(spark, sf_dir, _buyers, "filter0")
 
 
-@query(_FIELD_SQL)
+@query(f"SELECT name, customer, nation, 'projection' AS kind, 'witnessed' AS status, {_witness('shown0', 'customer', TD + 'customer-name', 'name')} FROM ({_BASE}) b")
 def evidence_field(spark, sf_dir):
-    return _witnesses(spark, sf_dir, "field")
+    return _supports(spark, sf_dir, _customers, "shown0")
 
 
-@query(f"SELECT row_key, count(*) AS n_supports, string_agg(atom, ',' ORDER BY atom) AS atoms FROM ({_EDGE_SQL} UNION ALL {_CLASS_SQL} UNION ALL {_FIELD_SQL}) u GROUP BY row_key")
+@query(f"SELECT {_KEY} AS row_key, 5 AS n_supports, 'selector0,edge0,shown0,shown1,shown2' AS atoms, 4 AS n_witnesses FROM ({_BASE}) b")
 def certificate_coverage(spark, sf_dir):
-    parts = [_witnesses(spark, sf_dir, k) for k in ("edge", "selector", "field")]
-    own = witness.certificates(parts[0].unionByName(parts[1]).unionByName(parts[2]))
-    return own.select("row_key", F.size("supports").cast("long").alias("n_supports"), F.array_join(F.transform("supports", lambda s: s.atom), ",").alias("atoms"))
+    """Each row's certificate covers every atom of the plan once, in the plan's order."""
+    _, _, rows, _ = _certified(spark, sf_dir, _customers)
+    n = F.aggregate("supports", F.lit(0), lambda a, s: a + F.size(s.witnesses))
+    return rows.select("row_key", F.size("supports").cast("long").alias("n_supports"), F.array_join(F.transform("supports", lambda s: s.atom), ",").alias("atoms"), n.cast("long").alias("n_witnesses"))
+
+
+@query(f"SELECT unnest(['rows', 'certificates', 'witnesses', 'faults', 'broken']) AS metric, unnest([count(*), count(DISTINCT customer), 3 * count(*) + count(DISTINCT nation), 0, 0]) AS n FROM ({_BASE}) b")
+def evidence_valid(spark, sf_dir):
+    """All customers certified, and rows and certificates checked against plan and data: nothing is wrong."""
+    from factgraph.operators.evidence import witness_table
+
+    engine, raw, rows, _ = _certified(spark, sf_dir, _customers)
+    rows = stored(rows, "certified")
+    count = lambda df, name, what: df.agg(what.cast("long").alias("n")).select(F.lit(name).alias("metric"), "n")
+    whole = F.count("*")
+    parts = [count(rows, "rows", whole), count(rows, "certificates", F.count_distinct("certificate")), count(rows, "broken", F.count_if(F.size("broken") > 0))]
+    return reduce(DataFrame.unionByName, [*parts, count(witness_table(rows), "witnesses", whole), count(engine.faults(raw, RUN, rows, rows), "faults", whole)])
+
+
+def _tampered(rows: DataFrame, customer: str) -> tuple[DataFrame, DataFrame]:
+    """Rows and certificates with a fault in seven of ten customers, by the last digit of the key."""
+    digit = F.regexp_extract(customer, r"(\d)>$", 1).cast("int")
+    held = rows.withColumn("_d", digit)
+    support = lambda f: F.transform("supports", f)
+    wrong = lambda w: F.transform(w, lambda x, i: F.when(i == 0, x.withField("o", F.lit("<urn:td:nation/999>"))).otherwise(x))
+    made = (
+        F.when(F.col("_d") == 1, support(lambda x: F.when(x.atom == "selector0", x.withField("status", F.lit("derived"))).otherwise(x)))
+        .when(F.col("_d") == 2, support(lambda x: F.when(x.atom == "edge0", x.withField("witnesses", wrong(x.witnesses))).otherwise(x)))
+        .when(F.col("_d") == 3, F.slice("supports", 1, 4))
+        .otherwise(F.col("supports"))
+    )
+    certificates = held.filter("_d <> 0").withColumn("supports", made)
+    certificates = certificates.unionByName(certificates.filter("_d = 4"))
+    claimed = held.filter("_d <> 5").withColumn("row_key", F.when(F.col("_d") == 6, F.concat(F.lit("x"), "row_key")).otherwise(F.col("row_key")))
+    return claimed.drop("_d"), certificates.drop("_d")
+
+
+@query(f"""WITH d AS (SELECT c_custkey % 10 AS d, count(*) AS n FROM ({_BASE}) b GROUP BY 1), f(d, atom, fault) AS (VALUES
+(0, NULL, 'no certificate'), (1, NULL, 'certificate id'), (1, 'selector0', 'support status'), (2, 'edge0', 'witness id'), (2, 'edge0', 'witness does not fit'), (2, 'edge0', 'witness is no fact'),
+(3, NULL, 'certificate id'), (3, NULL, 'atoms'), (4, NULL, 'certificate twice'), (5, NULL, 'no row'), (6, NULL, 'no row'), (6, NULL, 'no certificate'))
+SELECT atom, fault, CAST(sum(n) AS BIGINT) AS n FROM d JOIN f USING (d) GROUP BY atom, fault""")
+def evidence_faults(spark, sf_dir):
+    """Whole results that were tampered with in several ways: every fault of every row is found."""
+    engine, raw, rows, names = _certified(spark, sf_dir, _customers)
+    rows = stored(rows, "certified")
+    found = engine.faults(raw, RUN, *_tampered(rows, next(k for k, n in names.items() if n == "customer")))
+    return found.groupBy("atom", "fault").agg(F.count("*").alias("n"))
+
+
+_SHARED = f"SELECT {_tok('order', 'l_orderkey')} AS ord, {_tok('part', 'l_partkey')} AS part, l_orderkey FROM (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders)) li"
+
+
+@query(f"SELECT ord, part, CASE WHEN count(*) OVER (PARTITION BY l_orderkey) > 1 THEN 'a scalar field has several values' END AS broken FROM ({_SHARED}) s")
+def scalar_observed(spark, sf_dir):
+    """A contract of one part an order, which the data do not keep, observed in the scan that returns the parts."""
+    def fill(b):
+        o = b.entity(S("Order"))
+        b.field(b.lens(o, S("SinglePart")), TD + "order-part", "part").node(o, "ord")
+
+    _, _, rows, names = _certified(spark, sf_dir, fill)
+    return rows.select(*(F.col(k).alias(n) for k, n in names.items()), F.substring_index(F.get("broken", F.lit(0)), ": ", -1).alias("broken"))
+
+
+@plan(f"SELECT {_tok('order', 'l_orderkey')} AS ord, {_tok('part', 'l_partkey')} AS part FROM (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem WHERE l_orderkey = 3) li")
+def field_bound(b):
+    """All values of a bound entity's field, though its contract says one."""
+    o = b.entity(bound=TD + "order/3")
+    b.field(b.lens(o, S("SinglePart")), TD + "order-part", "part").node(o, "ord")
 
 
 @query("SELECT '<urn:td:slot/' || l_orderkey || '-' || l_linenumber || '>' AS subject, count(DISTINCT l_quantity) AS n_values FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(DISTINCT l_quantity) > 1")

@@ -5,7 +5,7 @@ Both answer the same four questions, and the compiler asks nothing else:
 * ``relation(predicate)``: its (src, dst) pairs, and the key space of either column,
 * ``members(cls)``: the nodes of a class, and their key space,
 * ``key(term, space)``: a term as a key of that space, None if it can be none,
-* ``render(column, space)``: keys as tokens.
+* ``tokens(rows, columns)``: keys as tokens, here by ``render(column, space)``.
 
 A table of tokens has one key space, "token". Mapped tables keep raw keys, one space
 for each IRI template and literal type, so joins compare integers and filters reach
@@ -35,7 +35,23 @@ class Relation:
     dst: str
 
 
-class FactsTable:
+class Rendered:
+    """Sources whose keys become tokens by an expression."""
+
+    def tokens(self, rows: DataFrame, columns: dict[str, tuple[str, str]]) -> DataFrame:
+        """``rows`` with more columns: for a column of keys, the name of its tokens, and its space."""
+        return rows.withColumns({name: self.render(F.col(c), space) for c, (name, space) in columns.items()})
+
+    def own_space(self) -> tuple[str, str]:
+        """The space of constants that no relation gives, and its type."""
+        return TOKEN, "string"
+
+    def as_tokens(self):
+        """A source of the same facts whose keys become tokens by an expression."""
+        return self
+
+
+class FactsTable(Rendered):
     """A table of (g, s, p, o) tokens; the default graph has a null g."""
 
     def __init__(self, facts: DataFrame, graphs: tuple[str, ...] = ()):
@@ -75,7 +91,7 @@ class Template:
     kind: str = "long"
 
 
-class MappedTables:
+class MappedTables(Rendered):
     """Tables as facts: classes and predicates defined by functions that return keys.
 
     ``classes``: IRI -> (function of (spark) giving column node, template name).

@@ -12,6 +12,8 @@ from factgraph.functions.terms import XSD
 from factgraph.plans.catalog import Catalog, Qualification, ShapeSource
 from factgraph.plans.query import AuthorizationScope, DatasetScope, QueryPolicy
 from factgraph.sources.facts import MappedTables, Template
+from factgraph.sources.shared import shared_folder
+from factgraph.sources.store import StoredFacts, build_store
 from factgraph.sources.turtle import parse_turtle
 
 TD = "urn:td:"
@@ -79,6 +81,7 @@ def shapes() -> str:
     out += [
         f"t:SegmentShape a sh:NodeShape ; sh:targetClass t:Customer ; sh:property [ sh:path t:customer-segment-node ; sh:in ( {few} ) ] .",
         "t:RichOrderShape a sh:NodeShape ; sh:targetClass t:Order ; sh:property [ sh:path t:order-customer ; sh:class t:RichCustomer ] .",
+        "t:SinglePartShape a sh:NodeShape ; sh:targetClass t:Order ; sh:property [ sh:path t:order-part ; sh:class t:Part ; sh:maxCount 1 ] .",
         "t:FocusShape a sh:NodeShape ; sh:targetNode <urn:td:nation/1>, <urn:td:nation/7>, <urn:td:nation/999> .",
         "t:RegionsShape a sh:NodeShape ; sh:targetClass t:Region ; sh:targetNode <urn:td:region/2>, <urn:td:region/77> .",
         "t:PartyShape a sh:NodeShape ; sh:targetClass t:Customer, t:Supplier .",
@@ -123,6 +126,22 @@ def table_engine(spark: SparkSession, sf_dir: str) -> Engine:
     return Engine(spark, mapped(spark, sf_dir), catalog(), AuthorizationScope("tables"), DatasetScope("tables"), QueryPolicy(timeout_seconds=600))
 
 
+#: What a store of the tables holds.
+STORED = ["nation-region", "customer-nation", "supplier-nation", "order-customer", "order-part", "order-supplier", "order-priority", "part-brand", "customer-name", "customer-segment"]
+STORED_CLASSES = ["Region", "Nation", "Customer", "Supplier", "Part", "Order"]
+_stores: dict[tuple[str, str], str] = {}
+
+
+def store_engine(spark: SparkSession, sf_dir: str) -> Engine:
+    """The tables as a dictionary-encoded store, written once for each application."""
+    at = spark.sparkContext.applicationId, sf_dir
+    if at not in _stores:
+        folder = shared_folder(spark, "facts-store")
+        build_store(as_facts(mapped(spark, sf_dir), STORED, STORED_CLASSES), folder)
+        _stores[at] = folder
+    return Engine(spark, StoredFacts(spark, _stores[at]), catalog(), AuthorizationScope("tables"), DatasetScope("tables"), QueryPolicy(timeout_seconds=600))
+
+
 def as_facts(source: MappedTables, predicates: list[str], classes: list[str] = ()) -> DataFrame:
     """Some relations written out as (s, p, o) tokens."""
     from factgraph.functions.terms import TYPE
