@@ -39,9 +39,9 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents stand as often as target weights of fine and poor text ask for.
 
-    Only documents that the classifier takes for poor with a probability above 0.9 may go;
-    all others stand there once at least, and the weight of fine text is its share of this
-    stage's input where that is above the target.
+    Only documents that are poor with a probability above 0.9 may go; all others stand
+    there once at least, and the fit takes that into account. The weight of fine text is
+    its share of this stage's input where that is above the target.
     """
     from factgraph.llm.registry import QUALITY_TARGETS, label_domains
     from factgraph.llm.soft_mixing import resample

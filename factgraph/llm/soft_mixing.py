@@ -2,7 +2,11 @@
 
 A classifier fitted on a bounded sample of labelled documents gives every document a
 probability for each domain, from quantiles of a few numbers about the text and from
-the words that tell domains apart best. Document rates r >= 0 are then
+the words that tell domains apart best. Each half of the sample is scored by what the
+other half says, and probabilities are calibrated on that: documents of the same likeliest
+domain and about the same probability get the shares of tokens that such documents'
+labels have. So totals that are expected are totals by label too, at any rates, since
+rates follow from the probabilities. Document rates r >= 0 are then
 fitted so that the expected tokens of each domain, sum(r * tokens * probability), meet
 its share of the corpus: least squares over the domain totals, each relative to the root
 of its target, plus a small pull of every rate towards 1 (weighted by tokens), solved by
@@ -33,6 +37,10 @@ CALM = 3
 GRID = 64
 MAX_TRAIN = 20_000
 BINS = 16
+#: Calibration: quantiles of the probability for each likeliest domain, and how many documents the uncalibrated probabilities count.
+STEPS, BELIEF = 12, 4.0
+#: Rounds of the fit after which points are written.
+SAVE = 16
 WORDS, LEAST_DOCS, MOST_SHARE, LEAST_ODD = 64, 5, 0.05, 5.0
 FEATURES = ("chars", "word", "bars", "shouts", "digits", "again", "lines", "upper")
 _MARKS = ".,;:!?\"'()[]|*#$%&\n\t\r"
@@ -75,8 +83,12 @@ class Classifier:
     ``edges`` cuts the features into bins, of which ``stats`` has the logarithms of each
     domain's shares, with the number of its documents and what the absence of all
     ``words`` counts. ``words`` has for each domain in order what a word's presence adds.
+    ``calibration`` has, for each likeliest domain in order, edges of its probability and the
+    shares of all domains between them; without it probabilities stay as they are.
     """
 
+    calibration: list[tuple[list[float], list[list[float]]]] | None = None
+
     def __init__(self, domains: list[str], edges: dict[str, list[float]], stats: dict[str, dict], words: dict[str, list[float]]):
         self.domains, self.edges, self.stats, self.words = domains, edges, stats, words
 
@@ -106,7 +118,18 @@ class Classifier:
         raw = F.transform(F.zip_with("_l", each(F.array_max("_l")), lambda x, top: x - top), F.exp)
         whole = F.zip_with("_e", each(F.aggregate("_e", F.lit(0.0), lambda a, x: a + x)), lambda x, sum_: x / sum_)
         rows = measured.withColumn("_b", bins(self.edges)).withColumn("_l", F.zip_with(logs, prior, lambda x, y: x / 2 + y))
-        return rows.withColumn("_e", raw).withColumn("_p", whole).drop("_b", "_l", "_e")
+        return self.calibrated(rows.withColumn("_e", raw).withColumn("_p", whole).drop("_b", "_l", "_e"))
+
+    def calibrated(self, rows: DataFrame) -> DataFrame:
+        """``rows`` with _p as the shares of the documents that look alike."""
+        if self.calibration is None:
+            return rows
+        held = rows.withColumn("_t", F.array_position("_p", F.array_max("_p")).cast("int")).withColumn("_q", F.array_max("_p"))
+        shares = F.lit(None).cast("array<double>")
+        for k, (edges, parts) in enumerate(self.calibration):
+            own = F.element_at(F.array(*(F.array(*map(F.lit, x)) for x in parts)), sum(((F.col("_q") > e).cast("int") for e in edges), F.lit(1)))
+            shares = F.when(F.col("_t") == k + 1, own).otherwise(shares)
+        return held.withColumn("_p", shares).drop("_t", "_q")
 
 
 def fit_classifier(measured: DataFrame, labelled: DataFrame, domains: list[str], max_train: int = MAX_TRAIN) -> Classifier:
@@ -116,11 +139,56 @@ def fit_classifier(measured: DataFrame, labelled: DataFrame, domains: list[str],
     divide among the domains least as chance would have it: in ``LEAST_DOCS`` documents at
     least, in a share of ``MOST_SHARE`` at most (whether a text has a common word follows
     from its length, and many such words say one thing many times over), and off by
-    ``LEAST_ODD`` standard deviations for some domain.
+    ``LEAST_ODD`` standard deviations for some domain. Two more fits, each on half of the
+    sample, score the other half for the calibration.
     """
     own = labelled.filter(F.col("doc_id").isNotNull() & F.col("domain").isin(*domains)).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("domain").alias("domain"))
     picked = own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)  # at most max_train rows of two short columns
-    train = stored(measured.select("doc_id", "_x", "_text").join(F.broadcast(picked), "doc_id").select("domain", "_x", "_text"), "mix-training")
+    train = measured.select("doc_id", "_n", "_x", "_text").join(F.broadcast(picked), "doc_id")
+    train = stored(train.select("domain", "_n", "_x", "_text", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(2)).alias("_half")), "mix-training")
+    out = _fit(train, domains)
+    halves = [_fit(train.filter(F.col("_half") != k), domains).scored(train.filter(F.col("_half") == k), F.col("_text")) for k in (0, 1)]
+    out.calibration = _calibration(halves[0].unionByName(halves[1]), domains)
+    discard(train)
+    return out
+
+
+def _calibration(scored: DataFrame, domains: list[str]) -> list[tuple[list[float], list[list[float]]]]:
+    """Edges and shares for each likeliest domain, from labelled documents (domain, _n, _p) that were not fitted on.
+
+    Documents count by their tokens, which are what is mixed; ``BELIEF`` documents of mean
+    length stand for the probabilities themselves, so that few labels do not decide alone.
+    """
+    d = len(domains)
+    rows = scored.select("domain", F.greatest("_n", F.lit(1.0)).alias("_w"), "_p", F.array_position("_p", F.array_max("_p")).cast("int").alias("_t"), F.array_max("_p").alias("_q"))
+    rows = stored(rows, "mix-calibration")
+    cuts = [(k + 1) / STEPS for k in range(STEPS - 1)]
+    edges: list[list[float]] = [[] for _ in domains]
+    for r in rows.groupBy("_t").agg(F.percentile_approx("_q", cuts).alias("e")).collect():  # a row for each domain
+        edges[r["_t"] - 1] = sorted(set(r.e))
+    part = F.lit(0)
+    for k in range(d):
+        part = F.when(F.col("_t") == k + 1, sum(((F.col("_q") > e).cast("int") for e in edges[k]), F.lit(0))).otherwise(part)
+    sums = [F.sum(F.when(F.col("domain") == x, F.col("_w")).otherwise(0.0)).alias(f"l{k}") for k, x in enumerate(domains)]
+    sums += [F.sum(F.col("_w") * F.element_at("_p", k + 1)).alias(f"p{k}") for k in range(d)]
+    found = {(r["_t"] - 1, r.part): r for r in rows.groupBy("_t", part.alias("part")).agg(F.count("*").alias("n"), F.sum("_w").alias("w"), *sums).collect()}  # domains times steps
+    out = []
+    for t in range(d):
+        parts = []
+        for k in range(len(edges[t]) + 1):
+            r = found.get((t, k))
+            if r is None:  # no labelled document looks like this
+                parts.append([1.0 if j == t else 0.0 for j in range(d)])
+                continue
+            belief = BELIEF * r.w / r.n
+            parts.append([(r[f"l{j}"] + belief * r[f"p{j}"] / r.w) / (r.w + belief) for j in range(d)])
+        out.append((edges[t], parts))
+    discard(rows)
+    return out
+
+
+def _fit(train: DataFrame, domains: list[str]) -> Classifier:
+    """The classifier of labelled documents (domain, _x, _text), not calibrated."""
     cuts = [(k + 1) / BINS for k in range(BINS - 1)]
     found = train.agg(*(F.percentile_approx(f"_x.{k}", cuts).alias(k) for k in FEATURES)).first()
     edges = {k: sorted(set(found[k] or [])) for k in FEATURES}
@@ -146,32 +214,36 @@ def fit_classifier(measured: DataFrame, labelled: DataFrame, domains: list[str],
             for d, p in with_it.items():
                 stats[d]["without"] += math.log(1 - p)
             table[r.w] = [math.log(with_it[d] / (1 - with_it[d])) if d in with_it else 0.0 for d in domains]
-    discard(train)
     return Classifier(domains, edges, stats, table)
 
 
-def _step(y: Column, p: Column, e: list, rate: float) -> Column:
+def _step(y: Column, p: Column, e: list, rate: float, least: tuple[int, float] | None) -> Column:
+    """A step of the gradient, projected on rates of 0 and more, or of 1 and more where the domain at ``least[0]`` has a probability of ``least[1]``."""
     g = sum((F.element_at(p, k + 1) * v for k, v in enumerate(e)), F.lit(0.0))
-    return F.greatest(F.lit(0.0), y - rate * (g + PULL * (y - 1)))
+    floor = F.lit(0.0) if least is None else F.when(F.element_at(p, least[0] + 1) >= least[1], 1.0).otherwise(0.0)
+    return F.greatest(floor, y - rate * (g + PULL * (y - 1)))
+
 
+def _replay(p: Column, past: list[list[float]], momentum: list[float], rate: float, ahead: bool, least: tuple[int, float] | None = None, start: Column | None = None) -> Column:
+    """The rate after all ``past`` residuals; with ``ahead``, the point where the next residual is taken.
 
-def _replay(p: Column, past: list[list[float]], momentum: list[float], rate: float, ahead: bool) -> Column:
-    """The rate after all ``past`` residuals; with ``ahead``, the point where the next residual is taken."""
+    ``start`` is the point (y, r) before the first of them, 1 and 1 if it is not given.
+    """
     if not past:
-        return F.lit(1.0)
+        return F.lit(1.0) if start is None else start.getField("y" if ahead else "r")
     number = lambda x: f"{float(x)!r}D"
     steps = F.expr("array(" + ", ".join(f"named_struct('e', array({', '.join(map(number, e))}), 'm', {number(m)})" for e, m in zip(past, momentum)) + ")")
     n = len(past[0])
 
     def move(a: Column, s: Column) -> Column:
-        new = _step(a.y, p, [F.element_at(s.e, k + 1) for k in range(n)], rate)
+        new = _step(a.y, p, [F.element_at(s.e, k + 1) for k in range(n)], rate, least)
         return F.struct((new + s.m * (new - a.r)).alias("y"), new.alias("r"))
 
-    start = F.struct(F.lit(1.0).alias("y"), F.lit(1.0).alias("r"))
-    return F.aggregate(steps, start, move, lambda a: a.y if ahead else a.r)
+    one = F.struct(F.lit(1.0).alias("y"), F.lit(1.0).alias("r"))
+    return F.aggregate(steps, one if start is None else start, move, lambda a: a.y if ahead else a.r)
 
 
-def fit_rates(known: DataFrame, targets: dict[str, float], rounds: int = ROUNDS, close: float = 1e-4) -> tuple[list[list[float]], list[float], float]:
+def fit_rates(known: DataFrame, targets: dict[str, float], rounds: int = ROUNDS, close: float = 1e-4, least: tuple[int, float] | None = None) -> tuple[list[list[float]], list[float], float]:
     """Residuals (by target), momentum of each iteration and the step, over rows of tokens _n and memberships _p.
 
     The end is where, ``CALM`` times in a row, no residual moves by more than ``close`` of
@@ -194,9 +266,16 @@ def fit_rates(known: DataFrame, targets: dict[str, float], rounds: int = ROUNDS,
     momentum: list[float] = []
     t, before, calm = 1.0, None, 0
     root, rate = math.sqrt(PULL / (steep + PULL)), 1 / (steep + PULL)
+    saved, done, at = known, 0, None
     for _ in range(rounds if whole else 0):
-        y = _replay(F.col("_p"), past, momentum, rate, ahead=True)
-        rows = known.select("_n", "_p", y.alias("_y"))
+        if len(past) - done == SAVE:  # the points so far are written, later rounds go on from there
+            there = [_replay(F.col("_p"), past[done:], momentum[done:], rate, ahead, least, at).alias(n) for n, ahead in (("y", True), ("r", False))]
+            before_it, saved = saved, stored(saved.select("_n", "_p", F.struct(*there).alias("_at")), "mix-points")
+            if done:
+                discard(before_it)
+            done, at = len(past), F.col("_at")
+        y = _replay(F.col("_p"), past[done:], momentum[done:], rate, True, least, at)
+        rows = saved.select("_n", "_p", y.alias("_y"))
         got = rows.agg(*(F.sum(F.col("_y") * F.col("_n") * p[k]).alias(f"t{k}") for k in range(d))).first()
         e = [(got[k] / whole - share[k]) / scale[k] for k in range(d)]
         calm = calm + 1 if before is not None and all(abs(a - b) < close for a, b in zip(e, before)) else 0
@@ -206,6 +285,8 @@ def fit_rates(known: DataFrame, targets: dict[str, float], rounds: int = ROUNDS,
         past.append(e)
         momentum.append(min((t - 1) / nxt, (1 - root) / (1 + root)))
         t, before = nxt, e
+    if done:
+        discard(saved)
     return past, momentum, rate
 
 
@@ -239,8 +320,8 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], keep: s
     doc_id and text, so that its mean is the rate. Domains without labelled documents
     get probability 0, and their targets take no part; without any labels all domains
     are equally likely. Documents that belong to ``keep`` with a probability of ``doubt`` or
-    more get one copy at least, and its target is raised to its share of ``docs`` where it
-    lies below.
+    more get a rate of 1 at least, which the fit of all others makes up for, and its target
+    is raised to its share of ``docs`` where it lies below.
     Of ``docs`` the columns ``carry`` (all, if not given) are returned, whatever their
     names; those named like the new ones are replaced.
     """
@@ -263,13 +344,11 @@ def _mixed(docs: DataFrame, row: Column, inside: bool, labelled: DataFrame, targ
     probable = stored(known.scored(measured, text).select("_row", "_n", "_chance", "_p"), "mix-memberships")
     discard(measured)
     grid = stored(cells(probable, domains), "mix-cells")
-    past, momentum, step = fit_rates(grid, targets if keep is None else lifted(grid, targets, keep))
+    least = None if keep is None else (domains.index(keep), doubt)
+    past, momentum, step = fit_rates(grid, targets if keep is None else lifted(grid, targets, keep), least=least)
     discard(grid)
-    probable = probable.withColumn("_r", _replay(F.col("_p"), past, momentum, step, ahead=False))
+    probable = probable.withColumn("_r", _replay(F.col("_p"), past, momentum, step, False, least))
     copies = F.floor(F.col("_r") + F.col("_chance")).cast("long")
-    if keep is not None:
-        spared = F.element_at("_p", domains.index(keep) + 1) >= doubt
-        copies = F.when(spared, F.greatest(copies, F.lit(1).cast("long"))).otherwise(copies)
     return probable.select("_row", F.col("_n").cast("long").alias("n_tokens"), F.col("_p").alias("posteriors"), F.col("_r").alias("rate"), copies.alias("copies"))
 
 

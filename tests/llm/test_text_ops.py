@@ -492,3 +492,32 @@ def test_preference_format(spark):
     assert [one.rejected[s.start : s.end] for s in one.rejected_spans] == [say("assistant", "bad")]
     assert preference_format.preference_segments(preference_format.numbered_pairs(df.limit(0))).count() == 0
     assert preference_format.examples(segments.filter(F.lit(False))).count() == 0
+
+
+def test_expected_shares_hold_by_labels_not_seen(spark):
+    """A third of the poor texts look like fine ones: what is expected of texts without known labels is still what their labels say, before and after mixing."""
+    r = random.Random(23)
+    rows, labels = [], []
+    for k in range(3000):
+        poor = r.random() < 0.2
+        body = [r.choice(VOCABULARY) for _ in range(r.randint(30, 90))]
+        if poor and r.random() < 0.67:
+            body = [w for x in body for w in (x, "|")]
+        rows.append((k, " ".join(body)))
+        labels.append((k, "poor" if poor else "fine"))
+    own = spark.createDataFrame(labels, "doc_id long, domain string")
+    out = soft_mixing.mix(frame(spark, rows), own.filter("doc_id % 2 = 0"), {"fine": 0.9, "poor": 0.1}, carry=["doc_id"])
+    got = [(x.n_tokens, x.posteriors[1], x.rate, dict(labels)[x.doc_id] == "poor") for x in out.collect() if x.doc_id % 2]
+    share = lambda weigh, of: sum(weigh(x) * of(x) for x in got) / sum(weigh(x) for x in got)
+    for weigh in (lambda x: x[0], lambda x: x[0] * x[2]):
+        expected, there = share(weigh, lambda x: x[1]), share(weigh, lambda x: x[3])
+        assert abs(expected - there) < 0.15 * there
+    assert share(lambda x: x[0], lambda x: x[3]) > 0.2 and abs(share(lambda x: x[0] * x[2], lambda x: x[3]) - 0.1) < 0.02
+
+
+def test_floors_take_part_in_the_fit(spark):
+    known = spark.createDataFrame([(100.0, [0.95, 0.05]), (60.0, [0.5, 0.5]), (40.0, [0.02, 0.98])], "_n double, _p array<double>")
+    past, momentum, step = soft_mixing.fit_rates(known, {"fine": 0.8, "poor": 0.2}, least=(0, 0.4))
+    assert len(past) > soft_mixing.SAVE  # points are written on the way and the replay from the start agrees
+    at = known.select("_n", "_p", soft_mixing._replay(F.col("_p"), past, momentum, step, False, (0, 0.4)).alias("r")).collect()
+    assert at[0].r >= 1 and at[1].r >= 1 and at[2].r < 0.5
