@@ -15,11 +15,12 @@ phrase of a trigger is the stretch that its windows cover.
    one met more often than a share of a range allows, each window is sent on its own and
    dealt by a hash of its whole text.) There equal
    phrases of all chunks become one entry of the dictionary with its first document.
-   Two suffix arrays put the windows of the entries in order: that of the dictionary sorts
-   what stands before a trigger, read backwards from it, and that of the parse sorts what
-   follows from the trigger on. Their common prefixes combine: two windows are equal if
+   No suffix array over all positions of dictionary or parse is made: two orders of the
+   entries, a fixed-width row each, take their place. One sorts what stands before a
+   trigger, read backwards from it, the other what follows from the trigger on, as far as
+   a window reaches. Their common prefixes combine: two windows are equal if
    their texts before the trigger and their texts after it agree as far as the window
-   reaches. So a window's class is a pair of ranges, one in either array, and the first
+   reaches. So a window's class is a pair of ranges, one in either order, and the first
    document of a class is a minimum over its entries. Nothing is decided by a digest.
 4. Chunks get a bit back for each window of each phrase they sent: does a document before
    all of their own have it? They remove what those and their own earlier documents cover.
