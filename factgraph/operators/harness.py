@@ -88,7 +88,8 @@ def planner_report(attempts: DataFrame, by: list[str]) -> DataFrame:
     ``attempts``: expected and status (completed, unsupported, ...), correct, critical,
     covered and valid (booleans), calls, seconds, cost, tokens and flat_tokens (numbers),
     direct_correct (null: not reviewed), and the arrays required_cards, candidate_cards,
-    expected_entities, entities, expected_intents, intents. Shares over nothing are null.
+    expected_entities, entities, expected_intents, intents. Intents and entities are
+    compared as multisets, cards as sets. Shares over nothing are null.
     """
     done, refused = F.col("status") == "completed", F.col("status") == "unsupported"
     wanted, unwanted = F.col("expected") == "completed", F.col("expected") == "unsupported"
@@ -96,52 +97,68 @@ def planner_report(attempts: DataFrame, by: list[str]) -> DataFrame:
     share = lambda n, d: F.try_divide(F.sum(n).cast("double"), F.sum(d).cast("double"))
     of = lambda n, d: share(flag(n & d), flag(d))
     both = lambda a, b: F.size(F.array_intersect(a, b))
+    times = lambda a, x: F.size(F.filter(a, lambda y: y == x))
+    common = lambda a, b: F.aggregate(F.array_distinct(a), F.lit(0), lambda n, x: n + F.least(times(a, x), times(b, x)))
     over = lambda c, size: F.when(c, size).otherwise(0)
     return attempts.groupingSets([[], *([F.col(c)] for c in by)], *by).agg(
         F.count("*").alias("n"),
-        share(over(done, both("expected_intents", "intents")), over(done, F.size("expected_intents"))).alias("intent_recall"),
-        share(over(done, both("expected_intents", "intents")), over(done, F.size("intents"))).alias("intent_precision"),
+        share(over(done, common("expected_intents", "intents")), over(done, F.size("expected_intents"))).alias("intent_extraction_recall"),
+        share(over(done, common("expected_intents", "intents")), over(done, F.size("intents"))).alias("intent_restriction_precision"),
         share(flag(F.col("covered")), F.lit(1)).alias("internal_coverage"),
-        share(over(done, both("required_cards", "candidate_cards")), over(done, F.size("required_cards"))).alias("card_recall"),
-        share(both("expected_entities", "entities"), F.size("expected_entities")).alias("entity_accuracy"),
+        share(over(done, both("required_cards", "candidate_cards")), over(done, F.size("required_cards"))).alias("lens_retrieval_recall"),
+        share(common("expected_entities", "entities"), F.size("expected_entities")).alias("entity_accuracy"),
         of(F.col("valid"), done).alias("plan_validity"),
-        of(F.col("correct"), wanted).alias("faithful_coverage"),
-        of(F.col("correct"), wanted & F.col("critical")).alias("critical_coverage"),
-        of(F.col("correct"), done).alias("completed_precision"),
+        of(F.col("correct"), wanted).alias("faithful_automation_coverage"),
+        of(F.col("correct"), wanted & F.col("critical")).alias("critical_faithful_coverage"),
+        of(F.col("correct"), done).alias("completed_plan_semantic_precision"),
         of(unwanted, refused).alias("unsupported_precision"),
         of(refused, unwanted).alias("unsupported_recall"),
-        F.sum(flag(done & (~wanted | ~F.col("correct")))).alias("false_completions"),
-        F.max("calls").alias("most_calls"),
-        F.median("seconds").alias("p50_seconds"),
-        nearest_rank("seconds", 0.95).alias("p95_seconds"),
-        F.avg("cost").alias("mean_cost"),
-        (1 - F.try_divide(F.sum("tokens").cast("double"), F.sum("flat_tokens").cast("double"))).alias("token_reduction"),
-        F.try_divide(F.sum(flag(F.col("direct_correct"))).cast("double"), F.count("direct_correct").cast("double")).alias("direct_accuracy"),
+        F.sum(flag(done & (~wanted | ~F.col("correct")))).alias("false_completion_count"),
+        F.max("calls").alias("max_model_calls"),
+        F.median("seconds").alias("p50_latency_seconds"),
+        nearest_rank("seconds", 0.95).alias("p95_latency_seconds"),
+        F.avg("cost").alias("mean_cost_usd"),
+        (1 - F.try_divide(F.sum("tokens").cast("double"), F.sum("flat_tokens").cast("double"))).alias("candidate_context_token_reduction"),
+        F.try_divide(F.sum(flag(F.col("direct_correct"))).cast("double"), F.count("direct_correct").cast("double")).alias("direct_query_semantic_accuracy"),
     )
 
 
 #: Metrics that must reach their threshold, and those that must not pass it.
-AT_LEAST = ("intent_recall", "intent_precision", "internal_coverage", "card_recall", "entity_accuracy", "plan_validity", "faithful_coverage", "critical_coverage", "completed_precision", "unsupported_precision", "unsupported_recall")
-AT_MOST = ("false_completions", "most_calls", "p95_seconds", "mean_cost")
+AT_LEAST = ("intent_extraction_recall", "intent_restriction_precision", "internal_coverage", "lens_retrieval_recall", "entity_accuracy", "plan_validity", "faithful_automation_coverage", "critical_faithful_coverage", "completed_plan_semantic_precision", "unsupported_precision", "unsupported_recall")
+AT_MOST = ("false_completion_count", "max_model_calls", "p95_latency_seconds", "mean_cost_usd")
 
 
 def planner_gates(report: DataFrame, thresholds: Mapping[str, float]) -> DataFrame:
     """gate, value, threshold and ok for each gate of each row of a planner_report(); a metric over nothing fails."""
     each = [(n, F.col(n) >= thresholds[n]) for n in AT_LEAST] + [(n, F.col(n) <= thresholds[n]) for n in AT_MOST]
     gates = F.array(*(F.struct(F.lit(n).alias("gate"), F.col(n).cast("double").alias("value"), F.lit(float(thresholds[n])).alias("threshold"), F.coalesce(ok, F.lit(False)).alias("ok")) for n, ok in each))
-    by = [c for c in report.columns if c not in {"n", "p50_seconds", "token_reduction", "direct_accuracy", *AT_LEAST, *AT_MOST}]
+    by = [c for c in report.columns if c not in {"n", "p50_latency_seconds", "candidate_context_token_reduction", "direct_query_semantic_accuracy", *AT_LEAST, *AT_MOST}]
     return report.select(*by, F.explode(gates).alias("g")).select(*by, "g.*")
 
 
-def failure_categories(attempts: DataFrame, most_calls: int, p95_seconds: float) -> DataFrame:
-    """How many attempts fell into each category of failure; an attempt may fall into several."""
-    done, wanted = F.col("status") == "completed", F.col("expected") == "completed"
+def failure_categories(attempts: DataFrame, max_model_calls: int, p95_latency_seconds: float) -> DataFrame:
+    """How many attempts fell into each category of failure; an attempt may fall into several.
+
+    ``attempts`` as in planner_report(), with flat_status and flat_correct of the planner
+    that was given the whole catalog, and direct_failure, what a wrong direct query did wrong.
+    """
+    done, wanted, correct = F.col("status") == "completed", F.col("expected") == "completed", F.coalesce("correct", F.lit(False))
+    flat_done, flat_correct = F.coalesce(F.col("flat_status") == "completed", F.lit(False)), F.coalesce("flat_correct", F.lit(False))
     missed = F.size(F.array_except("required_cards", "candidate_cards")) > 0
     kinds = {
-        "coverage_rejected": ~F.col("covered"), "false_completion": done & ~F.col("correct"), "false_defer": wanted & ~done, "wrong_disposition": ~(done & ~F.col("correct")) & ~wanted & (F.col("status") != F.col("expected")),
-        "cards_missed": missed, "too_many_calls": F.col("calls") > most_calls, "too_slow": F.col("seconds") > p95_seconds, "direct_wrong": ~F.col("direct_correct"), "direct_not_reviewed": F.col("direct_correct").isNull(),
-    }
-    met = F.array_compact(F.array(*(F.when(c, F.lit(n)) for n, c in kinds.items())))
+        "internal_coverage_rejected": ~F.col("covered"),
+        "false_completion": done & ~correct,
+        "false_defer": wanted & ~done,
+        "wrong_disposition": ~(done & ~correct) & ~wanted & (F.col("status") != F.col("expected")),
+        "candidate_retrieval_miss": missed,
+        "model_call_limit": F.col("calls") > max_model_calls,
+        "attempt_over_latency_threshold": F.col("seconds") > p95_latency_seconds,
+        "flat_catalog_false_completion": flat_done & ~flat_correct,
+        "flat_catalog_false_defer": wanted & ~flat_done,
+        "direct_query_pending_review": F.col("direct_correct").isNull(),
+    }
+    direct = F.when(~F.col("direct_correct"), F.concat(F.lit("direct_query_"), F.coalesce(F.nullif("direct_failure", F.lit("")), F.lit("semantic_failure"))))
+    met = F.array_compact(F.array(*(F.when(c, F.lit(n)) for n, c in kinds.items()), direct))
     return attempts.select(F.explode(met).alias("failure")).groupBy("failure").agg(F.count("*").alias("n"))
 
 
@@ -150,5 +167,5 @@ def failure_counts(attempts: DataFrame, column: str = "failure") -> DataFrame:
 
 
 def seeded_order(rows: DataFrame, seed: int, key: str = "id") -> DataFrame:
-    """``rows`` in an order that depends on seed and key only."""
-    return rows.orderBy(F.xxhash64(F.lit(seed), F.col(key)), key)
+    """``rows`` in an order that depends on seed and key only, the digests of both; repeated keys stay together."""
+    return rows.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")).cast("binary")), key)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -93,3 +95,26 @@ def disclosed(rows: DataFrame, classes: dict[str, str], outside: bool = True) ->
         elif kind == "bucketed":
             shown.append(band(F.col(c)).alias(c))
     return rows.select(*shown)
+
+
+def contract_report(source, catalog) -> DataFrame:
+    """For each property of a catalog that reads its facts forwards: shape, predicate, scalar, n_facts, n_nodes, n_several (nodes with several values), n_outside (facts whose value its first branch does not accept, classes apart)."""
+    from factgraph.plans.compiler import accepts
+
+    shapes = {lens.key: lens.shape for lens in catalog.lenses}
+    parts = []
+    for p in catalog.properties:
+        if p.inverse:
+            continue
+        r = source.relation(p.predicate)
+        value = source.render(F.col("dst"), r.dst)
+        each = r.rows.distinct().groupBy("src").agg(F.count("*").alias("n"), F.count_if(~F.coalesce(accepts(value, p.branches[0]), F.lit(False))).alias("odd"))
+        one = each.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_facts"), F.count("*").alias("n_nodes"), F.count_if(F.col("n") > 1).alias("n_several"), F.coalesce(F.sum("odd"), F.lit(0)).alias("n_outside"))
+        parts.append(one.select(F.lit(shapes[p.lens]).alias("shape"), F.lit(p.predicate).alias("predicate"), F.lit(p.scalar).alias("scalar"), "n_facts", "n_nodes", "n_several", "n_outside"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def source_size(facts: DataFrame) -> DataFrame:
+    """n_facts, n_bytes: distinct (s, p, o) tokens and the bytes of their N-Triples lines."""
+    own = facts.select("s", "p", "o").distinct()
+    return own.agg(F.count("*").alias("n_facts"), F.coalesce(F.sum(F.octet_length(F.concat_ws(" ", "s", "p", "o")) + 3), F.lit(0)).alias("n_bytes"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from factgraph.functions.terms import TYPE, XSD, Term, effective_datatype, normal_label, sort_fields
-from factgraph.operators import metrics, profile, retrieval, witness
+from factgraph.operators import closed, metrics, paths, profile, retrieval, search, witness
 from factgraph.plans.builder import PlanBuilder
 from factgraph.sources.facts import FactsTable
 from factgraph.sources.shared import stored
@@ -75,9 +75,10 @@ def sel_type(b):
     b.node(b.entity(S("Customer")), "customer")
 
 
-@plan("SELECT '<urn:td:nation/' || k || '>' AS nation FROM (VALUES (1), (7), (999)) v(k)")
+@plan(f"SELECT DISTINCT {_tok('nation', 's_nationkey')} AS nation, {_tok('supplier', 's_suppkey')} AS supplier FROM supplier WHERE s_nationkey IN (1, 7, 999)")
 def sel_target_nodes(b):
-    b.node(b.entity(S("Focus")), "nation")
+    n, s = b.entity(S("Focus")), b.entity()
+    b.edge(b.lens(n, S("Nation")), TD + "supplier-nation", s, inverse=True).node(n, "nation").node(s, "supplier")
 
 
 @plan(f"SELECT {_tok('region', 'r_regionkey')} AS region FROM region UNION SELECT '<urn:td:region/' || k || '>' FROM (VALUES (2), (77)) v(k)")
@@ -699,3 +700,163 @@ def recall_at_k(spark, sf_dir):
 def candidate_dedup(spark, sf_dir):
     rows = spark.read.parquet(f"{sf_dir}/part.parquet")
     return metrics.dedup_by(rows, normal_label(F.col("p_name")), F.col("p_partkey"), "label").select("label", F.col("first").alias("first_part"))
+
+
+# Evidence beyond plans
+
+
+_CHAIN = ["order-customer", "customer-nation", "nation-region"]
+_CHAIN_SQL = " UNION ALL ".join(f"SELECT DISTINCT {_tok(a, k)} AS s, '<{TD}{n}>' AS p, {_tok(b, v)} AS o FROM {t}" for n, a, k, b, v, t in (("order-customer", "order", "o_orderkey", "customer", "o_custkey", "orders"), ("customer-nation", "customer", "c_custkey", "nation", "c_nationkey", "customer"), ("nation-region", "nation", "n_nationkey", "region", "n_regionkey", "nation")))
+_REACH_SQL = f"""WITH RECURSIVE f AS ({_CHAIN_SQL}), r AS (SELECT DISTINCT s AS start, s AS node, 0 AS steps, '' AS path FROM f WHERE p = '<{TD}order-customer>'
+UNION ALL SELECT start, o, steps + 1, path || s || ' ' || p || ' ' || o || ' . ' FROM r JOIN f ON node = f.s WHERE steps < 3)"""
+
+
+def _reached(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    src = mapped(spark, sf_dir)
+    facts = as_facts(src, _CHAIN)
+    starts = as_facts(src, _CHAIN[:1]).select(F.col("s").alias("node"))
+    return paths.reachable(facts, starts, 3), facts
+
+
+@query(f"{_REACH_SQL} SELECT start, node, steps FROM r")
+def path_reach(spark, sf_dir):
+    """Everything an order leads to, by customer, nation and region."""
+    return _reached(spark, sf_dir)[0].select("start", "node", "steps")
+
+
+@query(f"{_REACH_SQL} SELECT start, node, path FROM r")
+def path_witness(spark, sf_dir):
+    """The facts that lead from an order to each node."""
+    text = F.array_join(F.transform("path", lambda x: F.concat(x.s, F.lit(" "), x.p, F.lit(" "), x.o, F.lit(" . "))), "")
+    return paths.witness_paths(_reached(spark, sf_dir)[0]).select("start", "node", text.alias("path"))
+
+
+@query(f"{_REACH_SQL} SELECT CASE steps WHEN 1 THEN 'ends' ELSE 'chain' END AS fault, count(*) AS n FROM r WHERE steps > 0 AND start LIKE '%1>' GROUP BY 1 UNION ALL SELECT 'no fact', count(*) FROM r WHERE steps > 0 AND start LIKE '%1>' HAVING count(*) > 0 UNION ALL SELECT 'length', count(*) FROM r WHERE start LIKE '%2>' HAVING count(*) > 0")
+def path_faults(spark, sf_dir):
+    """Witness paths with another customer in them, or a wrong length, are found."""
+    reached, facts = _reached(spark, sf_dir)
+    own = paths.witness_paths(reached)
+    other = F.transform("path", lambda x, i: F.when(i == 0, x.withField("o", F.lit("<urn:td:customer/none>"))).otherwise(x))
+    own = own.withColumn("path", F.when(F.col("start").endswith("1>"), other).otherwise(F.col("path"))).withColumn("steps", F.when(F.col("start").endswith("2>"), F.col("steps") + 1).otherwise(F.col("steps")))
+    return paths.path_faults(stored(own, "paths"), facts).groupBy("fault").agg(F.count("*").alias("n"))
+
+
+def _hash_sql(x: str) -> str:
+    return f"CAST('0x' || substr(md5(coalesce(strlen(CAST({x} AS VARCHAR)) || ':' || {x}, '-')), 1, 15) AS BIGINT)"
+
+
+def _statement_sql(orders: str) -> str:
+    one = lambda what, rows: f"SELECT '{what}' AS what, count(*) AS n, CAST(coalesce(sum({_hash_sql('k')}), 0) AS VARCHAR) AS total FROM (SELECT DISTINCT k FROM ({rows}) x) d"
+    own, facts = "SELECT c_custkey AS k FROM customer", f"SELECT o_custkey AS k FROM {orders}"
+    parts = {"population": own, "facts": facts, "present": f"{own} WHERE c_custkey IN ({facts})", "absent": f"{own} WHERE c_custkey NOT IN ({facts})"}
+    return " UNION ALL ".join(one(k, v) for k, v in parts.items())
+
+
+def _buyers_tables(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    t = lambda n: spark.read.parquet(f"{sf_dir}/{n}.parquet")
+    return t("customer").select(F.col("c_custkey").alias("custkey")), t("orders").select(F.col("o_custkey").alias("custkey"))
+
+
+@query(_statement_sql("orders"))
+def absence_evidence(spark, sf_dir):
+    """Which customers have no order, as digests of the tables this is said of and of both parts."""
+    return closed.absence_statement(*_buyers_tables(spark, sf_dir), "custkey").withColumn("total", F.col("total").cast("string"))
+
+
+@query(f"WITH a AS ({_statement_sql('orders')}), b AS ({_statement_sql('(SELECT * FROM orders WHERE o_custkey % 7 <> 0) o')}) SELECT what, a.n AS stated, b.n AS found FROM a JOIN b USING (what) WHERE a.n <> b.n OR a.total <> b.total")
+def absence_broken(spark, sf_dir):
+    """The statement no longer holds when orders go."""
+    customers, orders = _buyers_tables(spark, sf_dir)
+    statement = stored(closed.absence_statement(customers, orders, "custkey"), "statement")
+    return closed.statement_faults(statement, customers, orders.filter("custkey % 7 <> 0"), "custkey")
+
+
+_BOUGHT_SQL = "SELECT DISTINCT c_nationkey AS nationkey, l_partkey AS k FROM customer JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey"
+
+
+def _bought(spark, sf_dir) -> DataFrame:
+    t = lambda n: spark.read.parquet(f"{sf_dir}/{n}.parquet")
+    rows = t("lineitem").join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(t("customer"), F.col("o_custkey") == F.col("c_custkey"))
+    return rows.select(F.col("c_nationkey").alias("nationkey"), F.col("l_partkey").alias("partkey"))
+
+
+@query(f"SELECT nationkey, CAST({_hash_sql('k')} % 16 AS INTEGER) AS part, count(*) AS n, CAST(sum({_hash_sql('k')}) AS VARCHAR) AS total FROM ({_BOUGHT_SQL}) b GROUP BY ALL")
+def aggregate_evidence(spark, sf_dir):
+    """Distinct parts of each nation in counts that can be added up again."""
+    return closed.counted(_bought(spark, sf_dir), "nationkey", "partkey").withColumn("total", F.col("total").cast("string"))
+
+
+@query(f"SELECT nationkey, CAST({_hash_sql('k')} % 16 AS INTEGER) AS part, 'changed' AS fault FROM ({_BOUGHT_SQL}) b WHERE k = 10 UNION ALL SELECT DISTINCT nationkey, NULL, 'count' FROM ({_BOUGHT_SQL}) b WHERE nationkey = 3")
+def aggregate_broken(spark, sf_dir):
+    """A part that is gone, and a claim that is one too high, are found where they are."""
+    rows = _bought(spark, sf_dir)
+    evidence = stored(closed.counted(rows, "nationkey", "partkey"), "counts")
+    claims = evidence.groupBy("nationkey").agg((F.sum("n") + F.when(F.col("nationkey") == 3, 1).otherwise(0)).alias("n"))
+    return closed.count_faults(claims, evidence, rows.filter("partkey <> 10"), "nationkey", "partkey")
+
+
+def _confirmed(spark, sf_dir) -> DataFrame:
+    """Documents that a plan returned: those of good quality."""
+    engine = table_engine(spark, sf_dir)
+    b = PlanBuilder(engine.catalog)
+    d = b.entity(S("Document"))
+    b.eq(b.lens(d, S("Document")), TD + "document-quality", Term.literal("1", XSD + "integer")).node(d, "document")
+    return b.frame(engine).select(F.regexp_extract("document", r"/(\d+)>$", 1).cast("long").alias("doc_id"))
+
+
+_WORD_LIST = "regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}_]+')"
+_BM25_SQL = f"""ok AS (SELECT DISTINCT doc_id FROM labels WHERE quality = 1 AND doc_id IN (SELECT doc_id FROM documents)), d AS (SELECT doc_id AS id, {_WORD_LIST} AS w FROM documents WHERE doc_id IN (SELECT doc_id FROM ok)),
+p AS (SELECT id, len(w) AS length, unnest(w) AS word FROM d), t AS (SELECT id, length, word, count(*) AS tf FROM p GROUP BY ALL),
+a AS (SELECT count(*) AS n, avg(length) AS mean FROM (SELECT DISTINCT id, length FROM t) x), q AS (SELECT item_id AS question, unnest(list_distinct({_WORD_LIST})) AS word FROM benchmark),
+f AS (SELECT word, count(*) AS df FROM t GROUP BY word),
+b AS (SELECT question, id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * (tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean)))), 6) AS score FROM q JOIN t USING (word) JOIN f USING (word) CROSS JOIN a GROUP BY question, id),
+lex AS (SELECT question, CAST(row_number() OVER (PARTITION BY question ORDER BY score DESC, id) AS INTEGER) AS position, id, score FROM b)"""
+
+
+def _questions(spark, sf_dir) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id").alias("question"), "text")
+
+
+@query(f"WITH {_BM25_SQL} SELECT * FROM lex WHERE position <= 10")
+def ranked_fusion(spark, sf_dir):
+    """Every question's best ten of the documents that a plan confirmed."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return search.bm25(search.postings(docs, "doc_id", "text", _confirmed(spark, sf_dir)), _questions(spark, sf_dir), 10)
+
+
+@query(f"""WITH {_BM25_SQL}, e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+s AS (SELECT item_id AS question, c.vec_id AS id, round(list_inner_product(x.v, c.v) / (sqrt(list_inner_product(x.v, x.v)) * sqrt(list_inner_product(c.v, c.v))), 6) AS score FROM benchmark JOIN e x ON x.vec_id = item_id CROSS JOIN e c WHERE c.vec_id IN (SELECT doc_id FROM ok)),
+vec AS (SELECT question, row_number() OVER (PARTITION BY question ORDER BY score DESC, id) AS position, id FROM s),
+u AS (SELECT question, id, 1.0::DOUBLE / (60 + position) AS s FROM lex WHERE position <= 20 UNION ALL SELECT question, id, 1.0::DOUBLE / (60 + position) FROM vec WHERE position <= 20),
+z AS (SELECT question, id, round(sum(s), 10) AS score FROM u GROUP BY question, id)
+SELECT question, CAST(row_number() OVER (PARTITION BY question ORDER BY score DESC, id) AS INTEGER) AS position, id, score FROM z QUALIFY position <= 10""")
+def hybrid_retrieval(spark, sf_dir):
+    """Lexical and vector ranks of all questions, fused."""
+    ok = _confirmed(spark, sf_dir)
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    asked = _questions(spark, sf_dir)
+    near = search.nearest(vectors.join(ok.distinct(), F.col("id") == F.col("doc_id"), "left_semi"), asked.join(vectors, F.col("question") == F.col("id")).select("question", "v"), 20)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return search.fused([search.bm25(search.postings(docs, "doc_id", "text", ok), asked, 20), near], 10)
+
+
+@query(f"SELECT party, witness FROM (SELECT {_tok('customer', 'c_custkey')} AS party, min({_tok('order', 'o_orderkey')}) AS witness FROM customer JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey) x")
+def live_certificates(spark, sf_dir):
+    """Certificates of buying customers after three micro-batches of facts, the second one with a replay: witnesses are the smallest of all batches."""
+    from factgraph.engine import Engine
+    from factgraph.sources.shared import shared_folder
+    from factgraph.streaming.certificates import LiveCertificates
+
+    own = table_engine(spark, sf_dir)
+    b = PlanBuilder(own.catalog)
+    _buyers(b)
+    facts = as_facts(mapped(spark, sf_dir), ["order-customer"], ["Customer", "Order"]).select(F.lit(None).cast("string").alias("g"), "s", "p", "o")
+    engine = Engine(spark, FactsTable(facts), own.catalog, own.authorization, own.dataset, own.policy)
+    folder = shared_folder(spark, "live")
+    for k in range(3):  # a file for each batch
+        facts.filter(F.pmod(F.xxhash64("s", "o"), F.lit(3)) == k).coalesce(1).write.mode("append").parquet(f"{folder}/arriving")
+    live = LiveCertificates(engine, b.raw, f"{folder}/state", RUN)
+    live.run(spark.readStream.schema(facts.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/arriving"), f"{folder}/checkpoint").awaitTermination()
+    live.apply(facts.filter(F.pmod(F.xxhash64("s", "o"), F.lit(3)) == 1), 9)  # facts that are known add nothing
+    found = F.get(F.filter("supports", lambda x: x.atom == "filter0"), F.lit(0)).witnesses
+    return live.current(spark).select(F.col("entity0").alias("party"), F.get(found, F.lit(0)).s.alias("witness"))

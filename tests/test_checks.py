@@ -26,8 +26,8 @@ def rows(columns, values):
     return [columns[k] for k in order], sorted((tuple(plain(r[k]) for k in order) for r in values), key=str)
 
 
-@pytest.mark.parametrize("name", [*checks.QUERIES, *(n for n in ("star_join", "card_ranking", "field_optional", "recall_at_k", "latency_percentiles", "grouped_report", "certificate_coverage") if n in queries.SQL)])
+@pytest.mark.parametrize("name", [*checks.CASES, *checks.QUERIES, *(n for n in ("star_join", "card_ranking", "field_optional", "recall_at_k", "latency_percentiles", "grouped_report", "certificate_coverage") if n in queries.SQL)])
 def test_query_equals_sql(spark, db, name):
-    df = {**queries.QUERIES, **checks.QUERIES}[name](spark, TABLES)
-    sql = db.execute({**queries.SQL, **checks.SQL}[name])
+    df = {**queries.QUERIES, **checks.QUERIES, **checks.CASES}[name](spark, TABLES)
+    sql = db.execute({**queries.SQL, **checks.SQL, **checks.CASES_SQL}[name])
     assert rows(df.columns, [tuple(r) for r in df.collect()]) == rows([d[0] for d in sql.description], sql.fetchall())
