@@ -101,7 +101,7 @@ def contract_report(source, catalog) -> DataFrame:
     """For each property of a catalog that reads its facts forwards: shape, predicate, scalar, n_facts, n_nodes, n_several (nodes with several values), n_outside (facts whose value its first branch does not accept, classes apart)."""
     from factgraph.plans.compiler import accepts
 
-    shapes = {lens.key: lens.shape for lens in catalog.lenses}
+    shapes = {lens.key: lens.shape.strip("<>") for lens in catalog.lenses}
     parts = []
     for p in catalog.properties:
         if p.inverse:
