@@ -141,10 +141,11 @@ class Engine:
         told = [F.when(F.col(f + p), F.lit(f"{p}: {text}")) for p in fields for f, text in ((BAD, _BAD), (MANY, _MANY))]
         return F.array_compact(F.array(*told)) if told else F.array().cast("array<string>")
 
-    def explain_plan(self, raw) -> Explanation:
-        c = self.compile(raw)
+    def explain_plan(self, raw, limit: int | None = None) -> Explanation:
+        """What a plan means: its canonical form, its atoms, the query text over the engine's graphs (with the limit, if one is given), and Spark's plan."""
+        c = self.compile(raw, limit)
         text = c.rows._jdf.queryExecution().simpleString()
-        return Explanation(c.plan, c.plan.digest, c.query_digest, c.plan.atoms, (*c.public, *c.entities), query_text(c.plan, self.catalog), text)
+        return Explanation(c.plan, c.plan.digest, c.query_digest, c.plan.atoms, (*c.public, *c.entities), query_text(c.plan, self.catalog, self.dataset.graphs, limit), text)
 
     def execute_plan(self, raw, request: ExecutionRequest | None = None, execution_id: str | None = None) -> Outcome:
         request = request or ExecutionRequest()

@@ -173,6 +173,36 @@ def ntriples_facts(lines: DataFrame, graph: str | None = None) -> DataFrame:
     return rows.select(ok.alias("g"), part(1).alias("s"), part(2).alias("p"), lowered.alias("o"))
 
 
+_NODE = r"<[^<>\s]*>|_:[^\s.]+(?:\.[^\s.]+)*"
+_QUAD = rf'^\s*({_NODE})\s+(<[^<>\s]*>)\s+({_NODE}|"(?:[^"\\]|\\.)*"(?:\^\^<[^<>\s]*>|@[A-Za-z0-9-]+)?)(?:\s+({_NODE}))?\s*\.\s*(?:#.*)?$'
+
+
+def nquads_facts(lines: DataFrame) -> DataFrame:
+    """Rows of one N-Quads line (value) and the file it is from (file) as facts; what is no quad raises.
+
+    A blank node is one of its file: its label gets a digest of the file's name in front.
+    Language tags are lowered; lines without a graph are of the default graph.
+    """
+    rows = lines.filter(~F.col("value").rlike(r"^\s*(#.*)?$"))
+    part = lambda k: F.regexp_extract("value", _QUAD, k)
+    scope = F.substr(F.md5(F.col("file").cast("binary")), F.lit(1), F.lit(12))
+    node = lambda c: F.when(c.startswith("_:"), F.concat(F.lit("_:f"), scope, F.lit("."), F.substr(c, F.lit(3)))).otherwise(c)
+    ok = F.when(F.col("value").rlike(_QUAD), F.nullif(part(4), F.lit(""))).otherwise(F.raise_error(F.concat(F.lit("not an N-Quads line: "), "value")))
+    tagged = part(3).rlike(r'"@[A-Za-z0-9-]+$')
+    lowered = F.when(tagged, F.concat(F.regexp_extract(part(3), r"(?s)^(.*)@", 1), F.lit("@"), F.lower(F.regexp_extract(part(3), r"@([A-Za-z0-9-]+)$", 1)))).otherwise(part(3))
+    return rows.select(node(ok).alias("g"), node(part(1)).alias("s"), part(2).alias("p"), node(lowered).alias("o"))
+
+
+def read_nquads(spark: SparkSession, path: str) -> DataFrame:
+    """N-Quads files as facts: Spark splits them at lines, so a file of any size is read by many tasks."""
+    return nquads_facts(spark.read.text(path).select("value", F.input_file_name().alias("file"))).distinct()
+
+
+def write_nquads(facts: DataFrame, path: str) -> None:
+    """Facts as N-Quads, a line each; an existing folder is never overwritten."""
+    facts.select(F.concat(F.concat_ws(" ", "s", "p", "o", "g"), F.lit(" .")).alias("value")).write.mode("errorifexists").text(path)
+
+
 def write_facts(facts: DataFrame, path: str) -> None:
     """Facts as Parquet by graph and predicate; an existing table is never overwritten."""
     facts.distinct().write.mode("errorifexists").partitionBy("g", "p").parquet(path)

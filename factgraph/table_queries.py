@@ -9,11 +9,13 @@ from pyspark.sql import functions as F
 
 from factgraph import queries as own
 from factgraph.engine import render_result
-from factgraph.functions.terms import TYPE, XSD, token_datatype, token_kind, token_value
+from factgraph.functions.terms import TYPE, XSD, literal_token, token_datatype, token_kind, token_value
 from factgraph.operators import evidence, harness, profile
 from factgraph.plans.builder import PlanBuilder
 from factgraph.plans.query import ExecutionRequest
 from factgraph.sources.facts import FactsTable
+from factgraph.sources.shared import shared_folder
+from factgraph.sources.turtle import read_nquads, write_nquads
 from factgraph.tables import EDGES, FIELDS, STORED, STORED_CLASSES, TD, as_facts, mapped, store_engine, table_engine
 
 QUERIES: dict = {}
@@ -45,6 +47,19 @@ def source_scopes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce(DataFrame.unionByName, [count(ys).select(F.lit(n).alias("scope"), "n_facts") for n, ys in scopes.items()])
 
 
+@query(f"""SELECT DISTINCT CASE WHEN year(l_shipdate) > 1992 THEN '<urn:td:year/' || year(l_shipdate) || '>' END AS g, {_tok('order', 'l_orderkey')} AS s, '<urn:td:order-part>' AS p, {_tok('part', 'l_partkey')} AS o FROM lineitem
+UNION ALL SELECT NULL, {_tok('part', 'p_partkey')}, '<urn:td:part-name>', '"' || p_name || '"@en' FROM part""")
+def source_nquads(spark, sf_dir):
+    """Facts of several graphs written as N-Quads and read back by several tasks."""
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").withColumn("y", F.year("l_shipdate"))
+    tok = lambda kind, c: F.concat(F.lit(f"<{TD}{kind}/"), F.col(c).cast("string"), F.lit(">"))
+    facts = rows.select(F.when(F.col("y") > 1992, tok("year", "y")).alias("g"), tok("order", "l_orderkey").alias("s"), F.lit(f"<{TD}order-part>").alias("p"), tok("part", "l_partkey").alias("o"))
+    parts = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.lit(None).cast("string").alias("g"), tok("part", "p_partkey").alias("s"), F.lit(f"<{TD}part-name>").alias("p"), F.concat(literal_token(F.col("p_name")), F.lit("@EN")).alias("o"))
+    folder = shared_folder(spark, "nquads")
+    write_nquads(facts.unionByName(parts).repartition(4), folder)
+    return read_nquads(spark, folder)
+
+
 @query(f"SELECT count(*) AS n_facts, CAST(sum(strlen(s || ' ' || p || ' ' || o) + 3) AS BIGINT) AS n_bytes FROM ({own._STORED_SQL}) f")
 def source_budget(spark, sf_dir):
     """What a source's facts take as N-Triples, to be held against a budget."""

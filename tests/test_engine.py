@@ -335,3 +335,20 @@ def test_terms():
             Term.load(bad)
     assert Term.literal("a") != Term.literal("a", XSD + "string")
     assert Term.literal("a").effective_datatype == Term.literal("a", XSD + "string").effective_datatype
+
+
+def test_query_text_names_graphs_and_limit(engine):
+    from factgraph.plans.text import query_text, read_query
+
+    raw, graphs = star(engine.catalog).raw, engine.dataset.graphs
+    text = engine.explain_plan(raw, 7).text
+    assert text.endswith(" LIMIT 7") and (f"FROM <{G}> WHERE" in text) == bool(graphs)
+    kind, names_, found, patterns, limit = read_query(text)
+    assert (kind, found, limit) == ("select", graphs, 7) and names_[0] == "?shown0" and len(patterns) >= 6
+    b = Builder(engine.catalog, "ask")
+    a, job = b.entity("ann"), b.entity("red")
+    ask = engine.prepare(b.edge(b.lens(a, "WorkShape"), "on", job).raw)
+    assert query_text(ask, engine.catalog).startswith("ASK { ") and query_text(ask, engine.catalog, ("urn:a", "urn:b"), 9).startswith("ASK FROM <urn:a> FROM <urn:b> WHERE { ")
+    for broken in (text.replace("LIMIT 7", "LIMIT 0"), text.replace("LIMIT 7", "LIMIT"), text + " }", text.replace("DISTINCT", ""), text.replace("WHERE", "")):
+        with pytest.raises(PlanError):
+            read_query(broken)

@@ -69,3 +69,21 @@ def test_strict_json():
     for bad in ('{"a": 1, "a": 2}', "[NaN]"):
         with pytest.raises(PlanError):
             strict_json(bad)
+
+
+def test_nquads_and_blank_nodes_of_files(spark, tmp_path):
+    from factgraph.sources.turtle import nquads_facts, read_nquads, write_nquads
+
+    (tmp_path / "in").mkdir()
+    for name in ("a", "b"):
+        (tmp_path / "in" / f"{name}.nq").write_text('# facts\n_:x <urn:p> "1"@EN <urn:g> .\n<urn:s> <urn:p> _:x.y _:x . # end\n\n<urn:s> <urn:p> <urn:o> .\n<urn:s> <urn:p> <urn:o> .\n')
+    rows = read_nquads(spark, str(tmp_path / "in")).collect()
+    assert sorted((r.g, r.s, r.o) for r in rows if r.s == "<urn:s>" and r.g is None) == [(None, "<urn:s>", "<urn:o>")]
+    own = {r.s for r in rows if r.s.startswith("_:")}
+    assert len(own) == 2 and {r.g for r in rows if r.o.startswith("_:")} == own  # a label is one node in its file, another in the other
+    assert {r.o for r in rows if r.s in own} == {'"1"@en'}
+    whole = read_nquads(spark, str(tmp_path / "in"))
+    write_nquads(whole.filter("NOT s LIKE '\\_:%' AND NOT o LIKE '\\_:%'"), str(tmp_path / "out"))
+    assert read_nquads(spark, str(tmp_path / "out")).count() == 1
+    with pytest.raises(Exception, match="not an N-Quads line"):
+        nquads_facts(spark.createDataFrame([("<urn:s> <urn:p> .", "f")], "value string, file string")).collect()
