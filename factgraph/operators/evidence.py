@@ -24,6 +24,7 @@ from factgraph.errors import EvidenceError
 from factgraph.functions.terms import TYPE, Term, canonical_json, digest, digest_sql, json_sql, sql_text, term_json_sql
 from factgraph.plans.catalog import Catalog, Property
 from factgraph.plans.compiler import KEY, Compiled, oriented
+from factgraph.sources.facts import FactsTable
 
 
 @dataclass(frozen=True)
@@ -360,7 +361,11 @@ def _meets(rows: DataFrame, source, column: str, side: Column, space: str) -> Co
 
 
 def not_in_data(witnesses: DataFrame, source, predicates: set[str], classes: set[str]) -> DataFrame:
-    """Of rows with s, p, o, those that are no facts of the source, in an anti-join for each predicate and class."""
+    """Of rows with s, p, o, those that are no facts of the source: in one anti-join over a table of tokens, else in one for each predicate and class."""
+    if isinstance(source, FactsTable):
+        needed = sorted(f"<{p}>" for p in predicates | ({TYPE} if classes else set()))
+        facts = source.facts.filter(F.col("p").isin(needed)).select(F.col("s").alias("_s"), F.col("p").alias("_p"), F.col("o").alias("_o"))
+        return witnesses.join(facts, (F.col("s") == F.col("_s")) & (F.concat(F.lit("<"), "p", F.lit(">")) == F.col("_p")) & (F.col("o") == F.col("_o")), "left_anti")
     known = [f"<{c}>" for c in sorted(classes)]
     is_type = F.col("p") == TYPE
     parts = [witnesses.filter(~(F.col("p").isin(*sorted(predicates)) & ~is_type) & ~(is_type & F.col("o").isin(*known)) | F.col("s").isNull() | F.col("o").isNull())]
