@@ -8,7 +8,8 @@ connected order, constants first; no plan has a Cartesian product.
 
 Where the source counts its facts, joins are ordered by what they are expected to give:
 the edge with the fewest rows first, its ends' own conditions included, then always the
-edge that grows the result least. Elsewhere constants come first.
+edge that grows the result least. Elsewhere constants come first, then edges that are
+followed from the subjects of their facts.
 
 Contracts that do not filter are observed where a field is joined: the scan that gives
 its values says whether their entity has several, so a checked result needs no other.
@@ -264,11 +265,19 @@ class _Builder:
         near = [x for x in edges if all(map(known, ends(x))) or any(e in self.space for e in ends(x))] if self.space else edges
         if hasattr(self.source, "counts"):
             return min(near or edges, key=lambda x: (self.growth(x), x.id))
-        # Both ends known, then those at a constant, then those at a column.
+        conditions = {u.entity for u in self.plan.selectors} | {self.lens_entity[f.lens] for f in self.plan.filters}
+
+        def subject(x) -> str:
+            return ends(x)[self.catalog.property(x.property_key).inverse]
+
+        # Both ends known, then those at a constant, then those at a column. Facts are followed from their subjects
+        # where they can be: a subject has few values, but a value may have a great share of all subjects.
         rank = lambda x: (
             not all(map(known, ends(x))),
             not any(e in self.bound for e in ends(x)),
             not any(e in self.space for e in ends(x)),
+            subject(x) not in (self.space or conditions),
+            not any(e in conditions and not known(e) for e in ends(x)),
             x.id,
         )
         return min(near or edges, key=rank)
