@@ -35,62 +35,102 @@ ID = "id"
 BUCKET_FACTS, SPLIT = 20_000_000, 16
 #: A term with more than one in so many facts is hot; there are fewer such terms than this.
 HOT = 1000
+#: How many facts have a term as subject, predicate, object, graph.
+ROLES = ("n_s", "n_p", "n_o", "n_g")
 
 
-def number_terms(tokens: DataFrame, parts: int, folder: str) -> DataFrame:
-    """id, token of the distinct tokens, ids in the order of the tokens, written below ``folder``."""
+def _hashed(token: str, seed: int) -> Column:
+    return F.xxhash64(F.lit(seed), F.col(token))
+
+
+def number_terms(tokens: DataFrame, parts: int, folder: str) -> tuple[DataFrame, DataFrame, int]:
+    """Number the terms of ``tokens`` (token, facts as subject, predicate, object, graph) and write them below ``folder``.
+
+    Returns the terms, id and token, ids in the order of the tokens; h, id and the counts
+    of each, h a hash that no two terms share; and the seed of that hash.
+    """
     spark = tokens.sparkSession
-    ranged = tokens.distinct().repartitionByRange(parts, "token").sortWithinPartitions("token")
-    ranged.select(F.monotonically_increasing_id().alias("_at"), "token").write.parquet(f"{folder}/ranges")
+    each = tokens.groupBy("token").agg(*(F.sum(c).alias(c) for c in ROLES))
+    ranged = each.repartitionByRange(parts, "token").sortWithinPartitions("token")
+    ranged.select(F.monotonically_increasing_id().alias("_at"), "token", *ROLES).write.option("compression", "zstd").parquet(f"{folder}/ranges")
     # _at is the range's number and the row in it.
-    rows = spark.read.schema("_at long, token string").parquet(f"{folder}/ranges")
+    rows = spark.read.schema("_at long, token string, " + ", ".join(f"{c} long" for c in ROLES)).parquet(f"{folder}/ranges")
     rows = rows.withColumns({"_part": F.shiftright("_at", 33), "_row": F.col("_at").bitwiseAND((1 << 33) - 1)})
     sizes = rows.groupBy("_part").agg(F.count("*").alias("_n"))  # a row for each range
     starts = sizes.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
-    rows.join(F.broadcast(starts), "_part").select((F.col("_start") + F.col("_row")).alias("id"), "token").sortWithinPartitions("id").write.parquet(f"{folder}/terms")
-    return spark.read.schema("id long, token string").parquet(f"{folder}/terms")
+    numbered = rows.join(F.broadcast(starts), "_part").withColumn("id", F.col("_start") + F.col("_row"))
+    numbered.select("id", "token").sortWithinPartitions("id").write.option("compression", "zstd").parquet(f"{folder}/terms")
+    seed = 0
+    while numbered.groupBy(_hashed("token", seed).alias("h")).count().filter("count > 1").take(1):
+        seed += 1
+    return spark.read.schema("id long, token string").parquet(f"{folder}/terms"), numbered.select(_hashed("token", seed).alias("h"), "id", *ROLES), seed
 
 
-def _write_order(facts: DataFrame, key: str, other: str, buckets: int, total: int, path: str, table: str) -> None:
+def _coded(facts: DataFrame, end: str, other: str, role: str, codes: DataFrame, total: int, parts: int, once: bool = False) -> DataFrame:
+    """``facts`` with the id of a term in place of its hash in column ``end``; ``once``: as a set.
+
+    Hot terms are broadcast, and their facts dealt by a hash of ``other``.
+    """
+    own = codes.filter(F.col(role) > 0).select(F.col("h").alias(end), F.col("id").alias("_id"), (F.col(role) * HOT > total).alias("_hot"))
+    hot = F.broadcast(own.filter("_hot").select(end, F.col("_id").alias("_hot")))
+    salt = F.when(F.col("_hot").isNull(), 0).otherwise(1 + F.pmod(F.xxhash64(other), F.lit(parts)))
+    rows = facts.join(hot, end, "left").withColumn("_salt", salt)
+    if once:
+        rows = rows.repartition(parts, end, "_salt").distinct()
+    own = own.filter("NOT _hot").select(end, "_id", F.lit(0).cast("long").alias("_salt"))
+    met = rows.join(own, [end, "_salt"], "left")
+    return met.withColumn(end, F.coalesce("_hot", "_id")).drop("_hot", "_id", "_salt")
+
+
+def _write_order(facts: DataFrame, key: str, other: str, hot: DataFrame, buckets: int, path: str, table: str) -> None:
     """The facts in buckets of ``key``; those of a hot key are dealt among tasks by ``other``."""
-    hot = facts.groupBy(F.col(key).alias("_hot")).count().filter(F.col("count") * HOT > total).select("_hot")
-    salted = facts.join(F.broadcast(hot), facts[key] == F.col("_hot"), "left")
-    salt = F.when(F.col("_hot").isNull(), 0).otherwise(F.pmod(F.hash(other), F.lit(SPLIT)))
-    dealt = salted.repartition(buckets, F.pmod(F.hash(key), F.lit(buckets)), salt)
-    dealt.select("g", "s", "p", "o").write.bucketBy(buckets, key).sortBy("p", key, other).option("path", path).mode("errorifexists").saveAsTable(table)
+    salted = facts.join(F.broadcast(hot.select(F.col("id").alias(key), F.lit(True).alias("_hot"))), key, "left")
+    deal = F.when(F.col("_hot").isNull(), 0).otherwise(F.pmod(F.hash(other), F.lit(SPLIT)))
+    dealt = salted.repartitionById(buckets, F.pmod(F.pmod(F.hash(key), F.lit(buckets)) + deal, F.lit(buckets)))
+    write = dealt.select("g", "s", "p", "o").write.bucketBy(buckets, key).sortBy("p", key, other)
+    write.option("path", path).option("compression", "zstd").mode("errorifexists").saveAsTable(table)
 
 
 def build_store(facts: DataFrame, folder: str, buckets: int | None = None) -> None:
     """Write a table of (s, p, o) or (g, s, p, o) tokens as a store below ``folder``, a new one.
 
-    Facts are a set; repeated ones are one. ``facts`` is read twice.
+    Facts are a set; repeated ones are one. ``facts`` is read twice. A fact is dealt out
+    by its subject and by its object, as hashes, to get their ids, and then once for each
+    order; all counts come from the buckets as they lie.
     """
     spark = facts.sparkSession
-    if "g" not in facts.columns:
-        facts = facts.withColumn("g", F.lit(None).cast("string"))
-    facts = facts.select("g", "s", "p", "o")
+    named = "g" in facts.columns
+    facts = facts.select("g", "s", "p", "o") if named else facts.select(F.lit(None).cast("string").alias("g"), "s", "p", "o")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    tokens = facts.select(F.explode(F.array("g", "s", "p", "o")).alias("token")).filter("token IS NOT NULL")
-    terms = number_terms(tokens, parts, folder)
-    coded = facts.distinct()
-    for c in ("p", "g", "s", "o"):
-        # A hot token's side is split by the adaptive skew join; terms are unique.
-        coded = coded.join(terms.select(F.col("id").alias(f"_{c}"), F.col("token").alias(c)), c, "left").drop(c)
-    coded.select(*(F.col(f"_{c}").alias(c) for c in "gspo")).write.parquet(f"{folder}/coded")
-    coded = spark.read.schema("g long, s long, p long, o long").parquet(f"{folder}/coded")
-    total = coded.count()
+    ends = F.array(*(F.struct(F.col(c).alias("token"), *(F.lit(int(r == f"n_{c}")).cast("long").alias(r) for r in ROLES)) for c in ("spog" if named else "spo")))
+    tokens = facts.select(F.explode(ends).alias("x")).select("x.*").filter("token IS NOT NULL")
+    terms, codes, seed = number_terms(tokens, parts, folder)
+    total = codes.agg(F.coalesce(F.sum("n_p"), F.lit(0))).first()[0]  # repeated facts included
+    predicates = F.broadcast(codes.filter("n_p > 0").select(F.col("h").alias("p"), F.col("id").alias("_p")))  # one row a predicate
+    rows = facts.select(*(F.when(F.col(c).isNotNull(), _hashed(c, seed)).alias(c) for c in "gspo"))
+    rows = rows.join(predicates, "p", "left").select("g", "s", F.col("_p").alias("p"), "o")
+    rows = _coded(rows, "s", "o", "n_s", codes, total, parts, once=True)
+    rows = _coded(rows, "o", "s", "n_o", codes, total, parts)
+    if named:
+        inside = _coded(rows.filter("g IS NOT NULL"), "g", "s", "n_g", codes, total, parts)
+        rows = rows.filter("g IS NULL").unionByName(inside)
     buckets = buckets or max(parts, math.ceil(total / BUCKET_FACTS))
-    for name, key, other in (("subjects", "s", "o"), ("objects", "o", "s")):
-        _write_order(coded, key, other, buckets, total, f"{folder}/{name}", _table(folder, name))
+    hot = lambda role: codes.filter(F.col(role) * HOT > total)
+    _write_order(rows, "o", "s", hot("n_o"), buckets, f"{folder}/objects", _table(folder, "objects"))
+    objects = spark.table(_table(folder, "objects"))
+    _write_order(objects, "s", "o", hot("n_s"), buckets, f"{folder}/subjects", _table(folder, "subjects"))
     spark.createDataFrame([(buckets,)], "buckets int").coalesce(1).write.parquet(f"{folder}/layout")
-    each = coded.groupBy("p").agg(F.count("*").alias("n_facts"), F.count_distinct("s").alias("n_subjects"), F.count_distinct("o").alias("n_objects"))
-    each.write.parquet(f"{folder}/predicates")
-    kind = terms.filter(F.col("token") == f"<{TYPE}>").select(F.col("id").alias("p"))
-    coded.join(F.broadcast(kind), "p", "left_semi").groupBy("o").agg(F.count("*").alias("n")).write.parquet(f"{folder}/classes")
-    own = coded.groupBy("s", "p").agg(F.count("*").alias("n")).groupBy("s").agg(F.sort_array(F.collect_list(F.struct("p", "n"))).alias("ps"))
-    sets = own.select(F.transform("ps", lambda x: x.p).alias("ps"), F.posexplode("ps").alias("_k", "x"))
-    by = sets.groupBy("ps", "_k").agg(F.count("*").alias("n_subjects"), F.sum("x.n").alias("n"))
+    own = spark.table(_table(folder, "subjects")).groupBy("s", "p").agg(F.count("*").alias("n")).groupBy("s").agg(F.sort_array(F.collect_list(F.struct("p", "n"))).alias("ps"))
+    sets = own.groupBy(F.transform("ps", lambda x: x.p).alias("ps"), F.transform("ps", lambda x: x.n).alias("ns")).agg(F.count("*").alias("n"))
+    sets = sets.select("ps", "n", F.posexplode("ns").alias("_k", "_each"))
+    by = sets.groupBy("ps", "_k").agg(F.sum("n").alias("n_subjects"), F.sum(F.col("n") * F.col("_each")).alias("n"))
     by.groupBy("ps").agg(F.max("n_subjects").alias("n_subjects"), F.transform(F.array_sort(F.collect_list(F.struct("_k", "n"))), lambda x: x.n).alias("facts")).write.parquet(f"{folder}/characteristics")
+    held = spark.read.schema("ps array<long>, n_subjects long, facts array<long>").parquet(f"{folder}/characteristics")
+    held = held.select("n_subjects", F.explode(F.arrays_zip("ps", "facts")).alias("x")).groupBy(F.col("x.ps").alias("p")).agg(F.sum("x.facts").alias("n_facts"), F.sum("n_subjects").alias("n_subjects"))
+    values = objects.groupBy("o", "p").agg(F.count("*").alias("n")).groupBy("p").agg(F.count("*").alias("n_objects"))
+    held.join(values, "p").write.parquet(f"{folder}/predicates")
+    kind = terms.filter(F.col("token") == f"<{TYPE}>").select(F.col("id").alias("p"))
+    objects.join(F.broadcast(kind), "p", "left_semi").groupBy("o").agg(F.count("*").alias("n")).write.parquet(f"{folder}/classes")
 
 
 def _table(folder: str, name: str) -> str:

@@ -97,18 +97,22 @@ def catalog() -> Catalog:
     return Catalog.build([ShapeSource(triples, "tables", "tables", "trusted", reviewed)], build_id="tables-1")
 
 
-def mapped(spark: SparkSession, sf_dir: str) -> MappedTables:
-    """The tables below ``sf_dir`` as facts; every definition is lazy."""
+def mapped(spark: SparkSession, sf_dir: str, sets: bool = True) -> MappedTables:
+    """The tables below ``sf_dir`` as facts; every definition is lazy.
+
+    Without ``sets``, facts may be repeated: for those who make a set of all of them.
+    """
+    once = lambda df: df.distinct() if sets else df
     table = lambda n: spark.read.parquet(f"{sf_dir}/{n}.parquet")
     key = lambda c: F.col(c).cast("long")
-    node = lambda t, k: lambda _: table(t).select(key(k).alias("node")).filter("node IS NOT NULL").distinct()
+    node = lambda t, k: lambda _: once(table(t).select(key(k).alias("node")).filter("node IS NOT NULL"))
     classes = {TD + c: (node(t, k), c.lower()) for c, (t, k) in CLASSES.items()}
     classes[TD + "RichCustomer"] = (lambda _: table("customer").filter("c_acctbal > 5000").select(key("c_custkey").alias("node")), "customer")
 
     def pairs(t, src, dst, repeat=False):
         def make(_):
             rows = table(t).select(src.alias("src"), dst.alias("dst")).filter("src IS NOT NULL AND dst IS NOT NULL")
-            return rows.distinct() if repeat else rows
+            return once(rows) if repeat else rows
 
         return make
 
@@ -137,7 +141,7 @@ def store_engine(spark: SparkSession, sf_dir: str) -> Engine:
     at = spark.sparkContext.applicationId, sf_dir
     if at not in _stores:
         folder = shared_folder(spark, "facts-store")
-        build_store(as_facts(mapped(spark, sf_dir), STORED, STORED_CLASSES), folder)
+        build_store(as_facts(mapped(spark, sf_dir, sets=False), STORED, STORED_CLASSES), folder)
         _stores[at] = folder
     return Engine(spark, StoredFacts(spark, _stores[at]), catalog(), AuthorizationScope("tables"), DatasetScope("tables"), QueryPolicy(timeout_seconds=600))
 

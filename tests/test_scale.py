@@ -3,9 +3,12 @@
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from factgraph import queries
 from factgraph.plans.builder import PlanBuilder
+from factgraph.sources import store as store_source
+from factgraph.sources.store import StoredFacts, build_store
 from factgraph.tables import TD, table_engine
 
 TABLES = "/root/testdata/sf0.001"
@@ -18,3 +21,25 @@ def test_a_cycle_is_not_entered_through_its_hub(spark):
     queries.cycle_join.fill(b)
     # All pairs of customers and suppliers of a nation would come of the other order.
     assert engine.compile(b.raw).order == tuple(TD + n for n in ("order-customer", "customer-nation", "order-supplier", "supplier-nation"))
+
+
+def test_a_store_writes_its_facts_once_in_each_order(spark, tmp_path):
+    """Beside both orders, only terms and counts are written; a third copy of the facts would be shuffled three times more."""
+    rows = [(f"<urn:s/{k // 3}>", f"<urn:p/{k % 3}>", f"<urn:o/{k * 7919 % 1009}>") for k in range(6000)]
+    facts = spark.createDataFrame(rows, "s string, p string, o string")
+    folder = f"file://{tmp_path}/store"
+    build_store(facts.unionByName(facts), folder)
+    assert {x.name for x in (tmp_path / "store").iterdir()} == {"ranges", "terms", "objects", "subjects", "layout", "characteristics", "predicates", "classes"}
+    store = StoredFacts(spark, folder)
+    held = store.tokens(store.orders["subjects"], {c: (f"_{c}", "id") for c in "spo"}).select("_s", "_p", "_o").collect()
+    assert sorted(map(tuple, held)) == sorted(rows)
+
+
+def test_terms_with_equal_hashes_stay_apart(spark, tmp_path, monkeypatch):
+    """The first hash puts all terms together; another one is taken."""
+    monkeypatch.setattr(store_source, "_hashed", lambda token, seed: F.xxhash64(F.lit(seed), token) if seed else F.length(token).cast("long"))
+    rows = [(f"<urn:s/{k % 9}>", "<urn:p>", f'"{k % 5}"') for k in range(45)]
+    build_store(spark.createDataFrame(rows, "s string, p string, o string"), f"file://{tmp_path}/store")
+    store = StoredFacts(spark, f"file://{tmp_path}/store")
+    held = store.tokens(store.orders["objects"], {c: (f"_{c}", "id") for c in "spo"}).select("_s", "_p", "_o").collect()
+    assert sorted(map(tuple, held)) == sorted(set(rows))
