@@ -69,12 +69,10 @@ def fixture_matrix(expected: DataFrame, actual: DataFrame, fixture: str = "fixtu
 
     Both tables have the fixture's name, and one ``values`` array for each row.
     """
-    count = lambda df, name: df.groupBy(fixture, "values").agg(F.count("*").alias(name))
-    both = count(expected, "_e").join(count(actual, "_a"), [fixture, "values"], "full")
-    gap = F.coalesce("_e", F.lit(0)) - F.coalesce("_a", F.lit(0))
-    return both.groupBy(fixture).agg(
-        F.sum(F.greatest(gap, F.lit(0))).alias("missing"), F.sum(F.greatest(-gap, F.lit(0))).alias("unexpected"), F.bool_and(gap == 0).alias("ok")
-    )
+    signed = lambda df, n: df.select(fixture, "values", F.lit(n).cast("long").alias("_n"))
+    gaps = signed(expected, 1).unionByName(signed(actual, -1)).groupBy(fixture, "values").agg(F.sum("_n").alias("_gap"))
+    gap = F.col("_gap")
+    return gaps.groupBy(fixture).agg(F.sum(F.greatest(gap, F.lit(0))).alias("missing"), F.sum(F.greatest(-gap, F.lit(0))).alias("unexpected"), F.bool_and(gap == 0).alias("ok"))
 
 
 def paired_ratio(pairs: DataFrame, a: str, b: str) -> DataFrame:
