@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factgraph.functions.terms import TYPE, effective_datatype, token_kind, token_language
+from factgraph.sources.shared import spread
 
 
 def band(n: Column) -> Column:
@@ -37,6 +38,15 @@ def cardinality_bands(facts: DataFrame) -> DataFrame:
     return each.groupBy("p", band(F.col("n")).alias("band")).agg(F.count("*").alias("n_nodes"))
 
 
+def degrees(source, predicates: list[str]) -> DataFrame:
+    """p, n, n_nodes: the nodes of each predicate of a mapped source by their number of values, counted by keys."""
+    parts = []
+    for p in predicates:
+        each = spread(source.relation(p).rows, "src", "dst").distinct().groupBy("src").agg(F.count("*").alias("n"))
+        parts.append(each.groupBy("n").agg(F.count("*").alias("n_nodes")).select(F.lit(f"<{p}>").alias("p"), "n", "n_nodes"))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def cooccurrence(facts: DataFrame, predicates: list[str]) -> DataFrame:
     """Pairs of the given predicates and the nodes that have both; a node's predicates stay in one short array."""
     own = facts.filter(F.col("p").isin(*predicates)).groupBy("s").agg(F.array_sort(F.collect_set("p")).alias("ps"))
@@ -114,7 +124,8 @@ def contract_report(source, catalog) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def source_size(facts: DataFrame) -> DataFrame:
-    """n_facts, n_bytes: distinct (s, p, o) tokens and the bytes of their N-Triples lines."""
-    own = facts.select("s", "p", "o").distinct()
+def source_size(facts: DataFrame, once: bool = False) -> DataFrame:
+    """n_facts, n_bytes: distinct (s, p, o) tokens and the bytes of their N-Triples lines; ``once``: the facts are a set."""
+    own = facts.select("s", "p", "o")
+    own = own if once else own.distinct()
     return own.agg(F.count("*").alias("n_facts"), F.coalesce(F.sum(F.octet_length(F.concat_ws(" ", "s", "p", "o")) + 3), F.lit(0)).alias("n_bytes"))

@@ -636,7 +636,8 @@ def profile_coverage(spark, sf_dir):
 
 @query(f"SELECT p, {_BAND} AS band, count(*) AS n_nodes FROM (SELECT p, s, count(DISTINCT o) AS n FROM ({_PF}) f GROUP BY p, s) g GROUP BY p, {_BAND}")
 def profile_cardinality_bands(spark, sf_dir):
-    return profile.cardinality_bands(_facts(spark, sf_dir))
+    by = profile.degrees(mapped(spark, sf_dir, sets=False), [TD + n for n in _PROFILE])
+    return by.groupBy("p", profile.band(F.col("n")).alias("band")).agg(F.sum("n_nodes").alias("n_nodes"))
 
 
 @query(f"SELECT x.p AS a, y.p AS b, count(*) AS n_nodes FROM (SELECT DISTINCT s, p FROM ({_PF}) f) x JOIN (SELECT DISTINCT s, p FROM ({_PF}) f) y ON x.s = y.s AND x.p < y.p GROUP BY x.p, y.p")
@@ -646,7 +647,7 @@ def profile_cooccurrence(spark, sf_dir):
 
 @query(f"SELECT p, degree, count(*) AS n_nodes FROM (SELECT p, s, count(DISTINCT o) AS degree FROM ({_PF}) f GROUP BY p, s) g GROUP BY p, degree")
 def profile_fanout(spark, sf_dir):
-    return profile.fanout(_facts(spark, sf_dir))
+    return profile.degrees(mapped(spark, sf_dir, sets=False), [TD + n for n in _PROFILE]).withColumnRenamed("n", "degree")
 
 
 @query(f"SELECT p, 'iri' AS s_kind, CASE WHEN o LIKE '<%' THEN 'iri' ELSE 'literal' END AS o_kind, CASE WHEN o LIKE '<%' THEN NULL ELSE '{XSD}string' END AS datatype, count(*) AS n_facts FROM ({_PF}) f GROUP BY ALL")

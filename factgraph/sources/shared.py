@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
 
@@ -26,6 +27,17 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
 
 
+def spread(df: DataFrame, *keys: str, mb: int = 4) -> DataFrame:
+    """``df``, a scan, dealt by ``keys`` before it is grouped: a task for each ``mb`` MB that Spark expects of it, and as many as are set at least.
+
+    A scan's own groups take the memory of a whole split, and adaptive execution puts
+    partitions together by compressed sizes, in which keys and tokens are small. A stated
+    number grows with the input instead, and no task does.
+    """
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / (mb << 20))), *keys)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to a shared folder and read it back: lineage ends there."""
     path = shared_folder(df.sparkSession, name)

@@ -63,7 +63,7 @@ def source_nquads(spark, sf_dir):
 @query(f"SELECT count(*) AS n_facts, CAST(sum(strlen(s || ' ' || p || ' ' || o) + 3) AS BIGINT) AS n_bytes FROM ({own._STORED_SQL}) f")
 def source_budget(spark, sf_dir):
     """What a source's facts take as N-Triples, to be held against a budget."""
-    return profile.source_size(as_facts(mapped(spark, sf_dir), STORED, STORED_CLASSES))
+    return profile.source_size(as_facts(mapped(spark, sf_dir, sets=False), STORED, STORED_CLASSES, once=True), once=True)
 
 
 @query(f"SELECT 'order' AS what, {_tok('order', 'o_orderkey')} AS s, CASE WHEN o_orderkey % 10 = 3 THEN '<urn:td:customer/none>' ELSE {_tok('customer', 'o_custkey')} END AS o FROM orders WHERE o_orderkey % 10 = 3 UNION ALL SELECT 'class', {_tok('order', 'o_orderkey')}, '<urn:td:Customer>' FROM orders WHERE o_orderkey % 10 = 4")

@@ -12,7 +12,7 @@ from factgraph.functions.terms import XSD
 from factgraph.plans.catalog import Catalog, Qualification, ShapeSource
 from factgraph.plans.query import AuthorizationScope, DatasetScope, QueryPolicy
 from factgraph.sources.facts import MappedTables, Template
-from factgraph.sources.shared import shared_folder
+from factgraph.sources.shared import shared_folder, spread
 from factgraph.sources.store import StoredFacts, build_store
 from factgraph.sources.turtle import parse_turtle
 
@@ -102,7 +102,7 @@ def mapped(spark: SparkSession, sf_dir: str, sets: bool = True) -> MappedTables:
 
     Without ``sets``, facts may be repeated: for those who make a set of all of them.
     """
-    once = lambda df: df.distinct() if sets else df
+    once = lambda df: spread(df, *df.columns).distinct() if sets else df
     table = lambda n: spark.read.parquet(f"{sf_dir}/{n}.parquet")
     key = lambda c: F.col(c).cast("long")
     node = lambda t, k: lambda _: once(table(t).select(key(k).alias("node")).filter("node IS NOT NULL"))
@@ -146,16 +146,18 @@ def store_engine(spark: SparkSession, sf_dir: str) -> Engine:
     return Engine(spark, StoredFacts(spark, _stores[at]), catalog(), AuthorizationScope("tables"), DatasetScope("tables"), QueryPolicy(timeout_seconds=600))
 
 
-def as_facts(source: MappedTables, predicates: list[str], classes: list[str] = ()) -> DataFrame:
-    """Some relations written out as (s, p, o) tokens."""
+def as_facts(source: MappedTables, predicates: list[str], classes: list[str] = (), once: bool = False) -> DataFrame:
+    """Some relations written out as (s, p, o) tokens; ``once``: as a set, made of the keys (of a source without ``sets``)."""
     from factgraph.functions.terms import TYPE
 
     parts = []
     for n in predicates:
         r = source.relation(TD + n)
-        parts.append(r.rows.select(source.render(F.col("src"), r.src).alias("s"), F.lit(f"<{TD}{n}>").alias("p"), source.render(F.col("dst"), r.dst).alias("o")))
+        rows = spread(r.rows, "src", "dst").distinct() if once else r.rows
+        parts.append(rows.select(source.render(F.col("src"), r.src).alias("s"), F.lit(f"<{TD}{n}>").alias("p"), source.render(F.col("dst"), r.dst).alias("o")))
     for c in classes:
         nodes, space = source.members(TD + c)
+        nodes = spread(nodes, "node").distinct() if once else nodes
         parts.append(nodes.select(source.render(F.col("node"), space).alias("s"), F.lit(f"<{TYPE}>").alias("p"), F.lit(f"<{TD}{c}>").alias("o")))
     out = parts[0]
     for p in parts[1:]:
