@@ -56,7 +56,7 @@ def source_nquads(spark, sf_dir):
     facts = rows.select(F.when(F.col("y") > 1992, tok("year", "y")).alias("g"), tok("order", "l_orderkey").alias("s"), F.lit(f"<{TD}order-part>").alias("p"), tok("part", "l_partkey").alias("o"))
     parts = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.lit(None).cast("string").alias("g"), tok("part", "p_partkey").alias("s"), F.lit(f"<{TD}part-name>").alias("p"), F.concat(literal_token(F.col("p_name")), F.lit("@EN")).alias("o"))
     folder = shared_folder(spark, "nquads")
-    write_nquads(facts.unionByName(parts).repartition(4), folder)
+    write_nquads(facts.unionByName(parts), folder)
     return read_nquads(spark, folder)
 
 
