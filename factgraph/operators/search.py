@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from factgraph.sources.shared import spread
+
 K1, B = 1.2, 0.75
 DIGITS = 6
 
@@ -22,7 +24,8 @@ def words(text: Column) -> Column:
 
 def postings(docs: DataFrame, key: str, text: str, allowed: DataFrame) -> DataFrame:
     """word, id, tf, length of the documents whose ``key`` stands in ``allowed``; documents without words have none."""
-    own = docs.join(allowed.select(key).distinct(), key, "left_semi").select(F.col(key).alias("id"), words(F.col(text)).alias("_w"))
+    # All words of a document stay in its task, whose texts are as large as stated.
+    own = spread(docs.join(allowed.select(key).distinct(), key, "left_semi").select(F.col(key).alias("id"), F.col(text).alias("_t")), "id").select("id", words(F.col("_t")).alias("_w"))
     each = own.select("id", F.size("_w").alias("length"), F.explode("_w").alias("word"))
     return each.groupBy("word", "id", "length").agg(F.count("*").alias("tf"))
 
