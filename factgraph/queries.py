@@ -854,10 +854,11 @@ def live_certificates(spark, sf_dir):
     facts = as_facts(mapped(spark, sf_dir), ["order-customer"], ["Customer", "Order"]).select(F.lit(None).cast("string").alias("g"), "s", "p", "o")
     engine = Engine(spark, FactsTable(facts), own.catalog, own.authorization, own.dataset, own.policy)
     folder = shared_folder(spark, "live")
-    for k in range(3):  # a file for each batch
-        facts.filter(F.pmod(F.xxhash64("s", "o"), F.lit(3)) == k).coalesce(1).write.mode("append").parquet(f"{folder}/arriving")
+    files = spark.sparkContext.defaultParallelism
+    for k in range(3):  # so many files for each batch
+        facts.filter(F.pmod(F.xxhash64("s", "o"), F.lit(3)) == k).repartition(files).write.mode("append").parquet(f"{folder}/arriving")
     live = LiveCertificates(engine, b.raw, f"{folder}/state", RUN)
-    live.run(spark.readStream.schema(facts.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/arriving"), f"{folder}/checkpoint").awaitTermination()
+    live.run(spark.readStream.schema(facts.schema).option("maxFilesPerTrigger", files).parquet(f"{folder}/arriving"), f"{folder}/checkpoint").awaitTermination()
     live.apply(facts.filter(F.pmod(F.xxhash64("s", "o"), F.lit(3)) == 1), 9)  # facts that are known add nothing
     found = F.get(F.filter("supports", lambda x: x.atom == "filter0"), F.lit(0)).witnesses
     return live.current(spark).select(F.col("entity0").alias("party"), F.get(found, F.lit(0)).s.alias("witness"))

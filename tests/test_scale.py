@@ -5,11 +5,12 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from factgraph import queries
+from factgraph import queries, table_queries
+from factgraph.operators import profile
 from factgraph.plans.builder import PlanBuilder
 from factgraph.sources import store as store_source
 from factgraph.sources.store import StoredFacts, build_store
-from factgraph.tables import TD, table_engine
+from factgraph.tables import TD, as_facts, mapped, table_engine
 
 TABLES = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(TABLES), reason="no test tables")
@@ -43,3 +44,37 @@ def test_terms_with_equal_hashes_stay_apart(spark, tmp_path, monkeypatch):
     store = StoredFacts(spark, f"file://{tmp_path}/store")
     held = store.tokens(store.orders["objects"], {c: (f"_{c}", "id") for c in "spo"}).select("_s", "_p", "_o").collect()
     assert sorted(map(tuple, held)) == sorted(set(rows))
+
+
+def _plan(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("name", ["source_budget", "profile_fanout", "profile_cardinality_bands"])
+def test_facts_of_tables_are_made_a_set_by_their_keys(spark, name):
+    plan = _plan({**queries.QUERIES, **table_queries.QUERIES}[name](spark, TABLES))
+    assert "hashpartitioning(src#" in plan and "hashpartitioning(s#" not in plan and "hashpartitioning(p#, s#" not in plan
+
+
+@pytest.mark.parametrize("name", ["self_join", "scalar_observed", "ranked_fusion", "hybrid_retrieval"])
+def test_rows_are_dealt_out_before_they_are_grouped(spark, name):
+    assert "REPARTITION_BY_NUM" in _plan(queries.QUERIES[name](spark, TABLES))
+
+
+def test_repeated_pairs_are_one_value(spark, tmp_path):
+    spark.createDataFrame([(1, 2), (1, 2), (1, 3), (4, 2)], "l_orderkey long, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    source = mapped(spark, str(tmp_path), sets=False)
+    assert sorted((r.n, r.n_nodes) for r in profile.degrees(source, [TD + "order-part"]).collect()) == [(1, 1), (2, 1)]
+    size = profile.source_size(as_facts(source, ["order-part"], once=True), once=True).first()
+    assert size == profile.source_size(as_facts(source, ["order-part"])).first() and size.n_facts == 3
+
+
+def test_nquads_are_written_by_more_tasks_where_there_is_more_to_read(spark, tmp_path):
+    spark.read.parquet(f"{TABLES}/lineitem.parquet").repartition(12).write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.read.parquet(f"{TABLES}/part.parquet").write.parquet(f"{tmp_path}/part.parquet")
+    assert len(table_queries.source_nquads(spark, str(tmp_path)).inputFiles()) > 4
+
+
+def test_no_batch_of_a_stream_is_written_by_one_task(spark, monkeypatch):
+    monkeypatch.setattr(type(spark.range(1)), "coalesce", lambda *a: pytest.fail("one task for a batch"))
+    assert queries.live_certificates(spark, TABLES).count() > 0
