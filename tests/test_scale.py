@@ -9,6 +9,7 @@ from factgraph import queries, table_queries
 from factgraph.operators import profile
 from factgraph.plans.builder import PlanBuilder
 from factgraph.sources import store as store_source
+from factgraph.sources.shared import stored
 from factgraph.sources.store import StoredFacts, build_store
 from factgraph.tables import TD, as_facts, mapped, table_engine
 
@@ -78,3 +79,8 @@ def test_nquads_are_written_by_more_tasks_where_there_is_more_to_read(spark, tmp
 def test_no_batch_of_a_stream_is_written_by_one_task(spark, monkeypatch):
     monkeypatch.setattr(type(spark.range(1)), "coalesce", lambda *a: pytest.fail("one task for a batch"))
     assert queries.live_certificates(spark, TABLES).count() > 0
+
+
+def test_rounds_and_paths_are_written_small(spark):
+    files = stored(spark.range(1000).selectExpr("concat('<urn:td:order/', id, '>') AS node"), "small").inputFiles()
+    assert files and all(f.endswith(".zstd.parquet") for f in files)
