@@ -57,9 +57,9 @@ def test_facts_of_tables_are_made_a_set_by_their_keys(spark, name):
     assert "hashpartitioning(src#" in plan and "hashpartitioning(s#" not in plan and "hashpartitioning(p#, s#" not in plan
 
 
-@pytest.mark.parametrize("name", ["self_join", "scalar_observed", "ranked_fusion", "hybrid_retrieval"])
+@pytest.mark.parametrize("name", ["self_join", "scalar_observed", "ranked_fusion", "hybrid_retrieval", "fact_probe"])
 def test_rows_are_dealt_out_before_they_are_grouped(spark, name):
-    assert "REPARTITION_BY_NUM" in _plan(queries.QUERIES[name](spark, TABLES))
+    assert "REPARTITION_BY_NUM" in _plan({**queries.QUERIES, **table_queries.QUERIES}[name](spark, TABLES))
 
 
 def test_repeated_pairs_are_one_value(spark, tmp_path):
