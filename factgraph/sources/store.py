@@ -22,17 +22,25 @@ from __future__ import annotations
 import hashlib
 import math
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from factgraph.errors import PolicyError
 from factgraph.functions.terms import TYPE, Term
-from factgraph.sources.facts import FactsTable, Relation
+from factgraph.sources.facts import TOKEN, FactsTable, MappedTables, Relation
+from factgraph.sources.shared import spread, stored
 
 ID = "id"
 #: Facts of a bucket, and tasks among which the facts of a hot term are dealt.
 BUCKET_FACTS, SPLIT = 20_000_000, 16
+#: How many files a task may write at once; without it, it sorts by file.
+OPEN_FILES = "spark.sql.maxConcurrentOutputFileWriters"
+#: Bits of a code that say which template its number belongs to.
+PLACE = 6
+#: Facts of a task that gives them ids.
+TASK_FACTS = 2_000_000
 #: A term with more than one in so many facts is hot; there are fewer such terms than this.
 HOT = 1000
 #: How many facts have a term as subject, predicate, object, graph.
@@ -43,96 +51,197 @@ def _hashed(token: str, seed: int) -> Column:
     return F.xxhash64(F.lit(seed), F.col(token))
 
 
-def number_terms(tokens: DataFrame, parts: int, folder: str) -> tuple[DataFrame, DataFrame, int]:
-    """Number the terms of ``tokens`` (token, facts as subject, predicate, object, graph) and write them below ``folder``.
+class TokenFacts:
+    """A table of (s, p, o) or (g, s, p, o) tokens as what a store is built of. A term's code is a hash of its token."""
 
-    Returns the terms, id and token, ids in the order of the tokens; h, id and the counts
-    of each, h a hash that no two terms share; and the seed of that hash.
+    def __init__(self, facts: DataFrame):
+        self.facts, self.columns = facts, "gspo" if "g" in facts.columns else "spo"
+
+    def terms(self) -> DataFrame:
+        """token, code and in how many facts it has which role: every term once; codes of null are hashes of the token, given later."""
+        ends = F.array(*(F.struct(F.col(c).alias("token"), *(F.lit(int(r == f"n_{c}")).cast("long").alias(r) for r in ROLES)) for c in self.columns))
+        tokens = self.facts.select(F.explode(ends).alias("x")).select("x.*").filter("token IS NOT NULL")
+        return grouped_terms(tokens)
+
+    def coded(self, seed: int) -> DataFrame:
+        """The facts, repeated ones too, with codes in place of tokens."""
+        return self.facts.select(*(F.when(F.col(c).isNotNull(), _hashed(c, seed)).alias(c) for c in self.columns))
+
+
+class KeyedFacts:
+    """Relations and classes of mapped tables as what a store is built of, by their keys.
+
+    The code of a number in an IRI template is that number and the template's place, so
+    numbers are counted and dealt out, and a token is written once for each. Numbers
+    without room for the place, and terms of other kinds, have hashes of their tokens.
     """
-    spark = tokens.sparkSession
-    each = tokens.groupBy("token").agg(*(F.sum(c).alias(c) for c in ROLES))
-    ranged = each.repartitionByRange(parts, "token").sortWithinPartitions("token")
-    ranged.select(F.monotonically_increasing_id().alias("_at"), "token", *ROLES).write.option("compression", "zstd").parquet(f"{folder}/ranges")
+
+    def __init__(self, source: MappedTables, predicates: list[str], classes: list[str] = ()):
+        self.source = source
+        self.places = [n for n, t in source.templates.items() if t.kind == "long"][: 1 << PLACE]
+        self.relations = [(p, None, source.relation(p)) for p in predicates]
+        for c in classes:
+            nodes, space = source.members(c)
+            self.relations.append((TYPE, c, Relation(nodes.select(F.col("node").alias("src"), F.lit(f"<{c}>").alias("dst")), space, TOKEN)))
+
+    def _fits(self, column: str, space: str) -> Column:
+        room = 1 << (62 - PLACE)
+        return F.col(column).between(-room, room) if space in self.places else F.lit(False)
+
+    def _placed(self, column: str, space: str) -> Column:
+        if space not in self.places:
+            return F.lit(None).cast("long")
+        return F.shiftleft(F.col(column).cast("long"), PLACE).bitwiseOR(F.lit(self.places.index(space)).cast("long"))
+
+    def terms(self) -> DataFrame:
+        keys, tokens = [], []
+        for _, cls, r in self.relations:
+            for column, space, s in (("src", r.src, True), ("dst", r.dst, False))[: 1 if cls else 2]:
+                fits = self._fits(column, space)
+                if space in self.places:
+                    keys.append(r.rows.filter(fits).select(self._placed(column, space).alias("code"), F.lit(s).alias("_s")))
+                counts = (F.lit(int(x)).cast("long").alias(c) for c, x in zip(ROLES, (s, 0, not s, 0), strict=True))
+                tokens.append(r.rows.filter(~fits).select(self.source.render(F.col(column), space).alias("token"), *counts))
+        # Predicates and classes, from the number of facts of each relation.
+        none = F.lit(0).cast("long")
+        for p, cls, r in self.relations:
+            roles = F.array(*(F.struct(F.lit(f"<{x}>").alias("token"), none.alias("n_s"), (F.col("_n") if x is p else none).alias("n_p"), (none if x is p else F.col("_n")).alias("n_o"), none.alias("n_g")) for x in (p, cls) if x))
+            tokens.append(r.rows.agg(F.count("*").alias("_n")).filter("_n > 0").select(F.explode(roles).alias("x")).select("x.*"))
+        out = grouped_terms(reduce(DataFrame.unionByName, tokens))
+        if not keys:
+            return out
+        each = spread(reduce(DataFrame.unionByName, keys), "code").groupBy("code").agg(F.count_if("_s").alias("n_s"), F.count_if(~F.col("_s")).alias("n_o"))
+        each = stored(each, "keys")  # ranges of tokens read them twice
+        heads = F.array(*(F.lit(f"<{self.source.templates[n].prefix}") for n in self.places))
+        token = F.concat(F.get(heads, F.col("code").bitwiseAND((1 << PLACE) - 1).cast("int")), F.shiftright("code", PLACE).cast("string"), F.lit(">"))
+        return out.unionByName(each.select(token.alias("token"), "code", "n_s", none.alias("n_p"), "n_o", none.alias("n_g")))
+
+    def coded(self, seed: int) -> DataFrame:
+        """The facts, repeated ones too, with codes in place of keys."""
+        parts = []
+        for p, _, r in self.relations:
+            rows = r.rows.select("src", "dst", self.source.render(F.col("src"), r.src).alias("_s"), F.lit(f"<{p}>").alias("_p"), self.source.render(F.col("dst"), r.dst).alias("_o"))
+            code = lambda c, space, token: F.when(self._fits(c, space), self._placed(c, space)).otherwise(_hashed(token, seed))
+            parts.append(rows.select(code("src", r.src, "_s").alias("s"), _hashed("_p", seed).alias("p"), code("dst", r.dst, "_o").alias("o")))
+        return reduce(DataFrame.unionByName, parts)
+
+
+def grouped_terms(tokens: DataFrame) -> DataFrame:
+    """Rows of (token, counts of ROLES) as terms whose codes are hashes."""
+    return tokens.groupBy("token").agg(*(F.sum(c).alias(c) for c in ROLES)).select("token", F.lit(None).cast("long").alias("code"), *ROLES)
+
+
+def number_terms(terms: DataFrame, parts: int, folder: str) -> tuple[DataFrame, int]:
+    """Number ``terms`` (token, code, counts of ROLES) and write them below ``folder``, ids in the order of the tokens.
+
+    Returns h, id and the counts of each, h the code or a hash, which no two terms share;
+    and the seed of that hash.
+    """
+    spark = terms.sparkSession
+    ranged = terms.repartitionByRange(parts, "token").sortWithinPartitions("token")
+    ranged.select(F.monotonically_increasing_id().alias("_at"), "token", "code", *ROLES).write.option("compression", "zstd").parquet(f"{folder}/ranges")
     # _at is the range's number and the row in it.
-    rows = spark.read.schema("_at long, token string, " + ", ".join(f"{c} long" for c in ROLES)).parquet(f"{folder}/ranges")
+    counts = ", ".join(f"{c} long" for c in ROLES)
+    rows = spark.read.schema(f"_at long, token string, code long, {counts}").parquet(f"{folder}/ranges")
     rows = rows.withColumns({"_part": F.shiftright("_at", 33), "_row": F.col("_at").bitwiseAND((1 << 33) - 1)})
     sizes = rows.groupBy("_part").agg(F.count("*").alias("_n"))  # a row for each range
     starts = sizes.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
-    numbered = rows.join(F.broadcast(starts), "_part").withColumn("id", F.col("_start") + F.col("_row"))
-    numbered.select("id", "token").sortWithinPartitions("id").write.option("compression", "zstd").parquet(f"{folder}/terms")
+    h = lambda seed: F.coalesce("code", _hashed("token", seed)).alias("h")
     seed = 0
-    while numbered.groupBy(_hashed("token", seed).alias("h")).count().filter("count > 1").take(1):
+    while rows.select(h(seed)).repartition(parts, "h").groupBy("h").count().filter("count > 1").take(1):
         seed += 1
-    return spark.read.schema("id long, token string").parquet(f"{folder}/terms"), numbered.select(_hashed("token", seed).alias("h"), "id", *ROLES), seed
+    numbered = rows.join(F.broadcast(starts), "_part").select((F.col("_start") + F.col("_row")).alias("id"), "token", h(seed), *ROLES)
+    numbered.sortWithinPartitions("id").write.option("compression", "zstd").parquet(f"{folder}/terms")
+    return spark.read.schema(f"id long, h long, {counts}").parquet(f"{folder}/terms"), seed
 
 
 def _coded(facts: DataFrame, end: str, other: str, role: str, codes: DataFrame, total: int, parts: int, once: bool = False) -> DataFrame:
-    """``facts`` with the id of a term in place of its hash in column ``end``; ``once``: as a set.
+    """``facts`` with the id of a term in place of its code in column ``end``; ``once``: as a set.
 
-    Hot terms are broadcast, and their facts dealt by a hash of ``other``.
+    Facts are dealt by that code and find the terms in a hash table: nothing is sorted.
+    Hot terms are broadcast, and their facts dealt by ``other`` instead, whether or not
+    that meets some code.
     """
-    own = codes.filter(F.col(role) > 0).select(F.col("h").alias(end), F.col("id").alias("_id"), (F.col(role) * HOT > total).alias("_hot"))
-    hot = F.broadcast(own.filter("_hot").select(end, F.col("_id").alias("_hot")))
-    salt = F.when(F.col("_hot").isNull(), 0).otherwise(1 + F.pmod(F.xxhash64(other), F.lit(parts)))
-    rows = facts.join(hot, end, "left").withColumn("_salt", salt)
+    own = codes.filter(F.col(role) > 0)
+    hot = own.filter(F.col(role) * HOT > total).select(F.col("h").alias(end), F.col("id").alias("_hot"))
+    rows = facts.join(F.broadcast(hot), end, "left").withColumn("_k", F.when(F.col("_hot").isNull(), F.col(end)).otherwise(F.col(other)))
+    rows = rows.drop(end).repartition(parts, "_k")
     if once:
-        rows = rows.repartition(parts, end, "_salt").distinct()
-    own = own.filter("NOT _hot").select(end, "_id", F.lit(0).cast("long").alias("_salt"))
-    met = rows.join(own, [end, "_salt"], "left")
-    return met.withColumn(end, F.coalesce("_hot", "_id")).drop("_hot", "_id", "_salt")
+        rows = rows.distinct()
+    met = rows.join(own.select(F.col("h").alias("_k"), F.col("id").alias("_id")).hint("shuffle_hash"), "_k", "left")
+    return met.withColumn(end, F.coalesce("_hot", "_id")).drop("_k", "_hot", "_id")
 
 
 def _write_order(facts: DataFrame, key: str, other: str, hot: DataFrame, buckets: int, path: str, table: str) -> None:
-    """The facts in buckets of ``key``; those of a hot key are dealt among tasks by ``other``."""
+    """The facts in buckets of ``key``; those of a hot key are dealt among tasks by ``other``.
+
+    A task meets few buckets and keeps their files open: facts are sorted once, by what
+    they hold, and not by their bucket first, which would be computed in each comparison.
+    """
     salted = facts.join(F.broadcast(hot.select(F.col("id").alias(key), F.lit(True).alias("_hot"))), key, "left")
     deal = F.when(F.col("_hot").isNull(), 0).otherwise(F.pmod(F.hash(other), F.lit(SPLIT)))
     dealt = salted.repartitionById(buckets, F.pmod(F.pmod(F.hash(key), F.lit(buckets)) + deal, F.lit(buckets)))
-    write = dealt.select("g", "s", "p", "o").write.bucketBy(buckets, key).sortBy("p", key, other)
-    write.option("path", path).option("compression", "zstd").mode("errorifexists").saveAsTable(table)
+    write = dealt.select("g", "s", "p", "o").sortWithinPartitions("p", key, other).write.bucketBy(buckets, key)
+    conf, before = facts.sparkSession.conf, facts.sparkSession.conf.get(OPEN_FILES)
+    conf.set(OPEN_FILES, str(SPLIT))
+    try:
+        write.option("path", path).option("compression", "zstd").mode("errorifexists").saveAsTable(table)
+    finally:
+        conf.set(OPEN_FILES, before)
 
 
-def build_store(facts: DataFrame, folder: str, buckets: int | None = None) -> None:
-    """Write a table of (s, p, o) or (g, s, p, o) tokens as a store below ``folder``, a new one.
+def build_store(facts: DataFrame | TokenFacts | KeyedFacts, folder: str, buckets: int | None = None) -> None:
+    """Write facts, a table of (s, p, o) or (g, s, p, o) tokens or what answers like TokenFacts, as a store below ``folder``, a new one.
 
     Facts are a set; repeated ones are one. ``facts`` is read twice. A fact is dealt out
-    by its subject and by its object, as hashes, to get their ids, and then once for each
-    order; all counts come from the buckets as they lie.
+    by its subject and by its object, as codes, to get their ids, and then once for each
+    order; all counts come from the buckets as they lie. As many tasks do it as facts ask for.
     """
-    spark = facts.sparkSession
-    named = "g" in facts.columns
-    facts = facts.select("g", "s", "p", "o") if named else facts.select(F.lit(None).cast("string").alias("g"), "s", "p", "o")
+    facts = TokenFacts(facts) if isinstance(facts, DataFrame) else facts
+    terms = facts.terms()
+    spark = terms.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ends = F.array(*(F.struct(F.col(c).alias("token"), *(F.lit(int(r == f"n_{c}")).cast("long").alias(r) for r in ROLES)) for c in ("spog" if named else "spo")))
-    tokens = facts.select(F.explode(ends).alias("x")).select("x.*").filter("token IS NOT NULL")
-    terms, codes, seed = number_terms(tokens, parts, folder)
-    total = codes.agg(F.coalesce(F.sum("n_p"), F.lit(0))).first()[0]  # repeated facts included
-    predicates = F.broadcast(codes.filter("n_p > 0").select(F.col("h").alias("p"), F.col("id").alias("_p")))  # one row a predicate
-    rows = facts.select(*(F.when(F.col(c).isNotNull(), _hashed(c, seed)).alias(c) for c in "gspo"))
-    rows = rows.join(predicates, "p", "left").select("g", "s", F.col("_p").alias("p"), "o")
+    codes, seed = number_terms(terms, parts, folder)
+    total, n_p = codes.agg(F.coalesce(F.sum("n_s"), F.lit(0)), F.count_if(F.col("n_p") > 0)).first()  # repeated facts included
+    parts = max(parts, math.ceil(total / TASK_FACTS))
+    predicates = codes.filter("n_p > 0")  # one row a predicate
+    rows = facts.coded(seed)
+    named = "g" in rows.columns
+    rows = rows.join(F.broadcast(predicates.select(F.col("h").alias("p"), F.col("id").alias("_p"))), "p", "left").drop("p").withColumnRenamed("_p", "p")
     rows = _coded(rows, "s", "o", "n_s", codes, total, parts, once=True)
     rows = _coded(rows, "o", "s", "n_o", codes, total, parts)
     if named:
         inside = _coded(rows.filter("g IS NOT NULL"), "g", "s", "n_g", codes, total, parts)
         rows = rows.filter("g IS NULL").unionByName(inside)
+    else:
+        rows = rows.withColumn("g", F.lit(None).cast("long"))
     buckets = buckets or max(parts, math.ceil(total / BUCKET_FACTS))
     hot = lambda role: codes.filter(F.col(role) * HOT > total)
     _write_order(rows, "o", "s", hot("n_o"), buckets, f"{folder}/objects", _table(folder, "objects"))
     objects = spark.table(_table(folder, "objects"))
     _write_order(objects, "s", "o", hot("n_s"), buckets, f"{folder}/subjects", _table(folder, "subjects"))
-    spark.createDataFrame([(buckets,)], "buckets int").coalesce(1).write.parquet(f"{folder}/layout")
-    own = spark.table(_table(folder, "subjects")).groupBy("s", "p").agg(F.count("*").alias("n")).groupBy("s").agg(F.sort_array(F.collect_list(F.struct("p", "n"))).alias("ps"))
-    sets = own.groupBy(F.transform("ps", lambda x: x.p).alias("ps"), F.transform("ps", lambda x: x.n).alias("ns")).agg(F.count("*").alias("n"))
-    sets = sets.select("ps", "n", F.posexplode("ns").alias("_k", "_each"))
-    by = sets.groupBy("ps", "_k").agg(F.sum("n").alias("n_subjects"), F.sum(F.col("n") * F.col("_each")).alias("n"))
-    by.groupBy("ps").agg(F.max("n_subjects").alias("n_subjects"), F.transform(F.array_sort(F.collect_list(F.struct("_k", "n"))), lambda x: x.n).alias("facts")).write.parquet(f"{folder}/characteristics")
+    spark.range(1).coalesce(1).select(F.lit(buckets).alias("buckets")).write.parquet(f"{folder}/layout")
+    _write_characteristics(spark.table(_table(folder, "subjects")), predicates, n_p, f"{folder}/characteristics")
     held = spark.read.schema("ps array<long>, n_subjects long, facts array<long>").parquet(f"{folder}/characteristics")
     held = held.select("n_subjects", F.explode(F.arrays_zip("ps", "facts")).alias("x")).groupBy(F.col("x.ps").alias("p")).agg(F.sum("x.facts").alias("n_facts"), F.sum("n_subjects").alias("n_subjects"))
     values = objects.groupBy("o", "p").agg(F.count("*").alias("n")).groupBy("p").agg(F.count("*").alias("n_objects"))
     held.join(values, "p").write.parquet(f"{folder}/predicates")
-    kind = terms.filter(F.col("token") == f"<{TYPE}>").select(F.col("id").alias("p"))
+    kind = spark.read.schema("id long, token string").parquet(f"{folder}/terms").filter(F.col("token") == f"<{TYPE}>").select(F.col("id").alias("p"))
     objects.join(F.broadcast(kind), "p", "left_semi").groupBy("o").agg(F.count("*").alias("n")).write.parquet(f"{folder}/classes")
 
 
+def _write_characteristics(subjects: DataFrame, predicates: DataFrame, n_p: int, path: str) -> None:
+    """Sets of predicates, their subjects and facts: a subject's set is a row of bits, 62 to a long, beside each of its predicates."""
+    at = F.broadcast(predicates.select(F.col("id").alias("p"), (F.row_number().over(Window.orderBy("id")) - 1).alias("_at")))  # one row a predicate
+    own = subjects.groupBy("s", "p").agg(F.count("*").alias("n")).join(at, "p")
+    bits = [f"_b{k}" for k in range(max(1, math.ceil(n_p / 62)))]
+    bit = lambda k: F.when(F.floor(F.col("_at") / 62) == k, F.expr("shiftleft(1L, CAST(_at % 62 AS int))")).otherwise(F.lit(0).cast("long"))
+    own = own.select("p", "n", *(F.bit_or(bit(k)).over(Window.partitionBy("s")).alias(b) for k, b in enumerate(bits)))
+    by = own.groupBy(*bits, "p").agg(F.count("*").alias("n_subjects"), F.sum("n").alias("n"))
+    sets = by.groupBy(*bits).agg(F.max("n_subjects").alias("n_subjects"), F.array_sort(F.collect_list(F.struct("p", "n"))).alias("x"))
+    sets.select(F.col("x.p").alias("ps"), "n_subjects", F.col("x.n").alias("facts")).write.parquet(path)
+
+
 def _table(folder: str, name: str) -> str:
     return f"facts_{name}_{hashlib.sha256(folder.encode()).hexdigest()[:16]}"
 

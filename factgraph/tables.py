@@ -13,7 +13,7 @@ from factgraph.plans.catalog import Catalog, Qualification, ShapeSource
 from factgraph.plans.query import AuthorizationScope, DatasetScope, QueryPolicy
 from factgraph.sources.facts import MappedTables, Template
 from factgraph.sources.shared import shared_folder, spread
-from factgraph.sources.store import StoredFacts, build_store
+from factgraph.sources.store import KeyedFacts, StoredFacts, build_store
 from factgraph.sources.turtle import parse_turtle
 
 TD = "urn:td:"
@@ -141,7 +141,7 @@ def store_engine(spark: SparkSession, sf_dir: str) -> Engine:
     at = spark.sparkContext.applicationId, sf_dir
     if at not in _stores:
         folder = shared_folder(spark, "facts-store")
-        build_store(as_facts(mapped(spark, sf_dir, sets=False), STORED, STORED_CLASSES), folder)
+        build_store(KeyedFacts(mapped(spark, sf_dir, sets=False), [TD + n for n in STORED], [TD + c for c in STORED_CLASSES]), folder)
         _stores[at] = folder
     return Engine(spark, StoredFacts(spark, _stores[at]), catalog(), AuthorizationScope("tables"), DatasetScope("tables"), QueryPolicy(timeout_seconds=600))
 

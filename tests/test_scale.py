@@ -1,14 +1,17 @@
 """What keeps work in step with the input: orders of joins, sizes of what is shuffled."""
 
 import os
+from functools import reduce
 
 import pytest
 from pyspark.sql import functions as F
 
 from factgraph import queries, table_queries
+from factgraph.functions.terms import TYPE
 from factgraph.operators import profile
 from factgraph.plans.builder import PlanBuilder
 from factgraph.sources import store as store_source
+from factgraph.sources.facts import MappedTables, Template
 from factgraph.sources.shared import stored
 from factgraph.sources.store import StoredFacts, build_store
 from factgraph.tables import TD, as_facts, mapped, table_engine
@@ -37,6 +40,43 @@ def test_a_store_writes_its_facts_once_in_each_order(spark, tmp_path):
     assert sorted(map(tuple, held)) == sorted(rows)
 
 
+def test_facts_of_a_hot_term_get_their_ids_in_several_tasks(spark):
+    """Dealt by a constant beside the term, they all went to one."""
+    facts = spark.range(400).selectExpr("id AS s", "0L AS p", "7L AS o")
+    codes = spark.createDataFrame([(7, 1, 0, 0, 400, 0), (8, 2, 1, 0, 1, 0)], "h long, id long, n_s long, n_p long, n_o long, n_g long")
+    out = store_source._coded(facts, "o", "s", "n_o", codes, 400, 4)
+    assert out.select(F.spark_partition_id()).distinct().count() > 1
+    assert sorted(map(tuple, out.select("s", "p", "o").collect())) == [(k, 0, 1) for k in range(400)]
+
+
+def test_a_store_of_keys_is_the_store_of_their_tokens(spark, tmp_path):
+    """Repeated facts, numbers too large for a code of their own, negative ones, no numbers at all."""
+    rows = [(1, 2, "x"), (1, 2, "x"), (-5, 2**60, 'a "quoted" one'), (2**60, 2, "x"), (2**60, None, None), (None, 2, "y"), (9, 9, "<urn:n/9>")]
+    spark.createDataFrame(rows, "a long, b long, c string").write.parquet(f"{tmp_path}/rows")
+    table = spark.read.parquet(f"{tmp_path}/rows")
+    pairs = lambda x, y: lambda _: table.selectExpr(f"{x} AS src", f"{y} AS dst").filter("src IS NOT NULL AND dst IS NOT NULL")
+    members = lambda _: table.selectExpr("a AS node").filter("node IS NOT NULL")
+    source = MappedTables(spark, {"n": Template("urn:n/"), "m": Template("urn:m/"), "t": Template("urn:t/", "string")}, {"urn:C": (members, "n"), "urn:none": (lambda _: members(_).filter("node = 0"), "n")}, {"urn:ab": (pairs("a", "b"), "n", "m"), "urn:ac": (pairs("a", "c"), "n", "lit"), "urn:cb": (pairs("c", "b"), "t", "m"), "urn:no": (lambda _: pairs("a", "b")(_).filter("src = 0"), "n", "m")})
+    names, classes = ["urn:ab", "urn:ac", "urn:cb", "urn:no"], ["urn:C", "urn:none"]
+    tokens = [source.relation(n) for n in names]
+    tokens = [r.rows.select(source.render(F.col("src"), r.src).alias("s"), F.lit(f"<{n}>").alias("p"), source.render(F.col("dst"), r.dst).alias("o")) for n, r in zip(names, tokens, strict=True)]
+    tokens += [source.members(c)[0].select(source.render(F.col("node"), "n").alias("s"), F.lit(f"<{TYPE}>").alias("p"), F.lit(f"<{c}>").alias("o")) for c in classes]
+    facts = reduce(lambda x, y: x.unionByName(y), tokens)
+    held = []
+    for name, given in (("keys", store_source.KeyedFacts(source, names, classes)), ("tokens", facts)):
+        build_store(given, f"file://{tmp_path}/{name}")
+        own = [sorted(map(repr, spark.read.parquet(f"file://{tmp_path}/{name}/{x}").select(*c).collect())) for x, c in (("terms", ["id", "token"]), ("subjects", "spo"), ("objects", "spo"), ("characteristics", ["ps", "n_subjects", "facts"]), ("predicates", ["p", "n_facts", "n_subjects", "n_objects"]), ("classes", ["o", "n"]))]
+        held.append(own)
+    assert held[0] == held[1] and len(held[0][1]) == facts.distinct().count()
+
+
+def test_sets_of_more_predicates_than_a_long_has_bits(spark, tmp_path):
+    rows = [(f"<urn:s/{k}>", f"<urn:p/{j:03}>", "<urn:o>") for k in range(3) for j in range(0, 130, k + 1)]
+    build_store(spark.createDataFrame(rows, "s string, p string, o string"), f"file://{tmp_path}/store")
+    store = StoredFacts(spark, f"file://{tmp_path}/store")
+    assert store.star([f"urn:p/{j:03}" for j in (0, 64, 126)]) == (2, 2.0) and store.star(["urn:p/006", "urn:p/066"]) == (3, 3.0) and store.star(["urn:p/003"]) == (2, 2.0)
+
+
 def test_terms_with_equal_hashes_stay_apart(spark, tmp_path, monkeypatch):
     """The first hash puts all terms together; another one is taken."""
     monkeypatch.setattr(store_source, "_hashed", lambda token, seed: F.xxhash64(F.lit(seed), token) if seed else F.length(token).cast("long"))
