@@ -354,10 +354,20 @@ def _row_faults_sql(atoms: list[Atom]) -> str:
     return f"array_compact(array({', '.join(found)}))"
 
 
-def _meets(rows: DataFrame, source, column: str, side: Column, space: str) -> Column:
-    """``column``'s tokens compared with a side of facts, as keys where the space has any."""
-    keys = source.unrender(rows[column], space)
-    return rows[column] == source.render(side, space) if keys is None else keys == side
+def _without(rows: DataFrame, source, ends: list[tuple[str, str, str]], facts: DataFrame) -> list[DataFrame]:
+    """``rows`` but those whose ends are in ``facts``, dealt to all tasks as they are set.
+
+    Ends that are no keys of their space are in no fact, and all would meet in one task of a join.
+    """
+    met = {}
+    for k, (c, side, space) in enumerate(ends):
+        key = source.unrender(rows[c], space)
+        met[f"_k{k}"] = (rows[c], source.render(facts[side], space)) if key is None else (key, facts[side])
+    none = reduce(Column.__or__, (mine.isNull() for mine, _ in met.values()))
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    held = rows.filter(~none).withColumns({n: mine for n, (mine, _) in met.items()}).repartition(parts, *met)
+    other = facts.select(*(theirs.alias(n) for n, (_, theirs) in met.items()))
+    return [rows.filter(none), held.join(other, list(met), "left_anti").select(*rows.columns)]
 
 
 def not_in_data(witnesses: DataFrame, source, predicates: set[str], classes: set[str]) -> DataFrame:
@@ -373,12 +383,11 @@ def not_in_data(witnesses: DataFrame, source, predicates: set[str], classes: set
     for p in sorted(predicates - {TYPE}):
         own, r = whole.filter(F.col("p") == p), source.relation(p)
         facts = r.rows.select(F.col("src").alias("_a"), F.col("dst").alias("_b"))
-        parts.append(own.join(facts, _meets(own, source, "s", facts["_a"], r.src) & _meets(own, source, "o", facts["_b"], r.dst), "left_anti"))
+        parts += _without(own, source, [("s", "_a", r.src), ("o", "_b", r.dst)], facts)
     for c in sorted(classes):
         own = whole.filter(is_type & (F.col("o") == f"<{c}>"))
         nodes, space = source.members(c)
-        nodes = nodes.select(F.col("node").alias("_a"))
-        parts.append(own.join(nodes, _meets(own, source, "s", nodes["_a"], space), "left_anti"))
+        parts += _without(own, source, [("s", "_a", space)], nodes.select(F.col("node").alias("_a")))
     return reduce(DataFrame.unionByName, parts)
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from factgraph import queries, table_queries
 from factgraph.functions.terms import TYPE
-from factgraph.operators import profile
+from factgraph.operators import evidence, profile
 from factgraph.plans.builder import PlanBuilder
 from factgraph.sources import store as store_source
 from factgraph.sources.facts import MappedTables, Template
@@ -102,6 +102,12 @@ def test_rows_are_dealt_out_before_they_are_grouped(spark, name):
     assert "REPARTITION_BY_NUM" in _plan({**queries.QUERIES, **table_queries.QUERIES}[name](spark, TABLES))
 
 
+def test_nodes_that_are_no_keys_of_a_class_do_not_meet_in_one_task(spark):
+    asked = spark.range(0, 400, 1, 4).select(F.format_string("<urn:td:order/%d>", "id").alias("s"), F.lit(TYPE).alias("p"), F.lit(f"<{TD}Customer>").alias("o"))
+    out = evidence.not_in_data(asked, mapped(spark, TABLES), set(), {TD + "Customer"})
+    assert out.count() == 400 and out.select(F.spark_partition_id()).distinct().count() > 1
+
+
 def test_repeated_pairs_are_one_value(spark, tmp_path):
     spark.createDataFrame([(1, 2), (1, 2), (1, 3), (4, 2)], "l_orderkey long, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
     source = mapped(spark, str(tmp_path), sets=False)
