@@ -86,10 +86,10 @@ def accepts(token: Column, branch: Branch) -> Column:
     return out & (token_kind(token) == "iri") if branch.classes else out
 
 
-def oriented(source, prop: Property, constant: str = "") -> Relation:
-    """Pairs as the property reads them; ``constant`` names the end (src or dst) that is a constant, for sources that hold several orders."""
-    if constant and hasattr(source, "orders"):
-        r = source.relation(prop.predicate, {"src": "dst", "dst": "src"}[constant] if prop.inverse else constant)
+def oriented(source, prop: Property, known: str = "") -> Relation:
+    """Pairs as the property reads them; ``known`` names the end (src or dst) by which they are looked up, for sources that hold several orders."""
+    if known and hasattr(source, "orders"):
+        r = source.relation(prop.predicate, {"src": "dst", "dst": "src"}[known] if prop.inverse else known)
     else:
         r = source.relation(prop.predicate)
     if not prop.inverse:
@@ -125,6 +125,7 @@ class _Builder:
         self.bound = {e.id: e.binding for e in plan.entities if e.binding}
         self.serial = 0
         self.order: list[str] = []
+        self.count: float | None = None  # about how many rows there are, over sources that count facts
         self.lens_entity = {u.id: u.entity for u in plan.lenses}
         self.result = self.run()
 
@@ -168,6 +169,10 @@ class _Builder:
             df = self.of_class(df, column, space, cls)
         return self.among(df, column, space, branch.allowed) if branch.allowed else df
 
+    def keep(self, entity: str, nodes: DataFrame) -> None:
+        """Rows whose ``entity`` is one of ``nodes``, each there once. The optimizer would push a semi-join down to all facts of an edge."""
+        self.df = self.df.join(nodes.select(F.col("node").alias(entity)), entity)
+
     def given(self, df: DataFrame, facts: DataFrame) -> DataFrame:
         """``df`` if ``facts`` has a row, else nothing."""
         self.serial += 1
@@ -211,6 +216,8 @@ class _Builder:
                 nodes, space = self.selected(u.key)
                 if entity in self.bound:
                     self.df = self.given(self.base(), self.equal(nodes, "node", space, self.bound[entity]))
+                elif hasattr(self.source, "counts") and self.catalog.selector(u.key).classes:
+                    self.keep(entity, nodes)
                 else:
                     self.df = self.semi(self.df, [(entity, self.space[entity], "node", space)], nodes)
             for f in filters_of.pop(entity, ()):
@@ -264,7 +271,9 @@ class _Builder:
         known, ends = self.is_known, self.ends
         near = [x for x in edges if all(map(known, ends(x))) or any(e in self.space for e in ends(x))] if self.space else edges
         if hasattr(self.source, "counts"):
-            return min(near or edges, key=lambda x: (self.growth(x), x.id))
+            if self.space:
+                return min(near or edges, key=lambda x: (self.growth(x), x.id))
+            return min(edges, key=lambda x: (self.cost(x, edges), self.growth(x), x.id))
         conditions = {u.entity for u in self.plan.selectors} | {self.lens_entity[f.lens] for f in self.plan.filters}
 
         def subject(x) -> str:
@@ -316,14 +325,44 @@ class _Builder:
                 out *= min(1.0, size / max(n, 1))
         return out
 
+    def cost(self, first, edges: list) -> float:
+        """About how many rows there are after each of ``edges``, summed, if ``first`` is joined first."""
+        left, rows, total, self.space = list(edges), 1.0, 0.0, {}
+        edge = first
+        while True:
+            left.remove(edge)
+            rows *= self.growth(edge) or 1.0
+            total += rows
+            self.space |= {e: "" for e in self.ends(edge) if e not in self.bound}
+            if not left:
+                self.space = {}
+                return total
+            edge = self.next_edge(left)
+
+    def grown(self, edge, known: str) -> bool:
+        """Count the rows that an edge gives; whether there are no more before it than nodes at its ``known`` end."""
+        if not hasattr(self.source, "counts"):
+            return False
+        _, sources, values = self.sides(self.catalog.property(edge.property_key))
+        few = self.count is not None and self.count <= {"src": sources, "dst": values}.get(known, 0)
+        growth = self.growth(edge)
+        if growth:
+            self.count = growth if self.count is None else self.count * growth
+        return few
+
     def start(self, entity: str, use) -> None:
         nodes, self.space[entity] = self.selected(use.key)
+        if hasattr(self.source, "counts"):
+            self.count = self.size(entity)
         self.df = nodes.select(F.col("node").alias(entity)) if self.df is None else self.df.crossJoin(nodes.select(F.col("node").alias(entity)))
 
     def edge(self, edge, source: str, target: str) -> None:
         prop = self.catalog.property(edge.property_key)
-        r = oriented(self.source, prop, "src" if source in self.bound else "dst" if target in self.bound else "")
-        rows = self.contract(r.rows, "dst", r.dst, prop.branch(edge.branch_key))
+        known = next((end for held in (self.bound, self.space) for end, e in (("src", source), ("dst", target)) if e in held), "")
+        r, branch = oriented(self.source, prop, known), prop.branch(edge.branch_key)
+        # Where there are fewer rows than nodes that the facts could be met at, the facts are looked up first and lie as they are.
+        late = self.grown(edge, known) and (source in self.space) != (target in self.space) and not {source, target} & self.bound.keys()
+        rows = r.rows if late else self.contract(r.rows, "dst", r.dst, branch)
         ends, new = [("src", r.src, source), ("dst", r.dst, target)], []
         if source == target:
             both = self.meet(F.col("src"), r.src, F.col("dst"), r.dst)
@@ -351,6 +390,11 @@ class _Builder:
             self.df = left.join(side, "_j").drop("_j")
         for _, s, e in new:
             self.space[e] = s
+        if late:
+            for cls in branch.classes:
+                self.keep(target, self.source.members(cls)[0])
+            if branch.allowed:
+                self.df = self.among(self.df, target, r.dst, branch.allowed)
 
     def filter(self, f, entity: str) -> None:
         prop = self.catalog.property(f.property_key)
@@ -363,6 +407,8 @@ class _Builder:
                 rows = self.given(rows, self.equal(nodes, "node", space, f.value))
         if entity in self.bound:
             self.df = self.given(self.base(), self.equal(rows, "src", r.src, self.bound[entity]))
+        elif hasattr(self.source, "counts") and f.kind == "eq":
+            self.keep(entity, rows.select(F.col("src").alias("node")))
         else:
             self.df = self.semi(self.df, [(entity, self.space[entity], "src", r.src)], rows)
 

@@ -43,6 +43,8 @@ PLACE = 6
 TASK_FACTS = 2_000_000
 #: A term with more than one in so many facts is hot; there are fewer such terms than this.
 HOT = 1000
+#: A class or predicate of so many facts at most is broadcast to the joins at it: less than Spark's own bound of 10 MB.
+SMALL = 400_000
 #: How many facts have a term as subject, predicate, object, graph.
 ROLES = ("n_s", "n_p", "n_o", "n_g")
 
@@ -265,6 +267,7 @@ class StoredFacts:
         self.orders = {k: self._open(k, key, buckets) for k, key in (("subjects", "s"), ("objects", "o"))}
         self.known: dict[str, int] = {}
         self.counted: dict[int, Counts] | None = None
+        self.sizes: dict[str, int] = {}
 
     def _open(self, name: str, key: str, buckets: int) -> DataFrame:
         table = _table(self.folder, name)
@@ -298,16 +301,20 @@ class StoredFacts:
             return rows.filter(F.col("g").isin(self.ids([f"<{g}>" for g in self.graphs])))
         return rows.filter(F.col("g").isNull())
 
-    def relation(self, predicate: str, constant: str = "") -> Relation:
-        """Pairs of a predicate; ``constant`` names the end (src or dst) that will be a constant, and so the order to read."""
+    def relation(self, predicate: str, known: str = "") -> Relation:
+        """Pairs of a predicate; ``known`` names the end (src or dst) that will be a constant or joined, and so the order to read."""
         (p,) = self.ids([f"<{predicate}>"])
-        rows = self._scoped("objects" if constant == "dst" else "subjects").filter(F.col("p") == p).select(F.col("s").alias("src"), F.col("o").alias("dst"))
-        return Relation(rows.distinct() if len(self.graphs) > 1 else rows, ID, ID)
+        rows = self._scoped("objects" if known == "dst" else "subjects").filter(F.col("p") == p).select(F.col("s").alias("src"), F.col("o").alias("dst"))
+        rows = rows.distinct() if len(self.graphs) > 1 else rows
+        return Relation(F.broadcast(rows) if self.counts(predicate).facts <= SMALL else rows, ID, ID)
 
     def members(self, cls: str) -> tuple[DataFrame, str]:
+        """Nodes of a class: few of them from the class's bucket, else each from its own, where its facts are."""
         p, o = self.ids([f"<{TYPE}>", f"<{cls}>"])
-        rows = self._scoped("objects").filter((F.col("p") == p) & (F.col("o") == o)).select(F.col("s").alias("node"))
-        return (rows.distinct() if len(self.graphs) > 1 else rows), ID
+        small = self.class_size(cls) <= SMALL
+        rows = self._scoped("objects" if small else "subjects").filter((F.col("p") == p) & (F.col("o") == o)).select(F.col("s").alias("node"))
+        rows = rows.distinct() if len(self.graphs) > 1 else rows
+        return (F.broadcast(rows) if small else rows), ID
 
     def tokens(self, rows: DataFrame, columns: dict[str, tuple[str, str]]) -> DataFrame:
         """``rows`` with tokens of id columns, by their names: a join with the terms for each."""
@@ -340,8 +347,10 @@ class StoredFacts:
 
     def class_size(self, cls: str) -> int:
         """Facts that give a node this class."""
-        got = self.spark.read.parquet(f"{self.folder}/classes").filter(F.col("o") == self.ids([f"<{cls}>"])[0]).first()
-        return got.n if got else 0
+        if cls not in self.sizes:
+            got = self.spark.read.parquet(f"{self.folder}/classes").filter(F.col("o") == self.ids([f"<{cls}>"])[0]).first()
+            self.sizes[cls] = got.n if got else 0
+        return self.sizes[cls]
 
     def star(self, predicates: list[str]) -> tuple[int, float]:
         """How many subjects have all predicates, and how many rows their star has (values taken as independent in a set)."""

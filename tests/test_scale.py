@@ -14,7 +14,7 @@ from factgraph.sources import store as store_source
 from factgraph.sources.facts import MappedTables, Template
 from factgraph.sources.shared import stored
 from factgraph.sources.store import StoredFacts, build_store
-from factgraph.tables import TD, as_facts, mapped, table_engine
+from factgraph.tables import TD, as_facts, mapped, store_engine, table_engine
 
 TABLES = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(TABLES), reason="no test tables")
@@ -28,6 +28,38 @@ def test_a_cycle_is_not_entered_through_its_hub(spark):
     assert engine.compile(b.raw).order == tuple(TD + n for n in ("order-customer", "customer-nation", "order-supplier", "supplier-nation"))
 
 
+def _over_store(spark, query):
+    engine = store_engine(spark, TABLES)
+    b = PlanBuilder(engine.catalog)
+    query.fill(b)
+    return engine.compile(b.raw)
+
+
+def test_a_cycle_over_the_store_starts_where_fewest_rows_come_of_it(spark, monkeypatch):
+    counts, size = StoredFacts.counts, StoredFacts.class_size
+
+    def more(self, predicate):  # a thousand times the tables, but no more nations
+        c = counts(self, predicate)
+        return store_source.Counts(1000 * c.facts, 1000 * c.subjects, c.objects if predicate.endswith("-nation") else 1000 * c.objects)
+
+    monkeypatch.setattr(StoredFacts, "counts", more)
+    monkeypatch.setattr(StoredFacts, "class_size", lambda *a: 1000 * size(*a))
+    # From the suppliers, the smallest edge, all facts of orders would be dealt out twice.
+    assert _over_store(spark, queries.cycle_join).order == tuple(TD + n for n in ("customer-nation", "order-customer", "order-supplier", "supplier-nation"))
+
+
+def test_facts_met_by_few_rows_lie_as_they_are(spark, monkeypatch):
+    """Neither classes nor facts are dealt out, however large: every scan of facts is one of buckets."""
+    monkeypatch.setattr(store_source, "SMALL", -1)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        plan = _plan(_over_store(spark, queries.self_join).rows)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    scans = [x for x in plan.splitlines() if "FileScan" in x and "facts_" in x]
+    assert len(scans) == 5 and all("Bucketed: true" in x for x in scans), plan
+
+
 def test_a_store_writes_its_facts_once_in_each_order(spark, tmp_path):
     """Beside both orders, only terms and counts are written; a third copy of the facts would be shuffled three times more."""
     rows = [(f"<urn:s/{k // 3}>", f"<urn:p/{k % 3}>", f"<urn:o/{k * 7919 % 1009}>") for k in range(6000)]
